@@ -37,6 +37,8 @@ from helixframe.llm.util import texts_of
 PUNCTUATION = ".,;:!?\"'()[]{}«»“”‘’¡¿…–—-"
 #: Words in a passage, words between windows, rank, cosine of a candidate, LCS shares, words of an answer.
 WINDOW, STRIDE, RANK, COSINE, LCS, LOOSE, ANSWER = 16, 8, 48, 0.8, 0.8, 0.6, 4
+#: The least share of a candidate window's words that the benchmark has.
+KNOWN = 0.4
 #: Words kept with their numbers in a task; the table starts anew beyond.
 MEMO = 500_000
 #: The benchmark's vocabulary is sent to every task; beyond this it must be split into several runs.
@@ -89,23 +91,36 @@ def term_statistics(texts: DataFrame, terms: dict[str, int], window: int, rank:
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, s = Vocabulary(bound.value), signs(n, rank).astype(np.int32)
-        df, sketch, passages = np.zeros(n, np.int64), np.zeros((n, rank), np.int64), 0
+        df, sketch, passages, held, size = np.zeros(n, np.int64), np.zeros((n, rank), np.int64), 0, [], 0
+
+        def add() -> None:
+            ids = np.concatenate(held)
+            where = np.flatnonzero(ids >= 0)
+            if not len(where):
+                return
+            term, at = ids[where], where // window
+            new = np.append(True, at[1:] != at[:-1])
+            projected = np.add.reduceat(s[term], np.flatnonzero(new), axis=0)  # T S, a row a passage with a term
+            index = np.cumsum(new) - 1
+            order = np.argsort(term, kind="stable")
+            term, index = term[order], index[order]
+            first = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
+            sketch[term[first]] += np.add.reduceat(projected[index], first, axis=0)
+            again = np.append(False, (term[1:] == term[:-1]) & (index[1:] == index[:-1]))
+            df[:] += np.bincount(term[~again], minlength=n)
+
         for b in batches:
             for t in b.column(0):
                 ids = vocabulary.numbers(t.as_py())
-                passages += -(-len(ids) // window)
-                where = np.flatnonzero(ids >= 0)
-                if not len(where):
-                    continue
-                term, at = ids[where], where // window
-                first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-                projected = np.add.reduceat(s[term], first, axis=0)  # T S, a row a passage with a term
-                index = np.cumsum(np.append(0, at[1:] != at[:-1]))
-                order = np.argsort(term, kind="stable")
-                ends = np.flatnonzero(np.append(True, term[order][1:] != term[order][:-1]))
-                sketch[term[order][ends]] += np.add.reduceat(projected[index[order]], ends, axis=0)
-                pairs = np.unique(index.astype(np.int64) * n + term) % n
-                df += np.bincount(pairs, minlength=n) if len(pairs) * 20 > n else _counted(pairs, n)
+                fill = -len(ids) % window  # a passage doesn't go on into the next text
+                passages += (len(ids) + fill) // window
+                held += [ids, np.full(fill, -1, np.int32)]
+                size += len(ids) + fill
+                if size > 1 << 17:
+                    add()
+                    held, size = [], 0
+        if held:
+            add()
         used = np.flatnonzero(df)
         cols = [pa.array(np.append(used, -1)), pa.array(np.append(df[used], passages))]
         cols += [pa.array(np.append(sketch[used, k], 0)) for k in range(rank)]
@@ -116,14 +131,8 @@ def term_statistics(texts: DataFrame, terms: dict[str, int], window: int, rank:
     return rows.groupBy("term").agg(F.sum("df").alias("df"), *[F.sum(f"s{k}").alias(f"s{k}") for k in range(rank)])
 
 
-def _counted(pairs: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(n, np.int64)
-    np.add.at(out, pairs, 1)
-    return out
-
-
 def latent_terms(stats: list, n_terms: int, rank: int) -> np.ndarray:
-    """For each term its idf times its row of the right singular vectors, scaled to whiten nothing: idf * V."""
+    """For each term its weight times its row of the right singular vectors."""
     df, sketch, passages = np.ones(n_terms), np.zeros((n_terms, rank)), 1
     for r in stats:
         if r["term"] < 0:
@@ -131,7 +140,7 @@ def latent_terms(stats: list, n_terms: int, rank: int) -> np.ndarray:
         else:
             df[r["term"]] = r["df"]
             sketch[r["term"]] = [r[f"s{k}"] for k in range(rank)]
-    idf = np.log((1 + passages) / (1 + df)) + 1
+    idf = np.log((1 + passages) / (1 + df)) ** 2  # squared: common words carry little
     s = signs(n_terms, rank).astype(float)
     core = s.T @ sketch  # S'T'T S: T'T is sketch core^-1 sketch'
     values, vectors = np.linalg.eigh((core + core.T) / 2)
@@ -201,27 +210,35 @@ def contaminated(
         starts = np.arange(0, max(1, len(ids) - window + 1), stride)
         ends = np.minimum(starts + window, len(ids))
         count = np.append(0, np.cumsum(known))
-        enough = count[ends] - count[starts] >= min(3, window)
+        enough = count[ends] - count[starts] >= np.minimum(ends - starts, window) * KNOWN
         starts, ends = starts[enough], ends[enough]
         for j in range(0, len(starts), 1024):
             latent = sums[ends[j : j + 1024]] - sums[starts[j : j + 1024]]
-            size = np.linalg.norm(latent, axis=1, keepdims=True)
-            near = (latent @ asked.T) / np.maximum(size, 1e-6)
-            at, q = np.nonzero(near >= cosine)
-            done: dict[int, int] = {}
-            for a, k in zip(at.tolist(), q.tolist()):
-                n, place, value = int(of[k]), base + int(starts[j + a]), near[a, k]
-                if n in best and best[n][0] >= 1.0 or done.get(n, -1) >= place:
+            least = cosine * np.maximum(np.linalg.norm(latent, axis=1), 1e-6).astype(np.float32)
+            near = latent @ asked.T
+            at, q = np.divmod(np.flatnonzero(near >= least[:, None]), len(asked))
+            places, item = base + starts[j + at], of[q]
+            close = near[at, q] / (least[at] / cosine)
+            order = np.lexsort((-close, places, item))
+            done, last = -1, -1
+            for k in order.tolist():
+                n, place = int(item[k]), int(places[k])
+                if n == last and place <= done:  # the check of the window before covers this one
                     continue
                 seq = sequences[n]
-                done[n] = place + len(seq) // 4
+                last, done = n, place + len(seq) // 4
+                if n in best and best[n][0] >= 1.0:
+                    continue
                 got = whole[max(0, place - len(seq)) : place + window + len(seq)].tolist()
+                there = set(got)
+                if sum(x in there for x in seq) < loose * len(seq):  # no subsequence can be long enough
+                    continue
                 share = common_subsequence(seq, got) / len(seq)
                 answer = [x for x in seq if x >= 0][-ANSWER:]
                 has = any(got[i : i + len(answer)] == answer for i in range(len(got) - len(answer) + 1))
                 if share >= lcs or share >= loose and has:
-                    old = best.get(n)
-                    if old is None or (share, has, value) > old[:3]:
+                    value, old = float(close[k]), best.get(n)
+                    if old is None or (share, has, value) > old:
                         best[n] = (share, has, value)
 
     fields = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}

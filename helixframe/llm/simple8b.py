@@ -18,29 +18,28 @@ an empty table gives empty files; other columns are ignored.
 
 from __future__ import annotations
 
-import json
-import re
+import os
 import struct
-import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.bpe_fst import NEVER, Transducer
-from helixframe.llm.bpe_stream import byte_chars
+from helixframe.llm.bpe_stream import int_lists
 from helixframe.llm.util import scratch_path, texts_of
 
 #: Ids in a word and bits of each, by selector.
 COUNTS = [1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1]
 BITS = [60, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60]
 BLOCK = 4096
-MEMO = 500_000
+#: Runs whose ids are kept.
+MEMO = 700_000
 _LOW60 = np.uint64((1 << 60) - 1)
 
 
@@ -146,91 +145,37 @@ def in_groups(items: list, size, most: int = 1 << 19) -> Iterator[list]:
         yield group
 
 
-class WordBpe:
-    """A lower-casing BPE vocabulary with word ends, word by word, with ids as the tokenizers library gives them.
+class Chunks:
+    """The tokenizers library over whole texts, each text as its runs between ASCII white space.
 
-    Words go through the transducer and a bounded table.  Words beyond
-    the Latin blocks, texts with special strings, and texts with characters
-    whose lower case depends on more than one code point, go to the library
-    itself.
+    The vocabulary drops white space and no word goes over it, so a text's ids
+    are those of its runs.  Runs that have come before are served from a
+    bounded table; the new ones of a group of texts go to the library at once.
     """
 
-    WS = "\t-\r \x85\xa0  -     　"
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model, pre = spec["model"], spec["pre_tokenizer"]["pretokenizers"]
-        kinds = [x["type"] for x in spec["normalizer"]["normalizers"]]
-        if kinds != ["NFC", "Replace", "Lowercase"] or pre[0]["behavior"] != "Removed" or not pre[0]["invert"]:
-            raise ValueError("a vocabulary with NFC, white space and lower-case normalizers is needed")
-        self.rare = re.compile("|".join([*map(re.escape, (t["content"] for t in spec["added_tokens"])), "[\x1c-\x1fΣİ]"]))
-        self.settled = re.compile("[\0-\u024f]*")  # beyond, Unicode versions differ between libraries
-        contractions = pre[0]["pattern"]["Regex"].split("|[")[0]
-        self.latin = re.compile(rf"{contractions}|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w{self.WS}]|_)+")  # the same pattern up to there
-        end, table = model["end_of_word_suffix"], byte_chars()
-
-        def plain(token: str) -> str:
-            """A symbol a character: the byte, or from 256 on the byte that ends a word."""
-            last = token.endswith(end)
-            s = [table[c] for c in token.removesuffix(end)]
-            return "".join(map(chr, s[:-1] + [s[-1] + 256 * last]))
-
-        known = {t: i for t, i in model["vocab"].items() if t.removesuffix(end) and set(t.removesuffix(end)) <= table.keys()}
-        ids = {plain(t): i for t, i in known.items()}
-        ranks = {tuple(map(plain, m.split(" ") if isinstance(m, str) else m)): i for i, m in enumerate(model["merges"])}
-        self.fst = Transducer(ids, lambda a, b: ranks.get((a, b), NEVER), lambda tokens: tuple(ids[t] for t in tokens))
-        self.memo, self.words = _Words(self.chunk), _Words(self.word)
-
-    def encode(self, text: str) -> np.ndarray:
-        if self.rare.search(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
-        return np.frombuffer(b"".join(map(self.memo.__getitem__, text.split())), np.int32)
-
-    def chunk(self, text: str) -> bytes:
-        """Ids (int32 bytes) of a text without white space."""
-        if not self.settled.fullmatch(text):
-            return array("i", self.library.encode(text, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self.words.__getitem__, self.latin.findall(unicodedata.normalize("NFC", text).lower())))
-
-    def word(self, word: str) -> bytes:
-        """Ids (int32 bytes) of one match of the pattern; its last byte is the symbol that ends a word."""
-        out: list[int] = []
-        data = word.encode()
-        st = self.fst.start
-        for b in data[:-1].decode("latin-1"):
-            st, ids = st[b]
-            out += ids
-        st, ids = st[chr(data[-1] + 256)]
-        out += ids
-        out += st.tail
-        return array("i", out).tobytes()
-
-
-class _Words(dict):
-    """What ``make`` gives for words that have come before; starts anew when full."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.make(word)
-        if len(word) <= 64:
-            if len(self) >= MEMO:
-                self.clear()
-            self[word] = ids
-        return ids
+        self.known: dict[bytes, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        runs = [t.encode("utf-8").split() for t in texts]
+        new = list(set(chain.from_iterable(runs)).difference(self.known))
+        if len(self.known) + len(new) > MEMO:
+            self.known.clear()
+            new = list(set(chain.from_iterable(runs)))
+        got = self.library.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)
+        self.known.update(zip(new, (array("i", e.ids).tobytes() for e in got)))
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, r)), np.int32) for r in runs]
 
 
 @lru_cache(maxsize=4)
-def vocabulary(path: str) -> WordBpe:
-    return WordBpe(path)
+def vocabulary(path: str) -> Chunks:
+    return Chunks(path)
 
 
 def _path(path: str | None) -> str:
@@ -258,7 +203,7 @@ def write_ids(df: DataFrame, out_path: str, id_col: str = "doc_id", text_col: st
         for b in batches:
             packed, counts = [], []
             for texts in in_groups(b.column(1).to_pylist(), len):
-                ids = [np.append(words.encode(t), np.int32(end_id)) for t in texts]
+                ids = [np.append(x, np.int32(end_id)) for x in words.encode(texts)]
                 counts += map(len, ids)
                 packed += pack_many(ids)
             where = np.searchsorted(edges, np.array(b.column(0).fill_null(np.iinfo(np.int64).min)), side="right")
@@ -288,8 +233,6 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids, decoded from the files."""
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from helixframe.llm.bpe_stream import int_lists
-
         for b in batches:
             stored = list(zip(b.column(3).to_pylist(), b.column(4).to_pylist()))
             rows = [ids for group in in_groups(stored, lambda x: len(x[1])) for ids in unpack_many(group)]
