@@ -1,6 +1,355 @@
-"""All queries of the library and their SQL."""
+"""Queries of the library over the given tables, and the same in SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from helixframe.functions import seq, textcells
+from helixframe.operators import hits, oligo, qpcr, scan, series, sheets
+from helixframe.plans import sinks
+from helixframe.sources import readers
+
+LETTERS, BASES = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGUACGUACGUACGUACGUACGUAC"
+NT = "translate(upper(regexp_replace({0}, '[^A-Za-z]', '', 'g')), '" + LETTERS + "', '" + BASES + "')"
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def nt(x: str):
+    return F.translate(F.upper(F.regexp_replace(x, "[^A-Za-z]", "")), LETTERS, BASES)
+
+
+def transcripts(spark, sf) -> DataFrame:
+    return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("accession"), nt("text").alias("seq"))
+
+
+def queries(spark, sf) -> DataFrame:
+    """Oligos: reverse complements of 15 bases of each benchmark item."""
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("input_order"), F.concat(F.lit("AS_"), F.col("item_id")).alias("name"), seq.reverse_complement(F.substring(nt("text"), 20, 15)).alias("seq"))
+
+
+SQL_TRANSCRIPTS = f"SELECT CAST(doc_id AS VARCHAR) AS accession, {NT.format('text')} AS seq FROM documents"
+SQL_QUERIES = f"SELECT item_id AS input_order, 'AS_' || item_id AS name, substr({NT.format('text')}, 20, 15) AS target FROM benchmark"
+RC = "reverse(translate({0}, 'ACGU', 'UGCA'))"
+
+
+def rna_normalize(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", seq.normalize_rna("p_name").alias("rna"), seq.normalize_dna("p_name").alias("dna"))
+
+
+def reverse_complement(spark, sf):
+    return transcripts(spark, sf).select("accession", F.md5(seq.reverse_complement("seq")).alias("rc_md5"), F.md5(seq.complement("seq")).alias("c_md5"))
+
+
+def invalid_bases(spark, sf):
+    return oligo.sequence_errors(table(spark, sf, "part").select("p_partkey", "p_name"), "p_name").select("p_partkey", "error")
+
+
+def antisense_region_table(spark, sf):
+    rows = table(spark, sf, "customer").select("c_custkey", F.substring(nt("c_name"), 1, 18).alias("a"), F.length("c_name").alias("n"))
+    rows = rows.unionByName(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("c_custkey"), nt("s_name").alias("a"), F.length("s_name").alias("n")))
+    out = oligo.process_table(rows.unionByName(queries(spark, sf).select(F.col("input_order").alias("c_custkey"), F.concat("seq", "seq").alias("a"), F.length("seq").alias("n"))), "a")
+    return out.select("c_custkey", "a", "normalized_antisense", F.col("antisense_2-18_5to3").alias("region"), F.col("sense_18-2_5to3").alias("sense"), "error")
+
+
+def transcript_ranges(spark, sf):
+    n = F.col("o_orderkey") % 50
+    ranges = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("accession"), n.cast("string").alias("start"), (n + F.col("o_custkey") % 30).cast("string").alias("end"))
+    out = oligo.fill_ranges(ranges, transcripts(spark, sf), accession="accession")
+    return out.select("o_orderkey", F.col("SS matched").alias("ss"), F.col("AS matched").alias("as_"), F.col("matched length (nt)").alias("n"), F.col("match error").alias("error"))
+
+
+def mismatch_scan(spark, sf):
+    found = scan.scan(queries(spark, sf), transcripts(spark, sf), [("full", None, None)], 3, "scan")
+    return found.select("antisense_name", "transcript_name", "transcript_start", "transcript_end", "mismatches", "matched_target_5to3", "matched_as_view_5to3")
+
+
+def mismatch_scan_seeded(spark, sf):
+    found = scan.scan(queries(spark, sf), transcripts(spark, sf), [("full", None, None)], 2, "seed")
+    return found.select("antisense_name", "transcript_name", "transcript_start", "mismatches")
+
+
+def mismatch_scan_regions(spark, sf):
+    found = scan.scan(queries(spark, sf), transcripts(spark, sf), seq.scan_regions(["seed:2-13", "1-14"]), 1)
+    return found.select("antisense_name", "as_region", "transcript_name", "transcript_start", "as_region_sequence", "mismatches")
+
+
+def mismatch_positions(spark, sf):
+    return sinks.match_rows(scan.scan(queries(spark, sf), transcripts(spark, sf), [("full", None, None)], 3)).select("antisense_name", "transcript_name", "transcript_start", "target_mismatch_positions", "as_mismatch_positions")
+
+
+def offtarget_topk(spark, sf):
+    return scan.offtarget_topk(queries(spark, sf), transcripts(spark, sf), 3, 50).select("query_id", "subject_id", "percent_identity", "mismatches", "subject_end", "rank")
+
+
+def missing_accessions(spark, sf):
+    wanted = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("target_accession"))
+    return scan.missing_accessions(wanted, transcripts(spark, sf))
+
+
+def _short_oligos(spark, sf):
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("input_order"), F.concat(F.lit("AS "), F.col("doc_id")).alias("name"), F.substring(nt("text"), 1, 9).alias("seq"), "source")
+    return rows
+
+
+def duplicate_sequences(spark, sf):
+    return oligo.annotate_queries(_short_oligos(spark, sf))
+
+
+def batch_packing(spark, sf):
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").cast("long").alias("input_order"), (F.col("o_custkey") % 200).alias("job"), F.concat(F.lit("o"), F.col("o_orderkey")).alias("name"), F.rpad(F.lit("A"), (F.col("o_orderkey") % 40 + 1).cast("int"), F.lit("C")).alias("seq"))
+    return oligo.pack_batches(rows, 60, "job").select("job", "input_order", "batch_index")
+
+
+def batch_stats(spark, sf):
+    rows = table(spark, sf, "benchmark").select(F.col("item_id").alias("input_order"), F.concat(F.lit("AS_"), F.col("item_id")).alias("name"), nt("text").alias("seq"))
+    return oligo.batch_stats(oligo.pack_batches(rows, 1000)).select(F.col("batch_index").cast("long").alias("batch_index"), "query_count", "total_bases", "names")
+
+
+def _hits(spark, sf):
+    q = F.concat(F.lit("AS_"), F.col("l_orderkey") % 300)
+    rows = table(spark, sf, "lineitem").select(q.alias("query_id"), "l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").cast("string").alias("alignment_length"), F.col("l_linenumber").cast("string").alias("mismatches"), (F.col("l_suppkey") % 2).cast("string").alias("gap_opens"))
+    names = table(spark, sf, "benchmark").select(F.col("item_id").alias("input_order"), F.concat(F.lit("AS "), F.col("item_id") % 30).alias("name"), F.substring(nt("text"), 1, 25 + 0).alias("seq"))
+    return hits.enrich_hits(rows, names.withColumn("seq", F.substr("seq", F.lit(1), (F.col("input_order") % 20 + 5).cast("int"))))
+
+
+def hits_enriched(spark, sf):
+    return _hits(spark, sf).select("l_orderkey", "l_linenumber", "query_id", F.col("query_length").cast("long").alias("query_length"), F.round("alignment_fraction", 6).alias("alignment_fraction"))
+
+
+def hits_filtered(spark, sf):
+    return hits.filter_hits(_hits(spark, sf)).select("l_orderkey", "l_linenumber", "query_id", "mismatches", F.round("alignment_fraction", 6).alias("alignment_fraction"))
+
+
+def mean_sem_parse(spark, sf):
+    price = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    text = F.concat(price, F.when(F.col("o_orderkey") % 3 == 0, " +/-").otherwise(" ± "), (F.col("o_custkey") % 100).cast("string"))
+    rows = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("g"), text.alias("v"))
+    a, b = textcells.first_two_numbers("v")
+    out = series.two_column(rows.withColumns({"n1": a, "n2": b}), "g", "v")
+    return out.select("o_orderkey", F.col("Outer group").alias("outer_group"), F.col("Condition").alias("condition_"), F.round("Mean", 6).alias("mean"), F.round("SEM", 6).alias("sem"), F.round("n1", 6).alias("first_number"), (F.round("n2", 6) + 0.0).alias("second_number"))
+
+
+def _wide(spark, sf):
+    li = table(spark, sf, "lineitem").withColumn("year", F.year("l_shipdate")).filter("year BETWEEN 1993 AND 1996")
+    sums = li.groupBy((F.col("l_partkey") % 500).alias("row")).pivot("year", [1993, 1994, 1995, 1996]).agg(F.sum("l_quantity").cast("long"))
+    cells = [F.when(F.col(str(y)).isNotNull(), F.concat(F.col(str(y)).cast("string"), F.lit(" ± "), (F.col("row") % 7).cast("string"))).alias(f"Time-D{y}") for y in (1993, 1994, 1995, 1996)]
+    return sums.select("row", F.concat((F.col("row") % 4).cast("string"), F.when(F.col("row") % 3 == 0, " mpk").otherwise("")).alias("Dose (mpk)"), F.concat(F.lit("G"), F.col("row") % 9).alias("Group"), *cells)
+
+
+def timepoint_unpivot(spark, sf):
+    return series.unpivot_timepoints(_wide(spark, sf)).select("row", "Compound", "Dose", "Timepoint", F.col("Compound dose").alias("compound_dose"), "Mean", "SEM")
+
+
+def series_grouped(spark, sf):
+    long = series.unpivot_timepoints(_wide(spark, sf)).withColumn("o", F.struct("row", "time_order"))
+    return series.grouped_series(long, "Timepoint", "Compound dose", "o").select("Timepoint", F.col("Compound dose").alias("compound_dose"), "x_index", "series_index", F.round("position", 6).alias("position"), "Mean", "SEM")
+
+
+def chart_sizes(spark, sf):
+    return series.chart_set(series.unpivot_timepoints(_wide(spark, sf)), "row", "every").groupBy("chart_id").agg(F.count("*").alias("n"), F.sum("Mean").alias("total"))
+
+
+def forward_fill(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", F.when(F.col("l_linenumber") == 1, F.col("l_returnflag")).alias("flag"))
+    return qpcr.forward_fill(rows, ["flag"], ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]).select("l_orderkey", "l_linenumber", "flag")
+
+
+def _grid(spark, sf):
+    """Documents' sources as sheets: words of a text as a row, every fifth column blank."""
+    d = table(spark, sf, "documents").select(F.col("source").alias("sheet"), (F.col("doc_id") + 1).cast("int").alias("row"), F.posexplode(F.slice(F.split("text", " "), 1, 14)).alias("c", "value"))
+    return d.select(F.lit("w").alias("workbook"), "sheet", F.lit(0).alias("sheet_index"), "row", (F.col("c") + 1).alias("col"), F.when(F.col("c") % 5 == 4, "").otherwise(F.col("value")).alias("value"), F.lit(None).cast("string").alias("formula"))
+
+
+def table_islands(spark, sf):
+    return sheets.blocks(_grid(spark, sf)).groupBy("sheet", "block").agg(F.min("col").alias("first_col"), F.max("col").alias("last_col"), F.count("*").alias("n"))
+
+
+def merged_fill(spark, sf):
+    merges = table(spark, sf, "documents").select(F.lit("w").alias("workbook"), F.col("source").alias("sheet"), (F.col("doc_id") + 1).cast("int").alias("min_row"), F.lit(2).alias("min_col"), (F.col("doc_id") + 1).cast("int").alias("max_row"), F.lit(4).alias("max_col"))
+    return sheets.fill_merges(_grid(spark, sf), merges).select("sheet", "row", "col", "value")
+
+
+def _wells(spark, sf):
+    k = F.col("l_suppkey") % 10
+    return table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("Group"), F.when(k == 0, "NTC").otherwise(k.cast("string")).alias("Compound ID"), F.col("l_linestatus").alias("Reference gene"), F.col("l_quantity").cast("double").alias("Mean CT"), "l_orderkey", "l_linenumber")
+
+
+def control_filter(spark, sf):
+    return qpcr.drop_controls(_wells(spark, sf)).select(F.col("Group").alias("grp"), F.col("Compound ID").alias("compound"), "l_orderkey", "l_linenumber")
+
+
+def summary_dedupe(spark, sf):
+    return qpcr.dedupe(qpcr.drop_controls(_wells(spark, sf)).withColumnRenamed("Compound ID", "compound"), ["Group", "compound", "Mean CT"], "l_orderkey").select(F.col("Group").alias("grp"), "compound", F.col("Mean CT").alias("ct"), "l_orderkey")
+
+
+def refgene_stats(spark, sf):
+    s = qpcr.sample_stats(qpcr.drop_controls(_wells(spark, sf)))
+    return s.select(F.col("Group").alias("grp"), F.col("Compound ID").alias("compound"), F.col("Reference gene").alias("gene"), F.col("Sample size (n)").alias("n"), F.round("Mean CT", 6).alias("mean_ct"), F.round("SEM", 6).alias("sem"))
+
+
+def _stats(spark, sf):
+    return qpcr.sample_stats(_wells(spark, sf), order="l_orderkey").withColumn("label", textcells.plot_label("Group", "Compound ID")).withColumnRenamed("Sample size (n)", "n")
+
+
+def series_combined(spark, sf):
+    s = _stats(spark, sf).filter("n % 2 = 0").withColumn("o", F.struct("label", "Reference gene"))
+    return series.combined_series(s, "label", "Reference gene", "o", "Mean CT", "SEM").select("label", F.col("Reference gene").alias("gene"), "x", "series_index", F.round("Mean CT", 6).alias("mean_ct"), F.round("SEM", 6).alias("sem"))
+
+
+def axis_bounds(spark, sf):
+    return series.axis_bounds(_stats(spark, sf), "Mean CT", "SEM").select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+def _reports(spark, sf):
+    """Worksheet cells from line items: a sheet an order, a full table (group, compound, two genes, mean RQ) and a geomean table beside it."""
+    li = table(spark, sf, "lineitem").withColumn("row", F.row_number().over(qpcr.Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")) + 2)
+    li = li.withColumn("mean", F.col("l_quantity").cast("int").cast("string")).withColumn("sem", (F.col("l_partkey") % 9 + 1).cast("string"))
+    head = {1: ("Sample", "Group"), 2: ("Sample", "Compound ID"), 3: ("ACTB", "Mean CT"), 4: ("GAPDH", "Mean CT"), 5: ("", "MEAN RQ ± SEM"), 6: ("", "Sample size (n)"), 8: ("Geomean", "MEAN RQ"), 9: ("", "SEM")}
+    body = {1: F.when(F.col("row") % 2 == 1, F.col("l_returnflag")), 2: F.when(F.col("l_suppkey") % 10 == 0, "NTC").otherwise(F.col("l_suppkey").cast("string")), 3: F.col("sem"), 4: F.when(F.col("l_linenumber") % 4 != 0, F.col("mean")), 5: F.concat("mean", F.lit(" ± "), "sem"), 6: F.lit("3"), 8: F.col("sem"), 9: F.col("mean")}
+    cells = li.select(F.col("l_orderkey").cast("string").alias("sheet"), "row", F.explode(F.array(*[F.struct(F.lit(c).alias("col"), v.alias("value")) for c, v in body.items()])).alias("x")).select("sheet", "row", "x.*")
+    tops = li.select(F.col("l_orderkey").cast("string").alias("sheet")).distinct().select("sheet", F.explode(F.array(*[F.struct(F.lit(r).alias("row"), F.lit(c).alias("col"), F.lit(h[r - 1]).alias("value")) for c, h in head.items() for r in (1, 2)])).alias("x")).select("sheet", "x.*")
+    return cells.unionByName(tops).select(F.lit("w").alias("workbook"), "sheet", F.lit(0).alias("sheet_index"), "row", "col", "value", F.lit(None).cast("string").alias("formula"))
+
+
+def qpcr_summary(spark, sf):
+    rows, _ = qpcr.summarize(_reports(spark, sf))
+    return rows.select("sheet", "kind", "block", "row", F.col("Group").alias("grp"), F.col("Compound ID").alias("compound"), F.col("Reference source").alias("source"), F.col("Sample size (n)").alias("n"), F.col("MEAN RQ").try_cast("double").alias("mean_rq"), F.col("SEM").try_cast("double").alias("sem"))
+
+
+def geomean_join(spark, sf):
+    return qpcr_summary(spark, sf).filter("kind = 1").select("sheet", "row", "grp", "compound", "source", "mean_rq", "sem")
+
+
+def reference_qc(spark, sf):
+    r = qpcr.reference_qc(_reports(spark, sf))
+    return r.select("sheet", F.col("Group").alias("grp"), F.col("Compound ID").alias("compound"), F.col("Reference gene").alias("gene"), F.col("Sample size (n)").alias("n"), F.round("Mean CT", 6).alias("mean_ct"), F.round("SEM", 6).alias("sem"))
+
+
+def fasta_records(spark, sf):
+    """One FASTA text a source, written and parsed again."""
+    rows = table(spark, sf, "documents").select("source", "doc_id", sinks.fasta_text(F.concat(F.lit("doc "), F.col("doc_id")), nt("text")).alias("record"))
+    texts = rows.groupBy((F.col("doc_id") % 50).cast("string").alias("file")).agg(F.concat(F.lit("skipped\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "record"))), lambda x: x["record"]), "\n")).alias("text"))
+    return readers.fasta_records(texts).select("file", "input_order", "name", F.md5("seq").alias("seq_md5"))
+
+
+def plain_list(spark, sf):
+    texts = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("file"), F.concat_ws("\n", F.concat(F.lit("n1,"), nt("c_name")), F.lit("# no"), F.lit(""), nt("c_name"), F.concat(F.lit("n3\t"), nt("c_name")), F.concat(F.lit("n4 "), nt("c_name"))).alias("text"))
+    return readers.plain_records(texts)
+
+
+def hit_report_scan(spark, sf):
+    fields = [F.concat(F.lit("AS_"), F.col("l_orderkey")), F.lit('"a,b"'), *[F.lit("1")] * 9, F.col("l_linenumber").cast("string")]
+    line = F.when(F.col("l_linenumber") == 2, F.lit("# comment")).when(F.col("l_linenumber") == 3, F.lit("a,b,c")).when(F.col("l_linenumber") == 4, F.concat_ws(",", *fields, F.lit("x"))).otherwise(F.concat_ws(",", *fields))
+    return readers.parse_hits(table(spark, sf, "lineitem").select(line.alias("value"))).select("query_id", "subject_id", "bit_score")
+
+
+def sheet_choice(spark, sf):
+    cells = table(spark, sf, "part").select((F.col("p_partkey") % 40).cast("string").alias("workbook"), F.concat(F.when(F.col("p_partkey") % 3 == 0, "PlotData-").otherwise("s-"), F.col("p_partkey")).alias("sheet"), F.col("p_partkey").cast("int").alias("sheet_index"))
+    catalogue = sheets.sheet_catalogue(cells)
+    return sheets.result_sheets(catalogue, "plotdata-").join(sheets.default_sheets(catalogue).withColumnRenamed("sheet", "first_sheet"), "workbook")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        rna_normalize, reverse_complement, invalid_bases, antisense_region_table, transcript_ranges, mismatch_scan, mismatch_scan_seeded, mismatch_scan_regions, mismatch_positions,
+        offtarget_topk, missing_accessions, duplicate_sequences, batch_packing, batch_stats, hits_enriched, hits_filtered, mean_sem_parse, timepoint_unpivot, series_grouped, chart_sizes,
+        forward_fill, table_islands, merged_fill, control_filter, summary_dedupe, refgene_stats, series_combined, axis_bounds, qpcr_summary, geomean_join, reference_qc,
+        fasta_records, plain_list, hit_report_scan, sheet_choice,
+    )
+}
+
+RNA = "replace(upper(regexp_replace({0}, '[^A-Za-z]', '', 'g')), 'T', 'U')"
+MATCHES = f"""t AS ({SQL_TRANSCRIPTS}), q AS ({SQL_QUERIES}),
+w AS (SELECT accession, i AS start, substr(seq, i, 15) AS win FROM (SELECT accession, seq, unnest(range(1, length(seq) - 13)) AS i FROM t WHERE length(seq) >= 15)),
+m AS (SELECT q.input_order, q.name, q.target, w.accession, w.start, w.win, hamming(q.target, w.win) AS mm FROM q JOIN w ON hamming(q.target, w.win) <= 3 WHERE length(q.target) = 15)"""
+WIDE = """li AS (SELECT l_partkey % 500 AS "row", year(l_shipdate) AS y, l_quantity AS qty FROM lineitem WHERE year(l_shipdate) BETWEEN 1993 AND 1996),
+s AS (SELECT "row", y, CAST(sum(qty) AS BIGINT) AS total FROM li GROUP BY "row", y),
+long AS (SELECT "row", 'G' || ("row" % 9) AS Compound, ("row" % 4) || ' mpk' AS Dose, 'D' || y AS Timepoint, y - 1992 AS t,
+ 'G' || ("row" % 9) || ' | ' || ("row" % 4) || ' mpk' AS compound_dose, CAST(total AS DOUBLE) AS "Mean", CAST("row" % 7 AS DOUBLE) AS "SEM" FROM s)"""
+GRID = """g0 AS (SELECT source AS sheet, CAST(doc_id + 1 AS INTEGER) AS "row", string_split(text, ' ')[1:14] AS ws FROM documents),
+g1 AS (SELECT sheet, "row", unnest(ws) AS v, unnest(range(0, len(ws))) AS c FROM g0),
+g AS (SELECT sheet, "row", CAST(c + 1 AS INTEGER) AS col, CASE WHEN c % 5 = 4 THEN '' ELSE v END AS "value" FROM g1)"""
+WELLS = """wells AS (SELECT l_returnflag AS grp, CASE WHEN l_suppkey % 10 = 0 THEN 'NTC' ELSE CAST(l_suppkey % 10 AS VARCHAR) END AS compound, l_linestatus AS gene,
+ CAST(l_quantity AS DOUBLE) AS ct, l_orderkey, l_linenumber FROM lineitem)"""
+HITS = f"""n AS (SELECT 'AS_' || (item_id % 30) AS query_id, length(substr({NT.format('text')}, 1, CAST(item_id % 20 + 5 AS INTEGER))) AS len, item_id FROM benchmark),
+ql AS (SELECT query_id, arg_max(len, item_id) AS query_length FROM n GROUP BY query_id),
+h AS (SELECT l.l_orderkey, l.l_linenumber, 'AS_' || (l.l_orderkey % 300) AS query_id, CAST(l_linenumber AS VARCHAR) AS mismatches, l_suppkey % 2 AS gap_opens, CAST(l_quantity AS INTEGER) AS alen FROM lineitem l),
+e AS (SELECT h.*, query_length, round(alen / CAST(query_length AS DOUBLE), 6) AS alignment_fraction FROM h LEFT JOIN ql USING (query_id))"""
+REPORT = """r0 AS (SELECT CAST(l_orderkey AS VARCHAR) AS sheet, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) + 2 AS "row", l_linenumber, l_returnflag,
+ CASE WHEN l_suppkey % 10 = 0 THEN 'NTC' ELSE CAST(l_suppkey AS VARCHAR) END AS compound, CAST(l_quantity AS INTEGER) AS mean, l_partkey % 9 + 1 AS sem FROM lineitem),
+r1 AS (SELECT *, CASE WHEN "row" % 2 = 1 THEN l_returnflag END AS g0 FROM r0),
+r AS (SELECT *, last_value(g0 IGNORE NULLS) OVER (PARTITION BY sheet ORDER BY "row" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM r1)"""
+SUMMARY = """a AS (SELECT sheet, 0 AS kind, 1 AS block, min("row") AS "row", grp, compound, 'GAPDH' AS source, '3' AS n, CAST(mean AS DOUBLE) AS mean_rq, CAST(sem AS DOUBLE) AS sem
+ FROM r WHERE compound <> 'NTC' GROUP BY sheet, grp, compound, mean, sem),
+b AS (SELECT sheet, 1 AS kind, 2 AS block, min("row") AS "row", g0 AS grp, compound, 'Geomean (GAPDH)' AS source, '' AS n, CAST(sem AS DOUBLE) AS mean_rq, CAST(mean AS DOUBLE) AS sem
+ FROM r WHERE compound <> 'NTC' AND g0 IS NOT NULL GROUP BY sheet, g0, compound, mean, sem)"""
+MM = "array_to_string(list_filter(range(1, 16), lambda i: substr({0}, CAST(i AS INTEGER), 1) <> substr({1}, CAST(i AS INTEGER), 1)), ';')"
+
+ORACLES = {
+    "rna_normalize": f"SELECT p_partkey, {RNA.format('p_name')} AS rna, replace({RNA.format('p_name')}, 'U', 'T') AS dna FROM part",
+    "reverse_complement": f"WITH t AS ({SQL_TRANSCRIPTS}) SELECT accession, md5({RC.format('seq')}) AS rc_md5, md5(translate(seq, 'ACGU', 'UGCA')) AS c_md5 FROM t",
+    "invalid_bases": f"""SELECT p_partkey, CASE WHEN rna = '' THEN 'Sequence is empty after cleanup.' WHEN len(bad) > 0 THEN 'Sequence contains invalid bases: ' || array_to_string(bad, ', ') ELSE '' END AS error
+FROM (SELECT p_partkey, rna, list_sort(list_distinct(list_filter(string_split(regexp_replace(rna, '[AUCG]', '', 'g'), ''), lambda x: x <> ''))) AS bad FROM (SELECT p_partkey, coalesce({RNA.format('p_name')}, '') AS rna FROM part))""",
+    "antisense_region_table": f"""WITH i AS (SELECT c_custkey, substr({NT.format('c_name')}, 1, 18) AS a FROM customer UNION ALL SELECT s_suppkey, {NT.format('s_name')} FROM supplier
+ UNION ALL SELECT input_order, {RC.format('target')} || {RC.format('target')} FROM ({SQL_QUERIES})),
+e AS (SELECT *, CASE WHEN a = '' THEN 'Sequence is empty after cleanup.' WHEN length(a) < 18 THEN 'Sequence must be at least 18 nt long.' ELSE '' END AS error FROM i)
+SELECT c_custkey, a, CASE WHEN error = '' THEN a ELSE '' END AS normalized_antisense, CASE WHEN error = '' THEN substr(a, 2, 17) ELSE '' END AS region, CASE WHEN error = '' THEN {RC.format('substr(a, 2, 17)')} ELSE '' END AS sense, error FROM e""",
+    "transcript_ranges": f"""WITH t AS ({SQL_TRANSCRIPTS}), o AS (SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS accession, o_orderkey % 50 AS a, o_orderkey % 50 + o_custkey % 30 AS b FROM orders),
+e AS (SELECT o.*, seq, CASE WHEN a < 1 THEN 'start must be 1 or greater: ' || a WHEN b < 1 THEN 'end must be 1 or greater: ' || b WHEN seq IS NULL THEN 'Transcript not found.' WHEN seq = '' THEN 'Sequence is empty after cleanup.'
+ WHEN length(seq) < b THEN 'Sequence must be at least ' || b || ' nt long.' ELSE '' END AS error FROM o LEFT JOIN t USING (accession))
+SELECT o_orderkey, CASE WHEN error = '' THEN substr(seq, a, b - a + 1) ELSE '' END AS ss, CASE WHEN error = '' THEN {RC.format('substr(seq, a, b - a + 1)')} ELSE '' END AS as_, CASE WHEN error = '' THEN CAST(b - a + 1 AS VARCHAR) ELSE '' END AS n, error FROM e""",
+    "mismatch_scan": f"WITH {MATCHES} SELECT name AS antisense_name, accession AS transcript_name, start AS transcript_start, start + 14 AS transcript_end, mm AS mismatches, win AS matched_target_5to3, {RC.format('win')} AS matched_as_view_5to3 FROM m",
+    "mismatch_scan_seeded": f"WITH {MATCHES} SELECT name AS antisense_name, accession AS transcript_name, start AS transcript_start, mm AS mismatches FROM m WHERE mm <= 2",
+    "mismatch_scan_regions": f"""WITH t AS ({SQL_TRANSCRIPTS}), q AS (SELECT name, {RC.format('target')} AS a FROM ({SQL_QUERIES})),
+rg AS (SELECT name, 'seed' AS as_region, substr(a, 2, 12) AS s FROM q UNION ALL SELECT name, '1-14', substr(a, 1, 14) FROM q), rt AS (SELECT *, {RC.format('s')} AS target, length(s) AS n FROM rg),
+w AS (SELECT accession, seq, n, unnest(range(1, length(seq) - n + 2)) AS i FROM t, (SELECT DISTINCT n FROM rt) WHERE length(seq) >= n), x AS (SELECT accession, n, i, substr(seq, i, n) AS win FROM w)
+SELECT name AS antisense_name, as_region, accession AS transcript_name, i AS transcript_start, s AS as_region_sequence, hamming(target, win) AS mismatches FROM rt JOIN x ON rt.n = x.n AND hamming(target, win) <= 1""",
+    "mismatch_positions": f"WITH {MATCHES} SELECT name AS antisense_name, accession AS transcript_name, start AS transcript_start, {MM.format('win', 'target')} AS target_mismatch_positions, {MM.format(RC.format('win'), RC.format('target'))} AS as_mismatch_positions FROM m",
+    "offtarget_topk": f"""WITH {MATCHES}, k AS (SELECT *, row_number() OVER (PARTITION BY input_order ORDER BY mm, accession, start) AS rk FROM m)
+SELECT name AS query_id, accession AS subject_id, round(100.0 * (15 - mm) / 15, 3) AS percent_identity, mm AS mismatches, start AS subject_end, rk AS "rank" FROM k WHERE rk <= 50""",
+    "missing_accessions": "SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS accession FROM orders WHERE o_custkey NOT IN (SELECT doc_id FROM documents)",
+    "duplicate_sequences": f"""WITH d AS (SELECT doc_id AS input_order, 'AS ' || doc_id AS name, substr({NT.format('text')}, 1, 9) AS "sequence" FROM documents)
+SELECT input_order, 'AS_' || input_order AS blast_id, name, "sequence", length("sequence") AS length, count(*) OVER p > 1 AS is_duplicate,
+ CASE WHEN count(*) OVER p > 1 THEN string_agg(name, ';') OVER (PARTITION BY "sequence" ORDER BY input_order ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) ELSE '' END AS duplicate_names FROM d WINDOW p AS (PARTITION BY "sequence")""",
+    "batch_packing": """WITH RECURSIVE o AS (SELECT o_custkey % 200 AS job, o_orderkey AS k, o_orderkey % 40 + 1 AS n, row_number() OVER (PARTITION BY o_custkey % 200 ORDER BY o_orderkey) AS i FROM orders),
+f AS (SELECT job, i, k, n AS used, 1 AS b FROM o WHERE i = 1 UNION ALL SELECT o.job, o.i, o.k, CASE WHEN f.used + o.n > 60 THEN o.n ELSE f.used + o.n END, CASE WHEN f.used + o.n > 60 THEN f.b + 1 ELSE f.b END FROM f JOIN o ON o.job = f.job AND o.i = f.i + 1)
+SELECT job, k AS input_order, b AS batch_index FROM f""",
+    "batch_stats": f"""WITH RECURSIVE o AS (SELECT item_id, 'AS_' || item_id AS name, length({NT.format('text')}) AS n, row_number() OVER (ORDER BY item_id) AS i FROM benchmark),
+f AS (SELECT i, name, n, n AS used, 1 AS b FROM o WHERE i = 1 UNION ALL SELECT o.i, o.name, o.n, CASE WHEN f.used + o.n > 1000 THEN o.n ELSE f.used + o.n END, CASE WHEN f.used + o.n > 1000 THEN f.b + 1 ELSE f.b END FROM f JOIN o ON o.i = f.i + 1)
+SELECT CAST(b AS BIGINT) AS batch_index, count(*) AS query_count, CAST(sum(n) AS BIGINT) AS total_bases, string_agg(name, ';' ORDER BY i) AS names FROM f GROUP BY b""",
+    "hits_enriched": f"WITH {HITS} SELECT l_orderkey, l_linenumber, query_id, query_length, alignment_fraction FROM e",
+    "hits_filtered": f"WITH {HITS} SELECT l_orderkey, l_linenumber, query_id, mismatches, alignment_fraction FROM e WHERE CAST(mismatches AS INTEGER) <= 3 AND gap_opens <= 0 AND alen / CAST(query_length AS DOUBLE) >= 0.8",
+    "mean_sem_parse": """WITH o AS (SELECT o_orderkey, o_orderpriority AS g, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS m, CAST(o_custkey % 100 AS DOUBLE) AS s, o_orderkey % 3 = 0 AS q FROM orders)
+SELECT o_orderkey, split_part(g, '-', 1) AS outer_group, substr(g, strpos(g, '-') + 1) AS condition_, round(m, 6) AS mean, s AS sem, round(m, 6) AS first_number, CASE WHEN q AND s > 0 THEN -s ELSE s END AS second_number FROM o""",
+    "timepoint_unpivot": f'WITH {WIDE} SELECT "row", Compound, Dose, Timepoint, compound_dose, "Mean", "SEM" FROM long',
+    "series_grouped": f"""WITH {WIDE}, x AS (SELECT Timepoint, row_number() OVER (ORDER BY min("row" * 10 + t)) - 1 AS x FROM long GROUP BY 1),
+s2 AS (SELECT compound_dose, row_number() OVER (ORDER BY min("row" * 10 + t)) - 1 AS i, count(*) OVER () AS n FROM long GROUP BY 1),
+d AS (SELECT Timepoint, compound_dose, arg_max("Mean", "row" * 10 + t) AS "Mean", arg_max("SEM", "row" * 10 + t) AS "SEM" FROM long GROUP BY 1, 2)
+SELECT d.Timepoint, d.compound_dose, x AS x_index, i AS series_index, round(x + (i - (n - 1) / 2.0) * least(0.2, 0.82 / n), 6) AS position, "Mean", "SEM" FROM d JOIN x USING (Timepoint) JOIN s2 USING (compound_dose)""",
+    "chart_sizes": f"""WITH {WIDE} SELECT 'all' AS chart_id, count(*) AS n, sum("Mean") AS total FROM long UNION ALL SELECT 'compound:' || Compound, count(*), sum("Mean") FROM long GROUP BY Compound UNION ALL SELECT 'dose:' || Dose, count(*), sum("Mean") FROM long GROUP BY Dose""",
+    "forward_fill": "SELECT l_orderkey, l_linenumber, last_value(CASE WHEN l_linenumber = 1 THEN l_returnflag END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS flag FROM lineitem",
+    "table_islands": rf"""WITH {GRID}, u AS (SELECT DISTINCT sheet, col FROM g WHERE regexp_matches("value", '[^\s]')), l AS (SELECT sheet, col, CASE WHEN col - coalesce(lag(col) OVER (PARTITION BY sheet ORDER BY col), -1) > 1 THEN 1 ELSE 0 END AS nw FROM u),
+b AS (SELECT sheet, col, sum(nw) OVER (PARTITION BY sheet ORDER BY col) AS block FROM l) SELECT g.sheet, block, min(col) AS first_col, max(col) AS last_col, count(*) AS n FROM g JOIN b USING (sheet, col) GROUP BY 1, 2""",
+    "merged_fill": f"""WITH {GRID}, tops AS (SELECT sheet, "row", "value" AS top FROM g WHERE col = 2), spots AS (SELECT source AS sheet, CAST(doc_id + 1 AS INTEGER) AS "row", unnest([2, 3, 4]) AS col FROM documents)
+SELECT coalesce(g.sheet, s.sheet) AS sheet, coalesce(g."row", s."row") AS "row", coalesce(g.col, s.col) AS col, CASE WHEN s.col IS NOT NULL THEN top ELSE g."value" END AS "value"
+FROM g FULL JOIN spots s ON g.sheet = s.sheet AND g."row" = s."row" AND g.col = s.col LEFT JOIN tops ON tops.sheet = s.sheet AND tops."row" = s."row" """,
+    "control_filter": f"WITH {WELLS} SELECT grp, compound, l_orderkey, l_linenumber FROM wells WHERE compound <> 'NTC'",
+    "summary_dedupe": f"WITH {WELLS} SELECT grp, compound, ct, min(l_orderkey) AS l_orderkey FROM wells WHERE compound <> 'NTC' GROUP BY 1, 2, 3",
+    "refgene_stats": f"WITH {WELLS} SELECT grp, compound, gene, count(*) AS n, round(avg(ct), 6) AS mean_ct, round(coalesce(stddev_samp(ct) / sqrt(count(*)), 0), 6) AS sem FROM wells WHERE compound <> 'NTC' GROUP BY 1, 2, 3",
+    "series_combined": f"""WITH {WELLS}, s AS (SELECT grp || ' | ' || compound AS label, gene, avg(ct) AS m, coalesce(stddev_samp(ct) / sqrt(count(*)), 0) AS e FROM wells GROUP BY grp, compound, gene HAVING count(*) % 2 = 0),
+l AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS x FROM (SELECT DISTINCT label FROM s)), k AS (SELECT gene, row_number() OVER (ORDER BY first_at) - 1 AS series_index FROM (SELECT gene, min(label || ' ' || gene) AS first_at FROM s GROUP BY gene))
+SELECT label, gene, x, series_index, round(coalesce(m, 0), 6) AS mean_ct, round(coalesce(e, 0), 6) AS sem FROM l CROSS JOIN k LEFT JOIN s USING (label, gene)""",
+    "axis_bounds": f"WITH {WELLS}, s AS (SELECT avg(ct) AS m, coalesce(stddev_samp(ct) / sqrt(count(*)), 0) AS e FROM wells GROUP BY grp, compound, gene) SELECT round(min(m - e) - 0.5, 6) AS low, round(max(m + e) + 0.5, 6) AS high FROM s",
+    "qpcr_summary": f"WITH {REPORT}, {SUMMARY} SELECT * FROM a UNION ALL SELECT * FROM b",
+    "geomean_join": f'WITH {REPORT}, {SUMMARY} SELECT sheet, "row", grp, compound, source, mean_rq, sem FROM b',
+    "reference_qc": f"""WITH {REPORT} SELECT sheet, grp, compound, 'GAPDH' AS gene, count(*) AS n, round(avg(mean), 6) AS mean_ct, round(coalesce(stddev_samp(mean) / sqrt(count(*)), 0), 6) AS sem FROM r WHERE compound <> 'NTC' AND l_linenumber % 4 <> 0 GROUP BY sheet, grp, compound""",
+    "fasta_records": f"""SELECT CAST(doc_id % 50 AS VARCHAR) AS file, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id) AS input_order, 'doc_' || doc_id AS name, md5({NT.format('text')}) AS seq_md5 FROM documents""",
+    "plain_list": f"""WITH c AS (SELECT CAST(c_custkey AS VARCHAR) AS file, {NT.format('c_name')} AS seq FROM customer) SELECT file, i AS input_order, CASE i WHEN 2 THEN 'AS_2' ELSE 'n' || i END AS name, seq FROM c, (SELECT unnest([1, 2, 3, 4]) AS i)""",
+    "hit_report_scan": "SELECT 'AS_' || l_orderkey AS query_id, 'a,b' AS subject_id, CAST(l_linenumber AS VARCHAR) AS bit_score FROM lineitem WHERE l_linenumber NOT IN (2, 3, 4)",
+    "sheet_choice": """SELECT CAST(p_partkey % 40 AS VARCHAR) AS workbook, arg_max('PlotData-' || p_partkey, p_partkey) FILTER (WHERE p_partkey % 3 = 0) AS sheet, CASE WHEN min(p_partkey) % 3 = 0 THEN 'PlotData-' ELSE 's-' END || min(p_partkey) AS first_sheet FROM part GROUP BY 1""",
+}
