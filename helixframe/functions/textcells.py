@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from helixframe.functions.seq import col
 
@@ -30,7 +31,7 @@ def parse_number(x) -> Column:
     return F.when(text.rlike(rf"^{NUMBER}$"), text.try_cast("double"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def general_format(values: pd.Series) -> pd.Series:
     """Six significant digits without trailing zeros; for sinks, as no built-in expression rounds the exact value."""
     return values.map(lambda v: None if pd.isna(v) else f"{v:g}")

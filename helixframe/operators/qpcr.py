@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.textcells import clean_text, first_two_numbers, is_blank, is_control, parse_number
 from helixframe.operators import sheets
+from helixframe.operators.lineage import cut
 from helixframe.operators.sheets import BLOCK, SHEET
 
 SUMMARY = ["Group", "Compound ID", "Reference source", "Sample size (n)", "MEAN RQ", "SEM"]
@@ -49,10 +50,10 @@ def _role_values(cells: DataFrame, roles: DataFrame, names: list[str]) -> DataFr
 
 def _summaries(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(summary rows, issues) of the blocks found in cells."""
-    split = sheets.blocks(cells).persist()  # read by every step below; recomputed where an executor is lost
-    heads = sheets.headers(split).persist()
-    roles = sheets.role_columns(heads).persist()
-    gene = sheets.genes(heads).persist()
+    split = cut(sheets.blocks(cells))  # read by every step below
+    heads = cut(sheets.headers(split))
+    roles = cut(sheets.role_columns(heads))
+    gene = cut(sheets.genes(heads))
     names = ["group", "compound", "size", "mean_sem", "mean", "sem"]
     joined = lambda g: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*g))), lambda x: x["gene"]), "; ")
     refs = gene.filter("gene_order >= 2").groupBy(*BLOCK).agg(joined(["gene_order", "gene"]).alias("source"))
@@ -84,12 +85,13 @@ def summarize(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     The region under an embedded header counts only for sheets whose whole
     grid gives nothing.
     """
-    cells = cells.persist()
+    cells = cut(cells)
     direct, issues = _summaries(cells)
-    direct = direct.persist()
+    direct = cut(direct)
     rest = cells.join(direct.select(*SHEET).distinct(), SHEET, "left_anti")
-    under, _ = _summaries(sheets.below_embedded(rest).drop("row_offset"))
-    both = direct.unionByName(under)
+    both = direct
+    if not sheets.embedded_header(rest).isEmpty():
+        both = direct.unionByName(_summaries(sheets.below_embedded(rest).drop("row_offset"))[0])
     names = dict(zip(["group", "compound", "source", "size", "mean", "sem"], SUMMARY))
     return both.select(*SHEET, "kind", "block", "row", *[F.col(k).alias(v) for k, v in names.items()]), issues
 
@@ -99,8 +101,8 @@ def sample_cts(cells: DataFrame, numbers: DataFrame | None = None) -> DataFrame:
 
     numbers: values of formula cells (resolve_formulas), used where a cell's text is no number.
     """
-    split = sheets.blocks(cells).persist()
-    heads = sheets.headers(split).persist()
+    split = cut(sheets.blocks(cells))
+    heads = cut(sheets.headers(split))
     roles = sheets.role_columns(heads).filter("group_col IS NOT NULL AND compound_col IS NOT NULL")
     labels = forward_fill(_role_values(split, roles, ["group", "compound"]), ["group", "compound"], BLOCK, ["row"])
     gene = sheets.genes(heads).filter("gene_order >= 2 AND mean_ct_col IS NOT NULL")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.textcells import clean_text, is_blank, looks_like_gene, sheet_prefix, tokens
+from helixframe.operators.lineage import cut
 
 SHEET = ["workbook", "sheet"]
 BLOCK = [*SHEET, "block"]
@@ -100,9 +101,6 @@ def header_test(all_of: list[str] = [], any_of: list[str] = [], none_of: list[st
     return test
 
 
-SAMPLE_SIZE = (F.contains, ("sample size", "组内样本量"))
-
-
 def sample_size_test() -> Column:
     has = lambda w: F.contains(F.col("header"), F.lit(w))
     return (has("sample size") | has("组内样本量") | F.array_contains(tokens("header"), "n")) & ~has("sample id")
@@ -183,6 +181,7 @@ def resolve_formulas(cells: DataFrame, most_depth: int = 12) -> DataFrame:
     to = to.withColumn("r2", F.coalesce(got(5).try_cast("int"), F.col("r1"))).withColumn("c2", F.when(got(4) == "", F.col("c1")).otherwise(column_number(got(4)))).filter("r1 IS NOT NULL")
     to = to.filter(F.col("average") | ((F.col("r1") == F.col("r2")) & (F.col("c1") == F.col("c2"))))
     edges = to.withColumn("to_row", F.explode(F.sequence("r1", "r2"))).withColumn("to_col", F.explode(F.sequence("c1", "c2"))).select(*SHEET, "row", "col", "to_sheet", "to_row", "to_col").distinct()
+    edges, open_ = cut(edges), cut(open_)
     known = at.filter("number IS NOT NULL").select(*SHEET, "row", "col", "number")
     for _ in range(most_depth):
         target = known.select("workbook", F.col("sheet").alias("to_sheet"), F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("number").alias("v"))
@@ -193,5 +192,5 @@ def resolve_formulas(cells: DataFrame, most_depth: int = 12) -> DataFrame:
         new = level.filter("number IS NOT NULL AND NOT coalesce(open, false)").select(*SHEET, "row", "col", "number")
         if new.isEmpty():
             break
-        known = known.unionByName(new).checkpoint() if cells.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else known.unionByName(new)
+        known = cut(known.unionByName(new))
     return known
