@@ -24,10 +24,13 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +44,8 @@ BLOCK = 4096
 #: Runs whose ids are kept.
 MEMO = 700_000
 _LOW60 = np.uint64((1 << 60) - 1)
+#: After the ids of a run, where runs are joined.
+_END = np.int32(-1).tobytes()
 
 
 def bit_lengths(ids: np.ndarray) -> np.ndarray:
@@ -145,32 +150,91 @@ def in_groups(items: list, size, most: int = 1 << 19) -> Iterator[list]:
         yield group
 
 
+def groups_of(texts: pa.Array, most: int = 1 << 22) -> Iterator[pa.Array]:
+    """Slices of at most this many bytes (a longer text stands alone)."""
+    sizes = pc.binary_length(texts).to_pylist()
+    start, total = 0, 0
+    for i, n in enumerate(sizes):
+        if total and total + n > most:
+            yield texts[start:i]
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield texts[start:]
+
+
 class Chunks:
-    """The tokenizers library over whole texts, each text as its runs between ASCII white space.
+    """The tokenizers library over whole texts, cut into pieces that no token goes over.
 
-    The vocabulary drops white space and no word goes over it, so a text's ids
-    are those of its runs.  Runs that have come before are served from a
-    bounded table; the new ones of a group of texts go to the library at once.
+    A text is cut at ASCII white space, which the vocabulary drops; runs that
+    have come before are served from a bounded table.  New runs of printable
+    Latin-1 are cut on into the vocabulary's words, as Unicode normal forms
+    leave them alone and they have lower case letter by letter: new words need
+    only the library's model.  Other new runs take the library's whole path.
     """
 
+    #: The word pattern of word_bpe_49k.json: fixed values.
+    WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    OTHER = regex.compile(r"[^!-~\xa1-\xac\xae-\xff]")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        runs = [t.encode("utf-8").split() for t in texts]
-        new = list(set(chain.from_iterable(runs)).difference(self.known))
-        if len(self.known) + len(new) > MEMO:
-            self.known.clear()
-            new = list(set(chain.from_iterable(runs)))
-        got = self.library.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)
-        self.known.update(zip(new, (array("i", e.ids).tobytes() for e in got)))
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, r)), np.int32) for r in runs]
+        self.model = Tokenizer(self.library.model)
+        self.model.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.cut = regex.compile(self.WORD + r"|\n").findall if self.WORD in self.library.to_str().replace("\\\\", "\\") else None
+        self.marks = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.runs: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def plain(self, run: str) -> bool:
+        return not self.OTHER.search(run) and not ("<" in run and any(m in run for m in self.marks))
+
+    def learn(self, runs: list[bytes]) -> None:
+        """Put the ids of new runs into the table."""
+        named = [r.decode("utf-8") for r in runs]
+        cut = list(map(self.plain, named)) if self.cut else [False] * len(runs)
+        rest = list(compress(named, map(not_, cut)))
+        self.runs.update(zip(compress(runs, map(not_, cut)), ids_of(self.library, rest)))
+        pieces = self.cut("".join(t + "\n" for t in compress(named, cut)).lower()) if any(cut) else []
+        distinct = set(pieces)
+        if len(self.words) + len(distinct) > MEMO:
+            self.words.clear()
+        new = list(distinct.difference(self.words))
+        self.words.update(zip(new, ids_of(self.model, new)))
+        self.words["\n"] = _END
+        joined = b"".join(map(self.words.__getitem__, pieces))
+        ends = (np.flatnonzero(np.frombuffer(joined, np.int32) == -1) * 4).tolist()
+        self.runs.update(zip(compress(runs, cut), (joined[i:j] for i, j in zip([0, *(e + 4 for e in ends)], ends))))
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; runs are numbered, so a run's ids are fetched once for the whole group."""
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        numbered = split.values.cast(pa.large_binary()).dictionary_encode()
+        distinct = numbered.dictionary.to_pylist()
+        new = [r for r in distinct if r not in self.runs]
+        if len(self.runs) + len(new) > MEMO:
+            self.runs.clear()
+            new = distinct
+        self.learn(new)
+        of_run = list(map(self.runs.__getitem__, distinct))
+        sizes = np.fromiter(map(len, of_run), np.int64, len(of_run)) // 4
+        ids, starts = np.frombuffer(b"".join(of_run), np.int32), np.cumsum(sizes) - sizes
+        at = numbered.indices.to_numpy()
+        counts = sizes[at]
+        ends = np.append(0, np.cumsum(counts))
+        flat = ids[np.repeat(starts[at] - ends[:-1], counts) + np.arange(ends[-1])]
+        bounds = ends[split.offsets.to_numpy()].tolist()
+        return [flat[i:j] for i, j in zip(bounds, bounds[1:])]
+
+
+def ids_of(library, texts: list[str]) -> Iterator[bytes]:
+    return (array("i", e.ids).tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False))
 
 
 @lru_cache(maxsize=4)
@@ -202,7 +266,7 @@ def write_ids(df: DataFrame, out_path: str, id_col: str = "doc_id", text_col: st
         words = vocabulary(_path(path))
         for b in batches:
             packed, counts = [], []
-            for texts in in_groups(b.column(1).to_pylist(), len):
+            for texts in groups_of(b.column(1)):
                 ids = [np.append(x, np.int32(end_id)) for x in words.encode(texts)]
                 counts += map(len, ids)
                 packed += pack_many(ids)
@@ -229,32 +293,31 @@ def write_ids(df: DataFrame, out_path: str, id_col: str = "doc_id", text_col: st
     ordered.mapInArrow(placed, schema + ", shard_start long").write.option("compression", "none").parquet(out_path)
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and ids, decoded from the files."""
+def _read(spark: SparkSession, path: str, kind: str, name: str, made) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, and what ``made`` gives for a batch's arrays of ids."""
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             stored = list(zip(b.column(3).to_pylist(), b.column(4).to_pylist()))
             rows = [ids for group in in_groups(stored, lambda x: len(x[1])) for ids in unpack_many(group)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([len(r) for r in rows], pa.int64()), int_lists([r.astype(np.int32) for r in rows])], ["doc_id", "shard", "shard_start", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([len(r) for r in rows], pa.int64()), made(rows)], ["doc_id", "shard", "shard_start", "n_tokens", name])
 
     files = spark.read.schema("doc_id long, shard int, n_tokens long, block_offsets array<int>, payload binary, shard_start long").parquet(path)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     totals = files.groupBy("shard").agg(F.sum("n_tokens").alias("total"))  # a row a shard
     bases = totals.select("shard", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    rows = files.select("doc_id", "shard", "shard_start", "block_offsets", "payload").mapInArrow(decoded, "doc_id long, shard int, shard_start long, n_tokens long, ids array<int>")
-    return rows.join(F.broadcast(bases), "shard").select("doc_id", (F.col("base") + F.col("shard_start")).alias("start"), "n_tokens", "ids")
+    rows = files.select("doc_id", "shard", "shard_start", "block_offsets", "payload").mapInArrow(decoded, f"doc_id long, shard int, shard_start long, n_tokens long, {name} {kind}")
+    return rows.join(F.broadcast(bases), "shard").select("doc_id", (F.col("base") + F.col("shard_start")).alias("start"), "n_tokens", name)
 
 
-def read_checks(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 (little-endian unsigned 32-bit ids) of what the files hold."""
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens and ids, decoded from the files."""
+    return _read(spark, path, "array<int>", "ids", lambda rows: int_lists([r.astype(np.int32) for r in rows]))
 
-    def checked(batches):
-        for b in batches:
-            crc = [zlib.crc32(np.asarray(x.values).astype("<u4").tobytes()) for x in b.column(3)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return read_ids(spark, path).mapInArrow(checked, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def read_checks(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 (little-endian unsigned 32-bit ids) of what the files hold."""
+    return _read(spark, path, "long", "ids_crc32", lambda rows: pa.array([zlib.crc32(r.astype("<u4").tobytes()) for r in rows], pa.int64()))
 
 
 def ids_through_files(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, path: str | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -117,6 +118,20 @@ def test_simple8b_files(spark, odd, docs):
     assert simple8b.ids_through_files(docs.limit(0)).count() == 0
 
 
+def test_simple8b_encoder_matches_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    library, own, rng = Tokenizer.from_file(path), simple8b.Chunks(path), random.Random(2)
+    monkeypatch.setattr(simple8b, "MEMO", 300)  # the tables start anew many times
+    signs = [chr(i) for i in range(1, 256)] + list("'sStTdDlLmM  \n\t<|>ÀÉßµªº²½İıΣσς\u0301 ’—“中\u200d🙂") + ["<|endoftext|>", "'LL"]
+    made = ["".join(rng.choices(signs, k=rng.randint(0, 14))) for _ in range(3000)] + ["x'" + chr(c) + "B" for c in range(0x2500)] + ["", "the end " * 2000]
+    assert own.cut
+    for group in simple8b.groups_of(pa.array(made), 4000):
+        for text, ids in zip(group.to_pylist(), own.encode(group)):
+            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_simple8b_any_64_bits():
     rng = np.random.default_rng(0)
     for bits in (0, 1, 7, 16, 60, 64):
