@@ -33,9 +33,13 @@ SPACE = re.compile(r"[ \t\r\f\v]+")
 DATE = "1970-01-01T00:00:00Z"
 
 
-def plain_text(html: str) -> str:
-    text = TAGS.sub("", BREAKS.sub("\n", HIDDEN.sub(" ", html)))
-    lines = (SPACE.sub(" ", x).strip() for x in entities.unescape(text).split("\n"))
+def visible_part(html: str) -> str:
+    return HIDDEN.sub(" ", html)
+
+
+def plain_text(visible: str) -> str:
+    text = TAGS.sub("", BREAKS.sub("\n", visible))
+    lines = (x.strip() for x in SPACE.sub(" ", entities.unescape(text)).split("\n"))
     return "\n".join(x for x in lines if x)
 
 
@@ -64,10 +68,10 @@ def derive_page(page_id, url: str | None, html: str | None, date: str | None, he
     source = record_id("response", str(page_id), url or "", payload)
     found = TITLE.search(html)
     title = " ".join(entities.unescape(TAGS.sub("", found[1])).split()) if found else ""
-    visible = HIDDEN.sub(" ", html)
+    visible = visible_part(html)
     links = [entities.unescape(next(g for g in m.groups() if g is not None)) for m in LINK.finditer(visible)]
     fields = [f"source-header: {x}" for x in (headers or "").splitlines() if x] + [f"title: {title}"] * bool(title) + [f"outlink: {' '.join(x.split())}" for x in links]
-    blocks = [("metadata", "\r\n".join(fields).encode(), "application/warc-fields"), ("conversion", plain_text(html).encode(), "text/plain; charset=utf-8")]
+    blocks = [("metadata", "\r\n".join(fields).encode(), "application/warc-fields"), ("conversion", plain_text(visible).encode(), "text/plain; charset=utf-8")]
     out = []
     for kind, block, mime in blocks:
         rid = record_id(kind, source)
