@@ -217,6 +217,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of df, all columns, that have the smallest id of their component."""
+    """The rows of df, all columns, that have the smallest id of their component; rows without an id can't be named and go."""
     found = near_duplicates(df, id_col, text_col, radius)
     return df.join(found.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct(), F.col(id_col) == F.col("__kept"), "left_semi")
