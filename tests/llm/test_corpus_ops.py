@@ -83,6 +83,8 @@ def test_bpe_round_trip_matches_library(odd, docs):
             ids = library.encode(t, add_special_tokens=False).ids
             expected.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
         assert got == sorted(expected, key=str)
+        apart = bpe_stream.bpe_decode(bpe_stream.bpe_encode(df))
+        assert sorted(rows(bpe_stream.digests(apart)), key=str) == got
 
 
 def test_bpe_stream_small_slices_and_bound(monkeypatch):
