@@ -11,7 +11,11 @@
 3. *Candidates.*  A window's latent vector is a difference of running sums, so
    every `stride`-th window of every document is compared with every item by
    cosine; items are a stated query set, in blocks.
-4. *Checks.*  Around a candidate the longest common subsequence of words with
+4. *Rare words.*  A cosine may miss what the checks would report, so documents
+   are also looked up by each item's rarest words: if at most L - k of its L
+   words may be missing, any L - k + m of them include m that are there.  With
+   this a pair is reported exactly if one span of 2 L + `window` words passes.
+5. *Checks.*  Around a candidate the longest common subsequence of words with
    the item is taken.  A pair is reported if it covers `lcs` of the item, or a
    paraphrase's `loose` share and the item's answer (its last words) is there.
 
@@ -37,6 +41,8 @@ from helixframe.llm.util import texts_of
 PUNCTUATION = ".,;:!?\"'()[]{}«»“”‘’¡¿…–—-"
 #: Words in a passage, words between windows, rank, cosine of a candidate, LCS shares, words of an answer.
 WINDOW, STRIDE, RANK, COSINE, LCS, LOOSE, ANSWER = 16, 8, 48, 0.8, 0.8, 0.6, 4
+#: Rare words of an item that a span must hold to be checked.
+RARE = 4
 #: The least share of a candidate window's words that the benchmark has.
 KNOWN = 0.5
 #: Words kept with their numbers in a task; the table starts anew beyond.
@@ -150,6 +156,45 @@ def latent_terms(stats: list, n_terms: int, rank: int) -> np.ndarray:
     return (idf[:, None] * left).astype(np.float32)
 
 
+def least_common(length: int, share: float) -> int:
+    """The fewest common words that make the share of an item."""
+    return next((k for k in range(length) if k / length >= share), length)
+
+
+def rare_words(sequences: list[list[int]], df: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Items by term (where each term's begin, and the items) over each item's rarest words, and how many hits each item needs."""
+    pairs, needs = set(), []
+    for n, seq in enumerate(sequences):
+        k = least_common(len(seq), share)
+        needs.append(max(1, min(RARE, k)))
+        rarest = sorted(range(len(seq)), key=lambda i: (df[seq[i]] if seq[i] >= 0 else -1, seq[i]))  # -1 is never there
+        pairs |= {(seq[i], n) for i in rarest[: len(seq) - k + needs[-1]] if seq[i] >= 0}
+    pairs = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+    return np.searchsorted(pairs[:, 0], np.arange(len(df) + 1)), pairs[:, 1], needs
+
+
+def spans_with_rare_words(ids: np.ndarray, begin: np.ndarray, owners: np.ndarray, needs: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, int]]:
+    """(item, first, last): where spans of the item's size start that hold enough of its rare words; ranges don't overlap."""
+    at = np.flatnonzero(ids >= 0)
+    at = at[begin[ids[at] + 1] > begin[ids[at]]]
+    low = begin[ids[at]]
+    many = begin[ids[at] + 1] - low
+    place = np.repeat(at, many)
+    item = owners[np.repeat(low - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(len(place))]
+    order = np.argsort(item, kind="stable")
+    place, item = place[order], item[order]
+    until = np.minimum(np.arange(len(item)) + needs[item] - 1, max(0, len(item) - 1))
+    good = (item[until] == item) & (until - np.arange(len(item)) == needs[item] - 1) & (place[until] - place < sizes[item])
+    item, first, last = item[good], np.maximum(place[until] - sizes[item] + 1, 0)[good], place[good]
+    merged: list[tuple[int, int, int]] = []
+    for n, a, b in zip(item.tolist(), first.tolist(), last.tolist()):
+        if merged and merged[-1][0] == n and a <= merged[-1][2]:
+            merged[-1] = (n, merged[-1][1], b)
+        else:
+            merged.append((n, a, b))
+    return merged
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -177,7 +222,8 @@ def contaminated(
     if not terms:
         return spark.createDataFrame([], schema)
     passages = rows.select("text").unionByName(texts_of(benchmark, item_col, text_col).select("text"))
-    table = latent_terms(term_statistics(passages, terms, window, rank).collect(), len(terms), rank)  # a row a benchmark term
+    stats = term_statistics(passages, terms, window, rank).collect()
+    table = latent_terms(stats, len(terms), rank)  # a row a benchmark term
     sequences = [[terms[w] if w else -1 for w in ws] for _, ws in items]
     # An item is asked for by all its windows, as long as those of the documents.
     asked, of = [], []
@@ -187,10 +233,18 @@ def contaminated(
             of.append(n)
     asked = np.array(asked, np.float32)
     asked /= np.maximum(np.linalg.norm(asked, axis=1, keepdims=True), 1e-9)
-    sent = spark.sparkContext.broadcast((terms, table, [i for i, _ in items], sequences, asked, np.array(of)))
+    df = np.ones(len(terms), np.int64)
+    for r in stats:
+        if r["term"] >= 0:
+            df[r["term"]] = r["df"]
+    least = min(lcs, loose)
+    begin, owners, needs = rare_words(sequences, df, least)
+    rare = (begin, owners, np.array(needs), np.array([2 * len(seq) + window for seq in sequences]))
+    sent = spark.sparkContext.broadcast((terms, table, [i for i, _ in items], sequences, asked, np.array(of), rare))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, table, item_ids, sequences, asked, of = sent.value
+        terms, table, item_ids, sequences, asked, of, rare = sent.value
+        fewest = [least_common(len(seq), least) for seq in sequences]
         vocabulary = Vocabulary(terms)
         wide = np.vstack([table, np.zeros((1, table.shape[1]), np.float32)])  # -1: no weight
         for b in batches:
@@ -200,6 +254,7 @@ def contaminated(
                 ids = vocabulary.numbers(t.as_py())
                 for i0 in range(0, len(ids), 1 << 14):  # long texts in overlapping parts
                     _part(ids[i0 : i0 + (1 << 14) + window - 1], i0, ids, wide, asked, of, sequences, best)
+                _spans(ids, wide, asked, of, sequences, fewest, rare, best)
                 hits += [(doc.as_py(), item_ids[n], float(v[0]), bool(v[1]), round(float(v[2]), 6)) for n, v in best.items()]
             yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in hits], f.type) for i, f in enumerate(arrow)], schema=arrow)
 
@@ -241,6 +296,43 @@ def contaminated(
                     if old is None or (share, has, value) > old:
                         best[n] = (share, has, value)
 
+    def _spans(ids, wide, asked, of, sequences, fewest, rare, best):
+        """Every span that can pass is checked, in pieces of as many starts as a span has words."""
+        for n, a, b in spans_with_rare_words(ids, *rare):
+            seq, size = sequences[n], int(rare[3][n])
+            words = np.unique(np.array([x for x in seq if x >= 0]))
+            answer = [x for x in seq if x >= 0][-ANSWER:]
+            for i in range(a, b + 1, size):
+                if n in best and best[n][:2] == (1.0, True):
+                    break
+                got = ids[i : min(b + 1, i + size) + size - 1]
+                hit = np.isin(got, words)
+                count = np.append(0, np.cumsum(hit))
+                start = np.flatnonzero(hit[: min(b + 1, i + size) - i])  # a span may as well begin at a word of the item
+                start = start[count[np.minimum(start + size, len(got))] - count[start] >= fewest[n]]
+                got = got.tolist()
+                if not len(start) or common_subsequence(seq, got) < fewest[n]:
+                    continue
+                top = best[n][:2] if n in best else None
+                where = -1
+                for j in start.tolist():
+                    span = got[j : j + size]
+                    share = common_subsequence(seq, span) / len(seq)
+                    if share < least or top is not None and share < top[0]:
+                        continue
+                    has = any(span[x : x + len(answer)] == answer for x in range(len(span) - len(answer) + 1))
+                    if (share >= lcs or share >= loose and has) and (top is None or (share, has) > top):
+                        top, where = (share, has), j
+                        if top == (1.0, True):
+                            break
+                if where >= 0:
+                    near = np.array(got[where : where + size])
+                    sums = np.zeros((len(near) + 1, wide.shape[1]), np.float32)
+                    np.cumsum(wide[near], axis=0, out=sums[1:], dtype=np.float32)
+                    latent = sums[min(window, len(near)) :] - sums[: len(near) + 1 - min(window, len(near))]
+                    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-6)
+                    best[n] = (*top, float((latent @ asked[of == n].T).max()))
+
     fields = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
     arrow = pa.schema([("doc_id", fields[key]), ("item_id", fields[item_key]), ("lcs_share", pa.float64()), ("answer_found", pa.bool_()), ("cosine", pa.float64())])
     pairs = rows.mapInArrow(found, schema)

@@ -238,6 +238,35 @@ def test_decontamination(spark, docs):
     assert decontam_lsa.common_subsequence([1, 2, 3, 4], [2, -1, 4, 1]) == 2
 
 
+def test_decontamination_misses_nothing(spark, docs):
+    bench = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet")
+    items = {r["item_id"]: r["text"] for r in bench.collect()}
+    terms = {w: n for n, w in enumerate(sorted({w for b in items.values() for w in decontam_lsa.words_of(b)} - {""}))}
+    dirty = {r["doc_id"] for r in decontam_lsa.contaminated(docs, bench).collect()}
+    clean = [t.split() for d, t in texts(docs) if d not in dirty and 50 < len(t.split()) < 300]
+    rng, planted = random.Random(5), {}
+    for i, b in items.items():
+        for share in (0, 0, 0.19, 0.38, 0.38):
+            words, base = b.split(), rng.choice(clean)
+            at = rng.choice([0, len(base), rng.randrange(len(base))])
+            for n in rng.sample(range(len(words) - 4), min(len(words) - 4, int(share * len(words)))):
+                words[n] = rng.choice(rng.choice(clean))
+            planted[len(planted)] = (i, " ".join(base[:at] + words + base[at:]))
+
+    def passes(text, item):
+        seq, ids = ([terms.get(w, -1) for w in decontam_lsa.words_of(t)] for t in (item, text))
+        size, answer = 2 * len(seq) + decontam_lsa.WINDOW, [x for x in seq if x >= 0][-4:]
+        for s in range(max(1, len(ids) - size + 1)):
+            span = ids[s : s + size]
+            share = decontam_lsa.common_subsequence(seq, span) / len(seq)
+            if share >= 0.8 or share >= 0.6 and any(span[x : x + 4] == answer for x in range(len(span) - 3)):
+                return True
+        return False
+
+    found = {(r["doc_id"], r["item_id"]) for r in decontam_lsa.contaminated(spark.createDataFrame([(d, t) for d, (_, t) in planted.items()], "doc_id long, text string"), bench).collect()}
+    assert found == {(d, i) for d, (i, t) in planted.items() if passes(t, items[i])} and len(found) > 900
+
+
 def test_tool_calls(spark):
     calls = spark.createDataFrame(
         [(1, "a", "search", '{"turn":1.0,"query":"é"}', None), (1, "b", "search", '{"query":""}', "a"), (1, "c", "nope", "{}", "b"), (1, "d", "fetch", "{bad", "gone"), (2, "e", "fetch", None, "f"), (2, "f", "fetch", '{"query":"q"}', "e"), (2, None, "x", "{}", None), (1, "a", "search", '{"turn":1.0,"query":"é"}', None)],
