@@ -3,7 +3,8 @@
 Base kinds are patterns.  The method adds spans of kind ``novel``: strings of
 letters and digits in a sensitive context, whose marginal compressed size,
 with zstandard primed by an identifier dictionary and the surrounding text,
-stays near their length.  Code, prose and names that the surroundings explain
+stays near their length, or near what the same characters take in random
+order without a primer (long strings of a small alphabet).  Code, prose and names that the surroundings explain
 compress away; keys do not.
 
 Spans are code points, end exclusive, of the whole match.  In the patterns,
@@ -16,7 +17,10 @@ carries them).
 
 from __future__ import annotations
 
+import math
+import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -52,6 +56,8 @@ IDENTIFIERS = (
 )
 #: Code points of surrounding text on either side, code points before a candidate that make its context, and the least bits a character.
 AROUND, BEFORE, BITS = 1500, 48, 6.0
+#: The least share of the unprimed size, and the least bits of entropy of a string measured by it.
+SHARE, ENTROPY = 0.93, 64
 
 
 def marginal_bits(candidate: str, before: str, after: str) -> float:
@@ -61,6 +67,22 @@ def marginal_bits(candidate: str, before: str, after: str) -> float:
     return 8 * (len(press.compress(candidate.encode())) - len(press.compress(b""))) / len(candidate)
 
 
+def unexplained_bits(candidate: str) -> float:
+    """Bits a character of the same characters in random order without a primer; infinite if they hold too little entropy."""
+    n = len(candidate)
+    if sum(k * math.log2(n / k) for k in Counter(candidate).values()) < ENTROPY:
+        return math.inf
+    draw = random.Random(n)
+    mixed = "".join(sorted(candidate, key=lambda _: draw.random()))
+    press = zstandard.ZstdCompressor(level=19, write_content_size=False, write_checksum=False, write_dict_id=False)
+    return 8 * (len(press.compress(mixed.encode())) - len(press.compress(b""))) / n
+
+
+def is_novel(candidate: str, before: str, after: str, bits: float = BITS) -> bool:
+    got = marginal_bits(candidate, before, after)
+    return got >= bits or got >= SHARE * unexplained_bits(candidate)
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     low = text.lower()
     found = []
@@ -85,7 +107,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], bits: float = BITS
         word = m[0]
         if not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)) or any(a < e and s < b for a, b, _ in taken):
             continue
-        if CONTEXT.search(low, max(0, s - BEFORE), s) and marginal_bits(word, text[max(0, s - AROUND) : s], text[e : e + AROUND]) >= bits:
+        if CONTEXT.search(low, max(0, s - BEFORE), s) and is_novel(word, text[max(0, s - AROUND) : s], text[e : e + AROUND], bits):
             found.append((s, e, "novel"))
     return found
 

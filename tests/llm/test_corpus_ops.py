@@ -220,6 +220,21 @@ def test_secret_spans(odd):
     assert secret_novelty.novel_spans("authorization of the configuration_manager2 and configuration_manager2 again", []) == []
 
 
+def test_random_keys_of_any_alphabet(docs):
+    rng = random.Random(3)
+    prose = max((t for _, t in texts(docs)), key=len)[:1200]
+    letters = {"hex": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "lower36": "abcdefghijklmnopqrstuvwxyz0123456789", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+    for name, alphabet in letters.items():
+        for n in (24, 40, 64, 96, 128, 256, 512, 2048):
+            for _ in range(10):
+                key = "".join(rng.choices(alphabet, k=n - 2)) + rng.choice([c for c in alphabet if c.isalpha()]) + rng.choice([c for c in alphabet if c.isdigit()])
+                text = f"{prose}\nsignature: {key}\n{prose}"
+                assert len(secret_novelty.novel_spans(text, [])) == 1, (name, n)
+                assert key in text and not secret_novelty.novel_spans(f"{prose} {key}\nsignature: {key} x", [])[1:], (name, n)  # the second is explained by the first
+    for explained in ("configuration_manager2_" * 6, "abcd1234" * 20, "a1" * 100, "0" * 200 + "a1", "configuration_manager_for_session_handler_2x_default_class_instance_of_static_list"):
+        assert secret_novelty.novel_spans(f"{prose} credential: {explained} x", []) == []
+
+
 def test_decontamination(spark, docs):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     items = [(r["item_id"], r["text"]) for r in bench.collect()]
