@@ -26,20 +26,25 @@ TOOLS = {
 
 
 def chat_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """User turns as calls after the call two turns before, assistant turns as results of the turn before."""
+    """User turns as calls after the call two turns before, assistant turns as results of the turn before.
+
+    Ids count within a conversation, so a null conv_id is one of its own; a
+    call without a turn keeps its row, after no call and without results.
+    """
     size = F.length("text")
     call = F.concat_ws(":", "conv_id", "turn")
+    at = lambda back: F.when(F.col("turn").isNotNull(), F.concat_ws(":", "conv_id", (F.col("turn") - back).cast("string")))
     name = F.when(size % 10 == 0, "browse").when(size % 2 == 0, "search").otherwise("fetch")
     args = F.to_json(F.struct(F.col("text").alias("query"), F.col("turn").alias("turn"), size.cast("double").alias("size")))
-    calls = turns.filter("role = 'user'").select("conv_id", call.alias("call_id"), name.alias("name"), args.alias("arguments"), F.concat_ws(":", "conv_id", (F.col("turn") - 2).cast("string")).alias("after"))
-    results = turns.filter("role = 'assistant'").select(F.concat_ws(":", "conv_id", (F.col("turn") - 1).cast("string")).alias("call_id"), F.col("text").alias("content"))
+    calls = turns.filter("role = 'user'").select("conv_id", call.alias("call_id"), name.alias("name"), args.alias("arguments"), at(2).alias("after"))
+    results = turns.filter("role = 'assistant'").select("conv_id", at(1).alias("call_id"), F.col("text").alias("content"))
     return calls, results
 
 
 def op2_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = chat_calls(_table(spark, sf_dir, "conversations"))
     linked = tool_calls.link_tool_calls(calls, results, TOOLS)
-    return linked.select("conv_id", "call_id", "name", "position", "status", "n_results", F.size("problems").cast("long").alias("n_problems"), F.sha2("json", 256).alias("json_sha256"))
+    return linked.select("conv_id", "call_id", "name", "position", "status", "n_results", F.size("problems").cast("long").alias("n_problems"), F.sha2("json", 256).alias("json_sha256"), "n_calls", F.sha2(F.to_json("results"), 256).alias("results_sha256"))
 
 
 def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:

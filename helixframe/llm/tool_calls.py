@@ -1,14 +1,17 @@
 """Tool-call linking for chat data.
 
-Calls and results meet in a hash join on the call id.  A call may name the
+Calls and results meet in a hash join on conversation and call id.  A call may name the
 call it comes after; positions follow from pointer jumping, which doubles the
 distance each round, so a chain of n calls takes log2(n) joins.  Arguments are
 checked against JSON schemas and written as canonical JSON: sorted keys, no
 white space, UTF-8, floats that are whole numbers as integers.
 
-Defined results: calls with a null id are left out; of repeated call ids the
-smallest row stays, and of repeated results the smallest content (their number
-is reported); a call after an unknown call starts a chain; calls on a cycle
+Defined results: ids count within their conversation, null conversations
+being one; results without a conv_id column meet their call id in every
+conversation; calls with a null id are left out; repeated call ids each give a
+row with their number, and a call after them comes after the smallest one; all
+results of a call are in `results` by content, the smallest in `json` (their
+number is reported); a call after an unknown call starts a chain; calls on a cycle
 have a null position and status ``cycle``; null arguments are an empty object;
 unreadable ones give status ``invalid`` and null JSON; empty tables give an
 empty table; other columns are ignored.
@@ -70,30 +73,58 @@ def problems(value, schema: dict, at: str = "$") -> list[str]:
     return found
 
 
+def _same(left: DataFrame, right: DataFrame, names: list[str]) -> F.Column:
+    """Equal keys (null: equal); the right side's are named with __ before."""
+    same = F.lit(True)
+    for c in names:
+        same &= left[c].eqNullSafe(right[f"__{c}"])
+    return same
+
+
+def _named(df: DataFrame, keys: dict[str, str], *others: str) -> DataFrame:
+    return df.select(*[F.col(old).alias(f"__{new}") for old, new in keys.items()], *others)
+
+
 def positions(calls: DataFrame) -> DataFrame:
-    """(call_id, position): how many calls come before on the chain of `after`; null on a cycle."""
-    own = calls.select(F.col("call_id").alias("after"), F.lit(True).alias("there"))
-    state = calls.select("call_id", "after").join(own, "after", "left")
-    state = stored(state.select("call_id", F.when(F.col("there"), F.col("after")).alias("next"), F.when(F.col("there"), 1).otherwise(0).cast("long").alias("steps")), "chains")
+    """(conv_id, call_id, position): how many calls come before on the chain of `after`; null on a cycle.
+
+    One row for each conv_id and call_id; of repeated calls the smallest row counts.
+    """
+    calls = calls.filter("call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min(F.struct("name", "arguments", "after")).alias("c")).select("conv_id", "call_id", "c.after")
+    own = _named(calls, {"conv_id": "conv_id", "call_id": "after"}, F.lit(True).alias("there"))
+    state = calls.join(own, _same(calls, own, ["conv_id"]) & (calls["after"] == own["__after"]), "left")
+    state = stored(state.select("conv_id", "call_id", F.when(F.col("there"), F.col("after")).alias("next"), F.when(F.col("there"), 1).otherwise(0).cast("long").alias("steps")), "chains")
     for _ in range(max(1, state.count()).bit_length() + 1):
         if state.filter("next IS NOT NULL").isEmpty():
             break
-        far = state.select(F.col("call_id").alias("next"), F.col("next").alias("beyond"), F.col("steps").alias("more"))
-        open_ = state.filter("next IS NOT NULL").join(far, "next")
-        moved = open_.select("call_id", F.col("beyond").alias("next"), (F.col("steps") + F.col("more")).alias("steps"))
+        far = _named(state, {"conv_id": "conv_id", "call_id": "next"}, F.col("next").alias("beyond"), F.col("steps").alias("more"))
+        open_ = state.filter("next IS NOT NULL")
+        open_ = open_.join(far, _same(open_, far, ["conv_id"]) & (open_["next"] == far["__next"]))
+        moved = open_.select("conv_id", "call_id", F.col("beyond").alias("next"), (F.col("steps") + F.col("more")).alias("steps"))
         state = stored(state.filter("next IS NULL").unionByName(moved), "chains")
-    return state.select("call_id", F.when(F.col("next").isNull(), F.col("steps")).alias("position"))
+    return state.select("conv_id", "call_id", F.when(F.col("next").isNull(), F.col("steps")).alias("position"))
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """call_id, conv_id, name, position, status, n_results, problems and json of each call.
+    """call_id, conv_id, name, position, status, n_results, problems, json, n_calls and results of each call.
 
     calls: conv_id, call_id, name, arguments (JSON), after.  results: call_id,
-    content.  status: cycle, unknown_tool, invalid, no_result or ok.
+    content and, as a rule, conv_id.  status: cycle, unknown_tool, invalid,
+    no_result or ok.  n_calls: calls of this id in the conversation, over 1
+    for repeats.  results: all contents, in order.
     """
-    calls = calls.filter("call_id IS NOT NULL").groupBy("call_id").agg(F.min(F.struct("conv_id", "name", "arguments", "after")).alias("c")).select("call_id", "c.*")
-    answers = results.filter("call_id IS NOT NULL").groupBy("call_id").agg(F.min("content").alias("content"), F.count("*").alias("n_results"))
-    joined = calls.join(positions(calls), "call_id").join(answers, "call_id", "left").withColumn("n_results", F.coalesce("n_results", F.lit(0).cast("long")))
+    keys = [c for c in ("conv_id", "call_id") if c in results.columns]
+    calls = calls.filter("call_id IS NOT NULL").select("conv_id", "call_id", "name", "arguments", "after")
+    times = _named(calls.groupBy("conv_id", "call_id").agg(F.count("*").alias("n_calls")), {"conv_id": "conv_id", "call_id": "call_id"}, "n_calls")
+    places = _named(positions(calls), {"conv_id": "conv_id", "call_id": "after"}, F.col("position").alias("before"), F.lit(True).alias("there"))
+    # A repeat has the place that its own `after` gives it.
+    joined = calls.join(places, _same(calls, places, ["conv_id"]) & (calls["after"] == places["__after"]), "left")
+    joined = joined.select("conv_id", "call_id", "name", "arguments", F.when(F.col("there"), F.col("before") + 1).otherwise(F.lit(0).cast("long")).alias("position"))
+    joined = joined.join(times, _same(joined, times, ["conv_id", "call_id"])).drop("__conv_id", "__call_id")
+    answers = results.filter("call_id IS NOT NULL").groupBy(*keys).agg(F.min("content").alias("content"), F.count("*").alias("n_results"), F.array_sort(F.collect_list(F.struct("content"))).alias("all"))
+    answers = _named(answers, {c: c for c in keys}, "content", "n_results", F.transform("all", lambda x: x["content"]).alias("results"))
+    joined = joined.join(answers, _same(joined, answers, keys), "left").drop(*[f"__{c}" for c in keys])
+    joined = joined.withColumns({"n_results": F.coalesce("n_results", F.lit(0).cast("long")), "results": F.coalesce("results", F.array().cast("array<string>"))})
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -110,7 +141,8 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
                 wrong.append(bad)
                 status.append("cycle" if r["position"] is None else "unknown_tool" if r["name"] not in schemas else "invalid" if bad else "no_result" if not r["n_results"] else "ok")
             keep = [b.column(b.schema.get_field_index(c)) for c in ("call_id", "conv_id", "name", "position", "n_results")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(status, pa.string()), pa.array(wrong, pa.list_(pa.string())), pa.array(texts, pa.string())], ["call_id", "conv_id", "name", "position", "n_results", "status", "problems", "json"])
+            more = [b.column(b.schema.get_field_index(c)) for c in ("n_calls", "results")]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(status, pa.string()), pa.array(wrong, pa.list_(pa.string())), pa.array(texts, pa.string()), *more], ["call_id", "conv_id", "name", "position", "n_results", "status", "problems", "json", "n_calls", "results"])
 
     kinds = {f.name: f.dataType.simpleString() for f in joined.schema}
-    return joined.mapInArrow(checked, f"call_id {kinds['call_id']}, conv_id {kinds['conv_id']}, name string, position long, n_results long, status string, problems array<string>, json string")
+    return joined.mapInArrow(checked, f"call_id {kinds['call_id']}, conv_id {kinds['conv_id']}, name string, position long, n_results long, status string, problems array<string>, json string, n_calls long, results array<string>")

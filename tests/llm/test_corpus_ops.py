@@ -297,6 +297,22 @@ def test_tool_calls(spark):
     assert tool_calls.link_tool_calls(calls.limit(0), results, {}).count() == 0
 
 
+def test_tool_calls_by_conversation(spark):
+    calls = spark.createDataFrame(
+        [(c, "call_1", "fetch", f'{{"query":"{c}"}}', None) for c in (1, 2, None)] + [(c, "call_2", "fetch", '{"query":"x"}', "call_1") for c in (1, 2)] + [(2, "call_1", "fetch", '{"query":"again"}', "call_2"), (3, "call_2", "fetch", '{"query":"y"}', "call_1")],
+        "conv_id long, call_id string, name string, arguments string, after string",
+    )
+    results = spark.createDataFrame([(1, "call_1", "b"), (1, "call_1", "a"), (1, "call_1", None), (None, "call_1", "n"), (3, "call_1", "z")], "conv_id long, call_id string, content string")
+    got = {(r["conv_id"], r["call_id"], r["n_calls"], r["position"], r["status"], tuple(r["results"])) for r in tool_calls.link_tool_calls(calls, results, queries.TOOLS).collect()}
+    assert got == {
+        (1, "call_1", 1, 0, "ok", (None, "a", "b")), (1, "call_2", 1, 1, "no_result", ()), (None, "call_1", 1, 0, "ok", ("n",)), (3, "call_2", 1, 0, "no_result", ()),
+        (2, "call_1", 2, 0, "no_result", ()), (2, "call_2", 1, 1, "no_result", ()), (2, "call_1", 2, 2, "no_result", ()),
+    } and tool_calls.link_tool_calls(calls, results, queries.TOOLS).count() == 7
+    turns = spark.createDataFrame([(None, 3, "user", "a"), (5, 3, "user", "b"), (3, None, "user", "c"), (3, None, "user", "d"), (3, None, "assistant", "e"), (None, 4, "assistant", "f")], "conv_id long, turn int, role string, text string")
+    linked = tool_calls.link_tool_calls(*queries.chat_calls(turns), queries.TOOLS).collect()
+    assert sorted((r["conv_id"] or 0, r["call_id"], r["n_calls"], r["position"], r["n_results"]) for r in linked) == [(0, "3", 1, 0, 1), (3, "3", 2, 0, 0), (3, "3", 2, 0, 0), (5, "5:3", 1, 0, 0)]
+
+
 def test_warc(spark, tmp_path):
     page = '<html><head><title>A &amp; B</title><script>x<a href="no"></script></head><body><p>One <b>two</b></p><a href="/u?a=1&amp;b=2">l</a><!-- c --></body>'
     pages = spark.createDataFrame([(1, "http://x/", page), (2, None, None), (2, None, None)], "page_id long, url string, html string")
