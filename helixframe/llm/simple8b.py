@@ -12,8 +12,9 @@ words, escapes), the words, then one byte an escape; any block can be decoded
 on its own, all words of one selector at once.
 
 Defined results: null or empty text has only the end id; repeated rows are
-each written (equal ids in the order of their payloads, a null doc_id first);
-an empty table gives empty files; other columns are ignored.
+each written (equal ids in the order of their payloads' checksums, then the
+payloads; null ids first); an empty table gives empty files; ids that aren't
+whole numbers are an error; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,31 +43,30 @@ COUNTS = [1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1]
 BITS = [60, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60]
 BLOCK = 4096
 #: Runs whose ids are kept.
-MEMO = 700_000
+MEMO = 500_000
+#: Bytes of text that share a shard.
+SHARD_BYTES = 1 << 26
 _LOW60 = np.uint64((1 << 60) - 1)
 #: After the ids of a run, where runs are joined.
 _END = np.int32(-1).tobytes()
 
 
-def bit_lengths(ids: np.ndarray) -> np.ndarray:
-    bits, rest = np.zeros(len(ids), np.int8), ids.copy()
-    for step in (32, 16, 8, 4, 2, 1):
-        if len(rest) and int(rest.max()) >> step:
-            big = rest >= np.uint64(1 << step)
-            bits[big] += step
-            rest = np.where(big, rest >> np.uint64(step), rest)
-    return bits + (rest > 0).astype(np.int8)
+_WIDTHS = np.array([n.bit_length() for n in range(1 << 16)], np.int8)
 
 
-def pack_many(docs: list[np.ndarray], block: int = BLOCK) -> list[tuple[list[int], bytes]]:
-    """For each array of ids: the byte offset of each of its blocks, and its payload."""
-    blocks = [d[i : i + block] for d in docs for i in range(0, len(d), block)]
-    sizes = np.array([len(x) for x in blocks], np.int64)
-    bases = np.concatenate([[0], np.cumsum(sizes + 120)]).astype(np.int64)
-    ids = np.zeros(int(bases[-1]) + 120, np.uint64)  # 120 zeros after each block: no window sees the next one
-    for x, base in zip(blocks, bases.tolist()):
-        ids[base : base + len(x)] = x
-    bits = bit_lengths(ids)
+def bit_lengths(ids: np.ndarray) -> np.ndarray:
+    """Bits of each 64-bit number, 16 at a time from the low end."""
+    parts = ids.astype("<u8", copy=False).view("<u2").reshape(-1, 4)
+    bits = _WIDTHS[parts[:, 0]]
+    for k in (1, 2, 3):
+        if parts[:, k].any():
+            high = _WIDTHS[parts[:, k]]
+            bits = np.where(high > 0, high + np.int8(16 * k), bits)
+    return bits
+
+
+def selectors(bits: np.ndarray) -> np.ndarray:
+    """For each place the selector of the word that starts there: the one that packs most of the ids from it."""
     choice = np.where(bits > 60, np.int8(0), np.int8(15))
     widest, span = bits, 1  # the widest of the next `span` ids
     for sel in range(14, 0, -1):
@@ -74,18 +74,42 @@ def pack_many(docs: list[np.ndarray], block: int = BLOCK) -> list[tuple[list[int
         while step:
             by = min(step, span)
             moved = np.zeros_like(widest)
-            moved[:-by] = widest[by:]
-            widest, span, step = np.maximum(widest, moved), span + by, step - by
-        choice[widest <= BITS[sel]] = sel
-    taken, picks, n_words, last = [], choice.tolist(), [], 0
-    for base, n in zip(bases.tolist(), sizes.tolist()):
-        pos, end = base, base + n
-        while pos < end:
-            taken.append(pos)
-            pos += COUNTS[picks[pos]]
-        n_words.append(len(taken) - last)
-        last = len(taken)
-    starts = np.array(taken, np.int64)
+            np.maximum(widest[:-by], widest[by:], out=moved[:-by])
+            moved[-by:] = widest[-by:]
+            widest, span, step = moved, span + by, step - by
+        fits = widest <= BITS[sel]
+        if not fits.any():  # nor do more ids of fewer bits
+            break
+        np.copyto(choice, np.int8(sel), where=fits)
+    return choice
+
+
+def word_starts(choice: np.ndarray, bases: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Where the words of all blocks start, ascending; the blocks are walked side by side, a word a step."""
+    jump = np.array(COUNTS)[choice]
+    taken = np.zeros(len(choice), bool)
+    at, ends = bases[sizes > 0], (bases + sizes)[sizes > 0]
+    while len(at):
+        taken[at] = True
+        at = at + jump[at]
+        going = at < ends
+        if not going.all():
+            at, ends = at[going], ends[going]
+    return np.flatnonzero(taken)
+
+
+def pack_many(docs: list[np.ndarray], block: int = BLOCK) -> list[tuple[list[int], bytes]]:
+    """For each array of ids: the byte offset of each of its blocks, and its payload."""
+    blocks = [d[i : i + block] for d in docs for i in range(0, len(d), block)]
+    sizes = np.array([len(x) for x in blocks], np.int64)
+    ends = np.cumsum(sizes + 120)
+    bases = ends - sizes - 120
+    ids = np.zeros(int(ends[-1]) + 120 if len(ends) else 120, np.uint64)  # 120 zeros after each block: no window sees the next one
+    for x, base in zip(blocks, bases.tolist()):
+        ids[base : base + len(x)] = x
+    choice = selectors(bit_lengths(ids))
+    starts = word_starts(choice, bases, sizes)
+    n_words = np.diff(np.append(np.searchsorted(starts, bases), len(starts))).tolist()
     chosen = choice[starts].astype(np.int64)
     words = chosen.astype(np.uint64) << np.uint64(60)
     for sel in np.unique(chosen):
@@ -94,12 +118,13 @@ def pack_many(docs: list[np.ndarray], block: int = BLOCK) -> list[tuple[list[int
         for k in range(COUNTS[sel]) if width else ():
             part |= (ids[at + k] & _LOW60) << np.uint64(k * width)
         words[of] |= part
+    escapes = chosen == 0
     out, at, i = [], 0, 0
     for d in docs:
         offsets, parts, size = [], [], 0
         for _ in range(0, len(d), block):
             own = slice(at, at + n_words[i])
-            high = (ids[starts[own][chosen[own] == 0]] >> np.uint64(60)).astype(np.uint8).tobytes()
+            high = (ids[starts[own][escapes[own]]] >> np.uint64(60)).astype(np.uint8).tobytes() if escapes[own].any() else b""
             offsets.append(size)
             parts += [struct.pack("<III", sizes[i], n_words[i], len(high)), words[own].astype("<u8", copy=False).tobytes(), high]
             size += 12 + 8 * n_words[i] + len(high)
@@ -170,53 +195,81 @@ class Chunks:
     have come before are served from a bounded table.  New runs of printable
     Latin-1 are cut on into the vocabulary's words, as Unicode normal forms
     leave them alone and they have lower case letter by letter: new words need
-    only the library's model.  Other new runs take the library's whole path.
+    only the library's model, which gets them all in one text, a line each (a
+    word's last token, and no other, ends with the word mark).  Other new runs
+    take the library's whole path.
     """
 
-    #: The word pattern of word_bpe_49k.json: fixed values.
+    #: The word pattern and the word mark of word_bpe_49k.json: fixed values.
     WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-    OTHER = regex.compile(r"[^!-~\xa1-\xac\xae-\xff]")
+    MARK = "</w>"
+    OTHER = regex.compile(r"[^!-~\xa1-\xac\xae-\xff\n]")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.model = Tokenizer(self.library.model)
-        self.model.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.cut = regex.compile(self.WORD + r"|\n").findall if self.WORD in self.library.to_str().replace("\\\\", "\\") else None
+        self.model.pre_tokenizer = Sequence([Split("\n", "removed"), ByteLevel(add_prefix_space=False, use_regex=False)])
+        known = self.WORD in self.library.to_str().replace("\\\\", "\\")
+        self.cut = regex.compile(self.WORD + r"|\n").findall if known and self.library.model.end_of_word_suffix == self.MARK else None
+        vocabulary = self.library.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # whether a token ends a word
+        self.last[[i for t, i in vocabulary.items() if t.endswith(self.MARK)]] = True
         self.marks = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.runs: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
 
-    def plain(self, run: str) -> bool:
-        return not self.OTHER.search(run) and not ("<" in run and any(m in run for m in self.marks))
+    def plain(self, lines: str) -> list[bool] | None:
+        """Which lines are runs that can be cut; None: all of them."""
+        if not self.OTHER.search(lines) and not any(m in lines for m in self.marks):
+            return None
+        return [not self.OTHER.search(run) and not ("<" in run and any(m in run for m in self.marks)) for run in lines.split("\n")]
 
     def learn(self, runs: list[bytes]) -> None:
         """Put the ids of new runs into the table."""
-        named = [r.decode("utf-8") for r in runs]
-        cut = list(map(self.plain, named)) if self.cut else [False] * len(runs)
-        rest = list(compress(named, map(not_, cut)))
-        self.runs.update(zip(compress(runs, map(not_, cut)), ids_of(self.library, rest)))
-        pieces = self.cut("".join(t + "\n" for t in compress(named, cut)).lower()) if any(cut) else []
+        if not runs:
+            return
+        lines = b"\n".join(runs).decode("utf-8")
+        cut = (self.plain(lines) if self.cut else [False] * len(runs))
+        if cut is not None:
+            named = lines.split("\n")
+            rest = list(map(not_, cut))
+            self.runs.update(zip(compress(runs, rest), ids_of(self.library, list(compress(named, rest)))))
+            runs, lines = list(compress(runs, cut)), "\n".join(compress(named, cut))
+            if not runs:
+                return
+        pieces = self.cut(lines.lower() + "\n")
         distinct = set(pieces)
         if len(self.words) + len(distinct) > MEMO:
             self.words.clear()
-        new = list(distinct.difference(self.words))
-        self.words.update(zip(new, ids_of(self.model, new)))
+        new = list(distinct.difference(self.words, "\n"))
+        self.words.update(zip(new, self.word_ids(new)))
         self.words["\n"] = _END
         joined = b"".join(map(self.words.__getitem__, pieces))
         ends = (np.flatnonzero(np.frombuffer(joined, np.int32) == -1) * 4).tolist()
-        self.runs.update(zip(compress(runs, cut), (joined[i:j] for i, j in zip([0, *(e + 4 for e in ends)], ends))))
+        self.runs.update(zip(runs, (joined[i:j] for i, j in zip([0, *(e + 4 for e in ends)], ends))))
+
+    def word_ids(self, words: list[str]) -> Iterator[bytes]:
+        """The model's ids of each word."""
+        for i in range(0, len(words), 4096):
+            some = words[i : i + 4096]
+            ids = np.array(self.model.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, np.int32)
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            if len(ends) != len(some):
+                raise ValueError("words and word marks don't agree")
+            data = ids.tobytes()
+            yield from (data[i:j] for i, j in zip([0, *ends], ends))
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text; runs are numbered, so a run's ids are fetched once for the whole group."""
         split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
-        numbered = split.values.cast(pa.large_binary()).dictionary_encode()
-        distinct = numbered.dictionary.to_pylist()
+        coded = split.values.cast(pa.large_binary()).dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         new = [r for r in distinct if r not in self.runs]
         if len(self.runs) + len(new) > MEMO:
             self.runs.clear()
@@ -225,7 +278,7 @@ class Chunks:
         of_run = list(map(self.runs.__getitem__, distinct))
         sizes = np.fromiter(map(len, of_run), np.int64, len(of_run)) // 4
         ids, starts = np.frombuffer(b"".join(of_run), np.int32), np.cumsum(sizes) - sizes
-        at = numbered.indices.to_numpy()
+        at = coded.indices.to_numpy()
         counts = sizes[at]
         ends = np.append(0, np.cumsum(counts))
         flat = ids[np.repeat(starts[at] - ends[:-1], counts) + np.arange(ends[-1])]
@@ -250,46 +303,58 @@ def _path(path: str | None) -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def write_ids(df: DataFrame, out_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, path: str | None = None, shards: int | None = None) -> None:
+def write_ids(df: DataFrame, out_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, path: str | None = None, shard_bytes: int = SHARD_BYTES) -> None:
     """Encode whole texts, add the end id to each, and write the files in ascending doc_id order.
 
-    Only packed ids are shuffled.  Shard bounds are quantiles of the id column,
-    so a shard's size does not grow with the table when ``shards`` does.
+    Only packed ids are shuffled.  There are as many shards as the texts have
+    `shard_bytes`; their bounds are quantiles of the id column.  An id (or null)
+    with more rows than a shard holds gets several, by its payloads' checksums.
     """
-    spark = df.sparkSession
+    if not df.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError("document ids must be whole numbers, as files are in their order")
     rows = texts_of(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = rows.approxQuantile("doc_id", [i / shards for i in range(1, shards)], 0.1 / shards)
-    edges = np.unique(np.array(bounds, np.int64)) if bounds else np.empty(0, np.int64)
+    counts = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("rows"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    shards = max(1, -(-(counts["bytes"] or 0) // shard_bytes), counts["rows"] * 64 // shard_bytes)
+    bounds = rows.approxQuantile("doc_id", [i / shards for i in range(1, shards)], 0.1 / shards) if shards > 1 and counts["rows"] > counts["nulls"] else []
+    edges = np.sort(np.array(bounds, np.int64))
+    null_shards = 1 + counts["nulls"] * shards // max(1, counts["rows"])
+
+    def shard_of(ids: pa.Array, checksums: np.ndarray) -> np.ndarray:
+        """Null ids first; a bound that comes several times has several shards."""
+        none = np.array(ids.is_null())
+        known = np.array(ids.fill_null(0))
+        low, high = np.searchsorted(edges, known, side="left"), np.searchsorted(edges, known, side="right")
+        spread = np.where(high - low > 1, low + (checksums * (high - low + 1) >> 32), high)
+        return np.where(none, checksums * null_shards >> 32, null_shards - 1 + spread)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(_path(path))
         for b in batches:
-            packed, counts = [], []
+            at = 0
             for texts in groups_of(b.column(1)):
-                ids = [np.append(x, np.int32(end_id)) for x in words.encode(texts)]
-                counts += map(len, ids)
-                packed += pack_many(ids)
-            where = np.searchsorted(edges, np.array(b.column(0).fill_null(np.iinfo(np.int64).min)), side="right")
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(where, pa.int32()), pa.array(counts, pa.int64()), pa.array([o for o, _ in packed], pa.list_(pa.int32())), pa.array([p for _, p in packed], pa.binary())],
-                ["doc_id", "shard", "n_tokens", "block_offsets", "payload"],
-            )
-
-    schema = "doc_id long, shard int, n_tokens long, block_offsets array<int>, payload binary"
+                docs = [np.append(x, np.int32(end_id)) for x in words.encode(texts)]
+                packed = pack_many(docs)
+                sums = np.array([zlib.crc32(p) for _, p in packed], np.int64)
+                own = b.column(0).slice(at, len(docs))
+                at += len(docs)
+                yield pa.RecordBatch.from_arrays(
+                    [own, pa.array(shard_of(own, sums), pa.int32()), pa.array(sums), pa.array(map(len, docs), pa.int64()), pa.array([o for o, _ in packed], pa.list_(pa.int32())), pa.array([p for _, p in packed], pa.binary())],
+                    ["doc_id", "shard", "checksum", "n_tokens", "block_offsets", "payload"],
+                )
 
     def placed(batches):
         shard, start = None, 0
         for b in batches:
             starts = []
-            for s, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for s, n in zip(b.column(1).to_pylist(), b.column(3).to_pylist()):
                 if s != shard:
                     shard, start = s, 0
                 starts.append(start)
                 start += n
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(starts, pa.int64())], [*b.schema.names, "shard_start"])
 
-    ordered = rows.mapInArrow(encoded, schema).repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "payload")
+    schema = "doc_id long, shard int, checksum long, n_tokens long, block_offsets array<int>, payload binary"
+    ordered = rows.mapInArrow(encoded, schema).repartition(shards + null_shards - 1, "shard").sortWithinPartitions("shard", "doc_id", "checksum", "payload")
     ordered.mapInArrow(placed, schema + ", shard_start long").write.option("compression", "none").parquet(out_path)
 
 
@@ -302,7 +367,7 @@ def _read(spark: SparkSession, path: str, kind: str, name: str, made) -> DataFra
             rows = [ids for group in in_groups(stored, lambda x: len(x[1])) for ids in unpack_many(group)]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([len(r) for r in rows], pa.int64()), made(rows)], ["doc_id", "shard", "shard_start", "n_tokens", name])
 
-    files = spark.read.schema("doc_id long, shard int, n_tokens long, block_offsets array<int>, payload binary, shard_start long").parquet(path)
+    files = spark.read.schema("doc_id long, shard int, checksum long, n_tokens long, block_offsets array<int>, payload binary, shard_start long").parquet(path)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     totals = files.groupBy("shard").agg(F.sum("n_tokens").alias("total"))  # a row a shard
     bases = totals.select("shard", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))

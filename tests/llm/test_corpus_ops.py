@@ -348,3 +348,18 @@ def test_pipeline_stages(spark):
     assert not any(secret_novelty.base_spans(t) for _, t in texts(docs))
     final = corpus_pipeline.run(spark, SF)
     assert {r[0] for r in final.select("doc_id").collect()} == kept[3]
+
+
+def test_simple8b_hot_ids_take_several_shards(spark, tmp_path):
+    made = [(7, f"the same id {i}") for i in range(300)] + [(None, f"none {i}") for i in range(100)] + [(i, f"one {i}") for i in range(50)] + [(7, "twice"), (7, "twice")]
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    simple8b.write_ids(df, str(tmp_path / "f"), shard_bytes=400)
+    raw = spark.read.parquet(str(tmp_path / "f"))
+    sizes = {r[0]: r[1] for r in raw.groupBy("shard").count().collect()}
+    assert raw.filter("doc_id = 7").select("shard").distinct().count() > 4 and raw.filter("doc_id is null").select("shard").distinct().count() > 2 and max(sizes.values()) < 150
+    got = sorted(rows(simple8b.read_ids(spark, str(tmp_path / "f"))), key=lambda r: r[1])
+    ids = [r[0] for r in got]
+    assert len(got) == len(made) and ids[:100] == [None] * 100 and ids[100:] == sorted(ids[100:])
+    assert [r[1] for r in got] == [sum(r[2] for r in got[:i]) for i in range(len(got))]
+    with pytest.raises(ValueError):
+        simple8b.write_ids(df.withColumn("doc_id", F.col("doc_id").cast("string")), str(tmp_path / "g"))
