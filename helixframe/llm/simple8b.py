@@ -43,7 +43,9 @@ COUNTS = [1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1]
 BITS = [60, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60]
 BLOCK = 4096
 #: Runs whose ids are kept.
-MEMO = 500_000
+MEMO = 300_000
+#: Rows decoded at once.
+ROWS = 500
 #: Bytes of text that share a shard.
 SHARD_BYTES = 1 << 26
 _LOW60 = np.uint64((1 << 60) - 1)
@@ -175,7 +177,7 @@ def in_groups(items: list, size, most: int = 1 << 19) -> Iterator[list]:
         yield group
 
 
-def groups_of(texts: pa.Array, most: int = 1 << 22) -> Iterator[pa.Array]:
+def groups_of(texts: pa.Array, most: int = 1 << 21) -> Iterator[pa.Array]:
     """Slices of at most this many bytes (a longer text stands alone)."""
     sizes = pc.binary_length(texts).to_pylist()
     start, total = 0, 0
@@ -362,10 +364,12 @@ def _read(spark: SparkSession, path: str, kind: str, name: str, made) -> DataFra
     """doc_id, start (ids of all documents before it), n_tokens, and what ``made`` gives for a batch's arrays of ids."""
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            stored = list(zip(b.column(3).to_pylist(), b.column(4).to_pylist()))
-            rows = [ids for group in in_groups(stored, lambda x: len(x[1])) for ids in unpack_many(group)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([len(r) for r in rows], pa.int64()), made(rows)], ["doc_id", "shard", "shard_start", "n_tokens", name])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                stored = list(zip(b.column(3).to_pylist(), b.column(4).to_pylist()))
+                rows = [ids for group in in_groups(stored, lambda x: len(x[1])) for ids in unpack_many(group)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([len(r) for r in rows], pa.int64()), made(rows)], ["doc_id", "shard", "shard_start", "n_tokens", name])
 
     files = spark.read.schema("doc_id long, shard int, checksum long, n_tokens long, block_offsets array<int>, payload binary, shard_start long").parquet(path)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
