@@ -47,7 +47,7 @@ MEMO = 300_000
 #: Rows decoded at once.
 ROWS = 500
 #: Bytes of text that share a shard.
-SHARD_BYTES = 1 << 26
+SHARD_BYTES = 1 << 25
 _LOW60 = np.uint64((1 << 60) - 1)
 #: After the ids of a run, where runs are joined.
 _END = np.int32(-1).tobytes()
