@@ -89,11 +89,12 @@ class Transducer:
 
     ``emit`` turns a list of tokens into the annotation of an edge (their
     number, their ids, ...).  At most ``max_states`` states are kept; beyond
-    that the table starts anew, so memory does not grow with the input.
+    that the table starts anew, so memory does not grow with the input.  A
+    pending text of more than ``lookahead`` symbols is an error.
     """
 
-    def __init__(self, tokens: Iterable[str], pair_rank, emit, max_states: int = 250_000):
-        self.pair_rank, self.emit, self.max_states = pair_rank, emit, max_states
+    def __init__(self, tokens: Iterable[str], pair_rank, emit, max_states: int = 250_000, lookahead: int | None = None):
+        self.pair_rank, self.emit, self.max_states, self.lookahead = pair_rank, emit, max_states, lookahead
         self.tokens = set(tokens)
         self.apart: dict[tuple[str, str], bool] = {}
         self.prefixes = {t[:i] for t in self.tokens for i in range(1, len(t) + 1)}
@@ -136,6 +137,8 @@ class Transducer:
                 else:
                     cut = last[cut]
         out = self.emit(self._path(text, last, cut))
+        if self.lookahead is not None and n - cut > self.lookahead:
+            raise RuntimeError("pending text goes over the merge list's lookahead")
         rest = [max(0, x - cut) for x in last[cut:]]
         rest[0] = 0
         return self._state(text[cut:], rest, [p - cut for p in alive]), out

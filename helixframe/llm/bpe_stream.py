@@ -1,10 +1,11 @@
 """Streaming BPE encoding and decoding with bounded memory.
 
-Encoding: the merge list gives a sufficient lookahead (`sufficient_lookahead`):
-a token that ends that far back can't change any more.  The transducer emits a
-token as soon as the vocabulary shows it to be stable, never later than that,
-so a run of any length is encoded in constant memory.  Words that come again
-are served from a bounded table.
+Encoding: texts go to the encoder in slices of `SLICE` code points.  The merge
+list gives a sufficient lookahead (`sufficient_lookahead`): a token that ends
+that far back can't change any more.  The transducer emits a token as soon as
+the vocabulary shows it to be stable, and holds back at most that many symbols
+(more is an error), so a run of any length is encoded in constant memory.
+Words that come again are served from a bounded table.
 
 Decoding: ids become bytes, and a byte-to-text state machine turns bytes into
 text, carrying an unfinished character over to the next piece.
@@ -41,7 +42,8 @@ ITEM = re.compile(rf" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
 CUT = re.compile(rf"[^{WS}][{WS}]")
 #: One kind of character each, for runs longer than SLICE.
 KINDS = [regex.compile(p) for p in (r"\p{L}+", r"\p{N}+", rf"[^{WS}\p{{L}}\p{{N}}]+", f"[{WS}]+")]
-SLICE = 1 << 16
+#: Code points, and ids, handed over at once; ordinary documents have several.
+SLICE = 1024
 MEMO = 600_000
 #: Rows in a batch of results.
 ROWS = 1000
@@ -72,15 +74,11 @@ class BpeStream:
         ranks = {p: i for i, p in enumerate(pairs)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.merges = pairs
-        self.fst = Transducer(ids, lambda a, b: ranks.get((a, b), NEVER), lambda tokens: tuple(ids[t] for t in tokens))
+        self.lookahead = sufficient_lookahead(pairs)
+        self.fst = Transducer(ids, lambda a, b: ranks.get((a, b), NEVER), lambda tokens: tuple(ids[t] for t in tokens), lookahead=self.lookahead)
         self.bytes_of = {i: t.encode("latin-1") for t, i in ids.items()} | {i: t.encode() for t, i in self.special.items()}
         self.items, self.spaced = _Items(self, ""), _Items(self, " ")
 
-    @property
-    def lookahead(self) -> int:
-        return sufficient_lookahead(self.merges)
-
     def word(self, token: str) -> list[int]:
         """Ids of one match of the pattern."""
         st, out = self.fst.start, []
@@ -96,23 +94,26 @@ class BpeStream:
             if piece in self.special:
                 parts.append(np.int32(self.special[piece]).tobytes())
             elif len(piece) <= SLICE:
-                parts += self._words(piece)
+                parts += self.words(piece)  # one slice
             else:
                 enc = Encoder(self)
                 parts += [enc.feed(piece[i : i + SLICE]) for i in range(0, len(piece), SLICE)]
                 parts.append(enc.finish())
         return np.frombuffer(b"".join(parts), np.int32)
 
-    def _words(self, text: str) -> list[bytes]:
-        """Ids of a short text, item by item."""
-        if " ".join(text.split()) != text.replace("\n", " "):
+    def words(self, text: str) -> list[bytes]:
+        """Ids of a slice that ends between a word and white space, item by item."""
+        lead = text[:1] == " "
+        body = text[1:] if lead else text
+        if " ".join(body.split()) != body.replace("\n", " "):
             return list(map(self.items.__getitem__, ITEM.findall(text)))
         parts, line_end = [], self.items["\n"]  # only single spaces and line ends between words
-        for line in text.split("\n"):
+        for line in body.split("\n"):
             first, *others = line.split(" ")
-            parts.append(self.items[first])
+            parts.append((self.spaced if lead else self.items)[first])
             parts += map(self.spaced.__getitem__, others)
             parts.append(line_end)
+            lead = False
         return parts[:-1]
 
     def decode(self, ids, piece: int = SLICE) -> str:
@@ -173,7 +174,7 @@ class Encoder:
                 break
             at = len(rest) if last else self._cut(rest)
             if at:
-                parts += map(self.stream.items.__getitem__, ITEM.findall(rest[:at]))
+                parts += self.stream.words(rest[:at])
                 self.rest = rest[at:]
                 break
             self._open(parts)

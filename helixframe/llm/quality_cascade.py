@@ -1,10 +1,13 @@
 """Quality rules as a short-circuit cascade.
 
 Each rule's cost (seconds) and selectivity (share it rejects) are measured on
-a sample; then rules run in falling order of rejection per cost, and a text
+a random sample of about `SAMPLE` rows, where they lie; then rules run in falling order of rejection per cost, and a text
 leaves at the first rule that rejects it.  What several rules need (words,
 lines, repeated windows) is computed once, when first asked for.  The order
-changes only the time: a text is kept if no rule rejects it.
+changes only the time: a text is kept if no rule rejects it.  `rejected_by` is
+the first rule to do so in this run's order, which depends on measured times.
+Where the base figures are asked for (`features`), they are computed for every
+text, so only the other rules can be saved.
 
 Words are runs of anything but space and tab to carriage return.
 
@@ -29,7 +32,7 @@ from helixframe.llm.util import texts_of
 
 SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
-#: Rows on which costs and selectivities are measured.
+#: Rows, on average, on which costs and selectivities are measured.
 SAMPLE = 2000
 
 
@@ -102,7 +105,7 @@ MORE = [
 
 
 def measure(df: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> list[tuple[str, float, float]]:
-    """(name, seconds a row, share rejected) of each rule over at most `sample` rows, measured on the executors."""
+    """(name, seconds a row, share rejected) of each rule over a random sample, measured on the executors that hold it; no text moves."""
 
     def timed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, spent, rejected = 0, [0.0] * len(rules), [0] * len(rules)
@@ -116,7 +119,8 @@ def measure(df: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col:
                     spent[i] += time.perf_counter() - began
         yield pa.RecordBatch.from_arrays([pa.array(list(range(len(rules)))), pa.array([n] * len(rules)), pa.array(spent), pa.array(rejected)], ["rule", "n", "spent", "rejected"])
 
-    got = texts_of(df, id_col, text_col).limit(sample).mapInArrow(timed, "rule long, n long, spent double, rejected long")
+    some = texts_of(df, id_col, text_col).sample(min(1.0, sample / max(1, df.count())), seed=7)
+    got = some.mapInArrow(timed, "rule long, n long, spent double, rejected long")
     sums = {r["rule"]: r for r in got.groupBy("rule").agg(F.sum("n").alias("n"), F.sum("spent").alias("spent"), F.sum("rejected").alias("rejected")).collect()}
     return [(r.name, sums[i]["spent"] / max(1, sums[i]["n"]), sums[i]["rejected"] / max(1, sums[i]["n"])) if i in sums else (r.name, 0.0, 0.0) for i, r in enumerate(rules)]
 

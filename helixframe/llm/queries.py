@@ -26,7 +26,7 @@ TOOLS = {
 
 
 def chat_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """User turns as calls after the call two turns before, assistant turns as results of the turn before.
+    """User turns as calls after the call two turns before (turn 6 also after turn 0), assistant turns as results of the turn before.
 
     Ids count within a conversation, so a null conv_id is one of its own; a
     call without a turn keeps its row, after no call and without results.
@@ -36,7 +36,7 @@ def chat_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     at = lambda back: F.when(F.col("turn").isNotNull(), F.concat_ws(":", "conv_id", (F.col("turn") - back).cast("string")))
     name = F.when(size % 10 == 0, "browse").when(size % 2 == 0, "search").otherwise("fetch")
     args = F.to_json(F.struct(F.col("text").alias("query"), F.col("turn").alias("turn"), size.cast("double").alias("size")))
-    calls = turns.filter("role = 'user'").select("conv_id", call.alias("call_id"), name.alias("name"), args.alias("arguments"), at(2).alias("after"))
+    calls = turns.filter("role = 'user'").select("conv_id", call.alias("call_id"), name.alias("name"), args.alias("arguments"), F.when(F.col("turn") == 6, F.array(at(2), at(6))).otherwise(F.array(at(2))).alias("after"))
     results = turns.filter("role = 'assistant'").select("conv_id", at(1).alias("call_id"), F.col("text").alias("content"))
     return calls, results
 
@@ -44,11 +44,19 @@ def chat_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 def op2_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = chat_calls(_table(spark, sf_dir, "conversations"))
     linked = tool_calls.link_tool_calls(calls, results, TOOLS)
-    return linked.select("conv_id", "call_id", "name", "position", "status", "n_results", F.size("problems").cast("long").alias("n_problems"), F.sha2("json", 256).alias("json_sha256"), "n_calls", F.sha2(F.to_json("results"), 256).alias("results_sha256"))
+    none = lambda kind: F.lit(None).cast(kind)
+    orphans = tool_calls.orphan_results(calls, results).select(
+        "call_id", "conv_id", none("string").alias("name"), none("long").alias("position"), F.lit(1).cast("long").alias("n_results"), F.lit("orphan").alias("status"),
+        F.array().cast("array<string>").alias("problems"), none("string").alias("json"), F.lit(0).cast("long").alias("n_calls"), F.array("content").alias("results"),
+    )
+    return linked.unionByName(orphans).select("conv_id", "call_id", "name", "position", "status", "n_results", F.size("problems").cast("long").alias("n_problems"), F.sha2("json", 256).alias("json_sha256"), "n_calls", F.sha2(F.to_json("results"), 256).alias("results_sha256"))
 
 
 def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = warc_derive.derive_records(_table(spark, sf_dir, "pages"))
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    date = F.date_format(F.timestamp_seconds(F.lit(1577836800) + F.col("page_id") * 3607), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    header = F.format_string("Content-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\nX-Page: %d", F.octet_length("html"), "page_id")
+    records = warc_derive.derive_records(pages.withColumns({"date": date, "headers": header}), date_col="date", headers_col="headers")
     return records.select("page_id", "record_type", "record_id", "refers_to", "payload_digest", "block_digest", F.octet_length("block").cast("long").alias("n_bytes"), F.sha2(F.concat("header", F.lit("\r\n\r\n"), "block"), 256).alias("record_sha256"))
 
 
@@ -129,9 +137,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT (base_failed OR 10 * n_symbols > 3 * word_chars OR 10 * n_dup_lines > 7 * n_lines OR word_chars > 40 * n_words OR 2 * word_chars < 3 * n_words) AS kept
 FROM b""",
     "op9_url_lists": r"""
-WITH pages_h AS (SELECT page_id, nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/:?#]+)', 1), '') AS host,
+WITH pages_u AS (SELECT page_id, lower(url) AS u,
                         DATE '2020-01-01' + CAST(((page_id % 1461) + 1461) % 1461 AS INTEGER) AS fetched_on FROM pages),
-hosts AS (SELECT DISTINCT host, string_split(host, '.') AS labels FROM pages_h WHERE host IS NOT NULL),
+pages_a AS (SELECT page_id, fetched_on, CASE WHEN regexp_matches(u, '^[a-z][a-z0-9+.-]*://') THEN string_split_regex(substr(u, strpos(u, '://') + 3), '[/?#\\]')[1] END AS auth FROM pages_u),
+pages_h AS (SELECT page_id, fetched_on, nullif(rtrim(regexp_replace(string_split(auth, '@')[-1], ':[0-9]*$', ''), '.'), '') AS host FROM pages_a),
+hosts AS (SELECT DISTINCT host, CASE WHEN host LIKE '[%' OR regexp_matches(host, '^[0-9]+(\.[0-9]+){3}$') THEN [host] ELSE string_split(host, '.') END AS labels FROM pages_h WHERE host IS NOT NULL),
 keys AS (SELECT host, unnest(list_transform(range(1, greatest(len(labels) - 1, 1) + 1), lambda i: array_to_string(list_slice(labels, i, len(labels)), '.'))) AS pattern FROM hosts),
 names AS (SELECT DISTINCT pattern, CAST('0x' || substr(md5(pattern), 1, 6) AS INTEGER) AS h FROM keys),
 entries AS (

@@ -172,14 +172,15 @@ def link_fingerprints(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE)
     return dealt.mapInArrow(linked, "a long, b long").distinct()
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable over links (a, b), for nodes with a link.
 
-    Alternating large-star and small-star steps; each round is written to the
-    shared folder.  Only minima are grouped, never neighbour lists.
+    Alternating large-star and small-star steps until nothing changes, about
+    log2 of the longest way in rounds; each is written to the shared folder.
+    Only minima are grouped, never neighbour lists.
     """
     edges = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    for _ in range(most_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -192,7 +193,6 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         edges = new
         if same == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-    raise RuntimeError("components did not settle")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -217,6 +217,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of df, all columns, that have the smallest id of their component; rows without an id can't be named and go."""
-    found = near_duplicates(df, id_col, text_col, radius)
-    return df.join(found.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct(), F.col(id_col) == F.col("__kept"), "left_semi")
+    """One row of df, all columns, of each component: that of the smallest id.
+
+    Rows without an id come after all others, equal ids in the order of a hash
+    of all columns, so a null id keeps its row where it is the only one, and of
+    repeated rows one stays.  An empty table gives an empty table.  Null and
+    empty texts are one component.
+    """
+    rows = stored(df.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(*df.columns).alias("hash"), F.col("__row").alias("row"))
+    found = near_duplicates(rows.select(order.alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", radius)
+    kept = found.filter("doc_id = component_id").select(F.col("doc_id.row").alias("__kept"))
+    return rows.join(kept, rows["__row"] == kept["__kept"], "left_semi").drop("__row")

@@ -4,7 +4,9 @@ The sentencepiece model (BPE with byte fallback) becomes a deterministic
 transducer whose edges carry the number of tokens they emit.  A text is cut
 into chunks.  Each chunk becomes a *state map*, from the state before it to
 the state after it and the tokens emitted in between; maps compose
-associatively, so a prefix scan joins them, inside a task or across tasks.
+associatively, so a prefix scan joins them: inside a task for texts that are
+one row (`count_tokens`), across tasks for texts stored in pieces
+(`count_tokens_chunked`).
 
 A word mark after another character brings every state to the same one, which
 keeps a map small: the text up to that point (it still depends on the state
@@ -29,8 +31,10 @@ from helixframe.llm.bpe_fst import NEVER, Transducer
 from helixframe.llm.util import texts_of
 
 MARK = "▁"
-#: Code points in a chunk.
-CHUNK = 1 << 16
+#: Code points in a chunk; ordinary documents have several.
+CHUNK = 1024
+#: Neighbouring maps that one step of a scan across tasks composes.
+FAN = 64
 #: Words whose counts are kept; the table starts anew beyond.
 MEMO = 600_000
 #: Texts that are tokenized on their own: a mark starts one, and no piece goes over a line end.
@@ -182,11 +186,13 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.mapInArrow(counts, f"doc_id {key}, n_bytes long, n_tokens long")
 
 
-def count_tokens_chunked(df: DataFrame, id_col: str, pos_col: str, text_col: str, model_path: str | None = None) -> DataFrame:
-    """doc_id and n_tokens of texts stored as pieces in several rows, in the order of pos_col.
+def count_tokens_chunked(df: DataFrame, id_col: str, pos_col: str, text_col: str, model_path: str | None = None, fan: int = FAN) -> DataFrame:
+    """doc_id and n_tokens of texts stored as pieces in several rows, in the order of pos_col (whole numbers, no two equal).
 
-    The maps of the pieces are made in parallel; only maps (a few bytes for
-    ordinary text) are shuffled by document and scanned in order.
+    The maps of the pieces are made in parallel.  The scan across tasks goes by
+    position: each step composes the maps of positions in one range of `fan`
+    and gives the range's number to the result, so a task holds at most `fan`
+    maps of a document however long it is; log_fan(positions) steps lead to one.
     """
     key = df.schema[id_col].dataType.simpleString()
 
@@ -196,13 +202,26 @@ def count_tokens_chunked(df: DataFrame, id_col: str, pos_col: str, text_col: str
             got = [m.chunk_map(t.as_py()) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string())))], ["doc_id", "pos", "head", "emitted", "pending"])
 
-    def scanned(batches):
+    def composed(batches):
         m = machine(_path(model_path))
         for b in batches:
-            n = [m.total(prefix_scan([(x["head"], x["emitted"], x["pending"]) for x in v.as_py()], m.compose)[-1]) for v in b.column(1)]
+            got = [prefix_scan([(x["head"], x["emitted"], x["pending"]) for x in v.as_py()], m.compose)[-1] for v in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string())))], ["doc_id", "pos", "head", "emitted", "pending"])
+
+    def totals(batches):
+        m = machine(_path(model_path))
+        for b in batches:
+            n = [m.total(x) for x in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 
+    schema = f"doc_id {key}, pos long, head string, emitted long, pending string"
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(pos_col).cast("long").alias("pos"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    mapped = rows.mapInArrow(maps, f"doc_id {key}, pos long, head string, emitted long, pending string")
-    grouped = mapped.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "head", "emitted", "pending"))).alias("maps"))
-    return grouped.mapInArrow(scanned, f"doc_id {key}, n_tokens long")
+    ends = rows.agg(F.min("pos").alias("low"), F.max("pos").alias("high")).first()
+    low, high = ends["low"] or 0, ends["high"] or 0
+    state = rows.withColumn("pos", F.col("pos") - low).mapInArrow(maps, schema)
+    span = high - low
+    while span > 0:
+        span //= fan
+        ranges = state.groupBy("doc_id", F.floor(F.col("pos") / fan).alias("pos")).agg(F.array_sort(F.collect_list(F.struct("pos", "head", "emitted", "pending"))).alias("maps"))
+        state = ranges.mapInArrow(composed, schema)
+    return state.select("doc_id", "head", "emitted", "pending").mapInArrow(totals, f"doc_id {key}, n_tokens long")

@@ -1,17 +1,23 @@
 """Tool-call linking for chat data.
 
-Calls and results meet in a hash join on conversation and call id.  A call may name the
-call it comes after; positions follow from pointer jumping, which doubles the
-distance each round, so a chain of n calls takes log2(n) joins.  Arguments are
-checked against JSON schemas and written as canonical JSON: sorted keys, no
-white space, UTF-8, floats that are whole numbers as integers.
+Calls and results meet in a hash join on conversation and call id.  A call may
+name calls that it comes after: `after` is one id or an array of ids.  Its
+position is the length of the longest way to it, so each call has a higher one
+than all it comes after.  Chains, where each call comes after one other, are
+taken by pointer jumping, which doubles the distance each round: n calls take
+log2(n) joins.  Only calls after several others are settled in topological
+rounds, as many as there are such calls on one way.  No conversation is
+gathered.  Arguments are checked against JSON schemas and written as canonical
+JSON: sorted keys, no white space, UTF-8 (lone surrogates as escapes), floats
+that are whole numbers as integers.
 
 Defined results: ids count within their conversation, null conversations
 being one; results without a conv_id column meet their call id in every
 conversation; calls with a null id are left out; repeated call ids each give a
 row with their number, and a call after them comes after the smallest one; all
 results of a call are in `results` by content, the smallest in `json` (their
-number is reported); a call after an unknown call starts a chain; calls on a cycle
+number is reported); results without a call are in orphan_results(); unknown
+calls in `after` don't count; calls on or after a cycle
 have a null position and status ``cycle``; null arguments are an empty object;
 unreadable ones give status ``invalid`` and null JSON; empty tables give an
 empty table; other columns are ignored.
@@ -21,6 +27,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,6 +36,7 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.util import stored
 
+SURROGATE = re.compile("[\ud800-\udfff]")
 TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
@@ -40,7 +48,12 @@ def canonical(value) -> str:
             return [plain(v) for v in x]
         return int(x) if isinstance(x, float) and x.is_integer() and abs(x) < 2**53 else x
 
-    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return escaped(json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def escaped(text: str) -> str:
+    """Lone surrogates, which UTF-8 doesn't have, as the escapes that JSON has for them."""
+    return SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
 def problems(value, schema: dict, at: str = "$") -> list[str]:
@@ -85,41 +98,92 @@ def _named(df: DataFrame, keys: dict[str, str], *others: str) -> DataFrame:
     return df.select(*[F.col(old).alias(f"__{new}") for old, new in keys.items()], *others)
 
 
+def _before(calls: DataFrame) -> F.Column:
+    """`after` as an array of ids."""
+    if calls.schema["after"].dataType.simpleString() == "string":
+        return F.when(F.col("after").isNotNull(), F.array("after"))
+    return F.array_sort(F.array_distinct(F.filter("after", lambda x: x.isNotNull())))
+
+
 def positions(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, position): how many calls come before on the chain of `after`; null on a cycle.
+    """(conv_id, call_id, position): the longest way to the call over `after`; null on or after a cycle.
 
     One row for each conv_id and call_id; of repeated calls the smallest row counts.
     """
-    calls = calls.filter("call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min(F.struct("name", "arguments", "after")).alias("c")).select("conv_id", "call_id", "c.after")
-    own = _named(calls, {"conv_id": "conv_id", "call_id": "after"}, F.lit(True).alias("there"))
-    state = calls.join(own, _same(calls, own, ["conv_id"]) & (calls["after"] == own["__after"]), "left")
-    state = stored(state.select("conv_id", "call_id", F.when(F.col("there"), F.col("after")).alias("next"), F.when(F.col("there"), 1).otherwise(0).cast("long").alias("steps")), "chains")
+    calls = calls.filter("call_id IS NOT NULL").withColumn("after", _before(calls))
+    calls = calls.groupBy("conv_id", "call_id").agg(F.min(F.struct("name", "arguments", "after")).alias("c")).select("conv_id", "call_id", "c.after")
+    own = _named(calls, {"conv_id": "conv_id", "call_id": "call_id"})
+    wanted = calls.select("conv_id", F.col("call_id").alias("of"), F.explode("after").alias("call_id"))
+    edges = wanted.join(own, _same(wanted, own, ["conv_id", "call_id"])).select("conv_id", F.col("of").alias("call_id"), F.col("call_id").alias("next"))
+    edges = stored(edges, "edges")
+    counted = edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.min("next").alias("next"))
+    several = _named(counted, {"conv_id": "conv_id", "call_id": "call_id"}, "n", "next")
+    nodes = calls.join(several, _same(calls, several, ["conv_id", "call_id"]), "left").select("conv_id", "call_id", F.coalesce("n", F.lit(0)).alias("n"), "next")
+    nodes = stored(nodes, "calls")
+    stops = _named(nodes.filter("n <> 1"), {"conv_id": "conv_id", "call_id": "next"}, F.lit(True).alias("stop"))
+    chains = nodes.filter("n = 1")
+    state = stored(chains.join(stops, _same(chains, stops, ["conv_id", "next"]), "left").select("conv_id", "call_id", "next", F.lit(1).cast("long").alias("steps"), F.coalesce("stop", F.lit(False)).alias("done")), "chains")
     for _ in range(max(1, state.count()).bit_length() + 1):
-        if state.filter("next IS NOT NULL").isEmpty():
+        if state.filter("NOT done").isEmpty():
             break
-        far = _named(state, {"conv_id": "conv_id", "call_id": "next"}, F.col("next").alias("beyond"), F.col("steps").alias("more"))
-        open_ = state.filter("next IS NOT NULL")
-        open_ = open_.join(far, _same(open_, far, ["conv_id"]) & (open_["next"] == far["__next"]))
-        moved = open_.select("conv_id", "call_id", F.col("beyond").alias("next"), (F.col("steps") + F.col("more")).alias("steps"))
-        state = stored(state.filter("next IS NULL").unionByName(moved), "chains")
-    return state.select("conv_id", "call_id", F.when(F.col("next").isNull(), F.col("steps")).alias("position"))
+        far = _named(state, {"conv_id": "conv_id", "call_id": "next"}, F.col("next").alias("beyond"), F.col("steps").alias("more"), F.col("done").alias("there"))
+        open_ = state.filter("NOT done")
+        open_ = open_.join(far, _same(open_, far, ["conv_id", "next"]))
+        moved = open_.select("conv_id", "call_id", F.col("beyond").alias("next"), (F.col("steps") + F.col("more")).alias("steps"), F.col("there").alias("done"))
+        state = stored(state.filter("done").unionByName(moved), "chains")
+    # From here on only calls after none or several count; chains hang on them.
+    level = nodes.filter("n = 0").select("conv_id", "call_id", F.lit(0).cast("long").alias("position"))
+    merging = nodes.filter("n > 1").select("conv_id", "call_id", "n")
+    if not merging.isEmpty():
+        hang = _named(state.filter("done"), {"conv_id": "conv_id", "call_id": "next"}, F.col("next").alias("base"), "steps")
+        owner = _named(merging, {"conv_id": "conv_id", "call_id": "call_id"}, "n")
+        ways = edges.join(owner, _same(edges, owner, ["conv_id", "call_id"])).select("conv_id", "call_id", "n", "next")
+        ways = ways.join(hang, _same(ways, hang, ["conv_id", "next"]), "left").select("conv_id", "call_id", "n", F.coalesce("base", "next").alias("next"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps"))
+        ways, level = stored(ways, "ways"), stored(level, "levels")
+        while True:
+            known = _named(level, {"conv_id": "conv_id", "call_id": "call_id"}, F.lit(True).alias("known"))
+            waiting = ways.join(known, _same(ways, known, ["conv_id", "call_id"]), "left_anti")
+            at = _named(level, {"conv_id": "conv_id", "call_id": "next"}, "position")
+            ready = waiting.join(at, _same(waiting, at, ["conv_id", "next"])).groupBy("conv_id", "call_id", "n").agg(F.count("*").alias("m"), F.max(F.col("position") + F.col("steps")).alias("position"))
+            ready = stored(ready.filter("m = n").select("conv_id", "call_id", "position"), "levels")
+            if ready.isEmpty():
+                break
+            level = stored(level.unionByName(ready), "levels")
+    base = _named(level, {"conv_id": "conv_id", "call_id": "next"}, "position")
+    hung = state.join(base, _same(state, base, ["conv_id", "next"]) & F.col("done"), "left").select("conv_id", "call_id", (F.col("position") + F.col("steps")).alias("position"))
+    settled = _named(level, {"conv_id": "conv_id", "call_id": "call_id"}, "position")
+    others = nodes.filter("n <> 1")
+    others = others.join(settled, _same(others, settled, ["conv_id", "call_id"]), "left").select("conv_id", "call_id", "position")
+    return others.unionByName(hung)
+
+
+def orphan_results(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """The rows of results that no call has (null ids among them), all columns."""
+    keys = [c for c in ("conv_id", "call_id") if c in results.columns]
+    own = _named(calls.filter("call_id IS NOT NULL"), {c: c for c in keys})
+    return results.join(own, _same(results, own, keys), "left_anti")
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """call_id, conv_id, name, position, status, n_results, problems, json, n_calls and results of each call.
 
-    calls: conv_id, call_id, name, arguments (JSON), after.  results: call_id,
+    calls: conv_id, call_id, name, arguments (JSON), after (an id or an array of ids).  results: call_id,
     content and, as a rule, conv_id.  status: cycle, unknown_tool, invalid,
     no_result or ok.  n_calls: calls of this id in the conversation, over 1
     for repeats.  results: all contents, in order.
     """
     keys = [c for c in ("conv_id", "call_id") if c in results.columns]
-    calls = calls.filter("call_id IS NOT NULL").select("conv_id", "call_id", "name", "arguments", "after")
+    calls = calls.filter("call_id IS NOT NULL").select("conv_id", "call_id", "name", "arguments", _before(calls).alias("after"))
     times = _named(calls.groupBy("conv_id", "call_id").agg(F.count("*").alias("n_calls")), {"conv_id": "conv_id", "call_id": "call_id"}, "n_calls")
-    places = _named(positions(calls), {"conv_id": "conv_id", "call_id": "after"}, F.col("position").alias("before"), F.lit(True).alias("there"))
+    places = _named(stored(positions(calls), "positions"), {"conv_id": "conv_id", "call_id": "call_id"}, F.col("position").alias("before"))
     # A repeat has the place that its own `after` gives it.
-    joined = calls.join(places, _same(calls, places, ["conv_id"]) & (calls["after"] == places["__after"]), "left")
-    joined = joined.select("conv_id", "call_id", "name", "arguments", F.when(F.col("there"), F.col("before") + 1).otherwise(F.lit(0).cast("long")).alias("position"))
+    sets = calls.filter("size(after) > 0").select("conv_id", "after").distinct()
+    each = sets.select("conv_id", "after", F.explode("after").alias("call_id"))
+    each = each.join(places, _same(each, places, ["conv_id", "call_id"])).groupBy("conv_id", "after").agg(F.max("before").alias("before"), F.bool_or(F.col("before").isNull()).alias("open"))
+    each = _named(each, {"conv_id": "conv_id", "after": "after"}, "before", "open")
+    joined = calls.join(each, _same(calls, each, ["conv_id", "after"]), "left")
+    placed = F.when(F.col("open").isNull(), F.lit(0).cast("long")).when(~F.col("open"), F.col("before") + 1)
+    joined = joined.select("conv_id", "call_id", "name", "arguments", placed.alias("position"))
     joined = joined.join(times, _same(joined, times, ["conv_id", "call_id"])).drop("__conv_id", "__call_id")
     answers = results.filter("call_id IS NOT NULL").groupBy(*keys).agg(F.min("content").alias("content"), F.count("*").alias("n_results"), F.array_sort(F.collect_list(F.struct("content"))).alias("all"))
     answers = _named(answers, {c: c for c in keys}, "content", "n_results", F.transform("all", lambda x: x["content"]).alias("results"))
@@ -138,7 +202,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
                 except (ValueError, RecursionError, OverflowError):
                     bad, made = ["$: unreadable"], None
                 texts.append(made)
-                wrong.append(bad)
+                wrong.append([escaped(x) for x in bad])
                 status.append("cycle" if r["position"] is None else "unknown_tool" if r["name"] not in schemas else "invalid" if bad else "no_result" if not r["n_results"] else "ok")
             keep = [b.column(b.schema.get_field_index(c)) for c in ("call_id", "conv_id", "name", "position", "n_results")]
             more = [b.column(b.schema.get_field_index(c)) for c in ("n_calls", "results")]

@@ -2,13 +2,18 @@
 
 List entries (pattern, action, listed_on) become validity intervals: an entry
 holds from its day until the next entry of its pattern.  Captures are reduced
-to distinct (host, day) pairs, each host is asked for with all its parent
-domains, an as-of join takes the entry active on that day, and the longest
-pattern decides.  The verdicts then meet the captures again.
+to distinct (host, day) pairs and each host is asked for with all its parent
+domains.  The as-of join puts a pattern's intervals and the distinct days it is
+asked for on one time line and takes the last interval that began, so its rows
+are their sum, never their product; the longest pattern decides.  The verdicts
+then meet the captures again.
 
-All steps are DataFrame functions.  A host with a third of all captures is at
-most one row a day in the as-of join; the last join is row by row and its
-large side can be split by Spark.
+All steps are DataFrame functions.  A pattern has at most one interval and one
+question a day on its time line, however many captures it has; the joins after
+that have one row a key on one side, and Spark can split the other.
+
+A host is what stands between the scheme and the path without user, password,
+port and closing dots, in lower case; an address has no parent domains.
 
 Defined results: a null or unreadable url, or a null day, gets verdict
 ``none``; of entries of one pattern and day the last in (action) order holds;
@@ -24,14 +29,17 @@ from pyspark.sql import functions as F
 
 def host_of(url: F.Column) -> F.Column:
     """Lower-case host, null if there is none."""
-    return F.nullif(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://([^/:?#]+)", 1), F.lit(""))
+    authority = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://([^/?#\\\\]*)", 1)
+    host = F.regexp_replace(F.regexp_replace(authority, "^.*@", ""), r":[0-9]*$", "")
+    return F.nullif(F.regexp_replace(host, r"\.+$", ""), F.lit(""))
 
 
 def with_parents(host: F.Column) -> F.Column:
-    """The host and each parent domain of two labels or more."""
+    """The host and each parent domain of two labels or more; an address alone."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    return F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, n), "."))
+    parents = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, n), "."))
+    return F.when(host.rlike(r"^(\[.*|[0-9]+(\.[0-9]+){3})$"), F.array(host)).otherwise(parents)
 
 
 def validity(entries: DataFrame) -> DataFrame:
@@ -43,14 +51,23 @@ def validity(entries: DataFrame) -> DataFrame:
     return rows.withColumn("valid_to", following).filter("action <> 'remove'").select("pattern", "action", "valid_from", "valid_to")
 
 
+def as_of(asked: DataFrame, spans: DataFrame) -> DataFrame:
+    """(pattern, fetched_on, action, valid_from) of the interval that holds on each distinct pattern and day, if any."""
+    span = F.struct("action", "valid_from", "valid_to").alias("span")
+    begun = spans.select("pattern", F.col("valid_from").alias("day"), F.lit(0).alias("asks"), span)
+    days = asked.select("pattern", F.col("fetched_on").alias("day"), F.lit(1).alias("asks"), F.lit(None).cast(begun.schema["span"].dataType).alias("span"))
+    so_far = Window.partitionBy("pattern").orderBy("day", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    line = begun.unionByName(days).withColumn("span", F.last("span", ignorenulls=True).over(so_far)).filter("asks = 1")
+    holds = line.filter("span IS NOT NULL AND (span.valid_to IS NULL OR day < span.valid_to)")
+    return holds.select("pattern", F.col("day").alias("fetched_on"), "span.action", "span.valid_from")
+
+
 def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", day_col: str = "fetched_on") -> DataFrame:
     """page_id, host, fetched_on, verdict (block, allow, none), pattern and since of each capture."""
     pages = captures.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), F.col(day_col).cast("date").alias("fetched_on"))
     asked = pages.filter("host IS NOT NULL AND fetched_on IS NOT NULL").select("host", "fetched_on").distinct()
     keys = asked.select("host", "fetched_on", F.explode(with_parents(F.col("host"))).alias("pattern"))
-    spans = validity(entries)
-    active = (F.col("fetched_on") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched_on") < F.col("valid_to")))
-    hits = keys.join(spans, "pattern").filter(active)
+    hits = keys.join(as_of(keys.select("pattern", "fetched_on").distinct(), validity(entries)), ["pattern", "fetched_on"])
     longest = F.max(F.struct(F.length("pattern").alias("size"), "pattern", "action", "valid_from")).alias("best")
     verdicts = hits.groupBy("host", "fetched_on").agg(longest)
     joined = pages.join(verdicts, ["host", "fetched_on"], "left")

@@ -7,30 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.operators.lineage import shared_dir
+
 
 def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text (null: empty), as doc_id and text; other columns can't clash."""
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(folder)
-    if not folder:
-        got = context._jsc.sc().getCheckpointDir()
-        if got.isDefined():
-            folder = got.get()
-        else:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="helixframe-")  # a single machine, as in tests
-            context.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path of its own for each run, in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

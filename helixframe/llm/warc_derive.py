@@ -5,6 +5,9 @@ and a conversion record (its plain text).  Both carry WARC-Refers-To with the
 response's id, the target URI and date, and block digests (SHA-1, base 32);
 ids are name-based UUIDs, so a second run gives the same records.
 
+Pages are read in one pass forward, so time grows with their length whatever
+they hold.
+
 Defined results: null or empty html gives an empty text and no links; a null
 url gives records without WARC-Target-URI; repeated rows each give their (equal)
 records; an empty table gives an empty table; other columns are ignored.
@@ -14,31 +17,79 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import gzip
 import html as entities
 import re
 import uuid
 from collections.abc import Iterator
+from io import BytesIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-HIDDEN = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>|<!--.*|<(?:script|style|noscript|template)\b.*", re.S | re.I)
-BREAKS = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|header|footer|nav|blockquote|pre|title|head|body|hr)\b[^>]*>", re.I)
-TAGS = re.compile(r"<[!/?a-zA-Z][^>]*>")
+#: What opens a comment or a tag; the tag's name.
+OPEN = re.compile(r"<(!--|[!/?a-zA-Z])")
+NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
+#: Elements whose content is no text, and those that end a line.
+HIDDEN = {"script", "style", "noscript", "template"}
+BREAKS = {"p", "div", "br", "li", "ul", "ol", "tr", "table", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "header", "footer", "nav", "blockquote", "pre", "title", "head", "body", "hr"}
+CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in (*HIDDEN, "title")}
 LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
 SPACE = re.compile(r"[ \t\r\f\v]+")
 #: The date of records whose captures have none.
 DATE = "1970-01-01T00:00:00Z"
 
 
-def visible_part(html: str) -> str:
-    return HIDDEN.sub(" ", html)
-
-
-def plain_text(visible: str) -> str:
-    text = TAGS.sub("", BREAKS.sub("\n", visible))
+def page_parts(html: str) -> tuple[str, list[str], str]:
+    """(text with tags taken out, links, title) in one pass forward; nothing is looked for again once it isn't there.
+
+    An unclosed comment or hidden element reaches to the end; a tag that is
+    never closed is text.
+    """
+    parts, links, title, titled, done, last = [], [], "", False, 0, html.rfind(">")
+    for_sure = len(html)
+    while True:
+        m = OPEN.search(html, done)
+        if not m:
+            break
+        start = m.start()
+        parts.append(html[done:start])
+        if m[1] == "!--":
+            end = html.find("-->", start + 4)
+            parts.append(" ")
+            done = for_sure if end < 0 else end + 3
+            continue
+        if start > last:  # no tag is closed from here on
+            parts.append(html[start:])
+            done = for_sure
+            break
+        end = html.find(">", start) + 1
+        found = NAME.match(html, start)
+        name = found[1].lower() if found else ""
+        opens = html[start + 1] != "/"
+        if opens and name in HIDDEN:
+            close = CLOSE[name].search(html, end)
+            parts.append(" ")
+            done = close.end() if close else for_sure
+            continue
+        if name == "a" and opens:
+            link = LINK.match(html, start)
+            if link:
+                links.append(next(g for g in link.groups() if g is not None))
+        if name == "title" and opens and not titled:
+            titled = True
+            close = CLOSE["title"].search(html, end)
+            title = html[end : close.start()] if close else ""
+        if name in BREAKS:
+            parts.append("\n")
+        done = end
+    parts.append(html[done:])
+    return "".join(parts), links, title
+
+
+def plain_text(text: str) -> str:
+    """Entities resolved, runs of space as one, lines without ends or blanks."""
     lines = (x.strip() for x in SPACE.sub(" ", entities.unescape(text)).split("\n"))
     return "\n".join(x for x in lines if x)
 
@@ -66,12 +117,11 @@ def derive_page(page_id, url: str | None, html: str | None, date: str | None, he
     payload = digest(html.encode())
     date = date or DATE
     source = record_id("response", str(page_id), url or "", payload)
-    found = TITLE.search(html)
-    title = " ".join(entities.unescape(TAGS.sub("", found[1])).split()) if found else ""
-    visible = visible_part(html)
-    links = [entities.unescape(next(g for g in m.groups() if g is not None)) for m in LINK.finditer(visible)]
+    text, links, title = page_parts(html)
+    title = " ".join(entities.unescape(page_parts(title)[0]).split())
+    links = [entities.unescape(x) for x in links]
     fields = [f"source-header: {x}" for x in (headers or "").splitlines() if x] + [f"title: {title}"] * bool(title) + [f"outlink: {' '.join(x.split())}" for x in links]
-    blocks = [("metadata", "\r\n".join(fields).encode(), "application/warc-fields"), ("conversion", plain_text(visible).encode(), "text/plain; charset=utf-8")]
+    blocks = [("metadata", "\r\n".join(fields).encode(), "application/warc-fields"), ("conversion", plain_text(text).encode(), "text/plain; charset=utf-8")]
     out = []
     for kind, block, mime in blocks:
         rid = record_id(kind, source)
@@ -102,9 +152,40 @@ def write_warc(records: DataFrame, path: str) -> None:
     records.select(whole.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
+def records_in(stream) -> Iterator[dict]:
+    """Records of an open WARC file, each as long as its Content-Length says."""
+    while True:
+        line = stream.readline()
+        while line in (b"\r\n", b"\n"):
+            line = stream.readline()
+        if not line:
+            return
+        header = [line.decode("utf-8", "replace").rstrip("\r\n")]
+        while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
+            header.append(line.decode("utf-8", "replace").rstrip("\r\n"))
+        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in header[1:])}
+        block = stream.read(int(fields.get("content-length", 0)))
+        yield {"record_type": fields.get("warc-type"), "record_id": fields.get("warc-record-id"), "refers_to": fields.get("warc-refers-to"), "header": "\r\n".join(header), "block": block.decode("utf-8", "replace")}
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """record_type, record_id, refers_to and block of the records in files that write_warc() made."""
-    raw = spark.read.option("lineSep", "\r\n\r\nWARC/1.1\r\n").text(path)
-    text = F.regexp_replace(F.regexp_replace("value", r"^WARC/1\.1\r\n", ""), r"\r\n\r\n\z", "")
-    field = lambda name: F.regexp_extract(text, rf"(?m)^{name}: (.*?)\r?$", 1)
-    return raw.select(field("WARC-Type").alias("record_type"), field("WARC-Record-ID").alias("record_id"), field("WARC-Refers-To").alias("refers_to"), F.regexp_extract(text, r"(?s)^.*?\r\n\r\n(.*)\z", 1).alias("block"))
+    """record_type, record_id, refers_to, header and block of the records in WARC files, a file a task at least; gzip, by file or by record, is undone."""
+    names = ["record_type", "record_id", "refers_to", "header", "block"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b.column(0):
+                raw = BytesIO(content.as_buffer())
+                stream = gzip.GzipFile(fileobj=raw) if raw.getbuffer()[:2] == b"\x1f\x8b" else raw
+                held, size = [], 0
+                for r in records_in(stream):
+                    held.append(r)
+                    size += len(r["block"])
+                    if size > 1 << 22:
+                        yield pa.RecordBatch.from_pylist(held, schema)
+                        held, size = [], 0
+                yield pa.RecordBatch.from_pylist(held, schema)
+
+    schema = pa.schema([(n, pa.string()) for n in names])
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).filter("length > 0").select("content")
+    return files.mapInArrow(read, ", ".join(f"{n} string" for n in names))

@@ -363,3 +363,114 @@ def test_simple8b_hot_ids_take_several_shards(spark, tmp_path):
     assert [r[1] for r in got] == [sum(r[2] for r in got[:i]) for i in range(len(got))]
     with pytest.raises(ValueError):
         simple8b.write_ids(df.withColumn("doc_id", F.col("doc_id").cast("string")), str(tmp_path / "g"))
+
+
+def test_token_counts_scan_by_position(spark, docs):
+    whole = {r[0]: r[2] for r in rows(token_counts.count_tokens(docs.limit(40)))}
+    assert sum(len(t) > token_counts.CHUNK for _, t in texts(docs)) > 100  # ordinary documents have several chunks
+    pieces = docs.limit(40).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?s).{1,9}"), F.lit(0))).alias("pos", "piece"))
+    spread = pieces.withColumn("pos", F.col("pos") * 5 - 1000)
+    assert {r[0]: r[1] for r in rows(token_counts.count_tokens_chunked(spread, "doc_id", "pos", "piece", fan=4))} == whole
+    assert token_counts.count_tokens_chunked(pieces.limit(0), "doc_id", "pos", "piece").count() == 0
+
+
+def test_bpe_slices_and_lookahead(docs):
+    own = bpe_stream.stream(P.path("byte_bpe_50k.json"))
+    assert own.lookahead < bpe_stream.SLICE < sorted(len(t) for _, t in texts(docs))[len(texts(docs)) * 2 // 3]
+    own.fst._renew()
+    own.fst.lookahead, kept = 3, own.fst.lookahead
+    with pytest.raises(RuntimeError):
+        own.word("a" * 300 + "internationalization")
+    own.fst.lookahead = kept
+    own.fst._renew()
+
+
+def test_tool_call_graphs(spark):
+    rng = random.Random(4)
+    made = []
+    for conv in range(60):
+        n = rng.randint(1, 14)
+        for i in range(n):
+            before = rng.sample(range(n if rng.random() < 0.1 else max(1, i)), min(max(1, i), rng.choice([0, 1, 1, 1, 2, 3])))
+            made.append((conv, str(i), "fetch", "{}", [str(b) for b in before if i or rng.random() < 0.3] + ["gone"] * (rng.random() < 0.2)))
+    calls = spark.createDataFrame(made, "conv_id long, call_id string, name string, arguments string, after array<string>")
+    there = {(c, i) for c, i, *_ in made}
+    before = {(c, i): {(c, b) for b in a if (c, b) in there} for c, i, _, _, a in made}
+    level: dict = {}
+    while True:
+        new = {k: max((level[b] + 1 for b in v), default=0) for k, v in before.items() if k not in level and all(b in level for b in v)}
+        if not new:
+            break
+        level |= new
+    got = {(r["conv_id"], r["call_id"]): r["position"] for r in tool_calls.link_tool_calls(calls, spark.createDataFrame([], "conv_id long, call_id string, content string"), {"fetch": {}}).collect()}
+    assert got == {k: level.get(k) for k in before} and None in got.values() and max(level.values()) > 3
+
+
+def test_tool_calls_odd(spark):
+    calls = spark.createDataFrame([(1, "a", "search", '{"query":"\\ud800"}', None, "x"), (1, "b", "search", '{"\\ud801":1}', None, "y")], "conv_id long, call_id string, name string, arguments string, after string, position string")
+    results = spark.createDataFrame([(1, "a", "r", 5), (2, "a", "lost", 5), (None, None, "none", 5)], "conv_id long, call_id string, content string, n_calls int")
+    got = {r["call_id"]: r for r in tool_calls.link_tool_calls(calls, results, {"search": {"additionalProperties": False, "properties": {"query": {}}}}).collect()}
+    assert got["a"]["json"] == '{"arguments":{"query":"\\ud800"},"call_id":"a","name":"search","position":0,"result":"r"}' and got["b"]["problems"] == ["$.\\ud801: unknown"]
+    assert sorted(r["content"] for r in tool_calls.orphan_results(calls, results).collect()) == ["lost", "none"]
+
+
+def test_warc_broken_pages_and_lengths(spark, tmp_path):
+    import time
+
+    began = time.perf_counter()
+    for bad in ("<a ", "<title>", "<script>", "<!--", "</script ", '<a href="', "<p>", "&"):
+        warc_derive.derive_page(1, "u", bad * (1_000_000 // len(bad)), None, None)
+    assert time.perf_counter() - began < 20
+    tricky = "x\r\n\r\nWARC/1.1\r\nWARC-Type: fake\r\n\r\n<p>y"
+    pages = spark.createDataFrame([(i, "http://x/", tricky, "2024-01-02T03:04:05Z", "Server: s\r\nEtag: e", 0) for i in (1, 1, 2)], "page_id int, url string, html string, day string, head string, block int")
+    records = warc_derive.derive_records(pages, date_col="day", headers_col="head")
+    assert {r["block"].split("\r\n")[0] for r in records.filter("record_type = 'metadata'").collect()} == {"source-header: Server: s"}
+    assert all("WARC-Date: 2024-01-02T03:04:05Z" in r["header"] for r in records.collect())
+    warc_derive.write_warc(records.repartition(2), str(tmp_path / "w"))
+    back = warc_derive.read_warc(spark, str(tmp_path / "w"))
+    assert sorted((r["record_id"], r["header"], r["block"]) for r in back.collect()) == sorted((r["record_id"], r["header"], r["block"]) for r in records.collect())
+    assert warc_derive.derive_records(pages.limit(0)).count() == 0
+
+
+def test_url_hosts_and_time_lines(spark):
+    urls = ["http://me@evil.com/", "http://user:pw@evil.com/x", "https://EVIL.com./", "http://evil.com:8080?x", "http://evil.com\\@good.org/", "ftp://a@b@evil.com", "http://[::1]:80/", "http://10.0.0.1/x", "nothing", None, "http:///x"]
+    hosts = spark.createDataFrame([(u,) for u in urls], "url string").select(url_lists.host_of(F.col("url")).alias("h"), url_lists.with_parents(url_lists.host_of(F.col("url"))).alias("p")).collect()
+    assert [r["h"] for r in hosts] == ["evil.com"] * 6 + ["[::1]", "10.0.0.1", None, None, None]
+    assert hosts[6]["p"] == ["[::1]"] and hosts[7]["p"] == ["10.0.0.1"]
+    rng = random.Random(8)
+    entries = [(rng.choice(["a.com", "b.a.com", "c.org"]), rng.choice(["allow", "block", "remove"]), f"2024-01-{rng.randint(1, 28):02}", "k") for _ in range(40)]
+    asked = [(i, f"http://{rng.choice(['a.com', 'b.a.com', 'x.b.a.com', 'c.org', 'd.net'])}/", f"2024-01-{rng.randint(1, 28):02}", "z") for i in range(200)]
+    got = {r["page_id"]: (r["verdict"], r["pattern"]) for r in url_lists.filter_captures(spark.createDataFrame(asked, "page_id int, url string, fetched_on string, verdict string"), spark.createDataFrame(entries, "pattern string, action string, listed_on string, host string")).collect()}
+
+    def brute(url, day):
+        for pattern in ("b.a.com", "a.com", "c.org"):  # longest first
+            if ("." + url[7:-1]).endswith("." + pattern):
+                past = [(d, a) for p, a, d, _ in entries if p == pattern and d <= day]
+                if past and max(past)[1] != "remove":
+                    return max(past)[1], pattern
+        return "none", None
+
+    assert got == {i: brute(u, d) for i, u, d, _ in asked}
+    none = spark.createDataFrame([], "page_id int, url string, fetched_on string")
+    assert url_lists.filter_captures(none, spark.createDataFrame(entries, "pattern string, action string, listed_on string, host string")).count() == 0
+
+
+def test_near_dedup_nulls_and_repeats(spark):
+    far = "one two three four five six seven eight nine ten"
+    made = [(1, "x y z w", "a"), (1, "x y z w", "a"), (None, "x y z w", "b"), (None, far, "c"), (None, far, "c"), (3, "", "d"), (2, None, "e"), (5, "x y z w", "f")]
+    df = spark.createDataFrame(made, "doc_id long, text string, fp string").repartition(3)
+    got = sorted(((r["doc_id"] or 0), r["text"] or "", r["fp"]) for r in simhash.keep_first(df).collect())
+    assert got == [(0, far, "c"), (1, "x y z w", "a"), (2, "", "e")] and simhash.keep_first(df).columns == df.columns
+    assert simhash.keep_first(df.limit(0)).count() == 0
+
+
+def test_quality_sample_is_bounded(spark):
+    df = spark.range(40_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(doc):
+        seen.add(1)
+        return False
+
+    quality_cascade.measure(df, [quality_cascade.Rule("r", count)], sample=500)
+    assert 300 < seen.value < 700
