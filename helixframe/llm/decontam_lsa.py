@@ -46,7 +46,7 @@ from helixframe.llm.util import stored, texts_of
 
 PUNCTUATION = ".,;:!?\"'()[]{}«»“”‘’¡¿…–—-"
 #: Words in a passage, words between windows, rank, cosine of a candidate, LCS shares, words of an answer.
-WINDOW, STRIDE, RANK, COSINE, LCS, LOOSE, ANSWER = 16, 8, 32, 0.85, 0.8, 0.6, 4
+WINDOW, STRIDE, RANK, COSINE, LCS, LOOSE, ANSWER = 16, 8, 32, 0.8, 0.8, 0.6, 4
 #: Rare words of an item that a span must hold to be checked.
 RARE = 4
 #: Buckets of words that the benchmark doesn't have.

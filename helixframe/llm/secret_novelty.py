@@ -1,11 +1,19 @@
 """Secret scan: fixed patterns, and strings that a primed compressor finds new.
 
 Base kinds are patterns.  The method adds spans of kind ``novel``: strings of
-letters and digits in a sensitive context, whose marginal compressed size,
-with zstandard primed by an identifier dictionary and the surrounding text,
-stays near their length, or near what the same characters take in random
-order without a primer (long strings of a small alphabet).  Code, prose and names that the surroundings explain
-compress away; keys do not.
+16 characters or more in a sensitive context, whose marginal compressed size,
+with zstandard primed by the corpus's own identifiers, common identifiers and
+the surrounding text, stays near their length, or near what the same characters
+take in random order without a primer (long strings of a small alphabet).  Code,
+prose and names that the surroundings explain compress away; keys do not.
+
+A context is sensitive if one of the `CONTEXT` words stands in the `BEFORE` code
+points before the string; `AROUND` code points on either side are the
+surroundings.  A string of letters alone must also be `LETTERS` long and not
+read like words (case as in words or camel case, enough vowels, no long run of
+consonants).  The identifiers of the corpus are the words before `=`, `(` and
+`:`, counted over all texts, cut into words of 3 to 12 letters (no key is that
+short); the `DICTIONARY` most frequent ones prime the compressor.
 
 Spans are code points, end exclusive, of the whole match.  In the patterns,
 case-insensitive letters are ASCII letters.
@@ -23,11 +31,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.llm.simple8b import groups_of
 from helixframe.llm.util import texts_of
 
 #: The base kinds in order, their patterns, the group measured and its least length.
@@ -58,11 +69,56 @@ IDENTIFIERS = (
 AROUND, BEFORE, BITS = 1500, 48, 6.0
 #: The least share of the unprimed size, and the least bits of entropy of a string measured by it.
 SHARE, ENTROPY = 0.93, 64
+#: The least length of a string of letters alone, and identifiers of the corpus that prime the compressor.
+LETTERS, DICTIONARY = 20, 500
+#: Identifiers counted in a task before their counts are handed on.
+HELD = 200_000
+SUBWORD = re.compile(r"[A-Z]{3,12}(?![a-z])|[A-Za-z][a-z]{2,11}")
+CONSONANTS = re.compile(r"[b-df-hj-np-tv-z]{5}")
+CASES = re.compile(r"[A-Za-z]?[a-z]+(?:[A-Z][a-z]+)*|[A-Z]+")
 
 
-def marginal_bits(candidate: str, before: str, after: str) -> float:
+def corpus_identifiers(df: DataFrame, text_col: str = "text", most: int = DICTIONARY) -> str:
+    """The most frequent identifier words of all texts, one text; counted in tasks, `most` rows reach the driver."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], ["word", "n"])
+
+        for b in batches:
+            for texts in groups_of(b.column(0)):
+                parts = pc.split_pattern_regex(texts.cast(pa.large_string()), "[=(:]")
+                named = pc.struct_field(pc.extract_regex(parts.values, r"""(?P<id>[A-Za-z_][A-Za-z0-9_]{2,})["']? ?$"""), "id")
+                inner = np.ones(len(named), bool)
+                inner[parts.offsets.to_numpy()[1:] - 1] = False  # nothing comes after a text's last part
+                named = pc.if_else(pa.array(inner), named, None)
+                for x in pc.value_counts(named.drop_null()).to_pylist():
+                    for w in SUBWORD.findall(x["values"]):
+                        totals[w] += x["counts"]
+            if len(totals) > HELD:
+                yield out()
+                totals.clear()
+        yield out()
+
+    words = df.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(counted, "word string, n long")
+    top = words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most).collect()
+    return " ".join(r["word"] for r in reversed(top))  # the most frequent nearest to the text
+
+
+def reads_like_words(candidate: str) -> bool:
+    parts = [x for x in re.split("[^A-Za-z]+", candidate) if len(x) > 2]
+    for x in parts:
+        low = x.lower()
+        if not CASES.fullmatch(x) or 4 * sum(map(low.count, "aeiouy")) < len(x) or CONSONANTS.search(low):
+            return False
+    return True
+
+
+def marginal_bits(candidate: str, before: str, after: str, known: str = "") -> float:
     """Bits a character that the candidate adds when identifiers and its surroundings are known."""
-    primer = zstandard.ZstdCompressionDict((IDENTIFIERS + "\n" + after + "\n" + before).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    primer = zstandard.ZstdCompressionDict((IDENTIFIERS + "\n" + known + "\n" + after + "\n" + before).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     press = zstandard.ZstdCompressor(level=19, dict_data=primer, write_content_size=False, write_checksum=False, write_dict_id=False)
     return 8 * (len(press.compress(candidate.encode())) - len(press.compress(b""))) / len(candidate)
 
@@ -78,8 +134,8 @@ def unexplained_bits(candidate: str) -> float:
     return 8 * (len(press.compress(mixed.encode())) - len(press.compress(b""))) / n
 
 
-def is_novel(candidate: str, before: str, after: str, bits: float = BITS) -> bool:
-    got = marginal_bits(candidate, before, after)
+def is_novel(candidate: str, before: str, after: str, bits: float = BITS, known: str = "") -> bool:
+    got = marginal_bits(candidate, before, after, known)
     return got >= bits or got >= SHARE * unexplained_bits(candidate)
 
 
@@ -95,7 +151,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def novel_spans(text: str, taken: list[tuple[int, int, str]], bits: float = BITS) -> list[tuple[int, int, str]]:
+def novel_spans(text: str, taken: list[tuple[int, int, str]], bits: float = BITS, known: str = "") -> list[tuple[int, int, str]]:
     found: list[tuple[int, int, str]] = []
     low = text.lower()
     if not CONTEXT.search(low):
@@ -105,26 +161,29 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], bits: float = BITS
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
         word = m[0]
-        if not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)) or any(a < e and s < b for a, b, _ in taken):
+        if any(a < e and s < b for a, b, _ in taken) or not any(c.isalpha() for c in word):
+            continue
+        if not any(c.isdigit() for c in word) and (len(word) < LETTERS or reads_like_words(word)):
             continue
-        if CONTEXT.search(low, max(0, s - BEFORE), s) and is_novel(word, text[max(0, s - AROUND) : s], text[e : e + AROUND], bits):
+        if CONTEXT.search(low, max(0, s - BEFORE), s) and is_novel(word, text[max(0, s - AROUND) : s], text[e : e + AROUND], bits, known):
             found.append((s, e, "novel"))
     return found
 
 
-def spans_of(text: str) -> list[tuple[int, int, str]]:
+def spans_of(text: str, known: str = "") -> list[tuple[int, int, str]]:
     """All spans by start, then kind as listed, the method's last."""
     rank = {k: i for i, k in enumerate(["assign", "access", "hex", "novel"])}
     base = base_spans(text)
-    return sorted(base + novel_spans(text, base), key=lambda x: (x[0], rank[x[2]], x[1]))
+    return sorted(base + novel_spans(text, base, known=known), key=lambda x: (x[0], rank[x[2]], x[1]))
 
 
 def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and spans (array of kind, start, end) of each whole text; narrow."""
+    """doc_id and spans (array of kind, start, end) of each whole text; narrow after the count of identifiers."""
+    known = corpus_identifiers(df, text_col)
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [[{"kind": k, "start": s, "end": e} for s, e, k in spans_of(t.as_py())] for t in b.column(1)]
+            rows = [[{"kind": k, "start": s, "end": e} for s, e, k in spans_of(t.as_py(), known)] for t in b.column(1)]
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, kind)], ["doc_id", "spans"])
 
@@ -135,12 +194,13 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """df, all columns, with every span of the text replaced by the mark; null texts stay null."""
     at = df.columns.index(text_col)
+    known = corpus_identifiers(df, text_col)
 
     def masked(text: str | None) -> str | None:
         if not text:
             return text
         parts, done = [], 0
-        for s, e, _ in spans_of(text):
+        for s, e, _ in spans_of(text, known):
             if s >= done:
                 parts += [text[done:s], mark]
             done = max(done, e)

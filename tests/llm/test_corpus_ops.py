@@ -474,3 +474,109 @@ def test_quality_sample_is_bounded(spark):
 
     quality_cascade.measure(df, [quality_cascade.Rule("r", count)], sample=500)
     assert 300 < seen.value < 700
+
+
+def test_secret_base_spans_by_brute_force(docs, odd):
+    import re
+
+    for df in (docs, odd):
+        got = {(r["doc_id"], r["base_sha256"], r["n_assign"], r["n_access"], r["n_hex"]) for r in secret_novelty.digests(secret_novelty.scan_secrets(df)).collect()}
+        expected = set()
+        for i, t in texts(df):
+            found = []
+            for kind, p, flags, group, least in (("assign", r"""(password|passwd|secret|token|api_?key)["']?[ ]*[:=][ ]*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, 2, 8), ("access", "AKIA[A-Z0-9]+", 0, 0, 16), ("hex", "[0-9a-f]+", 0, 0, 32)):
+                found += [(m.start(), ("assign", "access", "hex").index(kind), f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(p, t, flags) if len(m[group]) >= least]
+            kinds = Counter(x[2].split(":")[0] for x in found)
+            expected.add((i, hashlib.sha256(",".join(x[2] for x in sorted(found)).encode()).hexdigest(), kinds["assign"], kinds["access"], kinds["hex"]))
+        assert got == expected
+
+
+def test_secret_recall_and_false_alarms(spark, docs):
+    rng = random.Random(6)
+    code = spark.createDataFrame([(f"sessionTimeout = 5\nloadConfig(path)\nretry_count: {i}",) for i in range(30)], "text string")
+    known = secret_novelty.corpus_identifiers(code.unionByName(docs.select("text")))
+    assert {"session", "Timeout", "retry", "count", "load", "Config"} <= set(known.split())
+    assert secret_novelty.corpus_identifiers(docs.limit(0)) == ""
+    prose = [t for _, t in texts(docs) if 300 < len(t) < 3000]
+    lower, letters = "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for alphabet, n in ((lower, 24), (letters, 24), (letters + "0123456789", 20), (letters + "0123456789+/", 40)):
+        hits = 0
+        for _ in range(100):
+            key, p = "".join(rng.choices(alphabet, k=n)), rng.choice(prose)
+            text = f"{p[:200]} the credential is {key} {p[200:]}"
+            hits += any(text[a:b] == key for a, b, _ in secret_novelty.novel_spans(text, [], known=known))
+        assert hits >= 90, (alphabet, n)
+    more = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    long_words = [w for _, t in texts(more) for w in t.split() if len(w) >= 16 and w.strip(".,").isalpha()]
+    assert len(long_words) > 100
+    alarms = sum(bool(secret_novelty.novel_spans(f"{t[:200]} the signature of {w} and {t[200:]}", [], known=known)) for t, w in zip(prose * 50, long_words))
+    assert alarms <= 0.02 * len(long_words)
+    assert not any(k == "novel" for t in prose for _, _, k in secret_novelty.spans_of(t, known))
+
+
+def test_corpus_operators_on_empty_tables_and_long_texts(spark, docs):
+    none = docs.limit(0)
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    made = [token_counts.count_tokens(none), bpe_stream.encode_round_trip(none), secret_novelty.scan_secrets(none), decontam_lsa.contaminated(none, bench), quality_cascade.cascade(none)]
+    stages = [quality_cascade.keep_good(none), simhash.keep_first(none), decontam_lsa.drop_contaminated(none, bench), secret_novelty.redact(none)]
+    assert [df.count() for df in made + stages] == [0] * 9 and all(df.columns == docs.columns for df in stages)
+    item = bench.first()["text"]
+    words = [w for _, t in texts(docs) for w in t.split()][:40_000]
+    long = " ".join(words) + " " + item + " " + " ".join(words) + ' token = "abcdefgh12345" ' + " ".join(words) + " " + " ".join(item.split())
+    df = spark.createDataFrame([(1, long, 5, 6), (2, None, 5, 6), (3, "x" * 300_000, 5, 6)], "doc_id int, text string, ids int, item_id int")
+    pairs = {(r["doc_id"], r["item_id"]) for r in decontam_lsa.contaminated(df, bench).collect()}
+    assert (1, bench.first()["item_id"]) in pairs and {d for d, _ in pairs} == {1}
+    judged = {r["doc_id"]: (r["n_words"], r["n_repeat_words"] > 100_000) for r in quality_cascade.cascade(df, features=True).collect()}
+    assert judged == {1: (len(long.split()), True), 2: (0, False), 3: (1, False)}
+    spans = {r["doc_id"]: r["n_assign"] for r in secret_novelty.digests(secret_novelty.scan_secrets(df)).collect()}
+    assert spans[1] >= 1 and spans[2] == spans[3] == 0
+
+
+def test_decontamination_ids_blocks_and_ends(spark):
+    rng = random.Random(9)
+    lexicon = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8))) for _ in range(4000)]
+    items = [" ".join(rng.choices(lexicon, k=rng.choice([1, 3, 8, 15, 30, 60]))) for _ in range(40)]
+    filler = lambda n: " ".join(rng.choices(lexicon, k=n))
+    docs = [(f"d{n}-{at}", f"{filler(64 + at)} {items[n]}") for n in range(40) for at in range(0, 8, 3)] + [(f"clean{n}", filler(200)) for n in range(50)]
+    bench = spark.createDataFrame([(n, t, "z") for n, t in enumerate(items)], "item_id smallint, text string, doc_id string")
+    df = spark.createDataFrame([(d, t, 1) for d, t in docs] + [(None, docs[20][1], 1)], "doc_id string, text string, item_id int").repartition(3)
+    expected = {(d, int(d[1:].split("-")[0])) for d, _ in docs if d[0] == "d"} | {(None, int(docs[20][0][1:].split("-")[0]))}
+    whole = {(r["doc_id"], r["item_id"]) for r in decontam_lsa.contaminated(df, bench).collect()}
+    assert expected <= whole
+    assert {(r["doc_id"], r["item_id"]) for r in decontam_lsa.contaminated(df, bench, most_words=200).collect()} == whole  # blocks of items
+    left = decontam_lsa.drop_contaminated(df.unionByName(spark.createDataFrame([(None, "other text without an id", 1)], df.schema)), bench)
+    gone = {d for d, _ in whole}
+    assert {r["doc_id"] for r in left.filter("doc_id is not null").collect()} == {d for d, _ in docs} - gone and left.filter("doc_id is null").count() == 1 and left.columns == df.columns
+
+
+def test_decontamination_cosine_recall(spark, docs):
+    """The cosine search alone against the checks, on exact copies and paraphrases (a fifth of the words changed)."""
+    bench = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet")
+    items = [decontam_lsa.words_of(r["text"]) for r in bench.orderBy("item_id").collect()]
+    terms = {w: i for i, w in enumerate(sorted({w for ws in items for w in ws} - {""}))}
+    seqs = [[terms.get(w, -1) for w in ws] for ws in items]
+    rng = random.Random(2)
+    clean = [t for _, t in texts(docs) if 60 < len(t.split()) < 400]
+    planted = []
+    for n, ws in enumerate(items):
+        for share in (0, 0.1, 0.2):
+            for _ in range(3):
+                base, own = rng.choice(clean).split(), list(ws)
+                for i in rng.sample(range(len(own)), int(share * len(own))):
+                    own[i] = rng.choice(rng.choice(clean).split())
+                at = rng.choice([0, len(base), rng.randrange(len(base))])
+                planted.append((share, n, " ".join(base[:at] + own + base[at:])))
+    vocabulary = decontam_lsa.Vocabulary(terms)
+    sums = decontam_lsa.Sums(vocabulary.none, decontam_lsa.WINDOW, decontam_lsa.RANK)
+    numbers = vocabulary.numbers(pa.array([t for *_, t in planted]))
+    for x in vocabulary.numbers(pa.array([t for _, t in texts(docs)])) + [np.array([i if i >= 0 else vocabulary.none for i in s], np.int32) for s in seqs]:
+        sums.feed(x)
+    sums.flush()
+    asked = decontam_lsa.Items(seqs, decontam_lsa.latent_terms(sums.total[:-1], sums.passages), sums.total[: len(terms), 0], decontam_lsa.WINDOW, decontam_lsa.STRIDE, decontam_lsa.COSINE, decontam_lsa.LCS, decontam_lsa.LOOSE)
+    near = {(int(d), int(n)) for doc, item, *_ in asked.windows(numbers) for d, n in zip(doc, item)}
+    for share in (0, 0.1, 0.2):
+        of = [(d, n) for d, (s, n, _) in enumerate(planted) if s == share]
+        print(share, sum(x in near for x in of) / len(of))
+        assert sum(x in near for x in of) >= 0.9 * len(of), share
+    found = asked.found(numbers)
+    assert sum((d, n) in found for d, (_, n, _) in enumerate(planted)) >= 0.97 * len(planted)
