@@ -27,7 +27,7 @@ def is_blank(x) -> Column:
 
 def parse_number(x) -> Column:
     """Commas dropped; null for what is not a decimal number (nan, inf and 1_000 included)."""
-    text = F.trim(F.regexp_replace(col(x), ",", ""))
+    text = F.regexp_replace(clean_text(x), ",", "")
     return F.when(text.rlike(rf"^{NUMBER}$"), text.try_cast("double"))
 
 
@@ -37,6 +37,18 @@ def general_format(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if pd.isna(v) else f"{v:g}")
 
 
+def number_text(x) -> Column:
+    """A text that is a number with six significant digits, any other cleaned up."""
+    return F.coalesce(general_format(parse_number(x)), clean_text(x))
+
+
+def whole_number(x) -> Column:
+    """The whole part of a decimal text; null for what is no number."""
+    text = F.trim(col(x).cast("string"))
+    number = F.when(text.rlike(rf"^{NUMBER}$"), text.try_cast("double"))
+    return F.when(F.abs(number) < 2.0**62, number.cast("long"))
+
+
 def first_two_numbers(x) -> tuple[Column, Column]:
     """The first two numbers of a text, a sign right before the digits included; fewer: both null."""
     found = F.regexp_extract_all(col(x), F.lit(f"({NUMBER})"), F.lit(1))
@@ -46,7 +58,7 @@ def first_two_numbers(x) -> tuple[Column, Column]:
 
 def mean_sem(x) -> tuple[Column, Column]:
     """`mean ± sem` as a whole, or nulls."""
-    text = F.coalesce(col(x).cast("string"), F.lit(""))
+    text = clean_text(col(x).cast("string"))
     return F.nullif(F.regexp_extract(text, MEAN_SEM, 1), F.lit("")).try_cast("double"), F.nullif(F.regexp_extract(text, MEAN_SEM, 2), F.lit("")).try_cast("double")
 
 
@@ -71,25 +83,23 @@ def split_label(x, delimiter: str = "-") -> tuple[Column, Column]:
     return first, F.coalesce(F.nullif(rest, F.lit("")), text)
 
 
-def dose_unit(header: str) -> str:
-    m = re.search(r"\(([^)]+)\)", header)
-    return " ".join(m[1].split()) if m else ""
+def dose_unit(header) -> Column:
+    """What a header has between its first brackets; blank: none."""
+    return clean_text(F.regexp_extract(header, r"\(([^)]+)\)", 1))
 
 
-def format_dose(x, unit: str) -> Column:
+def format_dose(x, unit) -> Column:
     """The dose with its unit unless it is there; a blank dose gives the unit after a space."""
     text = clean_text(x)
-    return text if not unit else F.when(F.instr(F.lower(text), unit.lower()) > 0, text).otherwise(F.concat(text, F.lit(f" {unit}")))
+    return F.when((unit == "") | F.contains(F.lower(text), F.lower(unit)), text).otherwise(F.concat_ws(" ", text, unit))
 
 
-def timepoint(header: str) -> str:
-    """What follows the first dash, else the first colon, else the word time."""
-    text = " ".join(str(header).split())
-    mark = next((m for m in "-:" if m in text), None)
-    if mark:
-        return text.partition(mark)[2].strip() or text
-    first, _, rest = text.partition(" ")
-    return rest if rest and first.lower() == "time" else text
+def timepoint(header) -> Column:
+    """The rest of a header after its mark: the first dash, else the first colon, else the word time; no rest: all of it."""
+    text = clean_text(header)
+    after = lambda pattern: F.nullif(F.trim(F.regexp_extract(text, pattern, 1)), F.lit(""))
+    rest = F.when(F.contains(text, F.lit("-")), after("^[^-]*-(.*)$")).when(F.contains(text, F.lit(":")), after("^[^:]*:(.*)$")).otherwise(after("(?i)^time (.+)$"))
+    return F.coalesce(rest, text)
 
 
 def safe_filename(x) -> Column:

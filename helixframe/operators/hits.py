@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.functions.seq import normalize_dna, safe_identifier
+from helixframe.functions.textcells import whole_number
 
 HIT_COLUMNS = ("query_id", "subject_id", "percent_identity", "alignment_length", "mismatches", "gap_opens", "query_start", "query_end", "subject_start", "subject_end", "evalue", "bit_score")
 
@@ -19,9 +20,9 @@ def query_lengths(queries: DataFrame) -> DataFrame:
 def enrich_hits(hits: DataFrame, queries: DataFrame) -> DataFrame:
     """Adds query_length and alignment_fraction (null for unknown queries or unreadable lengths)."""
     rows = hits.join(query_lengths(queries), "query_id", "left")
-    return rows.withColumn("alignment_fraction", F.try_divide(F.col("alignment_length").try_cast("double"), F.col("query_length")))
+    return rows.withColumn("alignment_fraction", F.try_divide(whole_number("alignment_length").cast("double"), F.col("query_length")))
 
 
 def filter_hits(enriched: DataFrame, max_mismatches: int = 3, max_gap_opens: int = 0, min_fraction: float = 0.8) -> DataFrame:
-    """Rows within all limits; what can't be read drops out."""
-    return enriched.filter((F.col("mismatches").try_cast("int") <= max_mismatches) & (F.col("gap_opens").try_cast("int") <= max_gap_opens) & (F.col("alignment_fraction") >= min_fraction))
+    """Rows within all limits; decimals count with their whole part, what can't be read drops out."""
+    return enriched.filter((whole_number("mismatches") <= max_mismatches) & (whole_number("gap_opens") <= max_gap_opens) & (F.col("alignment_fraction") >= min_fraction))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,3 +30,20 @@ def cut(df: DataFrame) -> DataFrame:
     """df as checkpointed in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "input_order") -> DataFrame:
+    """df with a number from 1 by `order` (ties in any order), without one window over all rows.
+
+    Rows are dealt by ranges of `order`; each range is numbered on its own, from
+    the number of rows in the ranges before it (a row a range on the driver).
+    """
+    parts = cut(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    sizes = sorted(tuple(r) for r in parts.groupBy("__range").count().collect())
+    before, so_far = [], 0
+    for part, n in sizes:
+        before.append((part, so_far))
+        so_far += n
+    offsets = df.sparkSession.createDataFrame(before, "__range int, __before long")
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return parts.join(F.broadcast(offsets), "__range").withColumn(name, own + F.col("__before")).drop("__range", "__before")

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from helixframe.functions.seq import normalize_dna, normalize_rna, output_column_names, position_error, position_value, region_error, reverse_complement, safe_identifier, sequence_error, subsequence
 from helixframe.functions.textcells import is_blank
+from helixframe.operators import lineage
 
 RESULT_COLUMNS = ("SS matched", "AS matched", "matched length (nt)", "match error")
 
@@ -37,13 +43,15 @@ def fill_ranges(ranges: DataFrame, transcripts: DataFrame, start: str = "start",
     """Fills the four result columns from text coordinates; a blank coordinate leaves all blank.
 
     With an accession column ranges meet their transcripts in an equi-join (an
-    unknown one is an error); without, transcripts holds one row.
+    unknown one is an error); without, there must be just one transcript.
     """
     table = transcripts.select(F.col("accession").alias("__accession"), normalize_rna("seq").alias("__rna"))
     if accession:
         rows = ranges.join(table, F.col(accession) == F.col("__accession"), "left")
     else:
-        rows = ranges.crossJoin(F.broadcast(table.limit(1)))
+        if len(transcripts.select("accession").take(2)) > 1:
+            raise ValueError("There are several transcripts: say which column of the ranges has their accessions.")
+        rows = ranges.crossJoin(F.broadcast(table))
     a, b = position_value(start), position_value(end)
     blank = is_blank(F.col(start)) | is_blank(F.col(end))
     error = F.coalesce(position_error(start, start), position_error(end, end), F.when(F.col("__rna").isNull(), F.lit("Transcript not found.")), region_error("__rna", a, b))
@@ -64,32 +72,126 @@ def duplicate_groups(queries: DataFrame) -> DataFrame:
 
 
 def annotate_queries(queries: DataFrame) -> DataFrame:
-    """Input rows with safe id, length, duplicate flag and the names of their duplicates."""
+    """Input rows with safe id, length, duplicate flag and the names of their duplicates.
+
+    Each of m duplicates carries m names; flag_duplicates() and
+    duplicate_members() say the same in rows that don't grow.
+    """
     rows = queries.withColumn("sequence", normalize_rna("seq"))
     out = rows.join(duplicate_groups(queries), "sequence", "left")
     return out.select("input_order", "name", safe_identifier("name").alias("blast_id"), "sequence", F.length("sequence").alias("length"), F.col("names").isNotNull().alias("is_duplicate"), F.coalesce("names", F.lit("")).alias("duplicate_names"))
 
 
+def _duplicate_counts(queries: DataFrame) -> DataFrame:
+    counts = queries.groupBy(normalize_rna("seq").alias("sequence")).agg(F.min("input_order").alias("duplicate_group"), F.count("*").alias("duplicate_count"))
+    return counts.filter("duplicate_count > 1")
+
+
+def flag_duplicates(queries: DataFrame) -> DataFrame:
+    """Input rows with safe id, length, duplicate flag, and the first input order and size of their group (null: none)."""
+    rows = queries.withColumn("sequence", normalize_rna("seq"))
+    out = rows.join(_duplicate_counts(queries), "sequence", "left")
+    return out.select("input_order", "name", safe_identifier("name").alias("blast_id"), F.length("sequence").alias("length"), F.col("duplicate_group").isNotNull().alias("is_duplicate"), "duplicate_group", F.coalesce("duplicate_count", F.lit(1)).alias("duplicate_count"))
+
+
+def duplicate_members(queries: DataFrame) -> DataFrame:
+    """(duplicate_group, input_order, name): a row a name of each group."""
+    rows = queries.select("input_order", "name", normalize_rna("seq").alias("sequence"))
+    return rows.join(_duplicate_counts(queries), "sequence").select("duplicate_group", "input_order", "name")
+
+
+def _packed(sizes: np.ndarray, budget: int, batch: int, used: int) -> tuple[list[int], int, int]:
+    """The batch of each record, and the last batch with what it holds, when `used` bases of `batch` are taken before."""
+    out = []
+    for n in sizes.tolist():
+        if not batch or used + n > budget:
+            batch, used = batch + 1, 0
+        used += n
+        out.append(batch)
+    return out, batch, used
+
+
+def _packing_map(sizes: np.ndarray, budget: int) -> np.ndarray:
+    """For each number of bases taken before (0..budget, and one more for an oversize record): batches opened, bases held at the end."""
+    used, opened = np.arange(budget + 2), np.zeros(budget + 2, np.int64)
+    for n in sizes.tolist():
+        new = used + n > budget
+        opened += new
+        used = np.where(new, n, used + n)
+    return np.stack([opened, used])
+
+
 def pack_batches(queries: DataFrame, max_bases: int = 1000, key: str | None = None) -> DataFrame:
     """Adds batch_index (from 1): greedy packing in input order, a new batch when the budget would be passed.
 
-    Packing depends on all rows before within a job key, so a key is one fold;
-    many keys run in parallel.  Only (order, length) pairs enter the fold.
+    Rows are dealt by ranges of (key, input_order), so a key, or all rows
+    without one, is spread over tasks.  A range that lies inside one key becomes
+    a map from the bases taken before it (0..max_bases) to the batches it opens
+    and the bases it leaves; the driver composes one such map a range, and each
+    range is packed from its start.
     """
-    rows = queries.withColumn("__key", F.col(key) if key else F.lit(0)).withColumn("__n", F.length(normalize_dna("seq")))
-    items = F.array_sort(F.collect_list(F.struct("input_order", "__n")))
-    zero = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("used"), F.array().cast("array<struct<input_order:bigint,batch_index:int>>").alias("out"))
-
-    def step(acc, x):
-        new = (acc["batch"] == 0) | (acc["used"] + x["__n"] > max_bases)
-        batch = F.when(new, acc["batch"] + 1).otherwise(acc["batch"])
-        used = F.when(new, x["__n"]).otherwise(acc["used"] + x["__n"])
-        added = F.array(F.struct(x["input_order"].cast("bigint").alias("input_order"), batch.alias("batch_index")))
-        return F.struct(batch.alias("batch"), used.alias("used"), F.concat(acc["out"], added).alias("out"))
-
-    packed = rows.groupBy("__key").agg(F.aggregate(items, zero, step, lambda acc: acc["out"]).alias("out"))
-    placed = packed.select("__key", F.inline("out"))
-    return rows.join(placed, ["__key", "input_order"]).drop("__key", "__n")
+    rows = queries.withColumn("__key", F.col(key) if key else F.lit(0)).withColumn("__n", F.coalesce(F.length(normalize_dna("seq")), F.lit(0)))
+    slim = rows.select("__key", "input_order", "__n").repartitionByRange("__key", "input_order").withColumn("__range", F.spark_partition_id())
+    slim = lineage.cut(slim)
+    dealt = slim.repartition("__range").sortWithinPartitions("__range", "__key", "input_order")
+    kinds = {f.name: f.dataType for f in slim.schema}
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, object, pa.Table]]:
+        """(range, key, rows) of the sorted rows: a range's rows of one key at a time."""
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            at = np.array(b.column(3))
+            keys = b.column(0)
+            new = np.append(True, at[1:] != at[:-1])
+            if b.num_rows > 1:
+                same = keys.slice(1).to_pandas().eq(keys.slice(0, b.num_rows - 1).to_pandas()) | (keys.slice(1).to_pandas().isna() & keys.slice(0, b.num_rows - 1).to_pandas().isna())
+                new[1:] |= ~same.to_numpy()
+            starts = np.flatnonzero(new).tolist()
+            for i, j in zip(starts, [*starts[1:], b.num_rows]):
+                part = b.slice(i, j - i)
+                if held and (held[0].column(3)[0] != part.column(3)[0] or held[0].column(0)[0] != part.column(0)[0]):
+                    yield held[0].column(3)[0].as_py(), held[0].column(0)[0].as_py(), pa.Table.from_batches(held)
+                    held = []
+                held.append(part)
+        if held:
+            yield held[0].column(3)[0].as_py(), held[0].column(0)[0].as_py(), pa.Table.from_batches(held)
+
+    def mapped(batches):
+        first: dict[int, list] = {}
+        for at, k, part in ranges(batches):
+            sizes = part.column(2).to_numpy()
+            if at not in first:
+                first[at] = [k, k, _packing_map(sizes, max_bases).tobytes(), 0, 0]
+            else:
+                first[at][2] = b""  # several keys: what comes before doesn't reach the end
+            _, batch, used = _packed(sizes, max_bases, 0, 0)
+            first[at][1], first[at][3:] = k, [batch, used]
+        cols = [pa.array(list(first), pa.int32())]
+        cols += [pa.array([v[i] for v in first.values()], t) for i, t in enumerate((to_arrow_type(kinds["__key"]), to_arrow_type(kinds["__key"]), pa.binary(), pa.int64(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays(cols, ["at", "first", "last", "map", "batch", "used"])
+
+    name = kinds["__key"].simpleString()
+    found = dealt.mapInArrow(mapped, f"at int, first {name}, last {name}, map binary, batch long, used long").collect()  # a row a range
+    starts, end = {}, None
+    for r in sorted(found, key=lambda r: r["at"]):
+        goes_on = end is not None and end[0] == r["first"]
+        starts[r["at"]] = end if goes_on else (r["first"], 0, 0)
+        if goes_on and r["map"]:
+            opened, used = np.frombuffer(r["map"], np.int64).reshape(2, -1)[:, min(end[2], max_bases + 1)].tolist()
+            end = (r["last"], end[1] + opened, used)
+        else:
+            end = (r["last"], r["batch"], r["used"])
+
+    def placed(batches):
+        for at, k, part in ranges(batches):
+            own = starts[at]
+            out, _, _ = _packed(part.column(2).to_numpy(), max_bases, *(own[1:] if own[0] == k else (0, 0)))
+            whole = part.combine_chunks()
+            yield pa.RecordBatch.from_arrays([whole.column(0).chunk(0), whole.column(1).chunk(0), pa.array(out, pa.int32())], ["__key", "input_order", "batch_index"])
+
+    batches = dealt.mapInArrow(placed, f"__key {name}, input_order {kinds['input_order'].simpleString()}, batch_index int")
+    batches = batches.select(F.col("__key").alias("__k"), F.col("input_order").alias("__o"), "batch_index")
+    return rows.join(batches, rows["__key"].eqNullSafe(F.col("__k")) & (rows["input_order"] == F.col("__o"))).drop("__key", "__n", "__k", "__o")
 
 
 def batch_stats(packed: DataFrame) -> DataFrame:
@@ -113,4 +215,4 @@ def sequence_errors(df: DataFrame, column: str) -> DataFrame:
 
 def numbered(df: DataFrame, order: list[str]) -> DataFrame:
     """input_order from 1 by a source position."""
-    return df.withColumn("input_order", F.row_number().over(Window.orderBy(*order)))
+    return lineage.numbered(df, order)

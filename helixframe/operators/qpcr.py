@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions.textcells import clean_text, first_two_numbers, is_blank, is_control, parse_number
+from helixframe.functions.textcells import clean_text, first_two_numbers, general_format, is_blank, is_control, number_text, parse_number
 from helixframe.operators import sheets
 from helixframe.operators.lineage import cut
 from helixframe.operators.sheets import BLOCK, SHEET
@@ -30,9 +30,9 @@ def dedupe(df: DataFrame, keys: list[str], order: str, carry: list[str] = []) ->
 
 
 def mean_rq_and_sem(mean_sem: str, mean: str, sem: str):
-    """Separate columns where they have text, else the first two numbers of the combined one; as texts."""
+    """Separate columns where they have text, else the first two numbers of the combined one; as texts, numbers with six digits."""
     a, b = first_two_numbers(mean_sem)
-    pick = lambda own, split: F.when(~is_blank(own), clean_text(own)).when(~is_blank(mean_sem), split.cast("string"))
+    pick = lambda own, split: F.when(~is_blank(own), number_text(own)).when(~is_blank(mean_sem), general_format(split))
     return pick(mean, a), pick(sem, b)
 
 
@@ -52,8 +52,7 @@ def _summaries(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(summary rows, issues) of the blocks found in cells."""
     split = cut(sheets.blocks(cells))  # read by every step below
     heads = cut(sheets.headers(split))
-    roles = cut(sheets.role_columns(heads))
-    gene = cut(sheets.genes(heads))
+    roles, gene = sheets.role_columns(heads), sheets.genes(heads)
     names = ["group", "compound", "size", "mean_sem", "mean", "sem"]
     joined = lambda g: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*g))), lambda x: x["gene"]), "; ")
     refs = gene.filter("gene_order >= 2").groupBy(*BLOCK).agg(joined(["gene_order", "gene"]).alias("source"))
@@ -85,7 +84,6 @@ def summarize(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     The region under an embedded header counts only for sheets whose whole
     grid gives nothing.
     """
-    cells = cut(cells)
     direct, issues = _summaries(cells)
     direct = cut(direct)
     rest = cells.join(direct.select(*SHEET).distinct(), SHEET, "left_anti")
@@ -99,17 +97,29 @@ def summarize(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
 def sample_cts(cells: DataFrame, numbers: DataFrame | None = None) -> DataFrame:
     """Reference-gene CTs as rows, gene by gene: workbook, sheet, block, gene_order, row, Group, Compound ID, Reference gene, Mean CT.
 
-    numbers: values of formula cells (resolve_formulas), used where a cell's text is no number.
+    numbers: values of formula cells by their places in the sheet
+    (resolve_formulas), used where a cell's text is no number.  The region under
+    an embedded header counts only for sheets whose whole grid gives nothing.
     """
+    direct = cut(_sample_cts(cells.withColumn("row_offset", F.lit(0)), numbers))
+    rest = cells.join(direct.select(*SHEET).distinct(), SHEET, "left_anti")
+    if sheets.embedded_header(rest).isEmpty():
+        return direct
+    return direct.unionByName(_sample_cts(sheets.below_embedded(rest), numbers))
+
+
+def _sample_cts(cells: DataFrame, numbers: DataFrame | None) -> DataFrame:
     split = cut(sheets.blocks(cells))
     heads = cut(sheets.headers(split))
     roles = sheets.role_columns(heads).filter("group_col IS NOT NULL AND compound_col IS NOT NULL")
     labels = forward_fill(_role_values(split, roles, ["group", "compound"]), ["group", "compound"], BLOCK, ["row"])
     gene = sheets.genes(heads).filter("gene_order >= 2 AND mean_ct_col IS NOT NULL")
-    at = split.filter("row >= 3").select(*BLOCK, "row", "col", "value").join(gene.withColumnRenamed("mean_ct_col", "col"), [*BLOCK, "col"])
+    at = split.filter("row >= 3").select(*BLOCK, "row", "col", "value", "row_offset").join(gene.withColumnRenamed("mean_ct_col", "col"), [*BLOCK, "col"])
+    value = parse_number("value")
     if numbers is not None:
-        at = at.join(numbers, [*SHEET, "row", "col"], "left")
-    value = F.coalesce(parse_number("value"), F.col("number")) if numbers is not None else parse_number("value")
+        places = numbers.select(*SHEET, F.col("row").alias("sheet_row"), "col", "number")
+        at = at.withColumn("sheet_row", F.col("row") + F.col("row_offset")).join(places, [*SHEET, "sheet_row", "col"], "left")
+        value = F.coalesce(value, F.col("number"))
     rows = at.join(labels, [*BLOCK, "row"]).withColumn("Mean CT", value).filter(~is_control("group", "compound") & F.col("Mean CT").isNotNull())
     return rows.select(*BLOCK, "gene_order", "row", clean_text("group").alias("Group"), clean_text("compound").alias("Compound ID"), F.col("gene").alias("Reference gene"), "Mean CT")
 

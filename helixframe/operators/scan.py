@@ -1,23 +1,26 @@
 """Mismatch scans of oligos against transcripts.
 
-Transcripts are tiled (a tile owns the windows that start in it), windows are
-encoded with two bits a base, and mismatches are counted with bit operations.
-Few targets: every window meets every target (broadcast, size checked).  Many
-targets: windows and targets meet in an equi-join on one of k + 1 pieces, of
-which a window with at most k mismatches must match one exactly.
+Transcripts are cut into tiles (a tile owns the windows that start in it) and
+windows become numbers, two bits a base.  Windows and targets meet in an
+equi-join on one of k + 1 pieces, of which a window with at most k mismatches
+must match one exactly: bit slices of the numbers.  Few targets are broadcast
+(their number is counted first), so windows aren't shuffled; more are joined
+by a shuffle.  A pair counts only at its first matching piece, so nothing has
+to be made distinct.  Where pieces are so short that they tell little, every
+window meets every target.  Oligos of all lengths share one pass.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.seq import mismatch_positions, normalize_rna, reverse_complement
 
-#: Windows owned by a tile, and targets that are broadcast at most.
-TILE, FEW = 500, 2000
+#: Windows owned by a tile, targets that are broadcast at most, bases in one number.
+TILE, FEW, WORD = 256, 2000, 30
 ODD_BITS = 6148914691236517205
 
 
@@ -35,84 +38,142 @@ def query_regions(queries: DataFrame, regions: list[tuple[str, int | None, int |
     return both.withColumn("as_region_sequence", region).withColumn("target_5to3", reverse_complement("as_region_sequence"))
 
 
-def tiles(transcripts: DataFrame, length: int, size: int = TILE) -> DataFrame:
-    """(accession, offset, tile): pieces of size + length - 1 bases; the windows of `length` that start in the first `size` are its own."""
-    rows = transcripts.withColumn("rna", normalize_rna("seq")).filter(F.length("rna") >= length)
-    last = F.length("rna") - length
-    starts = F.sequence(F.lit(0), F.floor(last / size).cast("int"))
-    return rows.select("accession", "rna", F.explode(starts).alias("n")).select("accession", (F.col("n") * size).alias("offset"), F.substr("rna", F.col("n") * size + 1, F.lit(size + length - 1)).alias("tile"))
-
-
-def windows(transcripts: DataFrame, length: int, size: int = TILE) -> DataFrame:
-    """(accession, start, window): every window of one length, 1-based start."""
-    cut = tiles(transcripts, length, size)
-    at = cut.select("accession", "offset", "tile", F.explode(F.sequence(F.lit(1), F.length("tile") - length + 1)).alias("i"))
-    return at.select("accession", (F.col("offset") + F.col("i")).cast("int").alias("start"), F.substr("tile", "i", F.lit(length)).alias("window"))
+def tiles(transcripts: DataFrame, longest: int, size: int = TILE) -> DataFrame:
+    """(accession, offset, tile, owned): pieces of size + longest - 1 bases; the windows that start in the first `owned` are its own."""
+    rows = transcripts.select("accession", F.regexp_extract_all(normalize_rna("seq"), F.lit(f"(?s).{{1,{size}}}"), F.lit(0)).alias("parts"))
+    ahead = -(-(longest - 1) // size)  # parts that a tile's windows reach into
+    nexts = [F.slice("parts", i + 2, F.greatest(F.size("parts"), F.lit(1))).alias(f"p{i}") for i in range(ahead)]
+    pieces = F.arrays_zip(F.col("parts").alias("own"), *nexts)
+    cut = rows.withColumn("pieces", pieces).select("accession", F.posexplode("pieces").alias("n", "p"))
+    names = [f.name for f in cut.schema["p"].dataType.fields]
+    more = F.substring(F.concat(F.lit(""), *[F.coalesce(F.col(f"p.`{n}`"), F.lit("")) for n in names[1:]]), 1, longest - 1)
+    own = F.col(f"p.`{names[0]}`")
+    return cut.select("accession", (F.col("n") * size).alias("offset"), F.concat(own, more).alias("tile"), F.length(own).alias("owned"))
+
+
+def windows(transcripts: DataFrame, lengths: list[int], size: int = TILE) -> DataFrame:
+    """(accession, start, size, window): every window of these lengths without other letters, 1-based start."""
+    cut = tiles(transcripts, max(lengths), size).withColumn("pure", F.col("tile").rlike("^[ACGU]*$"))
+    sizes = F.array(*[F.lit(n) for n in lengths])
+    cut = cut.withColumn("size", F.explode(sizes)) if len(lengths) > 1 else cut.withColumn("size", F.lit(lengths[0]))
+    last = F.least("owned", F.length("tile") - F.col("size") + 1)
+    at = cut.filter(last >= 1).select("accession", "offset", "tile", "pure", "size", F.explode(F.sequence(F.lit(1), last)).alias("i"))
+    cutout = at.select("accession", (F.col("offset") + F.col("i")).cast("int").alias("start"), "size", "pure", F.substr("tile", "i", "size").alias("window"))
+    return cutout.filter(F.col("pure") | F.col("window").rlike("^[ACGU]+$")).drop("pure")
+
+
+def code(x, part: int = 0) -> Column:
+    """Bases WORD*part+1.. of a sequence, two bits each, as a long; letters that are not bases never come here."""
+    text = F.substr(x, F.lit(WORD * part + 1), F.lit(WORD))
+    return F.coalesce(F.conv(F.translate(text, "ACGU", "0123"), 4, 10).cast("long"), F.lit(0).cast("long"))
 
 
-def code(x, part: int = 0):
-    """Bases 30*part+1.. of a sequence, two bits each, as a long; letters that are not bases never come here."""
-    text = F.substr(x, F.lit(30 * part + 1), F.lit(30))
-    return F.coalesce(F.conv(F.translate(text, "ACGU", "0123"), 4, 10).cast("long"), F.lit(0).cast("long"))
+def bases(number: Column, size: Column) -> Column:
+    """The sequence of a number."""
+    return F.translate(F.lpad(F.conv(number.cast("string"), 10, 4), size, F.lit("0")), "0123", "ACGU")
 
 
-def code_mismatches(a, b):
+def code_mismatches(a, b) -> Column:
     x = a.bitwiseXOR(b)
     return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(ODD_BITS)))
 
 
-def _parts(length: int) -> int:
-    return -(-length // 30)
+def piece_edges(length: int, k: int) -> list[tuple[int, int]]:
+    """k + 1 pieces of a window: (first base from 0, base after)."""
+    edges = [length * i // (k + 1) for i in range(k + 2)]
+    return list(zip(edges, edges[1:]))
 
 
-def _codes(df: DataFrame, column: str, prefix: str, length: int) -> DataFrame:
-    return df.select("*", *[code(F.col(column), p).alias(f"{prefix}{p}") for p in range(_parts(length))])
+def seeds_tell(length: int, k: int) -> bool:
+    """Whether pieces match chance windows seldom enough: on random bases under half of all pairs are compared."""
+    return length > k and sum(4.0 ** (a - b) for a, b in piece_edges(length, k)) < 0.5
 
 
-def window_matches(transcripts: DataFrame, targets: DataFrame, length: int, max_mismatches: int, plan: str = "auto") -> DataFrame:
-    """(target, accession, start, window, mismatches) for distinct targets (column target_5to3) of one length."""
-    k = max_mismatches
-    targets = targets.select(F.col("target_5to3").alias("target")).distinct().filter(F.col("target").rlike("^[ACGU]+$"))
-    seen = _codes(windows(transcripts, length).filter(F.col("window").rlike("^[ACGU]+$")), "window", "w", length)
-    asked = _codes(targets, "target", "t", length)
-    count = reduce(lambda a, b: a + b, [code_mismatches(F.col(f"w{p}"), F.col(f"t{p}")) for p in range(_parts(length))])
-    if plan == "auto":
-        plan = "seed" if length > k and asked.limit(FEW + 1).count() > FEW else "scan"
-    if plan == "seed" and length <= k:
-        plan = "scan"  # every window matches
-    if plan == "scan":
-        pairs = seen.crossJoin(F.broadcast(asked))
-        return pairs.withColumn("mismatches", count).filter(F.col("mismatches") <= k).select("target", "accession", "start", "window", "mismatches")
-    edges = [length * i // (k + 1) for i in range(k + 2)]
+def _by_size(lengths: list[int], value) -> Column:
+    """A number that depends on the column `size`."""
+    first, *rest = lengths
+    out = F.when(F.col("size") == first, F.lit(value(first)))
+    for n in rest:
+        out = out.when(F.col("size") == n, F.lit(value(n)))
+    return out.cast("long")
 
-    def pieces(x):
-        return F.explode(F.array(*[F.struct(F.lit(i).alias("no"), F.substr(x, F.lit(a + 1), F.lit(b - a)).alias("piece")) for i, (a, b) in enumerate(zip(edges, edges[1:]))]))
 
-    left = seen.withColumn("p", pieces(F.col("window"))).select("*", "p.no", "p.piece").drop("p")
-    right = asked.withColumn("p", pieces(F.col("target"))).select("*", "p.no", "p.piece").drop("p")
-    pairs = left.join(right, ["no", "piece"]).withColumn("mismatches", count).filter(F.col("mismatches") <= k)
-    return pairs.select("target", "accession", "start", "window", "mismatches").distinct()
+def _seeded(seen: DataFrame, asked: DataFrame, lengths: list[int], k: int, keys: list[str], few: bool) -> DataFrame:
+    """Pairs of windows and targets (numbers w and t) within k mismatches, over the pieces; at most WORD bases."""
 
+    def mask(no: int) -> Column:  # the bits of a piece where they stand in the number
+        return _by_size(lengths, lambda n: (lambda a, b: (1 << 2 * (n - a)) - (1 << 2 * (n - b)))(*piece_edges(n, k)[no]))
 
-def scan(queries: DataFrame, transcripts: DataFrame, regions: list[tuple[str, int | None, int | None]], max_mismatches: int = 3, plan: str = "auto", per_accession: bool = False) -> DataFrame:
+    def pieces(number: str) -> Column:
+        return F.explode(F.array(*[F.struct(F.lit(no).alias("no"), F.col(number).bitwiseAND(mask(no)).alias("piece")) for no in range(k + 1)]))
+
+    left = seen.withColumn("p", pieces("w")).select("*", "p.no", "p.piece").drop("p")
+    right = asked.withColumn("p", pieces("t")).select("*", "p.no", "p.piece").drop("p")
+    pairs = left.join(F.broadcast(right) if few else right, [*keys, "size", "no", "piece"])
+    differs = F.col("w").bitwiseXOR(F.col("t"))
+    first = reduce(lambda a, b: a & b, [(F.col("no") <= no) | (differs.bitwiseAND(mask(no)) != 0) for no in range(k)], F.lit(True))
+    return pairs.withColumn("mismatches", code_mismatches(F.col("w"), F.col("t"))).filter((F.col("mismatches") <= k) & first)
+
+
+def window_matches(transcripts: DataFrame, targets: DataFrame, length: int | list[int], max_mismatches: int, plan: str = "auto", per_accession: bool = False) -> DataFrame:
+    """(target, accession, start, window, mismatches) for distinct targets (column target_5to3) of these lengths.
+
+    plan: seed, scan (every window meets every target) or auto, for each length
+    what promises fewer comparisons.  With per_accession a target (column
+    target_accession) meets only its own transcript, in the same equi-join.
+    """
+    k, keys = max_mismatches, ["accession"] if per_accession else []
+    lengths = [length] if isinstance(length, int) else sorted(length)
+    asked = targets.select(F.col("target_5to3").alias("target"), *([F.col("target_accession").alias("accession")] if per_accession else [])).distinct()
+    asked = asked.filter(F.col("target").rlike("^[ACGU]+$")).withColumn("size", F.length("target"))
+    few = asked.limit(FEW + 1).count() <= FEW
+    if per_accession:
+        transcripts = transcripts.join(asked.select("accession").distinct(), "accession", "left_semi")
+    by_seed = [n for n in lengths if n > k and plan != "scan" and (plan == "seed" or seeds_tell(n, k))]
+    short, long = [n for n in by_seed if n <= WORD], [n for n in by_seed if n > WORD]
+    found = []
+    if short:
+        seen = windows(transcripts, short).select("accession", "start", "size", code("window").alias("w"))
+        pairs = _seeded(seen, asked.filter(F.col("size").isin(short)).withColumn("t", code("target")), short, k, keys, few)
+        found.append(pairs.select("target", "accession", "start", bases(F.col("w"), F.col("size")).alias("window"), "mismatches"))
+    for n in [*long, *(n for n in lengths if n not in by_seed)]:
+        parts = range(-(-n // WORD))
+        seen = windows(transcripts, [n]).select("accession", "start", "window", *[code("window", p).alias(f"w{p}") for p in parts])
+        wanted = asked.filter(F.col("size") == n).select("target", *keys, *[code("target", p).alias(f"t{p}") for p in parts])
+        count = reduce(lambda a, b: a + b, [code_mismatches(F.col(f"w{p}"), F.col(f"t{p}")) for p in parts])
+        if n in long:
+            edges = piece_edges(n, k)
+            piece = lambda x, no: F.substring(x, edges[no][0] + 1, edges[no][1] - edges[no][0])  # noqa: B023, E731
+            cut = lambda x: F.explode(F.array(*[F.struct(F.lit(no).alias("no"), piece(x, no).alias("piece")) for no in range(k + 1)]))  # noqa: B023, E731
+            left = seen.withColumn("p", cut("window")).select("*", "p.no", "p.piece").drop("p")
+            right = wanted.withColumn("p", cut("target")).select("*", "p.no", "p.piece").drop("p")
+            first = reduce(lambda a, b: a & b, [(F.col("no") <= no) | (piece("window", no) != piece("target", no)) for no in range(k)], F.lit(True))
+            pairs = left.join(F.broadcast(right) if few else right, [*keys, "no", "piece"]).filter(first)
+        elif keys:
+            pairs = seen.join(wanted, keys)
+        else:
+            pairs = seen.crossJoin(F.broadcast(wanted) if few else wanted)
+        found.append(pairs.withColumn("mismatches", count).filter(F.col("mismatches") <= k).select("target", "accession", "start", "window", "mismatches"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def scan(queries: DataFrame, transcripts: DataFrame, regions: list[tuple[str, int | None, int | None]], max_mismatches: int = 3, plan: str = "auto", per_accession: bool | None = False) -> DataFrame:
     """The 15 fields of each match, and the orders that sort it.
 
     queries: input_order, name, seq (and target_accession where per_accession);
-    transcripts: accession, seq.  A window longer than its transcript gives nothing.
+    transcripts: accession, seq.  A window longer than its transcript gives
+    nothing.  per_accession: each oligo meets only the transcript it names, and
+    oligos that name none are skipped; None: so if any oligo names one.
     """
+    if per_accession is None:
+        per_accession = "target_accession" in queries.columns and not queries.filter("target_accession <> ''").isEmpty()
     asked = query_regions(queries, regions).filter("target_5to3 IS NOT NULL AND target_5to3 <> ''")
+    if per_accession:
+        asked = asked.filter("target_accession <> ''")
     lengths = [r[0] for r in asked.select(F.length("target_5to3")).distinct().collect()]  # a row a distinct oligo length
-    found = None
-    for n in sorted(lengths):
-        some = asked.filter(F.length("target_5to3") == n)
-        hits = window_matches(transcripts, some, n, max_mismatches, plan)
-        joined = some.join(hits, F.col("target_5to3") == F.col("target"))
-        if per_accession:
-            joined = joined.filter(F.col("target_accession") == F.col("accession"))
-        found = joined if found is None else found.unionByName(joined)
-    if found is None:
-        spark = queries.sparkSession
-        return spark.createDataFrame([], "accession string, antisense_name string, mismatches int")
+    hits = window_matches(transcripts, asked, lengths or [1], max_mismatches, plan, per_accession)
+    same = F.col("target_5to3") == F.col("target")
+    found = asked.join(hits, same & (F.col("target_accession") == F.col("accession")) if per_accession else same)
     as_view = reverse_complement("window")
     return found.select(
         "input_order", "region_order", F.col("accession").alias("transcript_name"), F.col("name").alias("antisense_name"), "as_region",
@@ -134,8 +195,6 @@ def missing_accessions(wanted: DataFrame, transcripts: DataFrame) -> DataFrame:
 
 def offtarget_topk(queries: DataFrame, transcripts: DataFrame, max_mismatches: int = 3, k: int = 50, plan: str = "auto") -> DataFrame:
     """Best k hits of each oligo over all transcripts, in the 12-column hit layout (ungapped; no e-value, no bit score)."""
-    from pyspark.sql import Window
-
     best = Window.partitionBy("input_order").orderBy("mismatches", "transcript_name", "transcript_start")
     hits = scan(queries, transcripts, [("full", None, None)], max_mismatches, plan).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     size = F.length("matched_target_5to3")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions.textcells import clean_text, dose_unit, format_dose, is_blank, mean_sem, mean_sem_error, split_label, timepoint
+from helixframe.functions.textcells import clean_text, dose_unit, format_dose, is_blank, mean_sem, mean_sem_error, plot_label, safe_filename, split_label, timepoint
 
 PALETTE = 6
 
@@ -37,20 +40,18 @@ def two_column(df: DataFrame, group: str, value: str, delimiter: str = "-", stri
     return out.withColumn("Mean", F.when(F.col("error").isNotNull(), F.raise_error("error").cast("double")).otherwise(F.col("Mean"))) if strict else out
 
 
-def is_wide_time_table(columns: list[str]) -> bool:
-    low = [" ".join(str(c).split()).lower() for c in columns]
-    return any(c.startswith("dose") for c in low) and any(c.startswith("time") for c in low) and any(c == "group" or "compound" in c for c in low)
+#: What a header of each role of a wide table begins with, holds, or is.
+ROLES = {"dose": r"dose.*", "compound": r"group|.*compound.*", "time": r"time.*"}
 
 
-def detect_column(columns: list[str], wanted: str | None, label: str, fits) -> str:
-    if wanted is not None:
-        if wanted not in columns:
-            raise ValueError(f"Column '{wanted}' not found.")
-        return wanted
-    found = next((c for c in columns if fits(" ".join(str(c).split()).lower())), None)
-    if found is None:
-        raise ValueError(f"Could not detect the {label} column.")
-    return found
+def columns_by_role(columns: list[str]) -> dict[str, list[str]]:
+    """The columns of each role, in table order."""
+    plain = {c: " ".join(str(c).split()).lower() for c in columns}
+    return {role: [c for c in columns if re.fullmatch(pattern, plain[c])] for role, pattern in ROLES.items()}
+
+
+def is_wide_time_table(columns: list[str]) -> bool:
+    return all(columns_by_role(columns).values())
 
 
 def unpivot_timepoints(df: DataFrame, dose: str | None = None, compound: str | None = None) -> DataFrame:
@@ -58,19 +59,19 @@ def unpivot_timepoints(df: DataFrame, dose: str | None = None, compound: str | N
 
     Columns that are neither dose, compound nor time are carried (order columns).
     """
-    dose = detect_column(df.columns, dose, "dose", lambda c: c.startswith("dose"))
-    compound = detect_column(df.columns, compound, "compound/group", lambda c: c == "group" or "compound" in c)
-    times = [c for c in df.columns if " ".join(c.split()).lower().startswith("time")]
-    if not times:
-        raise ValueError("Could not detect any timepoint columns such as 'Time-D8'.")
+    found = columns_by_role(df.columns)
+    found |= {role: [given] for role, given in (("dose", dose), ("compound", compound)) if given is not None}
+    missing = [role for role, names in found.items() if not names or names[0] not in df.columns]
+    if missing:
+        raise ValueError(f"No column for: {', '.join(missing)}. Columns: {', '.join(df.columns)}")
+    dose, compound, times = found["dose"][0], found["compound"][0], found["time"]
     kept = [c for c in df.columns if c not in (dose, compound, *times)]
-    rows = df.select(*kept, clean_text(compound).alias("Compound"), format_dose(dose, dose_unit(dose)).alias("Dose"), *[clean_text(t).alias(t) for t in times])
+    rows = df.select(*kept, clean_text(compound).alias("Compound"), format_dose(dose, dose_unit(F.lit(dose))).alias("Dose"), *[clean_text(t).alias(t) for t in times])
     rows = rows.filter("Compound <> '' AND Dose <> ''")
     long = rows.unpivot([*kept, "Compound", "Dose"], times, "time_column", "raw").filter("raw <> ''")
-    names = F.create_map(*[F.lit(x) for t in times for x in (t, timepoint(t))])
     mean, sem = mean_sem("raw")
     order = F.array_position(F.array(*map(F.lit, times)), F.col("time_column")).alias("time_order")
-    return long.select(*kept, "Compound", "Dose", names[F.col("time_column")].alias("Timepoint"), F.concat_ws(" | ", "Compound", "Dose").alias("Compound dose"), mean.alias("Mean"), sem.alias("SEM"), mean_sem_error("raw").alias("error"), order)
+    return long.select(*kept, "Compound", "Dose", timepoint("time_column").alias("Timepoint"), F.concat_ws(" | ", "Compound", "Dose").alias("Compound dose"), mean.alias("Mean"), sem.alias("SEM"), mean_sem_error("raw").alias("error"), order)
 
 
 def split_series(summary: DataFrame, source: str, label: str, order: str) -> DataFrame:
@@ -117,3 +118,26 @@ def plot_table(df: DataFrame, title: str | None, detected: str | None, stem: str
     cols = [c for c in df.columns if c != order]
     rows = two_column(df, cols[0], cols[1])
     return grouped_series(rows, "Outer group", "Condition", order, 0.22, 0.8).withColumn("title", name)
+
+
+def reference_series(qc: DataFrame, order: str = "first", most_width: float = 0.18, share: float = 0.8) -> DataFrame:
+    """Points of the reference-gene chart: labels by first appearance, a series a gene, absent pairs absent, with the axis bounds of all points.
+
+    qc: workbook, sheet and the columns of reference_qc(), of one sheet.
+    """
+    rows = qc.withColumns({"label": plot_label("Group", "Compound ID"), "Mean": F.col("Mean CT")})
+    points = grouped_series(rows, "label", "Reference gene", order, most_width, share)
+    return points.crossJoin(F.broadcast(axis_bounds(points)))
+
+
+def summary_plots(summary: DataFrame, order: str, mode: str = "both") -> DataFrame:
+    """Tables of the summary charts, a chart_id each: `split` one series a source, `combined` the dense grid, or both.
+
+    summary: label, Reference source, MEAN RQ, SEM (numbers) and an order.
+    """
+    cols = ["chart_id", "label", "Reference source", "x", "series_index", "MEAN RQ", "SEM"]
+    split = split_series(summary, "Reference source", "label", order).withColumn("chart_id", F.concat(F.lit("split:"), safe_filename("Reference source")))
+    both = combined_series(summary, "label", "Reference source", order, "MEAN RQ", "SEM").withColumn("chart_id", F.lit("combined"))
+    charts = {"split": [split.withColumn("series_index", F.lit(0)).select(*cols)], "combined": [both.select(*cols)]}
+    picked = charts["split"] + charts["combined"] if mode == "both" else charts[mode]
+    return reduce(DataFrame.unionByName, picked)

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions.textcells import clean_text, is_blank, looks_like_gene, sheet_prefix, tokens
+from helixframe.functions.textcells import clean_text, is_blank, looks_like_gene, parse_number, sheet_prefix, tokens
 from helixframe.operators.lineage import cut
 
 SHEET = ["workbook", "sheet"]
@@ -27,8 +27,9 @@ def fill_merges(cells: DataFrame, merges: DataFrame) -> DataFrame:
     tops = cells.select(*SHEET, F.col("row").alias("min_row"), F.col("col").alias("min_col"), F.col("value").alias("top"))
     filled = spots.join(tops, [*SHEET, "min_row", "min_col"], "left").groupBy(*SHEET, "row", "col").agg(F.first("top").alias("top"), F.lit(True).alias("merged"))
     joined = cells.join(filled, [*SHEET, "row", "col"], "full")
-    index = F.coalesce("sheet_index", F.max("sheet_index").over(Window.partitionBy(*SHEET)))
-    return joined.select(*SHEET, index.alias("sheet_index"), "row", "col", F.when(F.col("merged"), F.col("top")).otherwise(F.col("value")).alias("value"), "formula")
+    index = cells.groupBy(*SHEET).agg(F.max("sheet_index").alias("__index"))  # a row a sheet
+    joined = joined.join(index, SHEET, "left")
+    return joined.select(*SHEET, F.coalesce("sheet_index", "__index").alias("sheet_index"), "row", "col", F.when(F.col("merged"), F.col("top")).otherwise(F.col("value")).alias("value"), "formula")
 
 
 def trim_edges(cells: DataFrame) -> DataFrame:
@@ -67,11 +68,24 @@ def blocks(cells: DataFrame) -> DataFrame:
     return cells.join(numbered, [*SHEET, "col"])
 
 
+def row_texts(cells: DataFrame, wanted: str = "group") -> DataFrame:
+    """(workbook, sheet, row, text, has_cell): a row's cleaned texts in column order, joined, and whether one of them is just `wanted` (any case)."""
+    rows = cells.withColumn("t", clean_text("value")).groupBy(*SHEET, "row")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("t") != "", F.struct("col", "t")))), lambda x: x["t"]), " ")  # a row of one sheet
+    return rows.agg(joined.alias("text"), F.bool_or(F.lower("t") == wanted.lower()).alias("has_cell"))
+
+
+def required_roles(block_roles: DataFrame, wanted: dict[str, str]) -> DataFrame:
+    """An issues row (block, issue) for each wanted role column that a block lacks; wanted: column to what it is called."""
+    each = F.explode(F.array(*[F.when(F.col(c).isNull(), F.lit(f"Could not find the {name} column.")) for c, name in wanted.items()]))
+    return block_roles.select(*BLOCK, each.alias("issue")).filter("issue IS NOT NULL")
+
+
 def embedded_header(cells: DataFrame) -> DataFrame:
     """(workbook, sheet, header_row): first row with an exact `group`, and compound, mean rq and sem somewhere in it."""
-    text = F.lower(clean_text("value"))
-    rows = cells.groupBy(*SHEET, "row").agg(F.bool_or(text == "group").alias("g"), *[F.bool_or(F.contains(text, F.lit(w))).alias(a) for w, a in (("compound", "c"), ("mean rq", "m"), ("sem", "s"))])
-    return rows.filter("g AND c AND m AND s").groupBy(*SHEET).agg(F.min("row").alias("header_row"))
+    has = lambda w: F.contains(F.lower("text"), F.lit(w))
+    rows = row_texts(cells, "group").filter(F.col("has_cell") & has("compound") & has("mean rq") & has("sem"))
+    return rows.groupBy(*SHEET).agg(F.min("row").alias("header_row"))
 
 
 def below_embedded(cells: DataFrame) -> DataFrame:
@@ -158,39 +172,105 @@ def as_table(cells: DataFrame, header_row: int = 1) -> DataFrame:
     return wide.na.fill("").toDF("row", *names.values())
 
 
-def resolve_formulas(cells: DataFrame, most_depth: int = 12) -> DataFrame:
-    """(workbook, sheet, row, col, number): cached numbers, else `=A1`, `=Sheet!A1`, `=AVERAGE(a,b:c)`, resolved level by level.
+#: A reference: a sheet (quoted or not) and a cell or range.
+REFERENCE = r"^(?:(?:'([^']+)'|([^'!]+))!)?([A-Za-z]{1,3})([0-9]+)(?::([A-Za-z]{1,3})([0-9]+))?$"
+CELL, TO = [*SHEET, "row", "col"], ["workbook", "to_sheet", "to_row", "to_col"]
+
 
-    Edges are (cell, cell it refers to).  A bare range of several cells, any
-    other formula, a cycle, and anything deeper than most_depth give null.
+def _column_number(letters: Column) -> Column:
+    return F.aggregate(F.split(F.upper(letters), ""), F.lit(0), lambda a, c: a * 26 + F.ascii(c) - 64)
+
+
+def formula_edges(cells: DataFrame) -> DataFrame:
+    """(cell, average, ref, to): the cells that each readable formula without a cached number names, in order, as often as it names them.
+
+    Readable are `=A1`, `=Sheet!A1`, `='My, sheet'!A1` and `=AVERAGE(...)` over
+    cells and ranges; a bare range of several cells, and any other formula, has
+    no row.
     """
-    ref = r"(?:'?([^'!,()]+)'?!)?\$?([A-Z]{1,3})\$?(\d+)(?::\$?([A-Z]{1,3})\$?(\d+))?"
-    number = F.regexp_replace(F.coalesce("value", F.lit("")), ",", "").try_cast("double")
-    at = cells.select(*SHEET, "row", "col", number.alias("number"), F.upper(F.trim(F.regexp_replace("formula", r"^\s*=\s*", ""))).alias("f"), F.trim(F.regexp_replace("formula", r"^\s*=\s*", "")).alias("raw"))
-    average = F.col("f").rlike(r"^AVERAGE\(.*\)$")
-    bare = F.col("raw").rlike(rf"(?i)^{ref}$")
-    open_ = at.filter("number IS NULL AND f IS NOT NULL").filter(average | bare)
-    parts = open_.withColumn("average", average).withColumn("p", F.explode(F.split(F.when(average, F.regexp_extract("raw", r"(?i)^AVERAGE\((.*)\)$", 1)).otherwise(F.col("raw")), ",")))
-    part = F.trim("p")
-
-    def column_number(x):
-        return F.aggregate(F.split(F.upper(x), ""), F.lit(0), lambda a, c: a * 26 + F.ascii(c) - 64)
-
-    got = lambda i: F.regexp_extract(part, rf"(?i)^{ref}$", i)
-    to = parts.withColumn("to_sheet", F.coalesce(F.nullif(got(1), F.lit("")), F.col("sheet"))).withColumn("r1", got(3).try_cast("int")).withColumn("c1", column_number(got(2)))
-    to = to.withColumn("r2", F.coalesce(got(5).try_cast("int"), F.col("r1"))).withColumn("c2", F.when(got(4) == "", F.col("c1")).otherwise(column_number(got(4)))).filter("r1 IS NOT NULL")
-    to = to.filter(F.col("average") | ((F.col("r1") == F.col("r2")) & (F.col("c1") == F.col("c2"))))
-    edges = to.withColumn("to_row", F.explode(F.sequence("r1", "r2"))).withColumn("to_col", F.explode(F.sequence("c1", "c2"))).select(*SHEET, "row", "col", "to_sheet", "to_row", "to_col").distinct()
-    edges, open_ = cut(edges), cut(open_)
-    known = at.filter("number IS NOT NULL").select(*SHEET, "row", "col", "number")
-    for _ in range(most_depth):
-        target = known.select("workbook", F.col("sheet").alias("to_sheet"), F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("number").alias("v"))
-        waiting = edges.join(known.select(*SHEET, "row", "col"), [*SHEET, "row", "col"], "left_anti")
-        formulas = open_.select(*SHEET, F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.lit(True).alias("formula_cell")).withColumnRenamed("sheet", "to_sheet")
-        joined = waiting.join(target, ["workbook", "to_sheet", "to_row", "to_col"], "left").join(formulas, ["workbook", "to_sheet", "to_row", "to_col"], "left")
-        level = joined.groupBy(*SHEET, "row", "col").agg(F.avg("v").alias("number"), F.bool_or(F.col("v").isNull() & F.col("formula_cell")).alias("open"))
-        new = level.filter("number IS NOT NULL AND NOT coalesce(open, false)").select(*SHEET, "row", "col", "number")
-        if new.isEmpty():
+    text = F.trim(F.expr("substr(formula, 2)"))
+    open_ = cells.filter(parse_number("value").isNull() & F.startswith("formula", F.lit("="))).select(*CELL, text.alias("f"))
+    average = F.col("f").rlike(r"(?i)^AVERAGE\(.*\)$")
+    inner = F.when(average, F.regexp_extract("f", r"(?is)^AVERAGE\((.*)\)$", 1))
+    parts = F.when(average, F.split(inner, ",(?=(?:[^']*'[^']*')*[^']*$)")).otherwise(F.array("f"))
+    each = open_.withColumn("average", average).select(*CELL, "average", F.posexplode(parts).alias("part", "text"))
+    text = F.replace(F.trim("text"), F.lit("$"), F.lit(""))
+    got = lambda i: F.regexp_extract(text, REFERENCE, i)
+    to_sheet = F.coalesce(F.nullif(got(1), F.lit("")), F.nullif(got(2), F.lit("")), F.col("sheet"))
+    r1, c1 = got(4).try_cast("int"), _column_number(got(3))
+    r2, c2 = F.coalesce(got(6).try_cast("int"), r1), F.when(got(5) == "", c1).otherwise(_column_number(got(5)))
+    read = each.select(*CELL, "average", "part", to_sheet.alias("to_sheet"), r1.alias("r1"), c1.alias("c1"), r2.alias("r2"), c2.alias("c2"))
+    bad = F.col("r1").isNull() | (~F.col("average") & ((F.col("r1") != F.col("r2")) | (F.col("c1") != F.col("c2"))))
+    unreadable = read.filter(bad).select(*CELL).distinct()
+    read = read.join(unreadable, CELL, "left_anti").filter("r1 <= r2 AND c1 <= c2")
+    rows = read.withColumn("to_row", F.explode(F.sequence("r1", "r2"))).withColumn("to_col", F.explode(F.sequence("c1", "c2")))
+    return rows.select(*CELL, "average", F.concat_ws(".", "part", "to_row", "to_col").alias("ref"), "to_sheet", "to_row", "to_col")
+
+
+def _at(df: DataFrame, **values: str) -> DataFrame:
+    """A table by cell as one by target: the cell's columns under the names of the target's."""
+    return df.select("workbook", F.col("sheet").alias("to_sheet"), F.col("row").alias("to_row"), F.col("col").alias("to_col"), *[F.col(v).alias(k) for k, v in values.items()])
+
+
+def resolve_formulas(cells: DataFrame) -> DataFrame:
+    """(workbook, sheet, row, col, number): cached numbers, else what readable formulas come to, at any depth.
+
+    Chains of bare references are followed by pointer jumping (log2 n joins).
+    Averages leave out what is no number and are settled level by level.  A
+    reference back to a cell that is being resolved is no number: averages on a
+    cycle of several cells are worked out for each of them over the tree of
+    their references.
+    """
+    known = cells.select(*CELL, parse_number("value").alias("number")).filter("number IS NOT NULL")
+    edges = cut(formula_edges(cells))
+    bare = edges.filter("NOT average")
+    own = _at(bare.select(*CELL).distinct().withColumn("more", F.lit(True)), more="more")
+    jumps = cut(bare.join(own, TO, "left").select(*CELL, "to_sheet", "to_row", "to_col", F.coalesce("more", F.lit(False)).alias("more")))
+    for _ in range(max(1, jumps.count()).bit_length() + 1):
+        if jumps.filter("more").isEmpty():
+            break
+        on = jumps.select("workbook", F.col("sheet").alias("to_sheet"), F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.col("to_sheet").alias("s"), F.col("to_row").alias("r"), F.col("to_col").alias("c"), F.col("more").alias("m"))
+        moved = jumps.filter("more").join(on, TO).select(*CELL, F.col("s").alias("to_sheet"), F.col("r").alias("to_row"), F.col("c").alias("to_col"), F.col("m").alias("more"))
+        jumps = cut(jumps.filter("NOT more").unionByName(moved))
+    ends = jumps.filter("NOT more").select(*CELL, "to_sheet", "to_row", "to_col")  # the others run in a circle
+    # Averages name the ends of chains; what leads to nothing, or to the average itself, has no value.
+    averages = edges.filter("average").select(*CELL, "ref", "to_sheet", "to_row", "to_col")
+    through = ends.select("workbook", F.col("sheet").alias("to_sheet"), F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.struct(F.col("to_sheet").alias("s"), F.col("to_row").alias("r"), F.col("to_col").alias("c")).alias("end"))
+    averages = averages.join(own, TO, "left").join(through, TO, "left").filter("more IS NULL OR end IS NOT NULL")
+    averages = averages.select(*CELL, "ref", F.coalesce("end.s", "to_sheet").alias("to_sheet"), F.coalesce("end.r", "to_row").alias("to_row"), F.coalesce("end.c", "to_col").alias("to_col"))
+    averages = averages.join(_at(known, v="number"), TO, "left").filter("NOT (to_sheet = sheet AND to_row = row AND to_col = col)")
+    is_average = _at(edges.filter("average").select(*CELL).distinct().withColumn("open", F.lit(True)), open="open")
+    waiting = cut(averages.join(is_average, TO, "left").select(*CELL, "ref", "to_sheet", "to_row", "to_col", "v", F.coalesce("open", F.lit(False)).alias("open")))
+    settled = None
+    while not waiting.isEmpty():
+        level = waiting.groupBy(*CELL).agg(F.bool_or("open").alias("open"), F.avg("v").alias("number")).filter("NOT open").select(*CELL, "number")
+        level = cut(level)
+        if level.isEmpty():
+            settled = (_on_cycles(waiting) if settled is None else settled.unionByName(_on_cycles(waiting)))
             break
-        known = cut(known.unionByName(new))
-    return known
+        settled = level if settled is None else settled.unionByName(level)
+        rest = waiting.join(level.select(*CELL), CELL, "left_anti").join(_at(level.withColumn("now", F.lit(True)), new="number", now="now"), TO, "left")
+        waiting = cut(rest.select(*CELL, "ref", "to_sheet", "to_row", "to_col", F.coalesce("v", "new").alias("v"), (F.col("open") & F.col("now").isNull()).alias("open")))
+    values = known if settled is None else known.unionByName(settled)
+    values = cut(values)
+    chained = ends.join(_at(values, number="number"), TO).select(*CELL, "number")
+    return values.unionByName(chained).filter("number IS NOT NULL")
+
+
+def _on_cycles(waiting: DataFrame) -> DataFrame:
+    """The value of each average that is left: the tree of its references, where a cell that stands above has no value, from the leaves up."""
+    key = F.struct("workbook", "sheet", "row", "col")
+    links = waiting.select(key.alias("cell"), "ref", F.struct("workbook", F.col("to_sheet").alias("sheet"), F.col("to_row").alias("row"), F.col("to_col").alias("col")).alias("to"), "v", "open")
+    nodes = [cut(links.select(F.col("cell").alias("root"), F.lit("").alias("up"), F.lit("/").alias("node"), "cell", F.array("cell").alias("above")).distinct())]
+    leaves = []
+    while not nodes[-1].isEmpty():
+        below = cut(nodes[-1].join(links, "cell").select("root", F.col("node").alias("up"), F.concat("node", "ref", F.lit("/")).alias("node"), F.col("to").alias("cell"), "above", "v", "open"))
+        leaves.append(below.filter("NOT open").select("root", F.col("up").alias("node"), "v"))
+        further = below.filter(F.col("open") & ~F.array_contains("above", F.col("cell")))
+        nodes.append(cut(further.select("root", "up", "node", "cell", F.concat("above", F.array("cell")).alias("above"))))
+    values = None
+    for level, own in zip(reversed(nodes[:-1]), reversed(leaves)):
+        parts = own if values is None else own.unionByName(values)
+        means = parts.groupBy("root", "node").agg(F.avg("v").alias("v"))
+        values = cut(level.join(means, ["root", "node"], "left").select("root", F.col("up").alias("node"), "v"))
+    return values.select("root.*", F.col("v").alias("number"))

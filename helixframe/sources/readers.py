@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from helixframe.functions.seq import normalize_rna
 from helixframe.functions.textcells import clean_text
 from helixframe.operators.hits import HIT_COLUMNS
+from helixframe.operators.lineage import cut, numbered
+from helixframe.operators.oligo import transcript_region
 
 CELLS = "workbook string, sheet string, sheet_index int, row int, col int, value string, formula string"
 MERGES = "workbook string, sheet string, min_row int, min_col int, max_row int, max_col int"
@@ -21,11 +23,13 @@ MERGES = "workbook string, sheet string, min_row int, min_col int, max_row int,
 ALIASES = {
     "seq": ("antisense", "as", "as_sequence", "as sequence", "sequence"),
     "name": ("name", "id", "oligo", "oligo id", "oligo_id", "as name"),
-    "target_accession": ("target_accession", "target accession", "accession"),
+    "target_accession": ("target_accession", "target accession", "refseq", "refseq accession"),
     "target_gene": ("target_gene", "target gene", "gene"),
-    "species": ("species", "organism"),
-    "notes": ("notes", "note", "comment", "comments"),
+    "species": ("species",),
+    "notes": ("notes",),
 }
+#: Texts that are no value in a table of oligos.
+MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -67,18 +71,53 @@ def plain_records(texts: DataFrame) -> DataFrame:
 
 
 def read_antisense(spark: SparkSession, path: str) -> DataFrame:
-    """Files of either kind: FASTA where a line starts with `>`."""
+    """Files of either kind: FASTA where a line starts with `>`; a file without records is an error."""
     texts = _texts(spark, path)
     is_fasta = F.col("text").rlike(r"(?m)^\s*>")
-    return fasta_records(texts.filter(is_fasta)).unionByName(plain_records(texts.filter(~is_fasta)))
+    records = fasta_records(texts.filter(is_fasta)).unionByName(plain_records(texts.filter(~is_fasta)))
+    bare = texts.select("file").join(records.select("file"), "file", "left_anti").first()
+    if bare:
+        raise ValueError(f"No antisense sequences found in {bare['file']}.")
+    return records
+
+
+def first_header(text: str) -> F.Column:
+    return F.nullif(F.trim(F.regexp_extract(text, r"(?m)^\s*>([^\r\n]*)", 1)), F.lit(""))
+
+
+def all_sequence(text: str) -> F.Column:
+    """All records of a text joined, `>` and `;` lines dropped."""
+    return normalize_rna(F.array_join(F.filter(F.split(text, r"\R"), lambda x: ~F.trim(x).rlike("^[>;]")), ""))
+
+
+def whole_sequences(texts: DataFrame, fallback: F.Column) -> DataFrame:
+    """(accession, seq) of texts, each one sequence; name from the first header, else the fallback."""
+    return texts.select(F.coalesce(first_header("text"), fallback).alias("accession"), all_sequence("text").alias("seq"))
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """Whole files as one sequence each: all records joined, `>` and `;` lines dropped; name from the first header, else the file."""
-    texts = _texts(spark, path)
-    lines = F.filter(F.split("text", r"\R"), lambda x: ~F.trim(x).rlike("^[>;]"))
-    name = F.coalesce(F.nullif(F.trim(F.regexp_extract("text", r"(?m)^\s*>([^\r\n]*)", 1)), F.lit("")), F.regexp_extract("file", r"([^/]+?)(?:\.[^./]*)?$", 1))
-    return texts.select(name.alias("accession"), normalize_rna(F.array_join(lines, "")).alias("seq"))
+    """Whole files as one sequence each, named by their first header, else by the file."""
+    return whole_sequences(_texts(spark, path), F.regexp_extract("file", r"([^/]+?)(?:\.[^./]*)?$", 1))
+
+
+def transcript_input(spark: SparkSession, sequence: str | None = None, file: str | None = None, accession: str | None = None, table: DataFrame | None = None) -> DataFrame:
+    """(accession, seq) of exactly one of a literal text, a file, or an accession in a table of transcripts; an unknown accession is an error."""
+    if sum(x is not None for x in (sequence, file, accession)) != 1:
+        raise ValueError("Provide exactly one of a sequence, a file, or an accession.")
+    if sequence is not None:
+        return whole_sequences(spark.createDataFrame([(sequence,)], "text string"), F.lit("target_transcript"))
+    if file is not None:
+        return whole_sequences(_texts(spark, file), F.regexp_extract("file", r"([^/]+)$", 1))
+    found = table.filter(F.col("accession") == accession).select("accession", normalize_rna("seq").alias("seq"))
+    if found.isEmpty():
+        raise ValueError(f"No transcript {accession}.")
+    return found
+
+
+def texts_to_oligos(texts: DataFrame, source: str = "file", start: str = "start", end: str = "end") -> DataFrame:
+    """Sense and antisense of a range of each FASTA or plain text: source (first header, else the column), lengths, strands, error."""
+    rows = texts.withColumns({"source": F.coalesce(first_header("text"), F.col(source), F.lit("transcript")), "seq": all_sequence("text")})
+    return transcript_region(rows, "seq", start, end).drop("seq")
 
 
 def read_oligo_table(spark: SparkSession, path: str, sequence_column: str | None = None, name_column: str | None = None, target_accession_column: str | None = None) -> DataFrame:
@@ -96,12 +135,14 @@ def read_oligo_table(spark: SparkSession, path: str, sequence_column: str | None
         return next((known[a] for a in ALIASES[role] if a in known), None)
 
     seq = column("seq") or raw.columns[0]
-    null = lambda c: F.when(~F.trim(F.col(c)).isin("", "NA", "NaN", "nan", "null", "NULL", "None", "N/A", "n/a", "#N/A"), F.trim(F.col(c)))
-    numbered = raw.withColumn("__at", F.monotonically_increasing_id())
-    numbered = numbered.withColumn("input_order", F.row_number().over(Window.orderBy("__at")))  # a file of oligos
-    fields = [F.coalesce(null(column(r)), F.lit("")).alias(r) if column(r) else F.lit("").alias(r) for r in ("target_accession", "target_gene", "species", "notes")]
-    name = F.coalesce(null(column("name")) if column("name") else F.lit(None).cast("string"), F.concat(F.lit("AS_"), F.col("input_order")))
-    return numbered.filter(null(seq).isNotNull()).select("input_order", clean_text(name).alias("name"), normalize_rna(null(seq)).alias("seq"), *fields)
+    null = lambda c: F.when(~F.trim(F.col(c)).isin(*MISSING), F.trim(F.col(c)))
+    rows = numbered(raw.withColumn("__at", F.monotonically_increasing_id()), ["__at"])
+    fields = [F.coalesce(clean_text(null(column(r))), F.lit("")).alias(r) if column(r) else F.lit("").alias(r) for r in ("target_accession", "target_gene", "species", "notes")]
+    name = F.nullif(clean_text(null(column("name"))), F.lit("")) if column("name") else F.lit(None).cast("string")
+    found = rows.filter(null(seq).isNotNull()).select("input_order", F.coalesce(name, F.concat(F.lit("AS_"), F.col("input_order"))).alias("name"), normalize_rna(null(seq)).alias("seq"), *fields)
+    if found.isEmpty():
+        raise ValueError(f"No antisense sequences found in {path}.")
+    return found
 
 
 def antisense_queries(spark: SparkSession, sequence: str | None = None, file: str | None = None, table: str | None = None) -> DataFrame:
@@ -167,17 +208,17 @@ def _workbook(path: str, data: bytes):
                 yield "merge", (path, s.get("name"), *place(a), *place(b or a))
 
 
-def _decode(kind: str, columns: list[str]):
-    def run(frames):
-        for pdf in frames:
-            for path, data in zip(pdf["path"], pdf["content"]):
-                yield pd.DataFrame([r for k, r in _workbook(path, data) if k == kind], columns=columns)
-
-    return run
-
-
 def read_workbooks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(cells, merges) of all workbooks under a path, a task a few files."""
+    """(cells, merges) of all workbooks under a path, a task a few files; each file is decoded once."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xls[xm]").load(path).select("path", "content")
     names = lambda ddl: [x.split()[0] for x in ddl.split(", ")]
-    return files.mapInPandas(_decode("cell", names(CELLS)), CELLS), files.mapInPandas(_decode("merge", names(MERGES)), MERGES)
+    both = {"cell": names(CELLS), "merge": names(MERGES)}
+
+    def decoded(frames):
+        for pdf in frames:
+            for at, data in zip(pdf["path"], pdf["content"]):
+                rows = [(k, dict(zip(both[k], r)) if k == "cell" else None, dict(zip(both[k], r)) if k == "merge" else None) for k, r in _workbook(at, data)]
+                yield pd.DataFrame(rows, columns=["kind", "cell", "merge"])
+
+    kept = cut(files.mapInPandas(decoded, f"kind string, cell struct<{CELLS.replace(' ', ': ').replace(',: ', ', ')}>, merge struct<{MERGES.replace(' ', ': ').replace(',: ', ', ')}>"))
+    return kept.filter("kind = 'cell'").select("cell.*"), kept.filter("kind = 'merge'").select("merge.*")
