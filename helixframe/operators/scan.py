@@ -51,9 +51,17 @@ def tiles(transcripts: DataFrame, longest: int, size: int = TILE) -> DataFrame:
     return cut.select("accession", (F.col("n") * size).alias("offset"), F.concat(own, more).alias("tile"), F.length(own).alias("owned"))
 
 
+def spread(cut: DataFrame, source: DataFrame) -> DataFrame:
+    """The tiles of a source that is too small for all cores, dealt evenly; those of a large one where they are."""
+    spark = cut.sparkSession
+    estimate = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = spark.sparkContext.defaultParallelism
+    return cut.repartition(4 * cores) if estimate < 2 * cores << 27 else cut
+
+
 def windows(transcripts: DataFrame, lengths: list[int], size: int = TILE) -> DataFrame:
     """(accession, start, size, window): every window of these lengths without other letters, 1-based start."""
-    cut = tiles(transcripts, max(lengths), size).withColumn("pure", F.col("tile").rlike("^[ACGU]*$"))
+    cut = spread(tiles(transcripts, max(lengths), size), transcripts).withColumn("pure", F.col("tile").rlike("^[ACGU]*$"))
     sizes = F.array(*[F.lit(n) for n in lengths])
     cut = cut.withColumn("size", F.explode(sizes)) if len(lengths) > 1 else cut.withColumn("size", F.lit(lengths[0]))
     last = F.least("owned", F.length("tile") - F.col("size") + 1)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import io
+import uuid
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions import seq, textcells
-from helixframe.operators import hits, oligo, qpcr, scan, series, sheets
+from helixframe.operators import hits, lineage, oligo, qpcr, scan, series, sheets
 from helixframe.plans import sinks
 from helixframe.sources import readers
 
@@ -27,7 +32,7 @@ def transcripts(spark, sf) -> DataFrame:
 
 
 def queries(spark, sf) -> DataFrame:
-    """Oligos: reverse complements of 15 bases of each benchmark item."""
+    """Oligos: reverse complements of 15 bases of each benchmark item, as oligos are that long."""
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("input_order"), F.concat(F.lit("AS_"), F.col("item_id")).alias("name"), seq.reverse_complement(F.substring(nt("text"), 20, 15)).alias("seq"))
 
 
@@ -63,7 +68,7 @@ def transcript_ranges(spark, sf):
 
 
 def mismatch_scan(spark, sf):
-    found = scan.scan(queries(spark, sf), transcripts(spark, sf), [("full", None, None)], 3, "scan")
+    found = scan.scan(queries(spark, sf), transcripts(spark, sf), [("full", None, None)], 3)
     return found.select("antisense_name", "transcript_name", "transcript_start", "transcript_end", "mismatches", "matched_target_5to3", "matched_as_view_5to3")
 
 
@@ -133,10 +138,13 @@ def mean_sem_parse(spark, sf):
     return out.select("o_orderkey", F.col("Outer group").alias("outer_group"), F.col("Condition").alias("condition_"), F.round("Mean", 6).alias("mean"), F.round("SEM", 6).alias("sem"), F.round("n1", 6).alias("first_number"), (F.round("n2", 6) + 0.0).alias("second_number"))
 
 
+YEARS = list(range(1992, 1999))  # all that the table has
+
+
 def _wide(spark, sf):
-    li = table(spark, sf, "lineitem").withColumn("year", F.year("l_shipdate")).filter("year BETWEEN 1993 AND 1996")
-    sums = li.groupBy((F.col("l_partkey") % 500).alias("row")).pivot("year", [1993, 1994, 1995, 1996]).agg(F.sum("l_quantity").cast("long"))
-    cells = [F.when(F.col(str(y)).isNotNull(), F.concat(F.col(str(y)).cast("string"), F.lit(" ± "), (F.col("row") % 7).cast("string"))).alias(f"Time-D{y}") for y in (1993, 1994, 1995, 1996)]
+    li = table(spark, sf, "lineitem").withColumn("year", F.year("l_shipdate")).filter("year BETWEEN 1992 AND 1998")
+    sums = li.groupBy((F.col("l_partkey") % 500).alias("row")).pivot("year", YEARS).agg(F.sum("l_quantity").cast("long"))
+    cells = [F.when(F.col(str(y)).isNotNull(), F.concat(F.col(str(y)).cast("string"), F.lit(" ± "), (F.col("row") % 7).cast("string"))).alias(f"Time-D{y}") for y in YEARS]
     return sums.select("row", F.concat((F.col("row") % 4).cast("string"), F.when(F.col("row") % 3 == 0, " mpk").otherwise("")).alias("Dose (mpk)"), F.concat(F.lit("G"), F.col("row") % 9).alias("Group"), *cells)
 
 
@@ -159,8 +167,8 @@ def forward_fill(spark, sf):
 
 
 def _grid(spark, sf):
-    """Documents' sources as sheets: words of a text as a row, every fifth column blank."""
-    d = table(spark, sf, "documents").select(F.col("source").alias("sheet"), (F.col("doc_id") + 1).cast("int").alias("row"), F.posexplode(F.slice(F.split("text", " "), 1, 14)).alias("c", "value"))
+    """Documents' sources as sheets: all words of a text as a row, every fifth column blank."""
+    d = table(spark, sf, "documents").select(F.col("source").alias("sheet"), (F.col("doc_id") + 1).cast("int").alias("row"), F.posexplode(F.split("text", " ")).alias("c", "value"))
     return d.select(F.lit("w").alias("workbook"), "sheet", F.lit(0).alias("sheet_index"), "row", (F.col("c") + 1).alias("col"), F.when(F.col("c") % 5 == 4, "").otherwise(F.col("value")).alias("value"), F.lit(None).cast("string").alias("formula"))
 
 
@@ -196,7 +204,7 @@ def _stats(spark, sf):
 
 
 def series_combined(spark, sf):
-    s = _stats(spark, sf).filter("n % 2 = 0").withColumn("o", F.struct("label", "Reference gene"))
+    s = _stats(spark, sf).filter("NOT (Group = 'R' AND `Reference gene` = 'F')").withColumn("o", F.struct("label", "Reference gene"))
     return series.combined_series(s, "label", "Reference gene", "o", "Mean CT", "SEM").select("label", F.col("Reference gene").alias("gene"), "x", "series_index", F.round("Mean CT", 6).alias("mean_ct"), F.round("SEM", 6).alias("sem"))
 
 
@@ -209,7 +217,7 @@ def _reports(spark, sf):
     li = table(spark, sf, "lineitem").withColumn("row", F.row_number().over(qpcr.Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")) + 2)
     li = li.withColumn("mean", F.col("l_quantity").cast("int").cast("string")).withColumn("sem", (F.col("l_partkey") % 9 + 1).cast("string"))
     head = {1: ("Sample", "Group"), 2: ("Sample", "Compound ID"), 3: ("ACTB", "Mean CT"), 4: ("GAPDH", "Mean CT"), 5: ("", "MEAN RQ ± SEM"), 6: ("", "Sample size (n)"), 8: ("Geomean", "MEAN RQ"), 9: ("", "SEM")}
-    body = {1: F.when(F.col("row") % 2 == 1, F.col("l_returnflag")), 2: F.when(F.col("l_suppkey") % 10 == 0, "NTC").otherwise(F.col("l_suppkey").cast("string")), 3: F.col("sem"), 4: F.when(F.col("l_linenumber") % 4 != 0, F.col("mean")), 5: F.concat("mean", F.lit(" ± "), "sem"), 6: F.lit("3"), 8: F.col("sem"), 9: F.col("mean")}
+    body = {1: F.when(F.col("row") % 2 == 1, F.col("l_returnflag")), 2: F.when(F.col("l_suppkey") % 10 == 0, "NTC").otherwise(F.col("l_suppkey").cast("string")), 3: F.col("sem"), 4: F.when(F.col("l_linenumber") % 4 != 0, F.col("mean")), 5: F.concat("mean", F.lit(".50 ± "), "sem"), 6: F.lit("3"), 8: F.concat("sem", F.lit(".00")), 9: F.concat(F.lit("1,"), F.lpad("mean", 3, F.lit("0")), F.lit(".250"))}
     cells = li.select(F.col("l_orderkey").cast("string").alias("sheet"), "row", F.explode(F.array(*[F.struct(F.lit(c).alias("col"), v.alias("value")) for c, v in body.items()])).alias("x")).select("sheet", "row", "x.*")
     tops = li.select(F.col("l_orderkey").cast("string").alias("sheet")).distinct().select("sheet", F.explode(F.array(*[F.struct(F.lit(r).alias("row"), F.lit(c).alias("col"), F.lit(h[r - 1]).alias("value")) for c, h in head.items() for r in (1, 2)])).alias("x")).select("sheet", "x.*")
     return cells.unionByName(tops).select(F.lit("w").alias("workbook"), "sheet", F.lit(0).alias("sheet_index"), "row", "col", "value", F.lit(None).cast("string").alias("formula"))
@@ -217,7 +225,7 @@ def _reports(spark, sf):
 
 def qpcr_summary(spark, sf):
     rows, _ = qpcr.summarize(_reports(spark, sf))
-    return rows.select("sheet", "kind", "block", "row", F.col("Group").alias("grp"), F.col("Compound ID").alias("compound"), F.col("Reference source").alias("source"), F.col("Sample size (n)").alias("n"), F.col("MEAN RQ").try_cast("double").alias("mean_rq"), F.col("SEM").try_cast("double").alias("sem"))
+    return rows.select("sheet", "kind", "block", "row", F.col("Group").alias("grp"), F.col("Compound ID").alias("compound"), F.col("Reference source").alias("source"), F.col("Sample size (n)").alias("n"), F.col("MEAN RQ").alias("mean_rq"), F.col("SEM").alias("sem"))
 
 
 def geomean_join(spark, sf):
@@ -230,9 +238,9 @@ def reference_qc(spark, sf):
 
 
 def fasta_records(spark, sf):
-    """One FASTA text a source, written and parsed again."""
+    """FASTA texts of 20 records each, written and parsed again."""
     rows = table(spark, sf, "documents").select("source", "doc_id", sinks.fasta_text(F.concat(F.lit("doc "), F.col("doc_id")), nt("text")).alias("record"))
-    texts = rows.groupBy((F.col("doc_id") % 50).cast("string").alias("file")).agg(F.concat(F.lit("skipped\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "record"))), lambda x: x["record"]), "\n")).alias("text"))
+    texts = rows.groupBy(F.floor(F.col("doc_id") / 20).cast("string").alias("file")).agg(F.concat(F.lit("skipped\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "record"))), lambda x: x["record"]), "\n")).alias("text"))
     return readers.fasta_records(texts).select("file", "input_order", "name", F.md5("seq").alias("seq_md5"))
 
 
@@ -253,13 +261,314 @@ def sheet_choice(spark, sf):
     return sheets.result_sheets(catalogue, "plotdata-").join(sheets.default_sheets(catalogue).withColumnRenamed("sheet", "first_sheet"), "workbook")
 
 
+def _path(spark, name) -> str:
+    """A new path in the shared folder."""
+    return f"{lineage.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def table_round_trip(spark, sf):
+    """A table of texts with quotes, commas and blanks, written and read again."""
+    name = F.when(F.col("p_partkey") % 4 == 0, F.lit("")).when(F.col("p_partkey") % 4 == 1, F.concat(F.lit('"a", '), "p_name")).otherwise(F.col("p_name"))
+    path = _path(spark, "parts") + ".csv"
+    sinks.write_table(table(spark, sf, "part").select("p_partkey", name.alias("P Name")), path)
+    back = readers.read_table(spark, path)
+    return back.select(readers.find_column(back, "P_PARTKEY"), F.col(readers.find_column(back, " p name ")).alias("name"))
+
+
+def headerless_table(spark, sf):
+    path = _path(spark, "raw")
+    table(spark, sf, "customer").select("c_custkey", "c_name").write.csv(path)
+    return readers.read_raw_table(spark, path).select(F.col("_c0").alias("custkey"), F.col("_c1").alias("name"))
+
+
+def oligo_table(spark, sf):
+    """Oligos of all customers from a table whose headers are aliases; every third has no sequence."""
+    k = F.col("c_custkey")
+    rows = table(spark, sf, "customer").select(
+        F.concat(F.lit("o  "), k).alias("Oligo ID"), F.when(k % 3 == 0, "NA").otherwise(F.lower(nt("c_name"))).alias("AS  sequence"),
+        F.when(k % 2 == 0, F.concat(F.lit("NM_"), k)).alias("RefSeq"), F.lit("g").alias("Gene"), F.when(k % 5 == 0, "n/a").otherwise("human").alias("species"), F.lit("x").alias("comment"),
+    )
+    path = _path(spark, "oligos") + ".csv"
+    sinks.write_table(rows, path)
+    return readers.antisense_queries(spark, table=path).select("name", "seq", "target_accession", "target_gene", "species", "notes")
+
+
+def antisense_files(spark, sf):
+    """FASTA files and lists, told apart by what they hold."""
+    k = F.col("c_custkey")
+    record = F.when(k % 20 < 10, F.concat(F.lit(">n"), k, F.lit("\n"), nt("c_name"))).otherwise(F.concat(F.lit("n"), k, F.lit("\t"), nt("c_name")))
+    path = _path(spark, "antisense")
+    table(spark, sf, "customer").select((k % 20).alias("bucket"), record.alias("value")).write.partitionBy("bucket").text(path)
+    return readers.read_antisense(spark, f"{path}/*/*.txt").select("name", "seq")
+
+
+def _ranges_of_texts(spark, sf):
+    n = F.col("doc_id") % 40
+    text = F.concat(F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(">h "), F.col("doc_id"), F.lit("\n"))), F.lit("; note\n"), nt("text"))
+    rows = table(spark, sf, "documents").select("doc_id", text.alias("text"), F.concat(F.lit("f"), F.col("doc_id")).alias("file"), n.cast("int").alias("start"), (n + 20).cast("int").alias("end"))
+    return readers.texts_to_oligos(rows)
+
+
+def text_oligos(spark, sf):
+    return _ranges_of_texts(spark, sf).select("doc_id", "source", F.col("transcript_length").cast("long").alias("n"), "ss_5to3", "as_5to3", F.coalesce("error", F.lit("")).alias("error"))
+
+
+def range_texts(spark, sf):
+    return sinks.range_text(_ranges_of_texts(spark, sf).filter("error IS NULL").drop("text")).select("doc_id", "text")
+
+
+def range_blanks(spark, sf):
+    """Ranges with blank coordinates, which stay blank, and odd ones, over one transcript."""
+    k = F.col("o_orderkey")
+    start = F.when(k % 5 == 0, F.lit("\u00a0 ")).when(k % 5 == 1, F.lit("1.5")).when(k % 5 == 2, F.lit("1,0")).otherwise((k % 7 + 1).cast("string"))
+    one = spark.createDataFrame([("t", LETTERS * 2)], "accession string, raw string").select("accession", nt("raw").alias("seq"))
+    out = oligo.fill_ranges(table(spark, sf, "orders").select("o_orderkey", start.alias("start"), F.lit("12.0").alias("end")), one)
+    return out.select("o_orderkey", F.col("SS matched").alias("ss"), F.col("match error").alias("error"))
+
+
+@F.pandas_udf("binary")
+def _xlsx(rows: pd.Series) -> pd.Series:
+    """A minimal workbook of each list of row texts: sheet S, the row's number in A, its text in B, and a merge of A1:A2."""
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+
+    def made(texts) -> bytes:
+        out = io.BytesIO()
+        body = "".join(f'<row r="{i}"><c r="A{i}"><f>B{i}</f><v>{i}</v></c><c r="B{i}" t="inlineStr"><is><t>{t}</t></is></c></row>' for i, t in enumerate(texts, 1))
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="S" r:id="r1"/></sheets></workbook>')
+            z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="x"><Relationship Id="r1" Target="worksheets/s.xml"/></Relationships>')
+            z.writestr("xl/worksheets/s.xml", f'<worksheet {ns}><sheetData>{body}</sheetData><mergeCells><mergeCell ref="A1:A2"/></mergeCells></worksheet>')
+        return out.getvalue()
+
+    return rows.map(made)
+
+
+def _workbooks(spark, sf):
+    """Workbooks of ten customers each."""
+    k = F.col("c_custkey")
+    books = table(spark, sf, "customer").groupBy(F.floor(k / 10).alias("book")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))).alias("rows"))
+    return readers.decode_workbooks(books.select(F.concat(F.lit("b"), F.col("book")).alias("path"), _xlsx(F.transform("rows", lambda x: x["c_name"])).alias("content")))
+
+
+def workbook_cells(spark, sf):
+    cells, _ = _workbooks(spark, sf)
+    more = cells.select("workbook", "sheet", "sheet_index", (F.col("row") + 100).alias("row"), (F.col("col") + 5).alias("col"), F.lit(None).cast("string").alias("value"), "formula")
+    return sheets.trim_edges(cells.unionByName(more)).select("workbook", "sheet", "row", "col", "value", "formula")  # without the empty rows
+
+
+def workbook_merges(spark, sf):
+    return _workbooks(spark, sf)[1].select("workbook", "min_row", "max_row", "min_col", "max_col")
+
+
+def _plot_sheets(spark, sf):
+    """A sheet an order: a title, a header some rows below, the order's items."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("sheet"), (F.col("o_orderkey") % 3 + 2).cast("int").alias("top"), "o_orderpriority")
+    cell = lambda row, col, value: F.struct(row.cast("int").alias("row"), F.lit(col).alias("col"), value.alias("value"))
+    top = F.col("top")
+    made = F.array(cell(F.lit(1), 1, F.lit("Study")), cell(F.lit(1), 2, F.col("o_orderpriority")), cell(F.lit(1), 3, F.lit("Study")), cell(top, 1, F.lit("Group")), cell(top, 2, F.lit("(Mean SEM)")), cell(top + 1, 1, F.lit("G1-a")), cell(top + 1, 2, F.lit("1 ± 2")))
+    return o.select(F.lit("w").alias("workbook"), "sheet", F.explode(made).alias("x")).select("workbook", "sheet", F.lit(0).alias("sheet_index"), "x.*", F.lit(None).cast("string").alias("formula"))
+
+
+def plot_titles(spark, sf):
+    cells = _plot_sheets(spark, sf)
+    return sheets.header_rows(cells).join(sheets.titles(cells), sheets.SHEET).select("sheet", "header_row", "title")
+
+
+def sheet_table(spark, sf):
+    """One sheet of all customers as a table; blank header cells get names."""
+    c = table(spark, sf, "customer")
+    body = c.select((F.col("c_custkey") + 2).cast("int").alias("row"), F.explode(F.array(F.struct(F.lit(1).alias("col"), F.col("c_name").alias("value")), F.struct(F.lit(2).alias("col"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey").cast("string")).alias("value")))).alias("x")).select("row", "x.*")
+    head = spark.createDataFrame([(1, 1, " Name "), (1, 2, None)], "row int, col int, value string")
+    return sheets.as_table(head.unionByName(body)).select("row", F.col("Name").alias("name"), F.col("Column 2").alias("second"))
+
+
+def _summary(spark, sf):
+    s = _stats(spark, sf)
+    return s.select("Group", F.col("Compound ID").alias("compound"), F.col("Reference gene").alias("gene"), F.when(F.col("Compound ID") == "3", "none").otherwise(F.round("Mean CT", 4).cast("string")).alias("mean"), F.round("SEM", 4).cast("string").alias("sem"))
+
+
+def summary_saved(spark, sf):
+    """A summary saved as a sheet and beside it, read again with its numbers checked."""
+    book, out = _path(spark, "book"), _path(spark, "summary") + ".csv"
+    sinks.save_summary(_summary(spark, sf), book, "w", "a/b", output=out)
+    sheet = readers.read_summary(spark.read.parquet(book), ["Group", "compound", "gene", "mean", "sem"], ["mean", "sem"])
+    file = readers.read_summary(readers.read_table(spark, out), ["Group", "compound", "gene"], ["mean", "sem"])
+    both = sheet.select("sheet", "Group", "compound", "gene", "mean", "sem").unionByName(file.select(F.lit("file").alias("sheet"), "Group", "compound", "gene", "mean", "sem"))
+    return both.select("sheet", F.col("Group").alias("grp"), "compound", "gene", "mean", "sem")
+
+
+def sheet_store(spark, sf):
+    """Sheets of a store: one is replaced, the others stay; then the store's table is updated in its place."""
+    book, rows = _path(spark, "store"), table(spark, sf, "nation").select("n_nationkey", "n_name")
+    for sheet, data in (("a:1", rows), ("b", rows), ("a:1", table(spark, sf, "supplier").select(F.col("s_suppkey").alias("n_nationkey"), F.col("s_name").alias("n_name")))):
+        sinks.replace_sheet(data, book, "w", sheet)
+    flat = _path(spark, "flat")
+    spark.read.parquet(book).select("sheet", "n_nationkey", "n_name").write.parquet(flat)
+    sinks.update_in_place(spark.read.parquet(flat).withColumn("n_name", F.upper("n_name")), flat)
+    return spark.read.parquet(flat)
+
+
+def batch_log(spark, sf):
+    """Hits of two batches with their request ids, logged batch by batch; ids come from saved service texts."""
+    answers = table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("\n   RID = R"), F.col("o_orderkey"), F.lit("\n   RTOE = 12\n")).alias("text"))
+    hit = answers.select(seq.service_field("text", "RID").alias("hit"), seq.service_field("text", "RTOE").alias("wait"), "o_orderkey")
+    batches = {"one": hit.filter("o_orderkey % 2 = 0"), "two": hit.filter("o_orderkey % 2 = 1")}
+    path = _path(spark, "log")
+    for rid in batches:
+        sinks.append_log(sinks.combine_hits({rid: batches[rid]}), path)
+    return spark.read.parquet(path).select("rid", "hit", "wait")
+
+
+def result_set(spark, sf):
+    """The six tables of a run, and what they hold."""
+    q, path = queries(spark, sf), _path(spark, "run")
+    found = sinks.match_rows(scan.scan(q, transcripts(spark, sf), [("full", None, None)], 1))
+    packed = oligo.pack_batches(q, 100)
+    tables = {"input_queries": oligo.annotate_queries(q), "local_transcript_scan": found, "blast_hits_raw": _hits(spark, sf), "blast_hits_filtered": hits.filter_hits(_hits(spark, sf)), "blast_batches": oligo.batch_stats(packed), "run_metadata": oligo.run_metadata(q, {"tool": "t", "word_size": "7"})}
+    sinks.write_result_set(tables, path)
+    counts = [spark.read.parquet(f"{path}/{n}").select(F.lit(n).alias("table_name")).groupBy("table_name").count() for n in sinks.RESULT_TABLES]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out.select("table_name", F.col("count").alias("n"))
+
+
+def run_metadata(spark, sf):
+    q = table(spark, sf, "documents").select(F.col("doc_id").alias("input_order"), F.lit("n").alias("name"), nt("text").alias("seq"))
+    return oligo.run_metadata(q, {"tool": "t", "word_size": "7"})
+
+
+def number_texts(spark, sf):
+    """Prices as texts with commas, and texts that are no numbers, with six digits."""
+    price = F.col("l_extendedprice").cast("decimal(18,2)").cast("string")
+    text = F.when(F.col("l_linenumber") == 7, F.concat(F.lit("  n "), price)).when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("1,"), F.lpad(price, 12, F.lit("0")))).otherwise(price)
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", textcells.number_text(text).alias("shown"))
+
+
+def file_names(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", textcells.safe_filename(F.concat(F.lit("_ "), "p_name", F.lit(" / 1."))).alias("name"), textcells.looks_like_gene("p_name").alias("gene"))
+
+
+def sheet_rows(spark, sf):
+    rows = sheets.row_texts(_grid(spark, sf), "the")
+    return rows.select("sheet", "row", F.md5("text").alias("text_md5"), "has_cell")
+
+
+def _embedded(spark, sf):
+    """Reports under a note, three rows down; Mean CT cells are formulas over two cells beside the table."""
+    li = table(spark, sf, "lineitem").withColumn("row", F.row_number().over(qpcr.Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")) + 5)
+    q, s = F.col("l_quantity").cast("int").cast("string"), (F.col("l_partkey") % 9 + 1).cast("string")
+    none = F.lit(None).cast("string")
+    cell = lambda col, value, formula=none: F.struct(F.lit(col).alias("col"), value.alias("value"), formula.alias("formula"))
+    row = F.col("row").cast("string")
+    body = F.array(cell(1, F.col("l_returnflag")), cell(2, F.col("l_suppkey").cast("string")), cell(3, F.lit("20")), cell(4, none, F.concat(F.lit("=AVERAGE(H"), row, F.lit(":I"), row, F.lit(")"))), cell(5, F.concat(q, F.lit(".0"))), cell(6, s), cell(8, q), cell(9, s))
+    data = li.select(F.col("l_orderkey").cast("string").alias("sheet"), "row", F.explode(body).alias("x")).select("sheet", "row", "x.*")
+    heads = [(1, 1, "a note"), (4, 1, "Group"), (4, 2, "Compound ID"), (4, 3, "ACTB"), (4, 4, "GAPDH"), (4, 5, "MEAN RQ"), (4, 6, "SEM"), (5, 3, "CT"), (5, 4, "Mean CT")]
+    tops = li.select(F.col("l_orderkey").cast("string").alias("sheet")).distinct().select("sheet", F.explode(F.array(*[F.struct(F.lit(r).alias("row"), F.lit(c).alias("col"), F.lit(v).alias("value"), none.alias("formula")) for r, c, v in heads])).alias("x")).select("sheet", "x.*")
+    return data.unionByName(tops).select(F.lit("w").alias("workbook"), "sheet", F.lit(0).alias("sheet_index"), "row", "col", "value", "formula")
+
+
+def embedded_summary(spark, sf):
+    rows, _ = qpcr.summarize(_embedded(spark, sf))
+    return rows.select("sheet", "row", F.col("Group").alias("grp"), F.col("Compound ID").alias("compound"), F.col("Reference source").alias("source"), F.col("MEAN RQ").alias("mean_rq"), F.col("SEM").alias("sem"))
+
+
+def embedded_refqc(spark, sf):
+    cells = _embedded(spark, sf)
+    r = qpcr.reference_qc(cells, sheets.resolve_formulas(cells))
+    return r.select("sheet", F.col("Group").alias("grp"), F.col("Compound ID").alias("compound"), F.col("Reference gene").alias("gene"), F.col("Sample size (n)").alias("n"), F.round("Mean CT", 6).alias("mean_ct"))
+
+
+def formula_values(spark, sf):
+    """A sheet an order: numbers, chains of references, averages with repeats, chains of averages, averages of themselves."""
+    li = table(spark, sf, "lineitem").withColumn("row", F.row_number().over(qpcr.Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")))
+    r, before = F.col("row").cast("string"), (F.col("row") - 1).cast("string")
+    first = F.col("row") == 1
+    none = F.lit(None).cast("string")
+    cell = lambda col, value, formula: F.struct(F.lit(col).alias("col"), value.alias("value"), formula.alias("formula"))
+    made = F.array(
+        cell(1, F.col("l_quantity").cast("int").cast("string"), none), cell(2, none, F.when(first, F.lit("=$A$1")).otherwise(F.concat(F.lit("='My, sheet'!B"), before))),
+        cell(3, none, F.concat(F.lit("=AVERAGE(A1:A"), r, F.lit(",A"), r, F.lit(")"))), cell(4, none, F.when(first, F.lit("=AVERAGE(C1)")).otherwise(F.concat(F.lit("=average(C"), r, F.lit(", 'My, sheet'!D"), before, F.lit(")")))),
+        cell(5, none, F.concat(F.lit("=AVERAGE(E"), r, F.lit(",A"), r, F.lit(")"))), cell(6, none, F.concat(F.lit("=SUM(A"), r, F.lit(")"))), cell(7, none, F.concat(F.lit("=G"), r)),
+    )
+    cells = li.select(F.col("l_orderkey").cast("string").alias("workbook"), F.lit("My, sheet").alias("sheet"), F.lit(0).alias("sheet_index"), "row", F.explode(made).alias("x")).select("workbook", "sheet", "sheet_index", "row", "x.*")
+    return sheets.resolve_formulas(cells).select("workbook", "row", "col", F.round("number", 6).alias("number"))
+
+
+def accession_scan(spark, sf):
+    """Each document's own oligo against the document that it names; every seventh names none."""
+    own = table(spark, sf, "documents").select(F.col("doc_id").alias("input_order"), F.concat(F.lit("d"), F.col("doc_id")).alias("name"), seq.reverse_complement(F.substring(nt("text"), 20, 15)).alias("seq"), F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.col("doc_id").cast("string")).alias("target_accession"))
+    found = scan.scan(own, transcripts(spark, sf), [("full", None, None)], 3, per_accession=None)
+    return found.select("antisense_name", "transcript_name", "transcript_start", "mismatches")
+
+
+def numbered_matches(spark, sf):
+    """Matches in report order, numbered."""
+    found = scan.scan(queries(spark, sf), transcripts(spark, sf), [("full", None, None)], 2)
+    order = ["input_order", "region_order", "mismatches", "transcript_name", "transcript_start"]
+    return lineage.numbered(found.select(*order), order, "position").select("position", "input_order", "transcript_name", "transcript_start")
+
+
+def duplicate_flags(spark, sf):
+    """Duplicates of whole documents as sequences."""
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("input_order"), F.concat(F.lit("AS "), F.col("doc_id")).alias("name"), nt("text").alias("seq"))
+    return oligo.flag_duplicates(rows).select("input_order", "blast_id", F.col("length").cast("long").alias("length"), "is_duplicate", "duplicate_group", "duplicate_count")
+
+
+def duplicate_members(spark, sf):
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("input_order"), F.concat(F.lit("AS "), F.col("doc_id")).alias("name"), nt("text").alias("seq"))
+    return oligo.duplicate_members(rows)
+
+
+def required_columns(spark, sf):
+    """What the blocks of all reports lack."""
+    roles = sheets.role_columns(sheets.headers(sheets.blocks(_reports(spark, sf))))
+    return sheets.required_roles(roles, {"group_col": "Group", "geomean_col": "geomean"}).select("sheet", "block", "issue")
+
+
+def source_series(spark, sf):
+    s = _stats(spark, sf).withColumn("o", F.struct("label"))
+    return series.split_series(s, "Reference gene", "label", "o").select(F.col("Reference gene").alias("gene"), "label", F.col("x").cast("long").alias("x"))
+
+
+def reference_series(spark, sf):
+    s = _stats(spark, sf).filter("NOT (Group = 'R' AND `Reference gene` = 'F')").withColumn("first", F.struct("label", "Reference gene"))
+    p = series.reference_series(s)
+    return p.select("label", F.col("Reference gene").alias("gene"), "x_index", "series_index", F.round("position", 6).alias("position"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), F.col("palette").cast("long").alias("palette"))
+
+
+def summary_charts(spark, sf):
+    s = _stats(spark, sf).filter("NOT (Group = 'R' AND `Reference gene` = 'F')").withColumn("o", F.struct("label", "Reference gene"))
+    s = s.select("label", F.col("Reference gene").alias("Reference source"), F.col("Mean CT").alias("MEAN RQ"), "SEM", "o")
+    c = series.summary_plots(s, "o")
+    return c.select("chart_id", "label", F.col("Reference source").alias("source"), F.col("x").cast("long").alias("x"), F.round("MEAN RQ", 6).alias("mean_rq"))
+
+
+def plot_tables(spark, sf):
+    """A two-column table and a wide one, each sent to its own form."""
+    two = table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.min("o_orderkey").alias("row"), F.count("*").alias("n")).select("row", F.col("o_orderpriority").alias("Group"), F.concat(F.col("n").cast("string"), F.lit("\u00a0±\u00a02")).alias("(Mean SEM)"))
+    plain = series.plot_table(two, "given", "found", "stem").select("title", F.col("Outer group").alias("x"), F.col("Condition").alias("series"), "Mean", "SEM")
+    wide = series.plot_table(_wide(spark, sf), None, None, "stem").select("title", F.col("Timepoint").alias("x"), F.col("Compound dose").alias("series"), "Mean", "SEM")
+    return plain.unionByName(wide)
+
+
+def scan_region_texts(spark, sf):
+    """Region texts from part names and keys, good and bad."""
+    k = F.col("p_partkey")
+    spec = F.when(k % 5 == 0, F.lit(" FULL ")).when(k % 5 == 1, F.concat_ws("-", k % 9, k % 7 + 3)).when(k % 5 == 2, F.concat(F.lit(" s  eed : "), k % 4 + 1, F.lit(" - 8"))).when(k % 5 == 3, F.col("p_name")).otherwise(F.lit(":2-8"))
+    return table(spark, sf, "part").select("p_partkey", spec.alias("spec")).select("p_partkey", *[c.alias({"start": "first_base", "end": "last_base"}.get(n, n)) for n, c in seq.region_columns("spec").items()])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         rna_normalize, reverse_complement, invalid_bases, antisense_region_table, transcript_ranges, mismatch_scan, mismatch_scan_seeded, mismatch_scan_regions, mismatch_positions,
         offtarget_topk, missing_accessions, duplicate_sequences, batch_packing, batch_stats, hits_enriched, hits_filtered, mean_sem_parse, timepoint_unpivot, series_grouped, chart_sizes,
         forward_fill, table_islands, merged_fill, control_filter, summary_dedupe, refgene_stats, series_combined, axis_bounds, qpcr_summary, geomean_join, reference_qc,
-        fasta_records, plain_list, hit_report_scan, sheet_choice,
+        fasta_records, plain_list, hit_report_scan, sheet_choice, table_round_trip, headerless_table, oligo_table, antisense_files, text_oligos, range_texts, range_blanks,
+        workbook_cells, workbook_merges, plot_titles, sheet_table, summary_saved, sheet_store, batch_log, result_set, run_metadata, number_texts, file_names, sheet_rows,
+        embedded_summary, embedded_refqc, formula_values, accession_scan, numbered_matches, duplicate_flags, duplicate_members, required_columns, source_series,
+        reference_series, summary_charts, plot_tables, scan_region_texts,
     )
 }
 
@@ -267,11 +576,11 @@ RNA = "replace(upper(regexp_replace({0}, '[^A-Za-z]', '', 'g')), 'T', 'U')"
 MATCHES = f"""t AS ({SQL_TRANSCRIPTS}), q AS ({SQL_QUERIES}),
 w AS (SELECT accession, i AS start, substr(seq, i, 15) AS win FROM (SELECT accession, seq, unnest(range(1, length(seq) - 13)) AS i FROM t WHERE length(seq) >= 15)),
 m AS (SELECT q.input_order, q.name, q.target, w.accession, w.start, w.win, hamming(q.target, w.win) AS mm FROM q JOIN w ON hamming(q.target, w.win) <= 3 WHERE length(q.target) = 15)"""
-WIDE = """li AS (SELECT l_partkey % 500 AS "row", year(l_shipdate) AS y, l_quantity AS qty FROM lineitem WHERE year(l_shipdate) BETWEEN 1993 AND 1996),
+WIDE = """li AS (SELECT l_partkey % 500 AS "row", year(l_shipdate) AS y, l_quantity AS qty FROM lineitem WHERE year(l_shipdate) BETWEEN 1992 AND 1998),
 s AS (SELECT "row", y, CAST(sum(qty) AS BIGINT) AS total FROM li GROUP BY "row", y),
 long AS (SELECT "row", 'G' || ("row" % 9) AS Compound, ("row" % 4) || ' mpk' AS Dose, 'D' || y AS Timepoint, y - 1992 AS t,
  'G' || ("row" % 9) || ' | ' || ("row" % 4) || ' mpk' AS compound_dose, CAST(total AS DOUBLE) AS "Mean", CAST("row" % 7 AS DOUBLE) AS "SEM" FROM s)"""
-GRID = """g0 AS (SELECT source AS sheet, CAST(doc_id + 1 AS INTEGER) AS "row", string_split(text, ' ')[1:14] AS ws FROM documents),
+GRID = """g0 AS (SELECT source AS sheet, CAST(doc_id + 1 AS INTEGER) AS "row", string_split(text, ' ') AS ws FROM documents),
 g1 AS (SELECT sheet, "row", unnest(ws) AS v, unnest(range(0, len(ws))) AS c FROM g0),
 g AS (SELECT sheet, "row", CAST(c + 1 AS INTEGER) AS col, CASE WHEN c % 5 = 4 THEN '' ELSE v END AS "value" FROM g1)"""
 WELLS = """wells AS (SELECT l_returnflag AS grp, CASE WHEN l_suppkey % 10 = 0 THEN 'NTC' ELSE CAST(l_suppkey % 10 AS VARCHAR) END AS compound, l_linestatus AS gene,
@@ -284,12 +593,23 @@ REPORT = """r0 AS (SELECT CAST(l_orderkey AS VARCHAR) AS sheet, row_number() OVE
  CASE WHEN l_suppkey % 10 = 0 THEN 'NTC' ELSE CAST(l_suppkey AS VARCHAR) END AS compound, CAST(l_quantity AS INTEGER) AS mean, l_partkey % 9 + 1 AS sem FROM lineitem),
 r1 AS (SELECT *, CASE WHEN "row" % 2 = 1 THEN l_returnflag END AS g0 FROM r0),
 r AS (SELECT *, last_value(g0 IGNORE NULLS) OVER (PARTITION BY sheet ORDER BY "row" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM r1)"""
-SUMMARY = """a AS (SELECT sheet, 0 AS kind, 1 AS block, min("row") AS "row", grp, compound, 'GAPDH' AS source, '3' AS n, CAST(mean AS DOUBLE) AS mean_rq, CAST(sem AS DOUBLE) AS sem
+SUMMARY = """a AS (SELECT sheet, 0 AS kind, 1 AS block, min("row") AS "row", grp, compound, 'GAPDH' AS source, '3' AS n, mean || '.5' AS mean_rq, CAST(sem AS VARCHAR) AS sem
  FROM r WHERE compound <> 'NTC' GROUP BY sheet, grp, compound, mean, sem),
-b AS (SELECT sheet, 1 AS kind, 2 AS block, min("row") AS "row", g0 AS grp, compound, 'Geomean (GAPDH)' AS source, '' AS n, CAST(sem AS DOUBLE) AS mean_rq, CAST(mean AS DOUBLE) AS sem
+b AS (SELECT sheet, 1 AS kind, 2 AS block, min("row") AS "row", g0 AS grp, compound, 'Geomean (GAPDH)' AS source, '' AS n, CAST(sem AS VARCHAR) AS mean_rq, '1' || lpad(CAST(mean AS VARCHAR), 3, '0') || '.25' AS sem
  FROM r WHERE compound <> 'NTC' AND g0 IS NOT NULL GROUP BY sheet, g0, compound, mean, sem)"""
 MM = "array_to_string(list_filter(range(1, 16), lambda i: substr({0}, CAST(i AS INTEGER), 1) <> substr({1}, CAST(i AS INTEGER), 1)), ';')"
 
+SEVENS = f"""own AS (SELECT doc_id, {NT.format('text')} AS seq FROM documents), o AS (SELECT doc_id, seq, substr(seq, 20, 15) AS target FROM own WHERE doc_id % 7 <> 0),
+w AS (SELECT doc_id, target, i, substr(seq, i, length(target)) AS win FROM (SELECT *, unnest(range(1, length(seq) - length(target) + 2)) AS i FROM o WHERE length(target) > 0))"""
+TEXTS = f"""t AS (SELECT doc_id, {NT.format('text')} AS seq, CASE WHEN doc_id % 3 = 0 THEN 'f' || doc_id ELSE 'h ' || doc_id END AS source, doc_id % 40 AS a, doc_id % 40 + 20 AS b FROM documents),
+e AS (SELECT *, CASE WHEN a < 1 THEN 'Start position must be 1 or greater.' WHEN seq = '' THEN 'Sequence is empty after cleanup.' WHEN length(seq) < b THEN 'Sequence must be at least ' || b || ' nt long.' ELSE '' END AS error,
+ substr(seq, a, 21) AS ss FROM t)"""
+KEPT = """k AS (SELECT grp || ' | ' || compound AS label, gene, avg(ct) AS m, coalesce(stddev_samp(ct) / sqrt(count(*)), 0) AS e FROM wells WHERE NOT (grp = 'R' AND gene = 'F') GROUP BY grp, compound, gene),
+lx AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS x FROM (SELECT DISTINCT label FROM k)), gx AS (SELECT gene, row_number() OVER (ORDER BY first_at) - 1 AS i, count(*) OVER () AS n FROM (SELECT gene, min(label || ' ' || gene) AS first_at FROM k GROUP BY gene))"""
+EMBEDDED = """r AS (SELECT CAST(l_orderkey AS VARCHAR) AS sheet, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) + 2 AS "row",
+ l_returnflag AS grp, CAST(l_suppkey AS VARCHAR) AS compound, CAST(l_quantity AS INTEGER) AS q, l_partkey % 9 + 1 AS s FROM lineitem)"""
+SPEC = """s AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN ' FULL ' WHEN 1 THEN (p_partkey % 9) || '-' || (p_partkey % 7 + 3) WHEN 2 THEN ' s  eed : ' || (p_partkey % 4 + 1) || ' - 8' WHEN 3 THEN p_name ELSE ':2-8' END AS spec FROM part)"""
+
 ORACLES = {
     "rna_normalize": f"SELECT p_partkey, {RNA.format('p_name')} AS rna, replace({RNA.format('p_name')}, 'U', 'T') AS dna FROM part",
     "reverse_complement": f"WITH t AS ({SQL_TRANSCRIPTS}) SELECT accession, md5({RC.format('seq')}) AS rc_md5, md5(translate(seq, 'ACGU', 'UGCA')) AS c_md5 FROM t",
@@ -341,15 +661,65 @@ FROM g FULL JOIN spots s ON g.sheet = s.sheet AND g."row" = s."row" AND g.col =
     "control_filter": f"WITH {WELLS} SELECT grp, compound, l_orderkey, l_linenumber FROM wells WHERE compound <> 'NTC'",
     "summary_dedupe": f"WITH {WELLS} SELECT grp, compound, ct, min(l_orderkey) AS l_orderkey FROM wells WHERE compound <> 'NTC' GROUP BY 1, 2, 3",
     "refgene_stats": f"WITH {WELLS} SELECT grp, compound, gene, count(*) AS n, round(avg(ct), 6) AS mean_ct, round(coalesce(stddev_samp(ct) / sqrt(count(*)), 0), 6) AS sem FROM wells WHERE compound <> 'NTC' GROUP BY 1, 2, 3",
-    "series_combined": f"""WITH {WELLS}, s AS (SELECT grp || ' | ' || compound AS label, gene, avg(ct) AS m, coalesce(stddev_samp(ct) / sqrt(count(*)), 0) AS e FROM wells GROUP BY grp, compound, gene HAVING count(*) % 2 = 0),
+    "series_combined": f"""WITH {WELLS}, s AS (SELECT grp || ' | ' || compound AS label, gene, avg(ct) AS m, coalesce(stddev_samp(ct) / sqrt(count(*)), 0) AS e FROM wells WHERE NOT (grp = 'R' AND gene = 'F') GROUP BY grp, compound, gene),
 l AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS x FROM (SELECT DISTINCT label FROM s)), k AS (SELECT gene, row_number() OVER (ORDER BY first_at) - 1 AS series_index FROM (SELECT gene, min(label || ' ' || gene) AS first_at FROM s GROUP BY gene))
 SELECT label, gene, x, series_index, round(coalesce(m, 0), 6) AS mean_ct, round(coalesce(e, 0), 6) AS sem FROM l CROSS JOIN k LEFT JOIN s USING (label, gene)""",
     "axis_bounds": f"WITH {WELLS}, s AS (SELECT avg(ct) AS m, coalesce(stddev_samp(ct) / sqrt(count(*)), 0) AS e FROM wells GROUP BY grp, compound, gene) SELECT round(min(m - e) - 0.5, 6) AS low, round(max(m + e) + 0.5, 6) AS high FROM s",
     "qpcr_summary": f"WITH {REPORT}, {SUMMARY} SELECT * FROM a UNION ALL SELECT * FROM b",
     "geomean_join": f'WITH {REPORT}, {SUMMARY} SELECT sheet, "row", grp, compound, source, mean_rq, sem FROM b',
     "reference_qc": f"""WITH {REPORT} SELECT sheet, grp, compound, 'GAPDH' AS gene, count(*) AS n, round(avg(mean), 6) AS mean_ct, round(coalesce(stddev_samp(mean) / sqrt(count(*)), 0), 6) AS sem FROM r WHERE compound <> 'NTC' AND l_linenumber % 4 <> 0 GROUP BY sheet, grp, compound""",
-    "fasta_records": f"""SELECT CAST(doc_id % 50 AS VARCHAR) AS file, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id) AS input_order, 'doc_' || doc_id AS name, md5({NT.format('text')}) AS seq_md5 FROM documents""",
+    "fasta_records": f"""SELECT CAST(doc_id // 20 AS VARCHAR) AS file, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id) AS input_order, 'doc_' || doc_id AS name, md5({NT.format('text')}) AS seq_md5 FROM documents""",
     "plain_list": f"""WITH c AS (SELECT CAST(c_custkey AS VARCHAR) AS file, {NT.format('c_name')} AS seq FROM customer) SELECT file, i AS input_order, CASE i WHEN 2 THEN 'AS_2' ELSE 'n' || i END AS name, seq FROM c, (SELECT unnest([1, 2, 3, 4]) AS i)""",
     "hit_report_scan": "SELECT 'AS_' || l_orderkey AS query_id, 'a,b' AS subject_id, CAST(l_linenumber AS VARCHAR) AS bit_score FROM lineitem WHERE l_linenumber NOT IN (2, 3, 4)",
     "sheet_choice": """SELECT CAST(p_partkey % 40 AS VARCHAR) AS workbook, arg_max('PlotData-' || p_partkey, p_partkey) FILTER (WHERE p_partkey % 3 = 0) AS sheet, CASE WHEN min(p_partkey) % 3 = 0 THEN 'PlotData-' ELSE 's-' END || min(p_partkey) AS first_sheet FROM part GROUP BY 1""",
+    "table_round_trip": """SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN '"a", ' || p_name ELSE coalesce(p_name, '') END AS name FROM part""",
+    "headerless_table": "SELECT CAST(c_custkey AS VARCHAR) AS custkey, c_name AS name FROM customer",
+    "oligo_table": f"SELECT 'o ' || c_custkey AS name, {NT.format('c_name')} AS seq, CASE WHEN c_custkey % 2 = 0 THEN 'NM_' || c_custkey ELSE '' END AS target_accession, 'g' AS target_gene, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'human' END AS species, '' AS notes FROM customer WHERE c_custkey % 3 <> 0",
+    "antisense_files": f"SELECT 'n' || c_custkey AS name, {NT.format('c_name')} AS seq FROM customer",
+    "text_oligos": f"WITH {TEXTS} SELECT doc_id, source, length(seq) AS n, CASE WHEN error = '' THEN ss END AS ss_5to3, CASE WHEN error = '' THEN {RC.format('ss')} END AS as_5to3, error FROM e",
+    "range_texts": f"""WITH {TEXTS} SELECT doc_id, 'source: ' || source || chr(10) || 'transcript_length_nt: ' || length(seq) || chr(10) || 'range_1based_inclusive: ' || a || '-' || b || chr(10) || 'selected_length_nt: 21' || chr(10)
+ || 'SS_5to3: ' || ss || chr(10) || 'AS_5to3: ' || {RC.format('ss')} AS text FROM e WHERE error = ''""",
+    "range_blanks": f"""WITH x AS (SELECT '{BASES}{BASES}' AS seq), o AS (SELECT o_orderkey, o_orderkey % 5 AS m, CASE WHEN o_orderkey % 5 = 2 THEN 10 ELSE o_orderkey % 7 + 1 END AS a FROM orders)
+SELECT o_orderkey, CASE WHEN m > 1 THEN substr(seq, a, 13 - a) ELSE '' END AS ss, CASE WHEN m = 1 THEN 'start must be a whole number: 1.5' ELSE '' END AS error FROM o, x""",
+    "workbook_cells": """WITH r AS (SELECT 'b' || (c_custkey // 10) AS workbook, c_name, row_number() OVER (PARTITION BY c_custkey // 10 ORDER BY c_custkey) AS i FROM customer)
+SELECT workbook, 'S' AS sheet, CAST(i AS INTEGER) AS "row", 1 AS col, CAST(i AS VARCHAR) AS "value", '=B' || i AS formula FROM r UNION ALL SELECT workbook, 'S', CAST(i AS INTEGER), 2, c_name, NULL FROM r""",
+    "workbook_merges": "SELECT DISTINCT 'b' || (c_custkey // 10) AS workbook, 1 AS min_row, 2 AS max_row, 1 AS min_col, 1 AS max_col FROM customer",
+    "plot_titles": "SELECT CAST(o_orderkey AS VARCHAR) AS sheet, CAST(o_orderkey % 3 + 2 AS INTEGER) AS header_row, 'Study ' || o_orderpriority AS title FROM orders",
+    "sheet_table": """SELECT CAST(c_custkey + 2 AS INTEGER) AS "row", c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey AS VARCHAR) ELSE '' END AS second FROM customer""",
+    "summary_saved": f"""WITH {WELLS}, s AS (SELECT grp, compound, gene, round(avg(ct), 4) AS mean, round(coalesce(stddev_samp(ct) / sqrt(count(*)), 0), 4) AS sem FROM wells WHERE compound <> '3' GROUP BY 1, 2, 3)
+SELECT 'plotdata-a_b' AS sheet, * FROM s UNION ALL SELECT 'file', * FROM s""",
+    "sheet_store": "SELECT 'b' AS sheet, n_nationkey, upper(n_name) AS n_name FROM nation UNION ALL SELECT 'a_1', s_suppkey, upper(s_name) FROM supplier",
+    "batch_log": "SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'one' ELSE 'two' END AS rid, 'R' || o_orderkey AS hit, '12' AS wait FROM orders",
+    "result_set": f"""WITH RECURSIVE {MATCHES}, {HITS.replace(' n AS', ' nn AS')}, b0 AS (SELECT input_order, length(target) AS bn, row_number() OVER (ORDER BY input_order) AS i FROM q),
+bf AS (SELECT i, bn AS used, 1 AS b FROM b0 WHERE i = 1 UNION ALL SELECT b0.i, CASE WHEN bf.used + b0.bn > 100 THEN b0.bn ELSE bf.used + b0.bn END, CASE WHEN bf.used + b0.bn > 100 THEN bf.b + 1 ELSE bf.b END FROM bf JOIN b0 ON b0.i = bf.i + 1)
+SELECT 'input_queries' AS table_name, count(*) AS n FROM q UNION ALL SELECT 'local_transcript_scan', count(*) FROM m WHERE mm <= 1 UNION ALL SELECT 'blast_hits_raw', count(*) FROM e
+UNION ALL SELECT 'blast_hits_filtered', count(*) FROM e WHERE CAST(mismatches AS INTEGER) <= 3 AND gap_opens <= 0 AND alen / CAST(query_length AS DOUBLE) >= 0.8 UNION ALL SELECT 'blast_batches', max(b) FROM bf UNION ALL SELECT 'run_metadata', 4""",
+    "run_metadata": f"""WITH d AS (SELECT count(*) AS n, CAST(sum(length({NT.format('text')})) AS BIGINT) AS b FROM documents)
+SELECT 'tool' AS "key", 't' AS "value" UNION ALL SELECT 'word_size', '7' UNION ALL SELECT 'query_count', CAST(n AS VARCHAR) FROM d UNION ALL SELECT 'total_bases', CAST(b AS VARCHAR) FROM d""",
+    "number_texts": """WITH p AS (SELECT l_orderkey, l_linenumber, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) AS t FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN 'n ' || t WHEN l_linenumber % 2 = 0 THEN printf('%g', CAST('1' || lpad(t, 12, '0') AS DOUBLE)) ELSE printf('%g', CAST(t AS DOUBLE)) END AS shown FROM p""",
+    "file_names": r"""SELECT p_partkey, regexp_replace(regexp_replace(trim(regexp_replace('_ ' || p_name || ' / 1.', '\s+', ' ', 'g')), '[^A-Za-z0-9_.-]+', '_', 'g'), '^[_.]+|[_.]+$', '', 'g') AS name, regexp_matches(p_name, '^[A-Za-z][A-Za-z0-9_.-]{0,19}$') AS gene FROM part""",
+    "sheet_rows": rf"""WITH {GRID}, c AS (SELECT sheet, "row", col, trim(regexp_replace("value", '\s+', ' ', 'g')) AS t FROM g) SELECT sheet, "row", md5(coalesce(string_agg(t, ' ' ORDER BY col) FILTER (WHERE t <> ''), '')) AS text_md5, bool_or(lower(t) = 'the') AS has_cell FROM c GROUP BY 1, 2""",
+    "embedded_summary": f"""WITH {EMBEDDED} SELECT sheet, min("row") AS "row", grp, compound, 'GAPDH' AS source, CAST(q AS VARCHAR) AS mean_rq, CAST(s AS VARCHAR) AS sem FROM r GROUP BY sheet, grp, compound, q, s""",
+    "embedded_refqc": f"""WITH {EMBEDDED} SELECT sheet, grp, compound, 'GAPDH' AS gene, count(*) AS n, round(avg((q + s) / 2.0), 6) AS mean_ct FROM r GROUP BY sheet, grp, compound""",
+    "formula_values": """WITH RECURSIVE r AS (SELECT CAST(l_orderkey AS VARCHAR) AS workbook, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS i, CAST(l_quantity AS INTEGER) AS a FROM lineitem),
+v AS (SELECT workbook, i, a, first_value(a) OVER w AS b, (sum(a) OVER w + a) / (i + 1.0) AS c FROM r WINDOW w AS (PARTITION BY workbook ORDER BY i)),
+d AS (SELECT workbook, i, CAST(c AS DOUBLE) AS d FROM v WHERE i = 1 UNION ALL SELECT v.workbook, v.i, (v.c + d.d) / 2 FROM d JOIN v ON v.workbook = d.workbook AND v.i = d.i + 1),
+x AS (SELECT workbook, i, 1 AS col, a AS n FROM v UNION ALL SELECT workbook, i, 2, b FROM v UNION ALL SELECT workbook, i, 3, c FROM v UNION ALL SELECT workbook, i, 4, d FROM d UNION ALL SELECT workbook, i, 5, a FROM v)
+SELECT workbook, CAST(i AS INTEGER) AS "row", col, round(CAST(n AS DOUBLE), 6) AS number FROM x""",
+    "accession_scan": f"WITH {SEVENS} SELECT 'd' || doc_id AS antisense_name, CAST(doc_id AS VARCHAR) AS transcript_name, i AS transcript_start, hamming(target, win) AS mismatches FROM w WHERE hamming(target, win) <= 3",
+    "numbered_matches": f"WITH {MATCHES} SELECT row_number() OVER (ORDER BY input_order, mm, accession, start) AS position, input_order, accession AS transcript_name, start AS transcript_start FROM m WHERE mm <= 2",
+    "duplicate_flags": f"""WITH d AS (SELECT doc_id, {NT.format('text')} AS s FROM documents)
+SELECT doc_id AS input_order, 'AS_' || doc_id AS blast_id, length(s) AS length, count(*) OVER p > 1 AS is_duplicate, CASE WHEN count(*) OVER p > 1 THEN min(doc_id) OVER p END AS duplicate_group, count(*) OVER p AS duplicate_count FROM d WINDOW p AS (PARTITION BY s)""",
+    "duplicate_members": f"""WITH d AS (SELECT doc_id, {NT.format('text')} AS s FROM documents), c AS (SELECT doc_id, min(doc_id) OVER p AS g, count(*) OVER p AS n FROM d WINDOW p AS (PARTITION BY s)) SELECT g AS duplicate_group, doc_id AS input_order, 'AS ' || doc_id AS name FROM c WHERE n > 1""",
+    "required_columns": """SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS sheet, 1 AS block, 'Could not find the geomean column.' AS issue FROM lineitem UNION ALL SELECT DISTINCT CAST(l_orderkey AS VARCHAR), 2, 'Could not find the Group column.' FROM lineitem""",
+    "source_series": f"WITH {WELLS} SELECT gene, grp || ' | ' || compound AS label, row_number() OVER (PARTITION BY gene ORDER BY grp || ' | ' || compound) - 1 AS x FROM (SELECT DISTINCT grp, compound, gene FROM wells)",
+    "reference_series": f"""WITH {WELLS}, {KEPT} SELECT label, gene, x AS x_index, i AS series_index, round(x + (i - (n - 1) / 2.0) * least(0.18, 0.8 / n), 6) AS position, round(min(m - e) OVER () - 0.5, 6) AS low, round(max(m + e) OVER () + 0.5, 6) AS high, i % 6 AS palette FROM k JOIN lx USING (label) JOIN gx USING (gene)""",
+    "summary_charts": f"""WITH {WELLS}, {KEPT} SELECT 'split:' || gene AS chart_id, label, gene AS source, row_number() OVER (PARTITION BY gene ORDER BY label) - 1 AS x, round(m, 6) AS mean_rq FROM k
+UNION ALL SELECT 'combined', label, gene, x, round(coalesce(m, 0), 6) FROM lx CROSS JOIN gx LEFT JOIN k USING (label, gene)""",
+    "plot_tables": f"""WITH {WIDE}, d AS (SELECT Timepoint, compound_dose, arg_max("Mean", "row" * 10 + t) AS "Mean", arg_max("SEM", "row" * 10 + t) AS "SEM" FROM long GROUP BY 1, 2)
+SELECT 'given' AS title, split_part(o_orderpriority, '-', 1) AS x, substr(o_orderpriority, strpos(o_orderpriority, '-') + 1) AS series, CAST(count(*) AS DOUBLE) AS "Mean", 2.0::DOUBLE AS "SEM" FROM orders GROUP BY o_orderpriority UNION ALL SELECT 'stem', * FROM d""",
+    "scan_region_texts": f"""WITH {SPEC} SELECT p_partkey, CASE WHEN m = 0 THEN 'full' WHEN m = 1 AND NOT bad THEN spec WHEN m = 2 THEN 's eed' WHEN m = 4 THEN '2-8' END AS name, CASE WHEN m = 1 AND NOT bad THEN a WHEN m = 2 THEN p_partkey % 4 + 1 WHEN m = 4 THEN 2 END AS first_base,
+ CASE WHEN m = 1 AND NOT bad THEN b WHEN m IN (2, 4) THEN 8 END AS last_base, CASE WHEN m = 3 THEN 'Not a scan region (full, 2-18 or seed:2-8): ' || chr(39) || spec || chr(39) WHEN m = 1 AND bad THEN 'Scan region out of order: ' || chr(39) || spec || chr(39) END AS error
+FROM (SELECT *, p_partkey % 5 AS m, p_partkey % 9 AS a, p_partkey % 7 + 3 AS b, p_partkey % 9 < 1 OR p_partkey % 7 + 3 < p_partkey % 9 AS bad FROM s)""",
 }

@@ -20,14 +20,14 @@ MATCH_COLUMNS = (
 def write_table(df: DataFrame, path: str) -> None:
     """CSV for .csv and .txt names, Parquet otherwise."""
     if path.lower().endswith((".csv", ".txt")):
-        df.write.mode("overwrite").option("header", True).csv(path)
+        df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     else:
         df.write.mode("overwrite").parquet(path)
 
 
-def replace_sheet(df: DataFrame, path: str, workbook: str, sheet: str) -> None:
+def replace_sheet(df: DataFrame, path: str, workbook: str, sheet: str | Column) -> None:
     """Append or replace one sheet of one workbook; other partitions stay."""
-    rows = df.withColumn("workbook", F.lit(workbook)).withColumn("sheet", safe_sheet_name(F.lit(sheet)))
+    rows = df.withColumn("workbook", F.lit(workbook)).withColumn("sheet", sheet if isinstance(sheet, Column) else safe_sheet_name(F.lit(sheet)))
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("workbook", "sheet").parquet(path)
 
 
@@ -38,11 +38,20 @@ def save_beside(df: DataFrame, path: str) -> str:
     return out
 
 
-def default_sheet_name(kind: str, source: str) -> str:
-    """`plotdata-<source>` or `refqc-<source>`, within 31 characters."""
-    import re
+def update_in_place(df: DataFrame, path: str) -> None:
+    """Write df, which may come from path, beside it, then put it in its place; the old files go last."""
+    spark = df.sparkSession
+    new, old = save_beside(df, path), f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(at(path)) and not files.rename(at(path), at(old)) or not files.rename(at(new), at(path)):
+        raise OSError(f"could not swap {new} and {path}")
+    files.delete(at(old), True)
 
-    return re.sub(r"[\[\]:*?/\\]", "_", f"{kind}-{source}")[:31]
+
+def default_sheet_name(kind: str, source: str) -> Column:
+    """`plotdata-<source>` or `refqc-<source>`, as a sheet may be named."""
+    return safe_sheet_name(F.lit(f"{kind}-{source}"))
 
 
 def save_summary(df: DataFrame, sheets_path: str | None = None, workbook: str = "", source: str = "", kind: str = "plotdata", output: str | None = None) -> None:
@@ -95,6 +104,9 @@ def write_fasta(df: DataFrame, path: str, name: str = "name", seq: str = "seq")
 
 
 def range_text(df: DataFrame) -> DataFrame:
-    """Key: value text of each range result."""
-    fields = [("Source", clean_text("source")), ("Start", F.col("start").cast("string")), ("End", F.col("end").cast("string")), ("SS 5'-3'", F.col("ss_5to3")), ("AS 5'-3'", F.col("as_5to3")), ("Length", F.length("ss_5to3").cast("string"))]
-    return df.withColumn("text", F.concat_ws("\n", *[F.concat(F.lit(f"{k}: "), F.coalesce(v, F.lit(""))) for k, v in fields]))
+    """Adds the text of each range result of transcript_region(): a line a field."""
+    fields = [
+        ("source", F.col("source")), ("transcript_length_nt", F.col("transcript_length")), ("range_1based_inclusive", F.concat_ws("-", "start", "end")),
+        ("selected_length_nt", F.length("ss_5to3")), ("SS_5to3", F.col("ss_5to3")), ("AS_5to3", F.col("as_5to3")),
+    ]
+    return df.withColumn("text", F.concat_ws("\n", *[F.concat(F.lit(f"{k}: "), F.coalesce(v.cast("string"), F.lit(""))) for k, v in fields]))

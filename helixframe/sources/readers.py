@@ -209,8 +209,13 @@ def _workbook(path: str, data: bytes):
 
 
 def read_workbooks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(cells, merges) of all workbooks under a path, a task a few files; each file is decoded once."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xls[xm]").load(path).select("path", "content")
+    """(cells, merges) of all workbooks under a path."""
+    return decode_workbooks(spark.read.format("binaryFile").option("pathGlobFilter", "*.xls[xm]").load(path))
+
+
+def decode_workbooks(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cells, merges) of workbook files (path, content), a task a few files; each file is decoded once."""
+    files = files.select("path", "content")
     names = lambda ddl: [x.split()[0] for x in ddl.split(", ")]
     both = {"cell": names(CELLS), "merge": names(MERGES)}
 
