@@ -223,7 +223,7 @@ def resolve_formulas(cells: DataFrame) -> DataFrame:
     """
     known = cells.select(*CELL, parse_number("value").alias("number")).filter("number IS NOT NULL")
     edges = cut(formula_edges(cells))
-    bare = edges.filter("NOT average")
+    bare = edges.filter("NOT average AND NOT (to_sheet = sheet AND to_row = row AND to_col = col)")
     own = _at(bare.select(*CELL).distinct().withColumn("more", F.lit(True)), more="more")
     jumps = cut(bare.join(own, TO, "left").select(*CELL, "to_sheet", "to_row", "to_col", F.coalesce("more", F.lit(False)).alias("more")))
     for _ in range(max(1, jumps.count()).bit_length() + 1):
