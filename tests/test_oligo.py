@@ -107,3 +107,78 @@ def test_sinks(spark, tmp_path):
     sinks.append_log(df, str(tmp_path / "log"))
     sinks.append_log(df, str(tmp_path / "log"))
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+
+
+def test_oligo_table_headers(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("Oligo ID,AS  Sequence,RefSeq Accession,Accession,Organism,Comment\na,AUGC,NM_1,no,no,no\nb,NA,NM_2,,,\n")
+    (row,) = readers.read_oligo_table(spark, str(tmp_path / "t.csv")).collect()
+    assert tuple(row) == (1, "a", "AUGC", "NM_1", "", "", "")
+    (tmp_path / "empty.txt").write_text("# nothing\n")
+    with pytest.raises(ValueError):
+        readers.read_antisense(spark, str(tmp_path / "empty.txt"))
+    with pytest.raises(ValueError):
+        readers.transcript_input(spark, sequence="A", accession="x")
+    table = spark.createDataFrame([("x", "ATG")], "accession string, seq string")
+    assert tuple(readers.transcript_input(spark, accession="x", table=table).first()) == ("x", "AUG")
+    assert tuple(readers.transcript_input(spark, sequence=">h 1\nAT\n;c\nGC").first()) == ("h 1", "AUGC")
+    with pytest.raises(ValueError):
+        readers.transcript_input(spark, accession="y", table=table)
+
+
+def test_hit_limits_take_whole_parts(spark):
+    q = spark.createDataFrame([(1, "a", "ACGUA")], "input_order int, name string, seq string")
+    h = spark.createDataFrame([("a", "5.9", "1.0", "0.0"), ("a", "5", "1e0", "0"), ("a", "5", "nan", "0")], "query_id string, alignment_length string, mismatches string, gap_opens string")
+    assert [(r["alignment_length"], r["alignment_fraction"]) for r in hits.filter_hits(hits.enrich_hits(h, q)).collect()] == [("5.9", 1.0), ("5", 1.0)]
+
+
+def test_packing_over_ranges_matches_one_pass(spark):
+    import random
+
+    rng = random.Random(1)
+    made = [(i, rng.choice(["hot", "hot", "hot", None, f"k{i % 5}"]), "A" * rng.choice([0, 1, 3, 5, 9, 30])) for i in range(800)]
+    df = spark.createDataFrame([(i, k, s, "n") for i, k, s in made], "input_order long, job string, seq string, name string").repartition(5)
+    expected, state = {}, {}
+    for i, k, s in made:
+        batch, used = state.get(k, (0, 0))
+        batch, used = (batch + 1, len(s)) if not batch or used + len(s) > 12 else (batch, used + len(s))
+        state[k], expected[i] = (batch, used), batch
+    assert {r["input_order"]: r["batch_index"] for r in oligo.pack_batches(df, 12, "job").collect()} == expected
+    whole, out, used, batch = oligo.pack_batches(df, 12), {}, 0, 0
+    for i, _, s in made:
+        batch, used = (batch + 1, len(s)) if not batch or used + len(s) > 12 else (batch, used + len(s))
+        out[i] = batch
+    assert {r["input_order"]: r["batch_index"] for r in whole.collect()} == out
+    assert oligo.pack_batches(df.limit(0), 12).count() == 0
+
+
+def test_numbering_duplicates_and_one_transcript(spark):
+    df = spark.createDataFrame([(i * 7 % 50,) for i in range(50)], "x int").repartition(4)
+    assert sorted((r["x"], r["input_order"]) for r in oligo.numbered(df, ["x"]).collect()) == [(i, i + 1) for i in range(50)]
+    q = spark.createDataFrame([(1, "a", "AUGC"), (2, "b", "CCGA"), (3, "c", "ATGC")], "input_order long, name string, seq string")
+    assert [(r["is_duplicate"], r["duplicate_group"], r["duplicate_count"]) for r in oligo.flag_duplicates(q).orderBy("input_order").collect()] == [(True, 1, 2), (False, None, 1), (True, 1, 2)]
+    assert sorted((r["duplicate_group"], r["name"]) for r in oligo.duplicate_members(q).collect()) == [(1, "a"), (1, "c")]
+    two = spark.createDataFrame([("t", "A"), ("u", "C")], "accession string, seq string")
+    with pytest.raises(ValueError):
+        oligo.fill_ranges(spark.createDataFrame([("1", "1")], "start string, end string"), two)
+
+
+def test_scan_per_accession(spark):
+    q = spark.createDataFrame([(1, "a", "AUGC", "t1"), (2, "b", "AUGC", "t2"), (3, "c", "AUGC", "")], "input_order int, name string, seq string, target_accession string")
+    t = spark.createDataFrame([("t1", "GGGCAUUUGCAU"), ("t2", "GCAA"), ("t3", "GCAU")], "accession string, seq string")
+    for k, expected in ((0, [("a", "t1", 3), ("a", "t1", 9)]), (1, [("a", "t1", 3), ("a", "t1", 9), ("b", "t2", 1)])):
+        got = scan.scan(q, t, [("full", None, None)], k, per_accession=None).collect()
+        assert sorted((r["antisense_name"], r["transcript_name"], r["transcript_start"]) for r in got) == expected
+    none = q.withColumn("target_accession", F.lit(""))
+    assert scan.scan(none, t, [("full", None, None)], 0, per_accession=None).count() == 9
+
+
+def test_region_columns(spark):
+    rows = seq.region_table(spark, ["full", "2-8", " a b : 3 - 4", ":2-8", "", "9-3", "x"]).orderBy("region_order").collect()
+    assert [(r["name"], r["start"], r["end"], r["error"] is None) for r in rows] == [("full", None, None, True), ("2-8", 2, 8, True), ("a b", 3, 4, True), ("2-8", 2, 8, True), (None, None, None, False), (None, None, None, False), (None, None, None, False)]
+
+
+def test_store_is_swapped(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path)
+    sinks.update_in_place(spark.read.parquet(path).withColumn("id", F.col("id") + 10), path)
+    assert sorted(r[0] for r in spark.read.parquet(path).collect()) == [10, 11, 12] and [p.name for p in tmp_path.iterdir()] == ["t"]

@@ -92,3 +92,73 @@ def test_workbook(spark, tmp_path):
     cells, merges = readers.read_workbooks(spark, str(tmp_path))
     assert {(r["row"], r["col"], r["value"], r["formula"]) for r in cells.collect()} == {(1, 1, "Group", None), (2, 28, "2.5", "=A1")}
     assert tuple(merges.first())[1:] == ("S", 1, 1, 3, 1)
+
+
+def brute_formulas(values, formulas):
+    """Cells by path, as a person would follow the references."""
+    import re
+
+    def cell(at, seen):
+        if at in seen:
+            return None
+        if at in values:
+            return values[at]
+        f = formulas.get(at)
+        if f is None:
+            return None
+        m = re.fullmatch(r"=AVERAGE\((.*)\)", f)
+        refs = [(int(r), ord(c) - 64) for c, r in re.findall(r"([A-Z])(\d+)", m[1] if m else f)]
+        got = [cell(x, seen | {at}) for x in refs]
+        if not m:
+            return got[0]
+        got = [x for x in got if x is not None]
+        return sum(got) / len(got) if got else None
+
+    return {at: cell(at, frozenset()) for at in {**values, **formulas}}
+
+
+def test_formula_depth_repeats_and_cycles(spark):
+    import random
+
+    chain = {(r, 1): f"=A{r - 1}" for r in range(2, 52)} | {(r, 2): f"=AVERAGE(A{r},A{r},B{r - 1})" for r in range(2, 6)}
+    rng, cyclic = random.Random(3), {}
+    for r in range(1, 7):
+        for c in (3, 4):
+            refs = [f"{rng.choice('CD')}{rng.randint(1, 6)}" for _ in range(rng.randint(1, 3))] + ["E1"]
+            cyclic[(r, c)] = f"=AVERAGE({','.join(refs)})" if rng.random() < 0.7 else f"={refs[0]}"
+    values = {(1, 1): 10.0, (1, 2): 4.0, (1, 5): 20.0}
+    formulas = {**chain, **cyclic, (8, 1 + 25): "=AVERAGE(Z8,E1)"}
+    cells = [("w", "My, sheet", 0, r, c, str(v), None) for (r, c), v in values.items()] + [("w", "My, sheet", 0, r, c, None, f) for (r, c), f in formulas.items()]
+    cells += [("w", "t", 0, 1, 1, None, "='My, sheet'!A51"), ("w", "t", 0, 1, 2, None, "=AVERAGE('My, sheet'!A1,'My, sheet'!$E$1:$E$1)"), ("w", "t", 0, 1, 3, None, "=SUM(A1)"), ("w", "t", 0, 1, 4, None, "=AVERAGE(5,A1)")]
+    got = {(r["sheet"], r["row"], r["col"]): round(r["number"], 9) for r in sheets.resolve_formulas(spark.createDataFrame(cells, readers.CELLS)).collect()}
+    expected = {("My, sheet", *at): round(v, 9) for at, v in brute_formulas(values, formulas).items() if v is not None}
+    assert got == expected | {("t", 1, 1): 10.0, ("t", 1, 2): 15.0}
+
+
+def test_number_texts_before_deduplication(spark):
+    rows = [["Group", "Compound", "MEAN RQ", "SEM"], ["", "ID", "", ""], ["G", "A", "0.720", "0.10"], ["G", "A", "0.72", "0.1"], ["G", "A", "1,000", "1"], ["G", "B", "1 ", "x"]]
+    got, _ = qpcr.summarize(grid(spark, rows))
+    assert sorted((r["Compound ID"], r["MEAN RQ"], r["SEM"]) for r in got.collect()) == [("A", "0.72", "0.1"), ("A", "1000", "1"), ("B", "1", "x")]
+
+
+def test_mean_sem_with_odd_spaces(spark):
+    df = spark.createDataFrame([(" 0.72 ± 0.13",), ("0.72 +- 1e-2\n",), ("0.72 0.13",)], "a string")
+    m, s = textcells.mean_sem("a")
+    assert [tuple(r) for r in df.select(m, s).collect()] == [(0.72, 0.13), (0.72, 0.01), (None, None)]
+
+
+def test_reference_qc_under_embedded_header(spark):
+    rows = [["note", None, None, None, None, None], [None] * 6, ["Group", "Compound ID", "ACTB", "GAPDH", "MEAN RQ", "SEM"], ["", "", "CT", "Mean CT", "", ""], ["G1", "A", "1", None, "1", "2"], [None, None, "1", "5", "1", "2"]]
+    cells = grid(spark, rows, formulas={(5, 4): "=D6"})
+    (row,) = qpcr.reference_qc(cells, sheets.resolve_formulas(cells)).collect()
+    assert (row["Group"], row["Reference gene"], row["Sample size (n)"], row["Mean CT"]) == ("G1", "GAPDH", 2, 5.0)
+    lacks = sheets.required_roles(sheets.role_columns(sheets.headers(sheets.blocks(cells))), {"group_col": "Group"})
+    assert [r["issue"] for r in lacks.collect()] == ["Could not find the Group column."]
+
+
+def test_timepoints_and_doses(spark):
+    df = spark.createDataFrame([("Time-D8",), ("Time: D9",), ("time D10",), ("Time-",), ("Time",)], "h string")
+    assert [r[0] for r in df.select(textcells.timepoint("h")).collect()] == ["D8", "D9", "D10", "Time-", "Time"]
+    dose = spark.createDataFrame([("2",), ("2 MPK",), (None,)], "d string").select(textcells.format_dose("d", textcells.dose_unit(F.lit("Dose (mpk)"))))
+    assert [r[0] for r in dose.collect()] == ["2 mpk", "2 MPK", " mpk"]
+    assert series.is_wide_time_table(["Dose (mpk)", "Compound", "Time-D8"]) and not series.is_wide_time_table(["Group", "Time-D8"])
