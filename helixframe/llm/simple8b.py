@@ -272,12 +272,12 @@ class Chunks:
         split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
         coded = split.values.cast(pa.large_binary()).dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        new = [r for r in distinct if r not in self.runs]
+        of_run = list(map(self.runs.get, distinct))
+        new = [r for r, ids in zip(distinct, of_run) if ids is None]
         if len(self.runs) + len(new) > MEMO:
             self.runs.clear()
-            new = distinct
         self.learn(new)
-        of_run = list(map(self.runs.__getitem__, distinct))
+        of_run = [self.runs[r] if ids is None else ids for r, ids in zip(distinct, of_run)]
         sizes = np.fromiter(map(len, of_run), np.int64, len(of_run)) // 4
         ids, starts = np.frombuffer(b"".join(of_run), np.int32), np.cumsum(sizes) - sizes
         at = coded.indices.to_numpy()
@@ -305,6 +305,13 @@ def _path(path: str | None) -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def one_task_each(spark: SparkSession, n: int) -> np.ndarray:
+    """For each of n shards a number that Spark's hash partitioning deals to a task of its own."""
+    tried = spark.range(n * (16 + n.bit_length())).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("task")).agg(F.min("id").alias("id"))
+    of = {r["task"]: r["id"] for r in tried.collect()}  # a row a shard
+    return np.array([of.get(i, i) for i in range(n)], np.int64)
+
+
 def write_ids(df: DataFrame, out_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, path: str | None = None, shard_bytes: int = SHARD_BYTES) -> None:
     """Encode whole texts, add the end id to each, and write the files in ascending doc_id order.
 
@@ -320,6 +327,7 @@ def write_ids(df: DataFrame, out_path: str, id_col: str = "doc_id", text_col: st
     bounds = rows.approxQuantile("doc_id", [i / shards for i in range(1, shards)], 0.1 / shards) if shards > 1 and counts["rows"] > counts["nulls"] else []
     edges = np.sort(np.array(bounds, np.int64))
     null_shards = 1 + counts["nulls"] * shards // max(1, counts["rows"])
+    places = one_task_each(df.sparkSession, len(edges) + null_shards)
 
     def shard_of(ids: pa.Array, checksums: np.ndarray) -> np.ndarray:
         """Null ids first; a bound that comes several times has several shards."""
@@ -339,25 +347,26 @@ def write_ids(df: DataFrame, out_path: str, id_col: str = "doc_id", text_col: st
                 sums = np.array([zlib.crc32(p) for _, p in packed], np.int64)
                 own = b.column(0).slice(at, len(docs))
                 at += len(docs)
+                shard = shard_of(own, sums)
                 yield pa.RecordBatch.from_arrays(
-                    [own, pa.array(shard_of(own, sums), pa.int32()), pa.array(sums), pa.array(map(len, docs), pa.int64()), pa.array([o for o, _ in packed], pa.list_(pa.int32())), pa.array([p for _, p in packed], pa.binary())],
-                    ["doc_id", "shard", "checksum", "n_tokens", "block_offsets", "payload"],
+                    [own, pa.array(shard, pa.int32()), pa.array(places[shard]), pa.array(sums), pa.array(map(len, docs), pa.int64()), pa.array([o for o, _ in packed], pa.list_(pa.int32())), pa.array([p for _, p in packed], pa.binary())],
+                    ["doc_id", "shard", "place", "checksum", "n_tokens", "block_offsets", "payload"],
                 )
 
     def placed(batches):
         shard, start = None, 0
         for b in batches:
             starts = []
-            for s, n in zip(b.column(1).to_pylist(), b.column(3).to_pylist()):
+            for s, n in zip(b.column(1).to_pylist(), b.column(4).to_pylist()):
                 if s != shard:
                     shard, start = s, 0
                 starts.append(start)
                 start += n
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(starts, pa.int64())], [*b.schema.names, "shard_start"])
 
-    schema = "doc_id long, shard int, checksum long, n_tokens long, block_offsets array<int>, payload binary"
-    ordered = rows.mapInArrow(encoded, schema).repartition(shards + null_shards - 1, "shard").sortWithinPartitions("shard", "doc_id", "checksum", "payload")
-    ordered.mapInArrow(placed, schema + ", shard_start long").write.option("compression", "none").parquet(out_path)
+    schema = "doc_id long, shard int, place long, checksum long, n_tokens long, block_offsets array<int>, payload binary"
+    ordered = rows.mapInArrow(encoded, schema).repartition(len(places), "place").sortWithinPartitions("shard", "doc_id", "checksum", "payload")
+    ordered.mapInArrow(placed, schema + ", shard_start long").drop("place").write.option("compression", "none").parquet(out_path)
 
 
 def _read(spark: SparkSession, path: str, kind: str, name: str, made) -> DataFrame:
