@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import bpe_stream, decontam_lsa, quality_cascade, secret_novelty, simhash, simple8b, token_counts, tool_calls, url_lists, warc_derive
+from helixframe.llm import bpe_stream, decontam_lsa, piece_table, quality_cascade, rff_quality, secret_novelty, simhash, simple8b, token_alignment, token_counts, tool_calls, url_lists, warc_derive
 
 LIMIT = 4096
 
@@ -106,13 +106,25 @@ def op10_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_novelty.digests(secret_novelty.scan_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_table.digests(_table(spark, sf_dir, "documents"))
+
+
+def op12_rff_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rff_quality.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_documents(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_tool_call_linking, op3_warc_derivatives, op4_benchmark_decontamination, op5_quality_cascade, op6_bpe_round_trip, op7_simhash, op8_simple8b, op9_url_lists, op10_secret_novelty, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_tool_call_linking, op3_warc_derivatives, op4_benchmark_decontamination, op5_quality_cascade, op6_bpe_round_trip, op7_simhash, op8_simple8b, op9_url_lists, op10_secret_novelty, op11_fill_in_middle, op12_rff_quality, op13_token_alignment, pipeline)}
 
 ORACLES = {
     "op2_tool_call_linking": r"""
@@ -170,4 +182,12 @@ hits AS (SELECT p.page_id, k.pattern, s.action, s.valid_from, row_number() OVER
           AND p.fetched_on >= s.valid_from AND (s.valid_to IS NULL OR p.fetched_on < s.valid_to))
 SELECT p.page_id, p.host, p.fetched_on, coalesce(h.action, 'none') AS verdict, h.pattern, h.valid_from AS since
 FROM pages_h p LEFT JOIN hits h ON p.page_id = h.page_id AND h.rn = 1""",
+    "op11_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+k AS (SELECT doc_id, t, units, CAST(len(units) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(units) + 1) AS k1, CAST('0x' || h[9:16] AS BIGINT) % (len(units) + 1) AS k2,
+             t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') AS plain, CAST('0x' || h[25:32] AS BIGINT) % 100 < 50 AS spm FROM d),
+p AS (SELECT *, array_to_string(units[1:least(k1, k2)], '') AS prefix, array_to_string(units[least(k1, k2) + 1:greatest(k1, k2)], '') AS middle, array_to_string(units[greatest(k1, k2) + 1:], '') AS suffix FROM k)
+SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form, CASE WHEN NOT plain THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN NOT plain THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE WHEN plain THEN t WHEN spm THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p""",
 }
