@@ -27,7 +27,6 @@ import hashlib
 import os
 import re
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -40,12 +39,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.bpe_stream import WS, byte_chars
-from helixframe.llm.simple8b import groups_of
+from helixframe.llm.simple8b import groups_of, in_groups
 from helixframe.llm.util import stored, texts_of
 
 MARK = "▁"
 #: From a space or line end that comes after other than white space to the next one of these (B has pieces over other white space).
 SEGMENT = re.compile(f"[ \n][{WS}]*[^{WS}]*(?:(?![ \n])[{WS}]+[^{WS}]*)*")
+SPACES = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{WS}]", c))
 SPANNING = re.compile(f"[^{WS}] |\n")
 #: Documents and bytes of text in a block (the last text may go over), and bytes of text inverted at once.
 BLOCK_DOCS, BLOCK_BYTES, BATCH_BYTES = 1 << 15, 1 << 23, 1 << 21
@@ -56,21 +56,14 @@ _ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary"
 FIELDS = "block long, at int, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, a int, b int, n_docs long, links long, docs binary, planes binary"
 
 
-def align(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> tuple[list[str], list[tuple[int, int]]]:
-    """Groups as texts and linked id pairs of two lists of (id, bytes) over the same bytes."""
-    groups, links = [], []
-    i = j = first_i = first_j = end_i = end_j = 0
-    while i < len(a) and j < len(b):
-        links.append((a[i][0], b[j][0]))
-        next_i, next_j = end_i + a[i][1], end_j + b[j][1]
-        if next_i <= next_j:
-            i, end_i = i + 1, next_i
-        if next_j <= next_i:
-            j, end_j = j + 1, next_j
-        if end_i == end_j:
-            groups.append(",".join(str(t) for t, _ in a[first_i:i]) + "|" + ",".join(str(t) for t, _ in b[first_j:j]))
-            first_i, first_j = i, j
-    return groups, links
+def align(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, ends) of tokens that end at these bytes: places of linked tokens, and bytes where tokens of both end.
+
+    Between one end of either and the next lie the bytes of one token of each,
+    and two tokens share one such piece or none: the pieces are the links.
+    """
+    pieces = np.union1d(ends_a, ends_b)
+    return np.searchsorted(ends_a, pieces), np.searchsorted(ends_b, pieces), np.intersect1d(ends_a, ends_b, assume_unique=True)
 
 
 class Aligner:
@@ -97,16 +90,21 @@ class Aligner:
             raise ValueError("a piece model is needed that adds a space, keeps spaces, and has no pieces over a word's end or a line end")
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
         self.bytes_b = [bytes([int(p.piece[3:5], 16)]) if p.type == p.BYTE else p.piece.replace(MARK, " ").encode() for p in model.pieces]
+        if (max(self.bytes_a) + 1) * len(self.bytes_b) >> 32:
+            raise ValueError("pairs of these vocabularies don't fit in 32 bits")
+        self.size_a = np.zeros(max(self.bytes_a) + 1, np.int64)
+        self.size_a[list(self.bytes_a)] = list(map(len, self.bytes_a.values()))
+        self.size_b = np.array(list(map(len, self.bytes_b)))
+        # how an id is written inside a group, and as the last one of its side
+        self.shown = [[f"{i}{mark}" for i in range(n)] for n, mark in ((len(self.size_a), ","), (len(self.size_a), "|"), (len(self.size_b), ","), (len(self.size_b), ";"))]
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
+        #: Each segment's groups, with ; after each; n_a, n_b, n_groups, n_links; and whether its tokens spell it.
         self.groups: list[str] = []
-        #: n_a, n_b, n_groups, n_links of each segment, and whether its tokens spell it.
         self.figures, self.right = [array("q") for _ in range(4)], array("b")
-        self.pairs: dict[tuple[int, int], int] = {}
-        self.pair_a, self.pair_b = array("i"), array("i")
-        #: Pair numbers of all segments one after the other, each pair once a segment, how often, and where each segment's end.
+        #: Pairs (a times the size of b's vocabulary, plus b) of all segments one after the other, each once a segment; how often; where each segment's end.
         self.linked, self.times, self.ends = array("q"), array("q"), array("q", [0])
         self.chars = 0
 
@@ -120,27 +118,53 @@ class Aligner:
         return [ids[2:] if s[0] != " " else ids if len(s) > 1 else lone for s, ids in zip(segments, got)]
 
     def learn(self, segments: list[str]) -> None:
-        if not segments:
+        """Put the alignments of new segments into the tables; those that end in white space would not be the same before another."""
+        for group in in_groups([s for s in segments if s[-1] not in SPACES], len, 1 << 16):
+            self._learn(group)
+        for s in segments:
+            if s[-1] in SPACES:
+                self._learn([s])
+
+    def _learn(self, group: list[str]) -> None:
+        text = "".join(group)
+        ids_a, lists_b = np.array(self.a.encode(text, add_special_tokens=False).ids, np.int64), self.ids_b(group)
+        ids_b = np.fromiter(chain.from_iterable(lists_b), np.int64, sum(map(len, lists_b)))
+        raw = text.encode()
+        if not (b"".join(map(self.bytes_a.__getitem__, ids_a.tolist())) == raw == b"".join(map(self.bytes_b.__getitem__, ids_b.tolist()))):
+            if len(group) > 1:  # find out which segments aren't spelt
+                self._learn(group[: len(group) // 2])
+                self._learn(group[len(group) // 2 :])
+                return
+            self._put(group, [""], [np.zeros(1, np.int64)] * 4, False)
             return
-        for s, got, ids_b in zip(segments, self.a.encode_batch(segments, add_special_tokens=False), self.ids_b(segments)):
-            ids_a, raw = got.ids, s.encode()
-            spelt_a, spelt_b = ([table[i] for i in ids] for table, ids in ((self.bytes_a, ids_a), (self.bytes_b, ids_b)))
-            right = b"".join(spelt_a) == raw and b"".join(spelt_b) == raw
-            groups, links = align([*zip(ids_a, map(len, spelt_a))], [*zip(ids_b, map(len, spelt_b))]) if right else ([], [])
-            for pair, n in Counter(links).items():
-                number = self.pairs.setdefault(pair, len(self.pairs))
-                if number == len(self.pair_a):
-                    self.pair_a.append(pair[0])
-                    self.pair_b.append(pair[1])
-                self.linked.append(number)
-                self.times.append(n)
-            self.index[s] = len(self.index)
-            self.groups.append(";".join(groups))
-            for column, n in zip(self.figures, (len(ids_a), len(ids_b), len(groups), len(links))):
-                column.append(n)
-            self.right.append(right)
-            self.ends.append(len(self.linked))
-            self.chars += len(s)
+        ends_a, ends_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
+        segment_ends = np.cumsum(np.array([len(s.encode()) for s in group]))
+        link_a, link_b, group_ends = align(ends_a, ends_b)
+        owner = np.searchsorted(segment_ends, ends_a[link_a])
+        pair, times = np.unique(owner << 32 | ids_a[link_a] * len(self.size_b) + ids_b[link_b], return_counts=True)
+        # each token's place among the texts of all groups: a group's tokens of A, then those of B
+        last_a, last_b = np.searchsorted(ends_a, group_ends), np.searchsorted(ends_b, group_ends)
+        of_a, of_b = np.searchsorted(last_a, np.arange(len(ids_a))), np.searchsorted(last_b, np.arange(len(ids_b)))
+        at_a = np.arange(len(ids_a)) + np.append(0, last_b + 1)[of_a]
+        at_b = np.arange(len(ids_b)) + last_a[of_b] + 1
+        shown: list[str] = [""] * (len(ids_a) + len(ids_b))
+        ends = [np.isin(np.arange(len(ids_a)), last_a, assume_unique=True), np.isin(np.arange(len(ids_b)), last_b, assume_unique=True)]
+        for ids, at, end, inner, outer in ((ids_a, at_a, ends[0], *self.shown[:2]), (ids_b, at_b, ends[1], *self.shown[2:])):
+            for i, k, e in zip(ids.tolist(), at.tolist(), end.tolist()):
+                shown[k] = outer[i] if e else inner[i]
+        until = [np.searchsorted(x, segment_ends, "right") for x in (ends_a, ends_b, group_ends)]
+        tokens = (until[0] + until[1]).tolist()
+        texts = ["".join(shown[i:j]) for i, j in zip([0, *tokens], tokens)]
+        figures = [np.diff(x, prepend=0) for x in until] + [np.bincount(owner, minlength=len(group))]
+        self._put(group, texts, figures, True, pair & 0xFFFFFFFF, times, np.bincount(pair >> 32, minlength=len(group)))
+
+    def _put(self, group: list[str], texts: list[str], figures: list[np.ndarray], right: bool, pairs=np.zeros(0, np.int64), times=np.zeros(0, np.int64), n_pairs=np.zeros(1, np.int64)) -> None:
+        self.index.update(zip(group, range(len(self.index), len(self.index) + len(group))))
+        self.groups += texts
+        for column, values in zip((*self.figures, self.linked, self.times, self.ends), (*figures, pairs, times, self.ends[-1] + np.cumsum(n_pairs))):
+            column.frombytes(values.astype(np.int64).tobytes())
+        self.right.extend([right] * len(group))
+        self.chars += sum(map(len, group))
 
     def segments(self, texts: list[str]) -> list[list[int]]:
         """Segment numbers of a space and each text; an empty text has none."""
@@ -253,7 +277,7 @@ class Block:
         right = lengths > 0
         right[doc[np.array(aligner.right)[segment] == 0]] = False
         figures = [np.where(right, np.bincount(doc, np.array(f)[segment], len(cut)), 0).astype(np.int64) for f in aligner.figures]
-        hashes = [hashlib.sha256(";".join(map(aligner.groups.__getitem__, c)).encode()).hexdigest() if ok else "" for c, ok in zip(cut, right.tolist())]
+        hashes = [hashlib.sha256("".join(map(aligner.groups.__getitem__, c))[:-1].encode()).hexdigest() if ok else "" for c, ok in zip(cut, right.tolist())]
         key, times = np.unique((doc << 32 | segment)[right[doc]], return_counts=True)
         doc, segment = key >> 32, key & 0xFFFFFFFF
         ends = np.array(aligner.ends)
@@ -279,7 +303,7 @@ class Block:
         sizes = np.diff(np.append(firsts, len(pairs)))
         bitmaps, planes = pack_postings(sizes, docs, times, n)
         own, m = pairs[firsts], len(firsts)
-        yield _batch(schema, m, block=np.full(m, self.number), a=np.array(aligner.pair_a)[own], b=np.array(aligner.pair_b)[own], n_docs=sizes, links=popcounts(planes, sizes), docs=bitmaps, planes=planes)
+        yield _batch(schema, m, block=np.full(m, self.number), a=own // len(aligner.size_b), b=own % len(aligner.size_b), n_docs=sizes, links=popcounts(planes, sizes), docs=bitmaps, planes=planes)
 
 
 def _batch(schema: pa.Schema, n: int, **columns) -> pa.RecordBatch:
