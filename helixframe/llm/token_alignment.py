@@ -108,8 +108,8 @@ class Aligner:
         self.linked, self.times, self.ends = array("q"), array("q"), array("q", [0])
         self.chars = 0
 
-    def full(self) -> bool:
-        return len(self.index) > MEMO or self.chars > MEMO_CHARS
+    def full(self, memo: int) -> bool:
+        return len(self.index) > memo or self.chars > MEMO_CHARS
 
     def ids_b(self, segments: list[str]) -> list[list[int]]:
         """Ids as inside a text: a first space is the one that the model adds; other segments come after a line end, which is left out."""
@@ -324,26 +324,30 @@ def _paths(path_a: str | None, path_b: str | None) -> tuple[str, str]:
     return path_a or public_tokenizers.path("byte_bpe_50k.json"), path_b or public_tokenizers.path("piece_bpe_32k.model")
 
 
-def invert(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_a: str | None = None, path_b: str | None = None) -> DataFrame:
+def invert(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_a: str | None = None, path_b: str | None = None, block_docs: int = BLOCK_DOCS, block_bytes: int = BLOCK_BYTES, memo: int = MEMO) -> DataFrame:
     """Rows of documents (a null) and postings (at null) of all blocks; narrow.  Store it before reading it twice: block numbers are a run's own."""
 
+    if block_docs > 1 << 16:
+        raise ValueError("documents of a block are 16-bit numbers")
+    step = max(1, block_docs // 8)
+
     def inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         al = aligner(*_paths(path_a, path_b))
         number, block = TaskContext.get().partitionId() << 32, None
         for b in batches:
             schema = pa.schema([b.schema.field(0).with_name("doc_id"), *(pa.field(n, _ARROW[t]) for n, t in (f.split() for f in FIELDS.split(", ")))])
             done = 0
-            for texts in groups_of(b.column(1), BATCH_BYTES):
-                for i in range(0, len(texts), BLOCK_DOCS // 8):
-                    part = texts[i : i + BLOCK_DOCS // 8]
+            for texts in groups_of(b.column(1), min(BATCH_BYTES, block_bytes)):
+                for i in range(0, len(texts), step):
+                    part = texts[i : i + step]
                     block = block or Block(number)
                     block.add(al, b.column(0)[done : done + len(part)], part.to_pylist())
                     block.size += part.nbytes
                     done += len(part)
-                    if block.size >= BLOCK_BYTES or block.n_docs > BLOCK_DOCS * 7 // 8:
+                    if block.size >= block_bytes or block.n_docs > block_docs - step:
                         yield from block.batches(al, schema)
                         number, block = number + 1, None
-                        if al.full():
+                        if al.full(memo):
                             al.clear()
         if block:
             yield from block.batches(al, schema)
