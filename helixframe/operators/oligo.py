@@ -128,38 +128,44 @@ def pack_batches(queries: DataFrame, max_bases: int = 1000, key: str | None = No
     without one, is spread over tasks.  A range that lies inside one key becomes
     a map from the bases taken before it (0..max_bases) to the batches it opens
     and the bases it leaves; the driver composes one such map a range, and each
-    range is packed from its start.
+    range is packed from its start.  Each row is packed where it lies, so rows
+    of one input order stay apart; they come by their sequences' lengths, then
+    by their other columns.  Rows without an order come after all others of
+    their key, rows without a key are packed together.
     """
-    rows = queries.withColumn("__key", F.col(key) if key else F.lit(0)).withColumn("__n", F.coalesce(F.length(normalize_dna("seq")), F.lit(0)))
-    slim = rows.select("__key", "input_order", "__n").repartitionByRange("__key", "input_order").withColumn("__range", F.spark_partition_id())
-    slim = lineage.cut(slim)
-    dealt = slim.repartition("__range").sortWithinPartitions("__range", "__key", "input_order")
-    kinds = {f.name: f.dataType for f in slim.schema}
+    rows = queries.withColumns({"__key": F.col(key) if key else F.lit(0), "__n": F.coalesce(F.length(normalize_dna("seq")), F.lit(0))})
+    order = [F.col("__key"), F.col("input_order").asc_nulls_last()]
+    ties = [f"`{f.name}`" for f in queries.schema if f.dataType.simpleString().split("<")[0] not in ("map", "variant")]
+    dealt = lineage.cut(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    ordered = [F.col("__range"), *order, "__n", *ties]
+    kinds = {f.name: f.dataType for f in dealt.schema}
+    mapped_rows = dealt.select("__key", "__n", "__range", "input_order", *ties).repartition("__range").sortWithinPartitions(*ordered).select("__key", "__n", "__range")
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, object, pa.Table]]:
         """(range, key, rows) of the sorted rows: a range's rows of one key at a time."""
         held: list[pa.RecordBatch] = []
+        at_of = lambda b: b.column(b.schema.get_field_index("__range"))
+        key_of = lambda b: b.column(b.schema.get_field_index("__key"))
         for b in batches:
-            at = np.array(b.column(3))
-            keys = b.column(0)
+            at, keys = np.array(at_of(b)), key_of(b)
             new = np.append(True, at[1:] != at[:-1])
             if b.num_rows > 1:
-                same = keys.slice(1).to_pandas().eq(keys.slice(0, b.num_rows - 1).to_pandas()) | (keys.slice(1).to_pandas().isna() & keys.slice(0, b.num_rows - 1).to_pandas().isna())
-                new[1:] |= ~same.to_numpy()
+                one, two = keys.slice(1).to_pandas(), keys.slice(0, b.num_rows - 1).to_pandas()
+                new[1:] |= ~(one.eq(two) | (one.isna() & two.isna())).to_numpy()
             starts = np.flatnonzero(new).tolist()
             for i, j in zip(starts, [*starts[1:], b.num_rows]):
                 part = b.slice(i, j - i)
-                if held and (held[0].column(3)[0] != part.column(3)[0] or held[0].column(0)[0] != part.column(0)[0]):
-                    yield held[0].column(3)[0].as_py(), held[0].column(0)[0].as_py(), pa.Table.from_batches(held)
+                if held and (at_of(held[0])[0] != at_of(part)[0] or key_of(held[0])[0] != key_of(part)[0]):
+                    yield at_of(held[0])[0].as_py(), key_of(held[0])[0].as_py(), pa.Table.from_batches(held)
                     held = []
                 held.append(part)
         if held:
-            yield held[0].column(3)[0].as_py(), held[0].column(0)[0].as_py(), pa.Table.from_batches(held)
+            yield at_of(held[0])[0].as_py(), key_of(held[0])[0].as_py(), pa.Table.from_batches(held)
 
     def mapped(batches):
         first: dict[int, list] = {}
         for at, k, part in ranges(batches):
-            sizes = part.column(2).to_numpy()
+            sizes = part.column("__n").to_numpy()
             if at not in first:
                 first[at] = [k, k, _packing_map(sizes, max_bases).tobytes(), 0, 0]
             else:
@@ -171,7 +177,7 @@ def pack_batches(queries: DataFrame, max_bases: int = 1000, key: str | None = No
         yield pa.RecordBatch.from_arrays(cols, ["at", "first", "last", "map", "batch", "used"])
 
     name = kinds["__key"].simpleString()
-    found = dealt.mapInArrow(mapped, f"at int, first {name}, last {name}, map binary, batch long, used long").collect()  # a row a range
+    found = mapped_rows.mapInArrow(mapped, f"at int, first {name}, last {name}, map binary, batch long, used long").collect()  # a row a range
     starts, end = {}, None
     for r in sorted(found, key=lambda r: r["at"]):
         goes_on = end is not None and end[0] == r["first"]
@@ -185,19 +191,18 @@ def pack_batches(queries: DataFrame, max_bases: int = 1000, key: str | None = No
     def placed(batches):
         for at, k, part in ranges(batches):
             own = starts[at]
-            out, _, _ = _packed(part.column(2).to_numpy(), max_bases, *(own[1:] if own[0] == k else (0, 0)))
-            whole = part.combine_chunks()
-            yield pa.RecordBatch.from_arrays([whole.column(0).chunk(0), whole.column(1).chunk(0), pa.array(out, pa.int32())], ["__key", "input_order", "batch_index"])
+            out, _, _ = _packed(part.column("__n").to_numpy(), max_bases, *(own[1:] if own[0] == k else (0, 0)))
+            whole = part.drop_columns(["__key", "__n", "__range"]).append_column("batch_index", pa.array(out, pa.int32()))
+            yield from whole.combine_chunks().to_batches()
 
-    batches = dealt.mapInArrow(placed, f"__key {name}, input_order {kinds['input_order'].simpleString()}, batch_index int")
-    batches = batches.select(F.col("__key").alias("__k"), F.col("input_order").alias("__o"), "batch_index")
-    return rows.join(batches, rows["__key"].eqNullSafe(F.col("__k")) & (rows["input_order"] == F.col("__o"))).drop("__key", "__n", "__k", "__o")
+    sorted_rows = dealt.repartition("__range").sortWithinPartitions(*ordered)
+    return sorted_rows.mapInArrow(placed, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema) + ", batch_index int")
 
 
-def batch_stats(packed: DataFrame) -> DataFrame:
-    """Queries, bases and names of each batch."""
-    names = F.transform(F.array_sort(F.collect_list(F.struct("input_order", "name"))), lambda x: x["name"])
-    return packed.groupBy("batch_index").agg(F.count("*").alias("query_count"), F.sum(F.length(normalize_dna("seq"))).alias("total_bases"), F.array_join(names, ";").alias("names"))
+def batch_stats(packed: DataFrame, key: str | None = None) -> DataFrame:
+    """Queries, bases and names of each batch (with a key, of each batch of each key)."""
+    names = F.transform(F.array_sort(F.collect_list(F.struct(F.col("input_order").isNull().alias("last"), "input_order", "name"))), lambda x: x["name"])
+    return packed.groupBy(*([key] if key else []), "batch_index").agg(F.count("*").alias("query_count"), F.sum(F.length(normalize_dna("seq"))).alias("total_bases"), F.array_join(names, ";").alias("names"))
 
 
 def run_metadata(queries: DataFrame, settings: dict[str, str]) -> DataFrame:

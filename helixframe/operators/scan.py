@@ -6,8 +6,8 @@ equi-join on one of k + 1 pieces, of which a window with at most k mismatches
 must match one exactly: bit slices of the numbers.  Few targets are broadcast
 (their number is counted first), so windows aren't shuffled; more are joined
 by a shuffle.  A pair counts only at its first matching piece, so nothing has
-to be made distinct.  Where pieces are so short that they tell little, every
-window meets every target.  Oligos of all lengths share one pass.
+to be made distinct.  Where pieces are so short that they tell little, targets are
+opened into all strings near their halves.  Oligos of all lengths share one pass.
 """
 
 from __future__ import annotations
@@ -18,9 +18,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.seq import mismatch_positions, normalize_rna, reverse_complement
+from helixframe.operators import lineage
 
-#: Windows owned by a tile, targets that are broadcast at most, bases in one number.
-TILE, FEW, WORD = 256, 2000, 30
+#: Windows owned by a tile, targets that are broadcast at most, bases in one number, targets that one copy of a transcript carries (about).
+TILE, FEW, WORD, CARRIED = 256, 2000, 30, 16
 ODD_BITS = 6148914691236517205
 
 
@@ -38,17 +39,17 @@ def query_regions(queries: DataFrame, regions: list[tuple[str, int | None, int |
     return both.withColumn("as_region_sequence", region).withColumn("target_5to3", reverse_complement("as_region_sequence"))
 
 
-def tiles(transcripts: DataFrame, longest: int, size: int = TILE) -> DataFrame:
-    """(accession, offset, tile, owned): pieces of size + longest - 1 bases; the windows that start in the first `owned` are its own."""
-    rows = transcripts.select("accession", F.regexp_extract_all(normalize_rna("seq"), F.lit(f"(?s).{{1,{size}}}"), F.lit(0)).alias("parts"))
+def tiles(transcripts: DataFrame, longest: int, size: int = TILE, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(accession, carried columns, offset, tile, owned): pieces of size + longest - 1 bases; the windows that start in the first `owned` are its own."""
+    rows = transcripts.select("accession", *carried, F.regexp_extract_all(normalize_rna("seq"), F.lit(f"(?s).{{1,{size}}}"), F.lit(0)).alias("parts"))
     ahead = -(-(longest - 1) // size)  # parts that a tile's windows reach into
     nexts = [F.slice("parts", i + 2, F.greatest(F.size("parts"), F.lit(1))).alias(f"p{i}") for i in range(ahead)]
     pieces = F.arrays_zip(F.col("parts").alias("own"), *nexts)
-    cut = rows.withColumn("pieces", pieces).select("accession", F.posexplode("pieces").alias("n", "p"))
+    cut = rows.withColumn("pieces", pieces).select("accession", *carried, F.posexplode("pieces").alias("n", "p"))
     names = [f.name for f in cut.schema["p"].dataType.fields]
     more = F.substring(F.concat(F.lit(""), *[F.coalesce(F.col(f"p.`{n}`"), F.lit("")) for n in names[1:]]), 1, longest - 1)
     own = F.col(f"p.`{names[0]}`")
-    return cut.select("accession", (F.col("n") * size).alias("offset"), F.concat(own, more).alias("tile"), F.length(own).alias("owned"))
+    return cut.select("accession", *carried, (F.col("n") * size).alias("offset"), F.concat(own, more).alias("tile"), F.length(own).alias("owned"))
 
 
 def spread(cut: DataFrame, source: DataFrame) -> DataFrame:
@@ -61,15 +62,42 @@ def spread(cut: DataFrame, source: DataFrame) -> DataFrame:
 
 def windows(transcripts: DataFrame, lengths: list[int], size: int = TILE) -> DataFrame:
     """(accession, start, size, window): every window of these lengths without other letters, 1-based start."""
-    cut = spread(tiles(transcripts, max(lengths), size), transcripts).withColumn("pure", F.col("tile").rlike("^[ACGU]*$"))
+    cut = spread(tiles(transcripts, max(lengths), size), transcripts)
     sizes = F.array(*[F.lit(n) for n in lengths])
-    cut = cut.withColumn("size", F.explode(sizes)) if len(lengths) > 1 else cut.withColumn("size", F.lit(lengths[0]))
+    return _cutouts(cut.withColumn("size", F.explode(sizes)) if len(lengths) > 1 else cut.withColumn("size", F.lit(lengths[0])))
+
+
+def _cutouts(cut: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(accession, carried columns, start, size, window) of tiles with a window size each."""
     last = F.least("owned", F.length("tile") - F.col("size") + 1)
-    at = cut.filter(last >= 1).select("accession", "offset", "tile", "pure", "size", F.explode(F.sequence(F.lit(1), last)).alias("i"))
-    cutout = at.select("accession", (F.col("offset") + F.col("i")).cast("int").alias("start"), "size", "pure", F.substr("tile", "i", "size").alias("window"))
+    pure = F.col("tile").rlike("^[ACGU]*$").alias("pure")
+    at = cut.filter(last >= 1).select("accession", *carried, "offset", "tile", pure, "size", F.explode(F.sequence(F.lit(1), last)).alias("i"))
+    cutout = at.select("accession", *carried, (F.col("offset") + F.col("i")).cast("int").alias("start"), "size", "pure", F.substr("tile", "i", "size").alias("window"))
     return cutout.filter(F.col("pure") | F.col("window").rlike("^[ACGU]+$")).drop("pure")
 
 
+def own_matches(transcripts: DataFrame, asked: DataFrame, lengths: list[int], max_mismatches: int) -> DataFrame:
+    """(target, accession, start, window, mismatches) of targets (accession, target, size) on the transcripts that they name.
+
+    Each transcript carries its targets as an array and its windows are compared
+    where they are cut: transcripts are shuffled once (or not at all, where the
+    arrays are small enough to be broadcast), windows never.  An accession with
+    many targets is dealt over several copies of its transcript.
+    """
+    k, parts = max_mismatches, range(-(-max(lengths) // WORD))
+    copies = asked.groupBy("accession").agg(F.ceil(F.count("*") / CARRIED).alias("copies"))
+    dealt = asked.join(copies, "accession").withColumn("copy", F.pmod(F.xxhash64("target"), F.col("copies")))
+    fields = F.struct("size", F.col("target"), *[code("target", p).alias(f"t{p}") for p in parts])
+    arrays = dealt.groupBy("accession", "size", "copy").agg(F.collect_list(fields).alias("targets")).drop("copy")
+    held = transcripts.join(arrays, "accession").filter(F.length("seq") >= F.col("size"))
+    carried = ("size", "targets")
+    seen = _cutouts(tiles(held, max(lengths), carried=carried), ("targets",)).select("accession", "targets", "start", "window", *[code("window", p).alias(f"w{p}") for p in parts])
+    differ = lambda t: reduce(lambda a, b: a + b, [code_mismatches(F.col(f"w{p}"), t[f"t{p}"]) for p in parts])
+    near = seen.withColumn("near", F.filter("targets", lambda t: differ(t) <= k)).filter(F.size("near") > 0)
+    hits = near.select("accession", "start", "window", *[f"w{p}" for p in parts], F.explode("near").alias("t"))
+    return hits.select("t.target", "accession", "start", "window", differ(F.col("t")).alias("mismatches"))
+
+
 def code(x, part: int = 0) -> Column:
     """Bases WORD*part+1.. of a sequence, two bits each, as a long; letters that are not bases never come here."""
     text = F.substr(x, F.lit(WORD * part + 1), F.lit(WORD))
@@ -106,61 +134,99 @@ def _by_size(lengths: list[int], value) -> Column:
     return out.cast("long")
 
 
-def _seeded(seen: DataFrame, asked: DataFrame, lengths: list[int], k: int, keys: list[str], few: bool) -> DataFrame:
-    """Pairs of windows and targets (numbers w and t) within k mismatches, over the pieces; at most WORD bases."""
+def _pieces(number: str, masks: list[Column]) -> Column:
+    return F.explode(F.array(*[F.struct(F.lit(no).alias("no"), F.col(number).bitwiseAND(m).alias("piece")) for no, m in enumerate(masks)]))
+
 
-    def mask(no: int) -> Column:  # the bits of a piece where they stand in the number
-        return _by_size(lengths, lambda n: (lambda a, b: (1 << 2 * (n - a)) - (1 << 2 * (n - b)))(*piece_edges(n, k)[no]))
+def _masks(lengths: list[int], edges) -> list[Column]:
+    """The bits of each piece where they stand in a window's number; edges: the pieces of a length."""
+    mask = lambda n, no: (lambda a, b: (1 << 2 * (n - a)) - (1 << 2 * (n - b)))(*edges(n)[no])
+    return [_by_size(lengths, lambda n: mask(n, no)) for no in range(len(edges(lengths[0])))]  # noqa: B023
 
-    def pieces(number: str) -> Column:
-        return F.explode(F.array(*[F.struct(F.lit(no).alias("no"), F.col(number).bitwiseAND(mask(no)).alias("piece")) for no in range(k + 1)]))
 
-    left = seen.withColumn("p", pieces("w")).select("*", "p.no", "p.piece").drop("p")
-    right = asked.withColumn("p", pieces("t")).select("*", "p.no", "p.piece").drop("p")
-    pairs = left.join(F.broadcast(right) if few else right, [*keys, "size", "no", "piece"])
+def _seeded(seen: DataFrame, asked: DataFrame, lengths: list[int], k: int, few: bool) -> DataFrame:
+    """Pairs of windows and targets (numbers w and t) within k mismatches, over the pieces; at most WORD bases."""
+    masks = _masks(lengths, lambda n: piece_edges(n, k))
+    left = seen.withColumn("p", _pieces("w", masks)).select("*", "p.no", "p.piece").drop("p")
+    right = asked.withColumn("p", _pieces("t", masks)).select("*", "p.no", "p.piece").drop("p")
+    return _checked(left.join(F.broadcast(right) if few else right, ["size", "no", "piece"]), masks, k)
+
+
+def _checked(pairs: DataFrame, masks: list[Column], k: int) -> DataFrame:
+    """Candidate pairs within k mismatches, each at its first piece that matches."""
     differs = F.col("w").bitwiseXOR(F.col("t"))
-    first = reduce(lambda a, b: a & b, [(F.col("no") <= no) | (differs.bitwiseAND(mask(no)) != 0) for no in range(k)], F.lit(True))
+    first = reduce(lambda a, b: a & b, [(F.col("no") <= no) | (differs.bitwiseAND(masks[no]) != 0) for no in range(len(masks) - 1)], F.lit(True))
     return pairs.withColumn("mismatches", code_mismatches(F.col("w"), F.col("t"))).filter((F.col("mismatches") <= k) & first)
 
 
+def changes(first: int, after: int, length: int, most: int) -> list[int]:
+    """What to XOR a window's number with so that at most `most` of the bases first..after-1 change."""
+    out = [0]
+    for at in range(first, after):
+        shift = 2 * (length - 1 - at)
+        out += [x ^ (c << shift) for x in out if _changed(x) < most for c in (1, 2, 3)]
+    return out
+
+
+def _changed(x: int) -> int:
+    return bin((x | x >> 1) & ODD_BITS).count("1")
+
+
+def _neighbours(seen: DataFrame, asked: DataFrame, length: int, k: int, few: bool) -> DataFrame:
+    """Pairs within k mismatches where seeds tell nothing: one half of the window has at most k // 2 of them.
+
+    Targets are opened into all strings near each half, which meet the windows'
+    halves in an equi-join.
+    """
+    near, edges = k // 2, piece_edges(length, 1)
+    masks = _masks([length], lambda n: piece_edges(n, 1))
+    left = seen.withColumn("p", _pieces("w", masks)).select("*", "p.no", "p.piece").drop("p")
+    opened = [F.transform(F.array(*[F.lit(x).cast("long") for x in changes(a, b, length, near)]), lambda x: F.struct(F.lit(no).alias("no"), F.col("t").bitwiseAND(masks[no]).bitwiseXOR(x).alias("piece"))) for no, (a, b) in enumerate(edges)]  # noqa: B023
+    right = asked.withColumn("p", F.explode(F.concat(*opened))).select("*", "p.no", "p.piece").drop("p")
+    pairs = left.join(F.broadcast(right) if few else right, ["size", "no", "piece"])
+    again = code_mismatches(F.col("w").bitwiseAND(masks[0]), F.col("t").bitwiseAND(masks[0])) <= near  # the first half found it already
+    return pairs.withColumn("mismatches", code_mismatches(F.col("w"), F.col("t"))).filter((F.col("mismatches") <= k) & ((F.col("no") == 0) | ~again))
+
+
+def _numbered_pairs(seen: DataFrame, asked: DataFrame, lengths: list[int], k: int, plan: str, few: bool) -> list[DataFrame]:
+    """Pairs of windows (size, w) and targets (size, t) within k mismatches, by the plan that suits each length."""
+    by_seed = [n for n in lengths if n > k and plan != "scan" and (plan == "seed" or seeds_tell(n, k))]
+    found = [_seeded(seen.filter(F.col("size").isin(by_seed)), asked.filter(F.col("size").isin(by_seed)), by_seed, k, few)] if by_seed else []
+    return found + [_neighbours(seen.filter(F.col("size") == n), asked.filter(F.col("size") == n), n, k, few) for n in lengths if n not in by_seed]
+
+
 def window_matches(transcripts: DataFrame, targets: DataFrame, length: int | list[int], max_mismatches: int, plan: str = "auto", per_accession: bool = False) -> DataFrame:
     """(target, accession, start, window, mismatches) for distinct targets (column target_5to3) of these lengths.
 
-    plan: seed, scan (every window meets every target) or auto, for each length
-    what promises fewer comparisons.  With per_accession a target (column
-    target_accession) meets only its own transcript, in the same equi-join.
+    plan: seed, scan (neighbours of halves) or auto, for each length what
+    promises fewer comparisons.  With per_accession a target (column
+    target_accession) meets only its own transcript: see own_matches().
     """
-    k, keys = max_mismatches, ["accession"] if per_accession else []
+    k = max_mismatches
     lengths = [length] if isinstance(length, int) else sorted(length)
     asked = targets.select(F.col("target_5to3").alias("target"), *([F.col("target_accession").alias("accession")] if per_accession else [])).distinct()
     asked = asked.filter(F.col("target").rlike("^[ACGU]+$")).withColumn("size", F.length("target"))
-    few = asked.limit(FEW + 1).count() <= FEW
     if per_accession:
-        transcripts = transcripts.join(asked.select("accession").distinct(), "accession", "left_semi")
-    by_seed = [n for n in lengths if n > k and plan != "scan" and (plan == "seed" or seeds_tell(n, k))]
-    short, long = [n for n in by_seed if n <= WORD], [n for n in by_seed if n > WORD]
-    found = []
+        return own_matches(transcripts, asked, lengths, k)
+    few = asked.limit(FEW + 1).count() <= FEW
+    short, found = [n for n in lengths if n <= WORD], []
     if short:
         seen = windows(transcripts, short).select("accession", "start", "size", code("window").alias("w"))
-        pairs = _seeded(seen, asked.filter(F.col("size").isin(short)).withColumn("t", code("target")), short, k, keys, few)
-        found.append(pairs.select("target", "accession", "start", bases(F.col("w"), F.col("size")).alias("window"), "mismatches"))
-    for n in [*long, *(n for n in lengths if n not in by_seed)]:
-        parts = range(-(-n // WORD))
+        pairs = _numbered_pairs(seen, asked.withColumn("t", code("target")), short, k, plan, few)
+        found += [p.select("target", "accession", "start", bases(F.col("w"), F.col("size")).alias("window"), "mismatches") for p in pairs]
+    for n in (n for n in lengths if n > WORD):
+        if n <= k:
+            raise ValueError(f"{k} mismatches are all bases of a target of {n}")
+        parts, edges = range(-(-n // WORD)), piece_edges(n, k)
         seen = windows(transcripts, [n]).select("accession", "start", "window", *[code("window", p).alias(f"w{p}") for p in parts])
-        wanted = asked.filter(F.col("size") == n).select("target", *keys, *[code("target", p).alias(f"t{p}") for p in parts])
+        wanted = asked.filter(F.col("size") == n).select("target", *[code("target", p).alias(f"t{p}") for p in parts])
         count = reduce(lambda a, b: a + b, [code_mismatches(F.col(f"w{p}"), F.col(f"t{p}")) for p in parts])
-        if n in long:
-            edges = piece_edges(n, k)
-            piece = lambda x, no: F.substring(x, edges[no][0] + 1, edges[no][1] - edges[no][0])  # noqa: B023, E731
-            cut = lambda x: F.explode(F.array(*[F.struct(F.lit(no).alias("no"), piece(x, no).alias("piece")) for no in range(k + 1)]))  # noqa: B023, E731
-            left = seen.withColumn("p", cut("window")).select("*", "p.no", "p.piece").drop("p")
-            right = wanted.withColumn("p", cut("target")).select("*", "p.no", "p.piece").drop("p")
-            first = reduce(lambda a, b: a & b, [(F.col("no") <= no) | (piece("window", no) != piece("target", no)) for no in range(k)], F.lit(True))
-            pairs = left.join(F.broadcast(right) if few else right, [*keys, "no", "piece"]).filter(first)
-        elif keys:
-            pairs = seen.join(wanted, keys)
-        else:
-            pairs = seen.crossJoin(F.broadcast(wanted) if few else wanted)
+        piece = lambda x, no: F.substring(x, edges[no][0] + 1, edges[no][1] - edges[no][0])  # noqa: B023, E731
+        cut = lambda x: F.explode(F.array(*[F.struct(F.lit(no).alias("no"), piece(x, no).alias("piece")) for no in range(k + 1)]))  # noqa: B023, E731
+        left = seen.withColumn("p", cut("window")).select("*", "p.no", "p.piece").drop("p")
+        right = wanted.withColumn("p", cut("target")).select("*", "p.no", "p.piece").drop("p")
+        first = reduce(lambda a, b: a & b, [(F.col("no") <= no) | (piece("window", no) != piece("target", no)) for no in range(k)], F.lit(True))
+        pairs = left.join(F.broadcast(right) if few else right, ["no", "piece"]).filter(first)
         found.append(pairs.withColumn("mismatches", count).filter(F.col("mismatches") <= k).select("target", "accession", "start", "window", "mismatches"))
     return reduce(DataFrame.unionByName, found)
 
@@ -201,13 +267,95 @@ def missing_accessions(wanted: DataFrame, transcripts: DataFrame) -> DataFrame:
     return wanted.filter("target_accession <> ''").select(F.col("target_accession").alias("accession")).distinct().join(transcripts.select("accession"), "accession", "left_anti")
 
 
-def offtarget_topk(queries: DataFrame, transcripts: DataFrame, max_mismatches: int = 3, k: int = 50, plan: str = "auto") -> DataFrame:
-    """Best k hits of each oligo over all transcripts, in the 12-column hit layout (ungapped; no e-value, no bit score)."""
-    best = Window.partitionBy("input_order").orderBy("mismatches", "transcript_name", "transcript_start")
-    hits = scan(queries, transcripts, [("full", None, None)], max_mismatches, plan).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    size = F.length("matched_target_5to3")
+#: Targets of each strand: an oligo binds its reverse complement (the transcript read backwards against the oligo), and finds itself on the other.
+STRANDS = {"minus": reverse_complement, "plus": lambda x: F.col(x)}
+
+
+def packed_windows(transcripts: DataFrame, lengths: list[int]) -> DataFrame:
+    """(accession, start, size, w): all windows of these lengths, two bits a base."""
+    if max(lengths) > WORD:
+        raise ValueError(f"windows of more than {WORD} bases don't fit in one number")
+    return windows(transcripts, lengths).select("accession", "start", "size", code("window").alias("w"))
+
+
+def oligo_targets(queries: DataFrame, strands: tuple[str, ...]) -> DataFrame:
+    """(input_order, name, strand, target, size, t) of each oligo of pure bases."""
+    rna = queries.select("input_order", "name", normalize_rna("seq").alias("rna")).filter(F.col("rna").rlike("^[ACGU]+$"))
+    each = [rna.select("input_order", "name", F.lit(s).alias("strand"), STRANDS[s]("rna").alias("target")) for s in strands]
+    return reduce(DataFrame.unionByName, each).withColumns({"size": F.length("target"), "t": code("target")})
+
+
+def offtarget_topk(queries: DataFrame, transcripts: DataFrame, max_mismatches: int = 3, k: int = 50, plan: str = "auto", strands: tuple[str, ...] = ("minus",), index: SeedIndex | None = None) -> DataFrame:
+    """Best k hits of each oligo over all transcripts, in the 12-column hit layout (ungapped; no e-value, no bit score), and the strand.
+
+    The radius grows: exact hits first, then those with 1, 2, ... mismatches,
+    each round only for oligos that have fewer than k hits, so an oligo of many
+    repeats never lists its near ones.  Fewer mismatches mean longer seeds.
+    Windows are packed once, or come from an index that was written before.
+    """
+    asked = lineage.cut(oligo_targets(queries, strands))
+    lengths = sorted(r[0] for r in asked.select("size").distinct().collect())  # a row a distinct oligo length
+    if index is None and lengths:
+        seen = lineage.stored(packed_windows(transcripts, lengths), "windows")
+    open_, rounds = asked.withColumn("have", F.lit(0).cast("long")), []
+    for r in range(max_mismatches + 1) if lengths else ():
+        wanted = open_.select("target", "size", "t").distinct()
+        if index is not None:
+            pairs = [index.pairs(wanted, r)]
+        else:
+            pairs = _numbered_pairs(seen, wanted, lengths, r, plan, wanted.limit(FEW + 1).count() <= FEW)
+        exact = reduce(DataFrame.unionByName, [p.filter(F.col("mismatches") == r).select("target", "accession", "start", "size", "w") for p in pairs])
+        best = Window.partitionBy("input_order").orderBy("accession", "start", "strand")
+        hits = open_.drop("size", "t").join(exact, "target").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        hits = hits.withColumn("rank", (F.col("rank") + F.col("have")).cast("int")).filter(F.col("rank") <= k)
+        rounds.append(lineage.stored(hits.withColumn("mismatches", F.lit(r)), f"hits{r}"))
+        if r < max_mismatches:
+            more = rounds[-1].groupBy("input_order").agg(F.count("*").alias("more"))
+            open_ = lineage.cut(open_.join(more, "input_order", "left").withColumn("have", F.col("have") + F.coalesce("more", F.lit(0))).drop("more").filter(F.col("have") < k))
+            if open_.isEmpty():
+                break
+    if not rounds:
+        rounds = [asked.select("input_order", "name", "strand", "target", F.lit("").alias("accession"), F.lit(0).alias("start"), "size", F.col("t").alias("w"), F.lit(0).alias("rank"), F.lit(0).alias("mismatches")).limit(0)]
+    hits, size = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rounds), F.col("size")
+    first, last = F.col("start"), F.col("start") + F.col("size") - 1
+    minus = F.col("strand") == "minus"
     return hits.select(
-        F.col("antisense_name").alias("query_id"), F.col("transcript_name").alias("subject_id"), F.round(100.0 * (size - F.col("mismatches")) / size, 3).alias("percent_identity"),
+        F.col("name").alias("query_id"), F.col("accession").alias("subject_id"), F.round(100.0 * (size - F.col("mismatches")) / size, 3).alias("percent_identity"),
         size.alias("alignment_length"), "mismatches", F.lit(0).alias("gap_opens"), F.lit(1).alias("query_start"), size.alias("query_end"),
-        F.col("transcript_end").alias("subject_start"), F.col("transcript_start").alias("subject_end"), F.lit(None).cast("double").alias("evalue"), F.lit(None).cast("double").alias("bit_score"), "rank",
+        F.when(minus, last).otherwise(first).alias("subject_start"), F.when(minus, first).otherwise(last).alias("subject_end"), F.lit(None).cast("double").alias("evalue"), F.lit(None).cast("double").alias("bit_score"), "rank", "strand",
     )
+
+
+class SeedIndex:
+    """Packed windows of one length at a path, a row for each of k + 1 pieces, bucketed and sorted by piece.
+
+    Written once, it serves any number of query sets with up to k mismatches:
+    only their targets are shuffled (or broadcast), the windows lie where the
+    join wants them.  A window within r mismatches keeps one of any r + 1
+    pieces, so a smaller radius reads the first r + 1.
+    """
+
+    def __init__(self, spark, path: str, length: int, max_mismatches: int, buckets: int, table: str):
+        self.spark, self.path, self.length, self.k, self.buckets, self.table = spark, path, length, max_mismatches, buckets, table
+
+    @classmethod
+    def write(cls, transcripts: DataFrame, path: str, length: int, max_mismatches: int = 3, buckets: int = 64, table: str = "seed_index") -> SeedIndex:
+        masks = _masks([length], lambda n: piece_edges(n, max_mismatches))
+        rows = packed_windows(transcripts, [length]).withColumn("p", _pieces("w", masks)).select("accession", "start", "size", "w", "p.no", "p.piece")
+        # dealt by the buckets' hash, so that a task writes one file of each of its buckets
+        rows.repartition(buckets, "no", "piece").write.bucketBy(buckets, "no", "piece").sortBy("no", "piece").option("path", path).format("parquet").saveAsTable(table)
+        return cls(transcripts.sparkSession, path, length, max_mismatches, buckets, table)
+
+    @classmethod
+    def open(cls, spark, path: str, length: int, max_mismatches: int = 3, buckets: int = 64, table: str = "seed_index") -> SeedIndex:
+        """An index that another session wrote, with the length, radius and buckets it was written with."""
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {table} (accession string, start int, size int, w bigint, no int, piece bigint) USING parquet CLUSTERED BY (no, piece) SORTED BY (no, piece) INTO {buckets} BUCKETS LOCATION '{path}'")
+        return cls(spark, path, length, max_mismatches, buckets, table)
+
+    def pairs(self, asked: DataFrame, radius: int) -> DataFrame:
+        """Pairs of the index's windows and targets (target, size, t) within a radius of at most k."""
+        if radius > self.k:
+            raise ValueError(f"the index was written for {self.k} mismatches")
+        masks = _masks([self.length], lambda n: piece_edges(n, self.k))[: radius + 1]
+        right = asked.filter(F.col("size") == self.length).drop("size").withColumn("p", _pieces("t", masks)).select("*", "p.no", "p.piece").drop("p")
+        return _checked(self.spark.table(self.table).filter(F.col("no") <= radius).join(right, ["no", "piece"]), masks, radius)

@@ -9,14 +9,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.textcells import clean_text, dose_unit, format_dose, is_blank, mean_sem, mean_sem_error, plot_label, safe_filename, split_label, timepoint
+from helixframe.operators.lineage import numbered
 
 PALETTE = 6
+MOST_SERIES = 1000
 
 
 def ordered_distinct(df: DataFrame, value: str, order: str, index: str = "idx") -> DataFrame:
-    """(value, idx): distinct values by first appearance, from 0."""
+    """(value, idx): distinct values by first appearance, from 0, numbered range by range."""
     firsts = df.groupBy(value).agg(F.min(order).alias("__o"))
-    return firsts.select(value, (F.row_number().over(Window.orderBy("__o")) - 1).alias(index))  # a row a distinct label
+    return numbered(firsts, ["__o"], index).select(value, (F.col(index) - 1).alias(index))
 
 
 def last_wins(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -81,10 +83,17 @@ def split_series(summary: DataFrame, source: str, label: str, order: str) -> Dat
 
 
 def combined_series(summary: DataFrame, label: str, series: str, order: str, mean: str, sem: str) -> DataFrame:
-    """Dense grid of labels and series; missing values are 0, the last row of a pair counts."""
+    """Dense grid of labels and series; missing values are 0, the last row of a pair counts.
+
+    Every label carries all series, at most MOST_SERIES of them (more is an
+    error: no chart shows them), and opens them in place.
+    """
     labels, kinds = ordered_distinct(summary, label, order, "x"), ordered_distinct(summary, series, order, "series_index")
     data = last_wins(summary.select(label, series, order, mean, sem), [label, series], order)
-    grid = labels.crossJoin(kinds).join(data, [label, series], "left")
+    if kinds.limit(MOST_SERIES + 1).count() > MOST_SERIES:
+        raise ValueError(f"more than {MOST_SERIES} series")
+    all_kinds = F.broadcast(kinds.agg(F.collect_list(F.struct(series, "series_index")).alias("__kinds")))
+    grid = labels.join(all_kinds).select(label, "x", F.inline("__kinds")).join(data, [label, series], "left")
     return grid.select(label, series, "x", "series_index", F.coalesce(mean, F.lit(0.0)).alias(mean), F.coalesce(sem, F.lit(0.0)).alias(sem), F.pmod("series_index", F.lit(PALETTE)).alias("palette"))
 
 

@@ -96,13 +96,10 @@ def missing_accessions(spark, sf):
     return scan.missing_accessions(wanted, transcripts(spark, sf))
 
 
-def _short_oligos(spark, sf):
-    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("input_order"), F.concat(F.lit("AS "), F.col("doc_id")).alias("name"), F.substring(nt("text"), 1, 9).alias("seq"), "source")
-    return rows
-
-
 def duplicate_sequences(spark, sf):
-    return oligo.annotate_queries(_short_oligos(spark, sf))
+    """Whole documents as sequences, shown by their md5; groups of copies are small in these tables (else: duplicate_flags)."""
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("input_order"), F.concat(F.lit("AS "), F.col("doc_id")).alias("name"), nt("text").alias("seq"))
+    return oligo.annotate_queries(rows).withColumn("sequence", F.md5("sequence"))
 
 
 def batch_packing(spark, sf):
@@ -110,6 +107,21 @@ def batch_packing(spark, sf):
     return oligo.pack_batches(rows, 60, "job").select("job", "input_order", "batch_index")
 
 
+def _tied_jobs(spark, sf):
+    """Oligos of jobs whose input orders repeat, and are blank for every 50th."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf, "orders").select(F.when(k % 50 != 0, F.floor(k / 7)).alias("input_order"), (F.col("o_custkey") % 200).alias("job"), F.concat(F.lit("o"), F.lpad(k.cast("string"), 9, F.lit("0"))).alias("name"), F.rpad(F.lit("A"), (k % 40 + 1).cast("int"), F.lit("C")).alias("seq"))
+    return oligo.pack_batches(rows, 60, "job")
+
+
+def batch_packing_ties(spark, sf):
+    return _tied_jobs(spark, sf).select("job", "name", "batch_index")
+
+
+def batch_stats_by_job(spark, sf):
+    return oligo.batch_stats(_tied_jobs(spark, sf), "job").select("job", F.col("batch_index").cast("long").alias("batch_index"), "query_count", "total_bases", F.length("names").cast("long").alias("names_length"))
+
+
 def batch_stats(spark, sf):
     rows = table(spark, sf, "benchmark").select(F.col("item_id").alias("input_order"), F.concat(F.lit("AS_"), F.col("item_id")).alias("name"), nt("text").alias("seq"))
     return oligo.batch_stats(oligo.pack_batches(rows, 1000)).select(F.col("batch_index").cast("long").alias("batch_index"), "query_count", "total_bases", "names")
@@ -139,13 +151,12 @@ def mean_sem_parse(spark, sf):
     return out.select("o_orderkey", F.col("Outer group").alias("outer_group"), F.col("Condition").alias("condition_"), F.round("Mean", 6).alias("mean"), F.round("SEM", 6).alias("sem"), F.round("n1", 6).alias("first_number"), (F.round("n2", 6) + 0.0).alias("second_number"))
 
 
-YEARS = list(range(1992, 1999))  # all that the table has
-
-
 def _wide(spark, sf):
-    li = table(spark, sf, "lineitem").withColumn("year", F.year("l_shipdate")).filter("year BETWEEN 1992 AND 1998")
-    sums = li.groupBy((F.col("l_partkey") % 500).alias("row")).pivot("year", YEARS).agg(F.sum("l_quantity").cast("long"))
-    cells = [F.when(F.col(str(y)).isNotNull(), F.concat(F.col(str(y)).cast("string"), F.lit(" ± "), (F.col("row") % 7).cast("string"))).alias(f"Time-D{y}") for y in YEARS]
+    """A row for every 500th part, a time column for each ship year of the table."""
+    li = table(spark, sf, "lineitem").select("l_partkey", "l_quantity", F.year("l_shipdate").alias("year"))
+    years = sorted(r["year"] for r in li.select("year").distinct().collect() if r["year"] is not None)  # a row a year
+    sums = li.groupBy((F.col("l_partkey") % 500).alias("row")).agg(*[F.sum(F.when(F.col("year") == y, F.col("l_quantity"))).cast("long").alias(f"y{y}") for y in years])
+    cells = [F.when(F.col(f"y{y}").isNotNull(), F.concat(F.col(f"y{y}").cast("string"), F.lit(" ± "), (F.col("row") % 7).cast("string"))).alias(f"Time-D{y}") for y in years]
     return sums.select("row", F.concat((F.col("row") % 4).cast("string"), F.when(F.col("row") % 3 == 0, " mpk").otherwise("")).alias("Dose (mpk)"), F.concat(F.lit("G"), F.col("row") % 9).alias("Group"), *cells)
 
 
@@ -565,7 +576,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         rna_normalize, reverse_complement, invalid_bases, antisense_region_table, transcript_ranges, mismatch_scan, mismatch_scan_seeded, mismatch_scan_regions, mismatch_positions,
-        offtarget_topk, missing_accessions, duplicate_sequences, batch_packing, batch_stats, hits_enriched, hits_filtered, mean_sem_parse, timepoint_unpivot, series_grouped, chart_sizes,
+        offtarget_topk, missing_accessions, duplicate_sequences, batch_packing, batch_packing_ties, batch_stats, batch_stats_by_job, hits_enriched, hits_filtered, mean_sem_parse, timepoint_unpivot, series_grouped, chart_sizes,
         forward_fill, table_islands, merged_fill, control_filter, summary_dedupe, refgene_stats, series_combined, axis_bounds, qpcr_summary, geomean_join, reference_qc,
         fasta_records, plain_list, hit_report_scan, sheet_choice, table_round_trip, headerless_table, oligo_table, antisense_files, text_oligos, range_texts, range_blanks,
         workbook_cells, workbook_merges, plot_titles, sheet_table, summary_saved, sheet_store, batch_log, result_set, run_metadata, number_texts, file_names, sheet_rows,
@@ -578,9 +589,9 @@ RNA = "replace(upper(regexp_replace({0}, '[^A-Za-z]', '', 'g')), 'T', 'U')"
 MATCHES = f"""t AS ({SQL_TRANSCRIPTS}), q AS ({SQL_QUERIES}),
 w AS (SELECT accession, i AS start, substr(seq, i, 15) AS win FROM (SELECT accession, seq, unnest(range(1, length(seq) - 13)) AS i FROM t WHERE length(seq) >= 15)),
 m AS (SELECT q.input_order, q.name, q.target, w.accession, w.start, w.win, hamming(q.target, w.win) AS mm FROM q JOIN w ON hamming(q.target, w.win) <= 3 WHERE length(q.target) = 15)"""
-WIDE = """li AS (SELECT l_partkey % 500 AS "row", year(l_shipdate) AS y, l_quantity AS qty FROM lineitem WHERE year(l_shipdate) BETWEEN 1992 AND 1998),
+WIDE = """li AS (SELECT l_partkey % 500 AS "row", year(l_shipdate) AS y, l_quantity AS qty FROM lineitem WHERE l_shipdate IS NOT NULL),
 s AS (SELECT "row", y, CAST(sum(qty) AS BIGINT) AS total FROM li GROUP BY "row", y),
-long AS (SELECT "row", 'G' || ("row" % 9) AS Compound, ("row" % 4) || ' mpk' AS Dose, 'D' || y AS Timepoint, y - 1992 AS t,
+long AS (SELECT "row", 'G' || ("row" % 9) AS Compound, ("row" % 4) || ' mpk' AS Dose, 'D' || y AS Timepoint, y - min(y) OVER () AS t,
  'G' || ("row" % 9) || ' | ' || ("row" % 4) || ' mpk' AS compound_dose, CAST(total AS DOUBLE) AS "Mean", CAST("row" % 7 AS DOUBLE) AS "SEM" FROM s)"""
 GRID = """g0 AS (SELECT source AS sheet, CAST(doc_id + 1 AS INTEGER) AS "row", string_split(text, ' ') AS ws FROM documents),
 g1 AS (SELECT sheet, "row", unnest(ws) AS v, unnest(range(0, len(ws))) AS c FROM g0),
@@ -612,6 +623,9 @@ EMBEDDED = """r AS (SELECT CAST(l_orderkey AS VARCHAR) AS sheet, row_number() OV
  l_returnflag AS grp, CAST(l_suppkey AS VARCHAR) AS compound, CAST(l_quantity AS INTEGER) AS q, l_partkey % 9 + 1 AS s FROM lineitem)"""
 SPEC = """s AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN ' FULL ' WHEN 1 THEN (p_partkey % 9) || '-' || (p_partkey % 7 + 3) WHEN 2 THEN ' s  eed : ' || (p_partkey % 4 + 1) || ' - 8' WHEN 3 THEN p_name ELSE ':2-8' END AS spec FROM part)"""
 
+TIED = """o AS (SELECT o_custkey % 200 AS job, 'o' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS name, o_orderkey % 40 + 1 AS n, row_number() OVER (PARTITION BY o_custkey % 200 ORDER BY CASE WHEN o_orderkey % 50 <> 0 THEN o_orderkey // 7 END NULLS LAST, o_orderkey % 40, o_orderkey) AS i FROM orders),
+f AS (SELECT job, i, name, n, n AS used, 1 AS b FROM o WHERE i = 1 UNION ALL SELECT o.job, o.i, o.name, o.n, CASE WHEN f.used + o.n > 60 THEN o.n ELSE f.used + o.n END, CASE WHEN f.used + o.n > 60 THEN f.b + 1 ELSE f.b END FROM f JOIN o ON o.job = f.job AND o.i = f.i + 1)"""
+
 ORACLES = {
     "rna_normalize": f"SELECT p_partkey, {RNA.format('p_name')} AS rna, replace({RNA.format('p_name')}, 'U', 'T') AS dna FROM part",
     "reverse_complement": f"WITH t AS ({SQL_TRANSCRIPTS}) SELECT accession, md5({RC.format('seq')}) AS rc_md5, md5(translate(seq, 'ACGU', 'UGCA')) AS c_md5 FROM t",
@@ -635,12 +649,14 @@ SELECT name AS antisense_name, as_region, accession AS transcript_name, i AS tra
     "offtarget_topk": f"""WITH {MATCHES}, k AS (SELECT *, row_number() OVER (PARTITION BY input_order ORDER BY mm, accession, start) AS rk FROM m)
 SELECT name AS query_id, accession AS subject_id, round(100.0 * (15 - mm) / 15, 3) AS percent_identity, mm AS mismatches, start AS subject_end, rk AS "rank" FROM k WHERE rk <= 50""",
     "missing_accessions": "SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS accession FROM orders WHERE o_custkey NOT IN (SELECT doc_id FROM documents)",
-    "duplicate_sequences": f"""WITH d AS (SELECT doc_id AS input_order, 'AS ' || doc_id AS name, substr({NT.format('text')}, 1, 9) AS "sequence" FROM documents)
-SELECT input_order, 'AS_' || input_order AS blast_id, name, "sequence", length("sequence") AS length, count(*) OVER p > 1 AS is_duplicate,
- CASE WHEN count(*) OVER p > 1 THEN string_agg(name, ';') OVER (PARTITION BY "sequence" ORDER BY input_order ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) ELSE '' END AS duplicate_names FROM d WINDOW p AS (PARTITION BY "sequence")""",
+    "duplicate_sequences": f"""WITH d AS (SELECT doc_id AS input_order, 'AS ' || doc_id AS name, {NT.format('text')} AS s FROM documents)
+SELECT input_order, 'AS_' || input_order AS blast_id, name, md5(s) AS "sequence", length(s) AS length, count(*) OVER p > 1 AS is_duplicate,
+ CASE WHEN count(*) OVER p > 1 THEN string_agg(name, ';') OVER (PARTITION BY s ORDER BY input_order ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) ELSE '' END AS duplicate_names FROM d WINDOW p AS (PARTITION BY s)""",
     "batch_packing": """WITH RECURSIVE o AS (SELECT o_custkey % 200 AS job, o_orderkey AS k, o_orderkey % 40 + 1 AS n, row_number() OVER (PARTITION BY o_custkey % 200 ORDER BY o_orderkey) AS i FROM orders),
 f AS (SELECT job, i, k, n AS used, 1 AS b FROM o WHERE i = 1 UNION ALL SELECT o.job, o.i, o.k, CASE WHEN f.used + o.n > 60 THEN o.n ELSE f.used + o.n END, CASE WHEN f.used + o.n > 60 THEN f.b + 1 ELSE f.b END FROM f JOIN o ON o.job = f.job AND o.i = f.i + 1)
 SELECT job, k AS input_order, b AS batch_index FROM f""",
+    "batch_packing_ties": f"WITH RECURSIVE {TIED} SELECT job, name, b AS batch_index FROM f",
+    "batch_stats_by_job": f"WITH RECURSIVE {TIED} SELECT job, CAST(b AS BIGINT) AS batch_index, count(*) AS query_count, CAST(sum(n) AS BIGINT) AS total_bases, CAST(sum(length(name) + 1) - 1 AS BIGINT) AS names_length FROM f GROUP BY job, b",
     "batch_stats": f"""WITH RECURSIVE o AS (SELECT item_id, 'AS_' || item_id AS name, length({NT.format('text')}) AS n, row_number() OVER (ORDER BY item_id) AS i FROM benchmark),
 f AS (SELECT i, name, n, n AS used, 1 AS b FROM o WHERE i = 1 UNION ALL SELECT o.i, o.name, o.n, CASE WHEN f.used + o.n > 1000 THEN o.n ELSE f.used + o.n END, CASE WHEN f.used + o.n > 1000 THEN f.b + 1 ELSE f.b END FROM f JOIN o ON o.i = f.i + 1)
 SELECT CAST(b AS BIGINT) AS batch_index, count(*) AS query_count, CAST(sum(n) AS BIGINT) AS total_bases, string_agg(name, ';' ORDER BY i) AS names FROM f GROUP BY b""",
