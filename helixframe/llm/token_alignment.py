@@ -367,23 +367,24 @@ def aligned(index: DataFrame, counts: DataFrame) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256: pair_counts() sent back along the postings, block by block."""
     key = index.schema["doc_id"].dataType.simpleString()
 
-    def returned(block: pa.Table) -> pa.Table:
-        is_doc = pc.is_valid(block["at"])
-        docs, postings = block.filter(is_doc).sort_by("at"), block.filter(pc.invert(is_doc)).combine_chunks()
+    def returned(rows: pa.Table, scores: pa.Table) -> pa.Table:
+        is_doc = pc.is_valid(rows["at"])
+        docs, pair = rows.filter(is_doc).sort_by("at"), [("a", "ascending"), ("b", "ascending")]
+        postings, scores = rows.filter(pc.invert(is_doc)).sort_by(pair).combine_chunks(), scores.sort_by(pair)
         best, total = np.zeros(len(docs), np.int64), np.zeros(len(docs), np.int64)
         if len(postings):
             sizes = np.asarray(postings["n_docs"])
             at, times = unpack_postings(sizes, postings["docs"].combine_chunks(), postings["planes"].combine_chunks(), len(docs))
-            np.add.at(total, at, times * np.repeat(np.asarray(postings["count"]), sizes))
-            np.add.at(best, at, times * np.repeat(np.asarray(postings["best"]).astype(np.int64), sizes))
+            np.add.at(total, at, times * np.repeat(np.asarray(scores["count"]), sizes))
+            np.add.at(best, at, times * np.repeat(np.asarray(scores["best"]).astype(np.int64), sizes))
         shown = docs.select(["doc_id", "n_a", "n_b", "n_groups", "n_links"])
         return shown.append_column("n_best", pa.array(best)).append_column("count_sum", pa.array(total)).append_column("groups_sha256", docs["groups_sha256"])
 
-    docs = index.filter("a IS NULL").select("block", "at", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
-    postings = index.filter("a IS NOT NULL").select("block", "a", "b", "n_docs", "docs", "planes")
-    scored = postings.join(counts.select("a", "b", F.col("n_links").alias("count"), "best"), ["a", "b"]).drop("a", "b")
-    rows = docs.unionByName(scored, allowMissingColumns=True)
-    return rows.groupBy("block").applyInArrow(returned, f"doc_id {key}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
+    # counts find their blocks by the pairs' ids alone; bitmaps and planes are dealt once, by block
+    keys = index.filter("a IS NOT NULL").select("block", "a", "b")
+    scored = keys.join(counts.select("a", "b", F.col("n_links").alias("count"), "best"), ["a", "b"])
+    rows = index.select("block", "at", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "a", "b", "n_docs", "docs", "planes")
+    return rows.groupBy("block").cogroup(scored.groupBy("block")).applyInArrow(returned, f"doc_id {key}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
 
 
 def align_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_a: str | None = None, path_b: str | None = None) -> DataFrame:
