@@ -357,5 +357,5 @@ class SeedIndex:
         if radius > self.k:
             raise ValueError(f"the index was written for {self.k} mismatches")
         masks = _masks([self.length], lambda n: piece_edges(n, self.k))[: radius + 1]
-        right = asked.filter(F.col("size") == self.length).drop("size").withColumn("p", _pieces("t", masks)).select("*", "p.no", "p.piece").drop("p")
+        right = asked.filter(F.col("size") == self.length).withColumn("p", _pieces("t", masks)).select("target", "t", "p.no", "p.piece")
         return _checked(self.spark.table(self.table).filter(F.col("no") <= radius).join(right, ["no", "piece"]), masks, radius)

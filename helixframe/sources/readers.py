@@ -8,7 +8,7 @@ import zipfile
 from io import BytesIO
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.seq import normalize_rna
@@ -53,29 +53,87 @@ def _texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace("value", "^\\x{FEFF}", "").alias("text"))
 
 
+FASTA_MARK = r"(?m)^[^\S\r\n]*>"
+
+
 def fasta_records(texts: DataFrame) -> DataFrame:
-    """(file, input_order, name, seq) of each record; what stands before the first header is dropped, blank names are AS_<ordinal>."""
-    parts = texts.select("file", F.posexplode(F.split("text", r"(?m)^[^\S\r\n]*>")).alias("input_order", "record")).filter("input_order > 0")
+    """(file, input_order, name, seq) of each record of texts in a column; what stands before the first header is dropped, blank names are AS_<ordinal>."""
+    return _named(texts.select("file", F.posexplode(F.split("text", FASTA_MARK)).alias("input_order", "record")).filter("input_order > 0"))
+
+
+def _named(records: DataFrame) -> DataFrame:
     name = F.trim(F.regexp_extract("record", r"^([^\r\n]*)", 1))
     body = F.regexp_replace("record", r"^[^\r\n]*", "")
-    return parts.select("file", "input_order", F.coalesce(F.nullif(name, F.lit("")), F.concat(F.lit("AS_"), F.col("input_order"))).alias("name"), normalize_rna(body).alias("seq"))
+    return records.select("file", "input_order", F.coalesce(F.nullif(name, F.lit("")), F.concat(F.lit("AS_"), F.col("input_order"))).alias("name"), normalize_rna(body).alias("seq"))
+
+
+def _stripped(line: Column) -> Column:
+    return F.trim(F.regexp_replace(line, r"^\s+|\s+$", ""))
 
 
 def plain_records(texts: DataFrame) -> DataFrame:
     """(file, input_order, name, seq) of lists of `seq`, `name,seq`, `name<TAB>seq`, `name seq`; unnamed ones count records, not lines."""
-    lines = texts.select("file", F.posexplode(F.split("text", r"\R")).alias("n", "line")).withColumn("line", F.trim(F.regexp_replace("line", r"^\s+|\s+$", ""))).filter("line <> '' AND line NOT LIKE '#%'")
+    lines = texts.select("file", F.posexplode(F.split("text", r"\R")).alias("n", "line")).withColumn("line", _stripped(F.col("line"))).filter("line <> '' AND line NOT LIKE '#%'")
+    return _list_fields(lines.withColumn("input_order", F.row_number().over(Window.partitionBy("file").orderBy("n"))))
+
+
+def _list_fields(rows: DataFrame) -> DataFrame:
     parts = F.when(F.contains("line", F.lit(",")), F.split("line", ",", 2)).when(F.contains("line", F.lit("\t")), F.split("line", "\t", 2)).otherwise(F.split("line", r"\s+", 2))
-    rows = lines.withColumn("p", parts).withColumn("input_order", F.row_number().over(Window.partitionBy("file").orderBy("n")))
-    two = F.size("p") == 2
+    rows, two = rows.withColumn("p", parts), F.size("p") == 2
     return rows.select("file", "input_order", F.when(two, F.trim(F.get("p", 0))).otherwise(F.concat(F.lit("AS_"), F.col("input_order"))).alias("name"), normalize_rna(F.when(two, F.get("p", 1)).otherwise(F.get("p", 0))).alias("seq"))
 
 
+def _ordinals(rows: DataFrame, count: Column) -> DataFrame:
+    """`before`: how many records (count: those of a row) come before each row in its file.
+
+    rows: file, block (where a split begins) and at (order in a split).  Rows
+    are counted split by split, and a split's total goes to those behind it, so
+    a file of any size is many groups, none larger than a split.
+    """
+    own = Window.partitionBy("file", "block").orderBy("at")
+    counted = rows.withColumn("__count", count).withColumn("__until", F.sum("__count").over(own))
+    totals = rows.withColumn("__count", count).groupBy("file", "block").agg(F.sum("__count").alias("__total"))
+    offsets = totals.withColumn("__offset", F.sum("__total").over(Window.partitionBy("file").orderBy("block")) - F.col("__total")).drop("__total")
+    return counted.join(offsets, ["file", "block"]).withColumn("before", F.col("__offset") + F.col("__until") - F.col("__count")).drop("__count", "__until", "__offset")
+
+
+def _in_splits(spark: SparkSession, path: str, mark: str | None = None) -> DataFrame:
+    """(file, block, at, value): pieces of text files between marks (none: lines), a file read by as many tasks as it has splits."""
+    raw = spark.read.text(path, **({"lineSep": mark} if mark else {}))
+    return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+
+
+def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+    """(file, input_order, name, seq) of each FASTA record, as fasta_records() of whole texts, but no row holds more than a record.
+
+    Files are cut at line ends before `>`, wherever a split begins; headers
+    that stand after blanks or a lone carriage return are found in the pieces.
+    """
+    pieces = _in_splits(spark, path, "\n>")
+    first = (F.col("block") == 0) & (F.row_number().over(Window.partitionBy("file", "block").orderBy("at")) == 1)
+    text = F.when(first, F.regexp_replace("value", "^\\x{FEFF}", "")).otherwise(F.concat(F.lit(">"), F.col("value")))
+    records = F.slice(F.split(text, FASTA_MARK), 2, 1 << 30)  # what stands before the first header is dropped
+    rows = _ordinals(pieces.withColumn("records", records).drop("value"), F.size("records"))
+    return _named(rows.select("file", F.col("before").cast("int").alias("before"), F.posexplode("records").alias("n", "record")).withColumn("input_order", F.col("before") + F.col("n") + 1))
+
+
+def read_list(spark: SparkSession, path: str) -> DataFrame:
+    """(file, input_order, name, seq) of lists, as plain_records() of whole texts, line by line."""
+    pieces = _in_splits(spark, path)
+    lines = F.filter(F.transform(F.split(F.regexp_replace("value", "^\\x{FEFF}", ""), r"\R"), _stripped), lambda x: (x != "") & ~x.startswith("#"))
+    rows = _ordinals(pieces.withColumn("lines", lines).drop("value"), F.size("lines"))
+    each = rows.select("file", "before", F.posexplode("lines").alias("n", "line")).withColumn("input_order", (F.col("before") + F.col("n") + 1).cast("int"))
+    return _list_fields(each)
+
+
 def read_antisense(spark: SparkSession, path: str) -> DataFrame:
     """Files of either kind: FASTA where a line starts with `>`; a file without records is an error."""
-    texts = _texts(spark, path)
-    is_fasta = F.col("text").rlike(r"(?m)^\s*>")
-    records = fasta_records(texts.filter(is_fasta)).unionByName(plain_records(texts.filter(~is_fasta)))
-    bare = texts.select("file").join(records.select("file"), "file", "left_anti").first()
+    lines = _in_splits(spark, path)
+    # a blank of any line kind before `>` counts, as in whole texts
+    kinds = cut(lines.groupBy("file").agg(F.bool_or(F.col("value").rlike(r"(?m)^\s*\x{FEFF}?\s*>")).alias("fasta")))
+    fasta, lists = (kinds.filter(F.col("fasta") == is_fasta).select("file") for is_fasta in (True, False))
+    records = read_fasta(spark, path).join(fasta, "file", "left_semi").unionByName(read_list(spark, path).join(lists, "file", "left_semi"))
+    bare = kinds.join(records.select("file"), "file", "left_anti").first()
     if bare:
         raise ValueError(f"No antisense sequences found in {bare['file']}.")
     return records

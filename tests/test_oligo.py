@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,3 +184,141 @@ def test_store_is_swapped(spark, tmp_path):
     spark.range(3).write.parquet(path)
     sinks.update_in_place(spark.read.parquet(path).withColumn("id", F.col("id") + 10), path)
     assert sorted(r[0] for r in spark.read.parquet(path).collect()) == [10, 11, 12] and [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_packing_keeps_ties_and_blank_orders(spark):
+    def brute(rows, budget):
+        out, batch, used = [], {}, {}
+        for key, order, name, seq in sorted(rows, key=lambda r: (r[0], r[1] is None, r[1] or 0, len(r[3] or ""), r[2])):
+            n = len(seq or "")
+            if key not in batch or used[key] + n > budget:
+                batch[key], used[key] = batch.get(key, 0) + 1, 0
+            used[key] += n
+            out.append((key, order, name, batch[key]))
+        return sorted(out, key=str)
+
+    rows = [("k", 1, "a", "ACGT"), ("k", 1, "b", "ACGT"), ("k", None, "c", "ACG"), ("k", 2, "d", "ACGTA")]
+    rng = random.Random(8)
+    rows += [(rng.choice("xyz"), rng.choice([None, *range(6)]), f"n{i:04d}", "A" * rng.randint(0, 13)) for i in range(600)]
+    df = spark.createDataFrame(rows, "job string, input_order int, name string, seq string").repartition(7)
+    got = oligo.pack_batches(df, 12, "job")
+    assert sorted(((r["job"], r["input_order"], r["name"], r["batch_index"]) for r in got.collect()), key=str) == brute(rows, 12)
+    stats = oligo.batch_stats(got, "job")
+    assert stats.agg(F.sum("query_count")).first()[0] == len(rows) and stats.filter("total_bases > 13").count() == 0
+    assert oligo.pack_batches(df.limit(0), 12).count() == 0
+
+
+def test_own_matches_hot_accession(spark):
+    rng = random.Random(2)
+    texts = {a: "".join(rng.choices("ACGU", k=n)) for a, n in (("hot", 900), ("b", 300), ("c", 5), ("n", 400))}
+    texts["n"] = texts["n"][:200] + "N" + texts["n"][200:]
+    asked = [("hot", texts["hot"][i : i + rng.choice([9, 15, 31, 45])]) for i in range(100)] + [("b", texts["hot"][40:55]), ("b", texts["b"][3:18]), ("c", "ACGUACGU"), ("n", texts["n"][188:199]), ("gone", "ACGU")]
+    t = spark.createDataFrame(list(texts.items()), "accession string, seq string")
+    targets = spark.createDataFrame([(s, a) for a, s in asked], "target_5to3 string, target_accession string")
+    lengths = sorted({len(s) for _, s in asked})
+    got = scan.window_matches(t, targets, lengths, 3, per_accession=True)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(accession") <= 4 and "NestedLoop" not in plan and "Cartesian" not in plan
+    expected = {(s, a, i + 1, w, m) for a, s in asked if a in texts for i in range(len(texts[a]) - len(s) + 1) for w in [texts[a][i : i + len(s)]] if "N" not in w and (m := sum(x != y for x, y in zip(s, w))) <= 3}
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == expected and len(expected) > 100
+
+
+def brute_topk(oligos, texts, most, k, strands):
+    rna = {"A": "U", "U": "A", "C": "G", "G": "C"}
+    out = set()
+    for name, o in oligos:
+        hits = []
+        for strand in strands:
+            target = "".join(rna[c] for c in reversed(o)) if strand == "minus" else o
+            hits += [(m, a, i + 1, strand) for a, s in texts.items() for i in range(len(s) - len(o) + 1) if (m := sum(x != y for x, y in zip(target, s[i : i + len(o)]))) <= most]
+        out |= {(name, a, m, i, strand, n) for n, (m, a, i, strand) in enumerate(sorted(hits)[:k], 1)}
+    return out
+
+
+def test_growing_radius_of_a_repeat_oligo(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = {"rep": "ACGUU" * 300, **{f"t{i}": "".join(rng.choices("ACGU", k=300)) for i in range(20)}}
+    oligos = [("hot", "AACGUAACGUAACGU"), ("one", texts["t3"][10:25]), ("two", texts["t5"][50:65]), ("short", "ACGUACGUA")]
+    q = spark.createDataFrame([(i, n, s) for i, (n, s) in enumerate(oligos)], "input_order int, name string, seq string")
+    t = spark.createDataFrame(list(texts.items()), "accession string, seq string")
+    for strands in (("minus",), ("minus", "plus")):
+        asked, real = [], scan._numbered_pairs
+        monkeypatch.setattr(scan, "_numbered_pairs", lambda seen, wanted, lengths, r, plan, few: (asked.append((r, {x["target"] for x in wanted.collect()})), real(seen, wanted, lengths, r, plan, few))[1])
+        got = scan.offtarget_topk(q, t, 3, 20, strands=strands).collect()
+        monkeypatch.setattr(scan, "_numbered_pairs", real)
+        flat = {(r["query_id"], r["subject_id"], r["mismatches"], min(r["subject_start"], r["subject_end"]), r["strand"], r["rank"]) for r in got}
+        assert flat == brute_topk(oligos, texts, 3, 20, strands) and len(got) == len(flat)
+        assert all((r["subject_start"] > r["subject_end"]) == (r["strand"] == "minus") for r in got)
+        hot = {"ACGUUACGUUACGUU", "AACGUAACGUAACGU"}
+        assert asked[0][0] == 0 and hot & asked[0][1] and not any(hot & wanted for r, wanted in asked if r)  # its near hits are never listed
+    assert scan.offtarget_topk(q.limit(0), t).count() == 0
+
+
+def test_seed_index_serves_two_query_sets(spark, tmp_path):
+    rng = random.Random(6)
+    texts = {f"t{i}": "".join(rng.choices("ACGU", k=400)) for i in range(30)}
+    t = spark.createDataFrame(list(texts.items()), "accession string, seq string")
+    index = scan.SeedIndex.write(t, str(tmp_path / "index"), 12, 3, buckets=4, table="seed_index_test")
+    again = scan.SeedIndex.open(spark, str(tmp_path / "index"), 12, 3, 4, "seed_index_again")
+    try:
+        for ix, at in ((index, 0), (again, 7)):
+            oligos = [(f"o{i}", texts[f"t{i}"][at + i : at + i + 12]) for i in range(6)]
+            q = spark.createDataFrame([(i, n, s) for i, (n, s) in enumerate(oligos)], "input_order int, name string, seq string")
+            got = {(r["query_id"], r["subject_id"], r["mismatches"], min(r["subject_start"], r["subject_end"]), r["strand"], r["rank"]) for r in scan.offtarget_topk(q, t, 3, 15, index=ix).collect()}
+            assert got == brute_topk(oligos, texts, 3, 15, ("minus",))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        pairs = again.pairs(scan.oligo_targets(q, ("minus",)).select("target", "size", "t"), 2)
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and plan.count("Exchange") == 1 and "SelectedBucketsCount" in plan  # only the targets are shuffled
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE seed_index_test")
+        spark.sql("DROP TABLE seed_index_again")
+
+
+def test_neighbour_join_has_no_cross_join(spark):
+    rng = random.Random(7)
+    t = spark.createDataFrame([(f"t{i}", "".join(rng.choices("ACGU", k=60))) for i in range(5)], "accession string, seq string")
+    for length, k in ((8, 2), (6, 3), (3, 3), (5, 1)):
+        targets = spark.createDataFrame([("".join(rng.choices("ACGU", k=length)),) for _ in range(5)], "target_5to3 string")
+        got = scan.window_matches(t, targets, length, k, "scan")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Cartesian" not in plan and "NestedLoop" not in plan
+        rows = [tuple(r) for r in got.collect()]
+        brute = {(x[0], a, i + 1, s[i : i + length], m) for x in targets.collect() for a, s in t.collect() for i in range(len(s) - length + 1) if (m := sum(c != d for c, d in zip(x[0], s[i : i + length]))) <= k}
+        assert len(rows) == len(set(rows)) and set(rows) == brute
+
+
+def test_fasta_and_lists_over_many_splits(spark, tmp_path):
+    rng = random.Random(9)
+
+    def record(i):
+        head = rng.choice([f">r{i} x", f"  >r{i}", ">", f">>r{i}", f"\t>r{i} > y"])
+        end = rng.choice(["\n", "\r\n", "\r"])
+        return head + end + end.join("".join(rng.choices("ACGTacgu", k=rng.randint(0, 40))) for _ in range(rng.randint(0, 4))) + "\n"
+
+    made = {"a.fa": "﻿junk\nmore\n" + "".join(map(record, range(300))), "b.fa": "".join(map(record, range(200))), "c.fa": ">only\nACGU", "d.fa": " > x\n", "big.fa": ">one\n" + "ACGT\n" * 400 + ">two\nAC"}
+    lists = {"e.txt": "﻿n1,ACGU\n# no\n\n ACG \r\nn3\tAAA\rn4  CCC\x0bGGG\n" + "".join(rng.choice(["ACGU\n", "\n", "#x\n", f"m{i} GG\n", "\r\n"]) for i in range(400)), "f.txt": "ACGT"}
+    for name, text in (made | lists).items():
+        (tmp_path / name).write_bytes(text.encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "97")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        key = lambda df: sorted((r["file"].rsplit("/", 1)[-1], r["input_order"], r["name"], r["seq"]) for r in df.collect())
+        whole = readers._texts(spark, str(tmp_path / "*.fa"))
+        assert key(readers.read_fasta(spark, str(tmp_path / "*.fa"))) == key(readers.fasta_records(whole))
+        texts = readers._texts(spark, str(tmp_path / "*.txt"))
+        assert key(readers.read_list(spark, str(tmp_path / "*.txt"))) == key(readers.plain_records(texts))
+        both = readers.read_antisense(spark, str(tmp_path / "[a-c,e-f].*"))
+        assert key(both) == sorted(r for r in key(readers.fasta_records(whole)) + key(readers.plain_records(texts)) if r[0][0] in "abcef" and r[0] != "big.fa")
+        splits = readers._in_splits(spark, str(tmp_path / "a.fa"), "\n>").select("block").distinct().count()
+        assert splits > 20
+        sizes = readers._in_splits(spark, str(tmp_path / "*.fa"), "\n>").agg(F.max(F.length("value"))).first()[0]
+        assert sizes < 2100  # a record, never a file
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    (tmp_path / "empty.dat").write_text("# none\n\n")
+    with pytest.raises(ValueError):
+        readers.read_antisense(spark, str(tmp_path / "empty.dat"))
