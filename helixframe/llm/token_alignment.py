@@ -370,7 +370,7 @@ def aligned(index: DataFrame, counts: DataFrame) -> DataFrame:
     def returned(rows: pa.Table, scores: pa.Table) -> pa.Table:
         is_doc = pc.is_valid(rows["at"])
         docs, pair = rows.filter(is_doc).sort_by("at"), [("a", "ascending"), ("b", "ascending")]
-        postings, scores = rows.filter(pc.invert(is_doc)).sort_by(pair).combine_chunks(), scores.sort_by(pair)
+        postings, scores = rows.filter(pc.invert(is_doc)).sort_by(pair).combine_chunks(), scores.sort_by([("id_a", "ascending"), ("id_b", "ascending")])
         best, total = np.zeros(len(docs), np.int64), np.zeros(len(docs), np.int64)
         if len(postings):
             sizes = np.asarray(postings["n_docs"])
@@ -383,8 +383,9 @@ def aligned(index: DataFrame, counts: DataFrame) -> DataFrame:
     # counts find their blocks by the pairs' ids alone; bitmaps and planes are dealt once, by block
     keys = index.filter("a IS NOT NULL").select("block", "a", "b")
     scored = keys.join(counts.select("a", "b", F.col("n_links").alias("count"), "best"), ["a", "b"])
+    scored = scored.select(F.col("block").alias("home"), F.col("a").alias("id_a"), F.col("b").alias("id_b"), "count", "best")
     rows = index.select("block", "at", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "a", "b", "n_docs", "docs", "planes")
-    return rows.groupBy("block").cogroup(scored.groupBy("block")).applyInArrow(returned, f"doc_id {key}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
+    return rows.groupBy("block").cogroup(scored.groupBy("home")).applyInArrow(returned, f"doc_id {key}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
 
 
 def align_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_a: str | None = None, path_b: str | None = None) -> DataFrame:
