@@ -6,7 +6,8 @@ response's id, the target URI and date, and block digests (SHA-1, base 32);
 ids are name-based UUIDs, so a second run gives the same records.
 
 Pages are read in one pass forward, so time grows with their length whatever
-they hold.
+they hold; a > inside a quoted value doesn't end a tag.  Links are seen from
+the page: relative ones are joined to its base address or its own.
 
 Defined results: null or empty html gives an empty text and no links; a null
 url gives records without WARC-Target-URI; repeated rows each give their (equal)
@@ -19,73 +20,93 @@ import base64
 import hashlib
 import gzip
 import html as entities
+import os
 import re
 import uuid
 from collections.abc import Iterator
-from io import BytesIO
+from io import BufferedReader, BytesIO
+from urllib.parse import urljoin
 
 import pyarrow as pa
+import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: What opens a comment or a tag; the tag's name.
+#: What opens a comment or a tag.
 OPEN = re.compile(r"<(!--|[!/?a-zA-Z])")
-NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
+#: An attribute: a name and, after =, a value in quotes or up to a blank; possessive, so no part is read twice.
+ATTRIBUTE = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+"""
+#: A start or end tag; a > inside a quoted value doesn't end it.
+TAG = re.compile(rf"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]*+{ATTRIBUTE})*+)[\s/]*+>")
+VALUES = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
 #: Elements whose content is no text, and those that end a line.
 HIDDEN = {"script", "style", "noscript", "template"}
 BREAKS = {"p", "div", "br", "li", "ul", "ol", "tr", "table", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "header", "footer", "nav", "blockquote", "pre", "title", "head", "body", "hr"}
-CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in (*HIDDEN, "title")}
-LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+CLOSE = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in (*HIDDEN, "title")}
 SPACE = re.compile(r"[ \t\r\f\v]+")
 #: The date of records whose captures have none.
 DATE = "1970-01-01T00:00:00Z"
 
 
-def page_parts(html: str) -> tuple[str, list[str], str]:
-    """(text with tags taken out, links, title) in one pass forward; nothing is looked for again once it isn't there.
+def attribute(attributes: str, name: str) -> str | None:
+    """The first value of this name, entities resolved; "" where it has none."""
+    for m in VALUES.finditer(attributes):
+        if m[1].lower() == name:
+            return entities.unescape(next((g for g in m.groups()[1:] if g is not None), ""))
+    return None
 
-    An unclosed comment or hidden element reaches to the end; a tag that is
-    never closed is text.
+
+def page_parts(html: str) -> tuple[str, list[str], str, str | None]:
+    """(text with tags taken out, links, title, base address) in one pass forward; nothing is looked for again once it isn't there.
+
+    An unclosed comment or hidden element reaches to the end; from a tag that
+    is never closed on, all is text.
     """
-    parts, links, title, titled, done, last = [], [], "", False, 0, html.rfind(">")
-    for_sure = len(html)
-    while True:
-        m = OPEN.search(html, done)
-        if not m:
-            break
+    parts, links, title, base, titled, done = [], [], "", None, False, 0
+    while m := OPEN.search(html, done):
         start = m.start()
         parts.append(html[done:start])
         if m[1] == "!--":
-            end = html.find("-->", start + 4)
+            end = html.find("-->", start + 2)
             parts.append(" ")
-            done = for_sure if end < 0 else end + 3
+            done = len(html) if end < 0 else end + 3
             continue
-        if start > last:  # no tag is closed from here on
-            parts.append(html[start:])
-            done = for_sure
-            break
-        end = html.find(">", start) + 1
-        found = NAME.match(html, start)
-        name = found[1].lower() if found else ""
-        opens = html[start + 1] != "/"
+        tag = TAG.match(html, start)
+        if not tag:
+            end = -1 if html[start + 1] not in "!?/" or html[start + 2 : start + 3].isalpha() and html[start + 1] == "/" else html.find(">", start)
+            if end < 0:
+                done = start
+                break
+            done = end + 1  # a declaration, or an end tag without a name
+            continue
+        done, name, opens = tag.end(), tag[2].lower(), not tag[1]
         if opens and name in HIDDEN:
-            close = CLOSE[name].search(html, end)
+            close = CLOSE[name].search(html, done)
             parts.append(" ")
-            done = close.end() if close else for_sure
+            done = close.end() if close else len(html)
             continue
-        if name == "a" and opens:
-            link = LINK.match(html, start)
-            if link:
-                links.append(next(g for g in link.groups() if g is not None))
-        if name == "title" and opens and not titled:
+        if opens and name == "a" and (link := attribute(tag[3], "href")) is not None:
+            links.append(link)
+        if opens and name == "base" and base is None:
+            base = attribute(tag[3], "href")
+        if opens and name == "title" and not titled:
             titled = True
-            close = CLOSE["title"].search(html, end)
-            title = html[end : close.start()] if close else ""
+            close = CLOSE["title"].search(html, done)
+            title = html[done : close.start()] if close else ""
         if name in BREAKS:
             parts.append("\n")
-        done = end
     parts.append(html[done:])
-    return "".join(parts), links, title
+    return "".join(parts), links, title, base
+
+
+def absolute(link: str, base: str | None, url: str | None) -> str:
+    """A link seen from the page: without blanks around it, joined to the base address, which is joined to the page's; unreadable ones as they are."""
+    link = re.sub(r"[\t\r\n]+", "", link.strip())
+    try:
+        return urljoin(urljoin(url or "", base.strip()) if base else url or "", link)
+    except ValueError:
+        return link
 
 
 def plain_text(text: str) -> str:
@@ -117,9 +138,9 @@ def derive_page(page_id, url: str | None, html: str | None, date: str | None, he
     payload = digest(html.encode())
     date = date or DATE
     source = record_id("response", str(page_id), url or "", payload)
-    text, links, title = page_parts(html)
+    text, links, title, base = page_parts(html)
     title = " ".join(entities.unescape(page_parts(title)[0]).split())
-    links = [entities.unescape(x) for x in links]
+    links = [absolute(x, base, url) for x in links]
     fields = [f"source-header: {x}" for x in (headers or "").splitlines() if x] + [f"title: {title}"] * bool(title) + [f"outlink: {' '.join(x.split())}" for x in links]
     blocks = [("metadata", "\r\n".join(fields).encode(), "application/warc-fields"), ("conversion", plain_text(text).encode(), "text/plain; charset=utf-8")]
     out = []
@@ -147,9 +168,40 @@ def derive_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """Records as gzip WARC files, one for each partition, through Spark's writer (any file system)."""
-    whole = F.concat("header", F.lit("\r\n\r\n"), "block")
-    records.select(whole.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    """Records as WARC files in a new folder, each record a gzip member of its own, a file a partition.
+
+    A task writes to a name of its own attempt and reports it; the driver then
+    gives the reported files their names, so what a lost executor left doesn't
+    count.  The folder must be one that pyarrow's file systems reach.
+    """
+    files, root = filesystem(path)
+    if files.get_file_info(root).type != pa.fs.FileType.NotFound:
+        raise FileExistsError(path)
+    files.create_dir(f"{root}/_attempts", recursive=True)
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context, out, n = TaskContext.get(), None, 0
+        where, base = filesystem(path)
+        name = f"{context.partitionId():05d}-{context.taskAttemptId()}-{uuid.uuid4().hex}"
+        for b in batches:
+            out = out or where.open_output_stream(f"{base}/_attempts/{name}", compression=None)
+            for header, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                out.write(gzip.compress(f"{header}\r\n\r\n{block}\r\n\r\n".encode(), mtime=0))
+                n += 1
+        if out:
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["name", "n"])
+
+    for r in records.select("header", "block").mapInArrow(written, "name string, n long").collect():  # a row a file
+        files.move(f"{root}/_attempts/{r['name']}", f"{root}/part-{r['name'].split('-')[0]}.warc.gz")
+    files.delete_dir(f"{root}/_attempts")
+    with files.open_output_stream(f"{root}/_SUCCESS"):
+        pass
+
+
+def filesystem(path: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system of a path or address, and the path in it."""
+    return pa.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
 
 
 def records_in(stream) -> Iterator[dict]:
@@ -169,23 +221,45 @@ def records_in(stream) -> Iterator[dict]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """record_type, record_id, refers_to, header and block of the records in WARC files, a file a task at least; gzip, by file or by record, is undone."""
+    """record_type, record_id, refers_to, header and block of the records in WARC files; gzip, by file or by record, is undone.
+
+    Spark lists the files; each is a task's own and is streamed record by
+    record through pyarrow's file systems, so a file of any size fits.  From a
+    store that only Spark reaches, files come whole (2 GB at most).
+    """
     names = ["record_type", "record_id", "refers_to", "header", "block"]
+    schema = pa.schema([(n, pa.string()) for n in names])
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for content in b.column(0):
-                raw = BytesIO(content.as_buffer())
-                stream = gzip.GzipFile(fileobj=raw) if raw.getbuffer()[:2] == b"\x1f\x8b" else raw
-                held, size = [], 0
-                for r in records_in(stream):
-                    held.append(r)
-                    size += len(r["block"])
-                    if size > 1 << 22:
-                        yield pa.RecordBatch.from_pylist(held, schema)
-                        held, size = [], 0
+    def records(raw) -> Iterator[pa.RecordBatch]:
+        buffered = BufferedReader(raw, 1 << 20)
+        stream = gzip.GzipFile(fileobj=buffered) if buffered.peek(2)[:2] == b"\x1f\x8b" else buffered
+        held, size = [], 0
+        for r in records_in(stream):
+            held.append(r)
+            size += len(r["block"])
+            if size > 1 << 22:
                 yield pa.RecordBatch.from_pylist(held, schema)
+                held, size = [], 0
+        yield pa.RecordBatch.from_pylist(held, schema)
 
-    schema = pa.schema([(n, pa.string()) for n in names])
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).filter("length > 0").select("content")
-    return files.mapInArrow(read, ", ".join(f"{n} string" for n in names))
+    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in b.column(0).to_pylist():
+                files, place = filesystem(at)
+                with files.open_input_file(place) as raw:
+                    yield from records(raw)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b.column(0):
+                yield from records(BytesIO(content.as_buffer()))
+
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).filter("length > 0")
+    first = listed.select("path").first()
+    ddl = ", ".join(f"{n} string" for n in names)
+    try:
+        reached = first is not None and filesystem(first["path"])[0] is not None
+    except (pa.ArrowInvalid, OSError):
+        return listed.select("content").mapInArrow(whole, ddl)
+    paths = listed.select("path")
+    return (paths.repartition(max(1, paths.count()), "path") if reached else paths).mapInArrow(streamed, ddl)
