@@ -293,7 +293,8 @@ def test_tool_calls(spark):
     assert got["a"]["json"] == '{"arguments":{"query":"é","turn":1},"call_id":"a","name":"search","position":0,"result":"q"}'
     assert got["d"]["json"] is None
     chain = spark.createDataFrame([(1, str(i), "x", "{}", str(i - 1)) for i in range(300)], calls.schema)
-    assert {r["call_id"]: r["position"] for r in tool_calls.positions(chain).collect()} == {str(i): i for i in range(300)}
+    for local in (tool_calls.LOCAL, 0, 100):
+        assert {r["call_id"]: r["position"] for r in tool_calls.positions(chain, local).collect()} == {str(i): i for i in range(300)}
     assert tool_calls.link_tool_calls(calls.limit(0), results, {}).count() == 0
 
 
@@ -303,11 +304,13 @@ def test_tool_calls_by_conversation(spark):
         "conv_id long, call_id string, name string, arguments string, after string",
     )
     results = spark.createDataFrame([(1, "call_1", "b"), (1, "call_1", "a"), (1, "call_1", None), (None, "call_1", "n"), (3, "call_1", "z")], "conv_id long, call_id string, content string")
-    got = {(r["conv_id"], r["call_id"], r["n_calls"], r["position"], r["status"], tuple(r["results"])) for r in tool_calls.link_tool_calls(calls, results, queries.TOOLS).collect()}
+    of = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:8], 16)
+    got = {(r["conv_id"], r["call_id"], r["n_calls"], r["position"], r["status"], r["results_sum"]) for r in tool_calls.link_tool_calls(calls, results, queries.TOOLS).collect()}
     assert got == {
-        (1, "call_1", 1, 0, "ok", (None, "a", "b")), (1, "call_2", 1, 1, "no_result", ()), (None, "call_1", 1, 0, "ok", ("n",)), (3, "call_2", 1, 0, "no_result", ()),
-        (2, "call_1", 2, 0, "no_result", ()), (2, "call_2", 1, 1, "no_result", ()), (2, "call_1", 2, 2, "no_result", ()),
+        (1, "call_1", 1, 0, "ok", of("a") + of("b")), (1, "call_2", 1, 1, "no_result", 0), (None, "call_1", 1, 0, "ok", of("n")), (3, "call_2", 1, 0, "no_result", 0),
+        (2, "call_1", 2, 0, "no_result", 0), (2, "call_2", 1, 1, "no_result", 0), (2, "call_1", 2, 2, "no_result", 0),
     } and tool_calls.link_tool_calls(calls, results, queries.TOOLS).count() == 7
+    assert sorted(tuple(r) for r in tool_calls.linked_results(calls, results).filter("conv_id is not null").collect() if r["content"]) == [(1, "call_1", "a"), (1, "call_1", "b")]
     turns = spark.createDataFrame([(None, 3, "user", "a"), (5, 3, "user", "b"), (3, None, "user", "c"), (3, None, "user", "d"), (3, None, "assistant", "e"), (None, 4, "assistant", "f")], "conv_id long, turn int, role string, text string")
     linked = tool_calls.link_tool_calls(*queries.chat_calls(turns), queries.TOOLS).collect()
     assert sorted((r["conv_id"] or 0, r["call_id"], r["n_calls"], r["position"], r["n_results"]) for r in linked) == [(0, "3", 1, 0, 1), (3, "3", 2, 0, 0), (3, "3", 2, 0, 0), (5, "5:3", 1, 0, 0)]
@@ -320,7 +323,7 @@ def test_warc(spark, tmp_path):
     assert records.count() == 6
     got = {(r["page_id"], r["record_type"]): r for r in records.collect()}
     assert got[1, "conversion"]["block"] == "A & B\nOne two\nl"
-    assert got[1, "metadata"]["block"] == "title: A & B\r\noutlink: /u?a=1&b=2"
+    assert got[1, "metadata"]["block"] == "title: A & B\r\noutlink: http://x/u?a=1&b=2"
     assert got[1, "metadata"]["refers_to"] == got[1, "conversion"]["refers_to"] and got[2, "conversion"]["block"] == ""
     warc_derive.write_warc(records, str(tmp_path / "w"))
     back = warc_derive.read_warc(spark, str(tmp_path / "w"))
@@ -402,6 +405,8 @@ def test_tool_call_graphs(spark):
         if not new:
             break
         level |= new
+    for local in (0, 7):  # conversations of both kinds
+        assert {(r["conv_id"], r["call_id"]): r["position"] for r in tool_calls.positions(calls, local).collect()} == {k: level.get(k) for k in before}
     got = {(r["conv_id"], r["call_id"]): r["position"] for r in tool_calls.link_tool_calls(calls, spark.createDataFrame([], "conv_id long, call_id string, content string"), {"fetch": {}}).collect()}
     assert got == {k: level.get(k) for k in before} and None in got.values() and max(level.values()) > 3
 
@@ -580,3 +585,130 @@ def test_decontamination_cosine_recall(spark, docs):
         assert sum(x in near for x in of) >= 0.9 * len(of), share
     found = asked.found(numbers)
     assert sum((d, n) in found for d, (_, n, _) in enumerate(planted)) >= 0.97 * len(planted)
+
+
+def test_tool_schemas():
+    p = tool_calls.problems
+    assert p(None, {"type": ["string", "null"]}) == [] and p(3, {"type": ["string", "null"]}) == ["$: not string or null"]
+    assert p(5, {"const": 3}) == ["$: not the constant"] and p(3.0, {"const": 3}) == [] and p(True, {"const": 1}) and p(1, {"enum": [True]})
+    assert p({"a": 1}, True) == [] and p({"a": 1}, {"properties": {"a": False}}) == ["$.a: nothing is allowed here"]
+    assert p("x", {"anyOf": [{"type": "integer"}, {"type": "string"}]}) == [] and p([], {"anyOf": [{"type": "integer"}, {"minLength": 1, "type": "string"}]}) == ["$: none of anyOf"]
+    assert p(4, {"oneOf": [{"multipleOf": 2}, {"minimum": 3}]}) and not p(3, {"oneOf": [{"multipleOf": 2}, {"minimum": 3}]}) and p(3, {"not": {"type": "integer"}})
+    assert p("ab1", {"pattern": "^[a-z]+$"}) == ["$: not of the pattern"] and p("ab", {"pattern": "^[a-z]+$"}) == [] and p("x", {"pattern": "("}) == ["$: schema word pattern has a value that can't be read"]
+    assert p(1, {"type": "strnig"}) == ["$: unknown type strnig"] and p(1, {"mininum": 3}) == ["$: unknown schema word mininum"] and p(1, {"type": {"a": 1}})
+    assert p(0.3, {"multipleOf": 0.1}) == [] and p(3, {"exclusiveMinimum": 3}) and not p(4, {"exclusiveMinimum": 3})
+    assert p([1, "a", 2], {"prefixItems": [{"type": "integer"}], "items": {"type": "string"}}) == ["$[2]: not string"] and p([1, 1], {"uniqueItems": True}) and p([], {"minItems": 1}) and p([1], {"contains": {"const": 2}})
+    tree = {"$defs": {"node": {"type": "object", "properties": {"next": {"$ref": "#/$defs/node"}, "v": {"type": "integer"}}, "required": ["v"]}}, "$ref": "#/$defs/node", "title": "t", "format": "f"}
+    assert p({"v": 1, "next": {"v": 2}}, tree) == [] and p({"v": 1, "next": {}}, tree) == ["$.next.v: missing"] and p(1, {"$ref": "#/nope"}) == ["$: schema word $ref has a value that can't be read"]
+    assert p({"x_a": "s", "b": 1}, {"patternProperties": {"^x_": {"type": "integer"}}, "additionalProperties": {"type": "string"}}) == ["$.x_a: not integer", "$.b: not string"]
+    assert p({"a": 1}, {"if": {"required": ["a"]}, "then": {"required": ["b"]}, "else": {"required": ["c"]}}) == ["$.b: missing"] and p(1, 7) == ["$: schema is neither an object nor a boolean"]
+
+
+def test_tool_calls_with_odd_schemas_and_long_arguments(spark):
+    schemas = {"a": {"type": ["object", "null"], "properties": {"q": {"type": ["string", "null"]}}}, "b": True, "c": False, "d": {"type": "thing"}}
+    calls = spark.createDataFrame([(1, n, n, '{"q":null,"w":"' + "x" * 200_000 + '"}', None) for n in "abcd"], "conv_id long, call_id string, name string, arguments string, after string")
+    got = {r["call_id"]: (r["status"], r["problems"]) for r in tool_calls.link_tool_calls(calls, spark.createDataFrame([], "conv_id long, call_id string, content string"), schemas).collect()}
+    assert got == {"a": ("no_result", []), "b": ("no_result", []), "c": ("invalid", ["$: nothing is allowed here"]), "d": ("invalid", ["$: unknown type thing"])}
+
+
+def test_pages_against_html_parser():
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        """Text, links and base of a page, with the library's own tokenizer."""
+
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.text, self.links, self.base, self.hidden = [], [], None, None
+
+        def handle_starttag(self, tag, attrs):
+            if self.hidden:
+                return
+            if tag in warc_derive.HIDDEN:
+                self.hidden = tag
+                return
+            first = {}
+            for k, v in attrs:
+                first.setdefault(k, v or "")
+            if tag == "a" and "href" in first:
+                self.links.append(first["href"])
+            if tag == "base" and self.base is None:
+                self.base = first.get("href")
+            self.text += ["\n"] * (tag in warc_derive.BREAKS)
+
+        def handle_startendtag(self, tag, attrs):
+            self.handle_starttag(tag, attrs)
+
+        def handle_endtag(self, tag):
+            if self.hidden:
+                if tag == self.hidden:
+                    self.hidden = None
+                    self.text.append(" ")
+                return
+            self.text += ["\n"] * (tag in warc_derive.BREAKS)
+
+        def handle_comment(self, data):
+            self.text += [" "] * (not self.hidden)
+
+        def handle_data(self, data):
+            self.text += [data] * (not self.hidden)
+
+    rng = random.Random(11)
+    values = ['"x?a>b"', "'a > b'", '"/u?a=1&amp;b=2"', "plain", '"q\'s"', "'say \"hi\"'", '""', '"href=bad"', "a/b"]
+    names = ["href", "data-href", "title", "HREF", "x", "class", "disabled"]
+    bodies = ["text ", "a &lt; b &amp; c ", "1 < 2 ", "\n", "é漢 ", "<!-- c > d -->", "<!---->", "<script>if (a < b) document.write('<a href=\"no\">')</script>", "<style>p > a {}</style>", "<template><a href='no'>t</a></template>"]
+
+    def page(depth=3):
+        out = ""
+        for _ in range(rng.randint(1, 6)):
+            tag = rng.choice(["a", "p", "div", "b", "br", "span", "h2", "base"])
+            attrs = "".join(" " + rng.choice(names) + rng.choice(["=" + rng.choice(values), " = " + rng.choice(values), "=" + rng.choice(values), ""]) for _ in range(rng.randint(0, 3)))
+            inner = page(depth - 1) if depth and rng.random() < 0.6 else rng.choice(bodies)
+            out += f"<{tag}{attrs}>" + ("" if tag in ("br", "base") else inner + f"</{tag}>") + rng.choice(bodies)
+        return out
+
+    for _ in range(1500):
+        html = page()
+        reader = Reader()
+        reader.feed(html)
+        reader.close()
+        text, links, _, base = warc_derive.page_parts(html)
+        assert warc_derive.plain_text(text) == "\n".join(x for x in (x.strip() for x in warc_derive.SPACE.sub(" ", "".join(reader.text)).split("\n")) if x), html
+        assert links == reader.links and base == reader.base, html
+    parts = warc_derive.page_parts
+    assert parts('<a href="x?a>b">text</a>')[:2] == ("text", ["x?a>b"]) and parts('<p title="a > b">hi</p>')[0] == "\nhi\n"
+    assert parts('<a data-href="no" href="yes">')[1] == ["yes"] and parts('<a title="href=bad" href="good">')[1] == ["good"]
+    assert parts('ok <a href="never closed')[0] == 'ok <a href="never closed' and parts("a < b <3 </> <?x?> <!doctype html>c")[0] == "a < b <3   c"
+    assert [warc_derive.absolute(x, b, "http://h/d/p?q") for x, b in (("../u", None), (" /v\n", None), ("w", "/base/"), ("//z/y", None), ("mailto:a", None), ("http://[", None))] == ["http://h/u", "http://h/v", "http://h/base/w", "http://z/y", "mailto:a", "http://["]
+    import time
+
+    began = time.time()
+    for hostile in ("<a " * 100_000, '<a title="' * 50_000, "<a href='x>" * 50_000, "<" * 300_000, "<!--" * 100_000, "<script>" * 50_000, "<a b=c " * 50_000, "</a" * 100_000, "<p>" * 100_000 + "</title" * 9):
+        parts(hostile)
+    assert time.time() - began < 20
+
+
+def test_warc_members_and_streams(spark, tmp_path):
+    import gzip
+    import zlib as z
+
+    pages = spark.createDataFrame([(i, f"http://x/{i}", "<p>" + f"é{i} " * (i * 50)) for i in range(40)], "page_id long, url string, html string").repartition(4)
+    records = warc_derive.derive_records(pages)
+    warc_derive.write_warc(records, str(tmp_path / "w"))
+    members = 0
+    for f in (tmp_path / "w").glob("*.warc.gz"):
+        rest = f.read_bytes()
+        while rest:
+            d = z.decompressobj(31)
+            assert d.decompress(rest).startswith(b"WARC/1.1\r\n") and d.eof
+            rest, members = d.unused_data, members + 1
+    assert members == 80 and not (tmp_path / "w" / "_attempts").exists()
+    expected = sorted((r["record_id"], r["block"]) for r in records.collect())
+    assert sorted((r["record_id"], r["block"]) for r in warc_derive.read_warc(spark, str(tmp_path / "w")).collect()) == expected
+    whole = b"".join(gzip.decompress(f.read_bytes()) for f in (tmp_path / "w").glob("*.warc.gz"))
+    for name, data in (("plain", whole), ("one", gzip.compress(whole))):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.warc").write_bytes(data)
+        assert sorted((r["record_id"], r["block"]) for r in warc_derive.read_warc(spark, str(tmp_path / name)).collect()) == expected
+    with pytest.raises(FileExistsError):
+        warc_derive.write_warc(records, str(tmp_path / "w"))
