@@ -19,6 +19,7 @@ row; an empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -28,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.llm.bpe_stream import int_lists
 from helixframe.llm.util import stored, texts_of
 
 RADIUS = 3
@@ -63,8 +65,8 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def planes_of(fps: np.ndarray) -> list[int]:
-    """For each of the 64 bits an integer whose bit i is that bit of fps[i]."""
-    bits = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(len(fps), 8), axis=1, bitorder="little")
+    """For each bit an integer whose bit i is that bit of fps[i] (one or several words each)."""
+    bits = np.unpackbits(np.ascontiguousarray(fps.astype("<u8")).view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
     cols = np.packbits(bits, axis=0, bitorder="little").T.copy()
     return [int.from_bytes(c.tobytes(), "little") for c in cols]
 
@@ -92,7 +94,8 @@ def bucket_links(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]
     n = len(fps)
     if n < 2:
         return []
-    planes, values, links = planes_of(fps), fps.tolist(), []
+    planes, links = planes_of(fps), []
+    values = [int.from_bytes(x.tobytes(), "little") for x in fps.astype("<u8")]
     unseen = (1 << n) - 1
     while unseen:
         first = (unseen & -unseen).bit_length() - 1
@@ -216,8 +219,166 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return crowd.select("doc_id", "fp", "component_id").unionByName(rest.select("doc_id", "fp", "component_id"))
 
 
-def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row of df, all columns, of each component: that of the smallest id.
+#: The pipeline's near copies: words in a shingle, least Jaccard similarity of the sets of shingles.
+WIDTH, SIMILAR = 5, 0.8
+#: Bits of a wide fingerprint, those of them that are compared, and the share in which fingerprints of texts just SIMILAR differ.
+WIDE, COMPARED, DIFFER = 256, 128, 0.152
+#: Most of the compared bits in which such texts differ: five deviations over their mean.
+WIDE_RADIUS = 40
+#: Buckets up to here give all their near pairs, by popcounts; larger ones, bit-sliced, a spanning forest of them.
+SMALL = 32
+#: Odd constants that make WIDE bits out of a 64-bit hash.
+_MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
+
+
+def shingle_hashes(text: str, width: int = WIDTH) -> np.ndarray:
+    """Distinct 64-bit hashes of a text's shingles, ascending; words as in fingerprint()."""
+    w = text.encode("utf-8").lower().split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    grams = map(b" ".join, zip(*(w[i:] for i in range(width)))) if len(w) >= width else iter([b" ".join(w)])
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64, max(1, len(w) - width + 1)))
+
+
+def wide_bits(hashes: np.ndarray) -> np.ndarray:
+    """WIDE majority bits (0 or 1 each) over distinct hashes."""
+    ones = np.zeros(WIDE, np.int64)
+    for i in range(0, len(hashes), 1 << 14):
+        x = hashes[i : i + (1 << 14), None] * _MIX
+        x ^= x >> np.uint64(29)
+        x *= _MIX[::-1]
+        x ^= x >> np.uint64(32)
+        ones += np.unpackbits(x.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return (2 * ones > len(hashes)).astype(np.uint8)
+
+
+def samples_for(n: int, misses: float = 4.5) -> np.ndarray:
+    """Which bits make up each table's key: so many that buckets hold a few of n fingerprints by chance, and so many tables that of pairs just SIMILAR about e^-misses meet in none."""
+    bits = max(8, math.ceil(math.log2(max(2, n))) - 2)
+    tables = math.ceil(misses / (1 - DIFFER) ** bits)
+    rng = np.random.default_rng(7)
+    return np.stack([rng.choice(WIDE, bits, replace=False) for _ in range(tables)])
+
+
+def _all_near(fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all near pairs inside runs of equal keys (of at most SMALL), by popcounts."""
+    left, right = [], []
+    for step in range(1, int(sizes.max()) if len(sizes) else 1):
+        ok = sizes > step
+        i = np.concatenate([np.arange(a, a + n - step) for a, n in zip(starts[ok].tolist(), sizes[ok].tolist())]) if step > 1 else np.repeat(starts[ok], sizes[ok] - 1) + _runs(sizes[ok] - 1)
+        near = np.bitwise_count(fps[i] ^ fps[i + step]).sum(1) <= radius
+        left.append(i[near])
+        right.append(i[near] + step)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def _runs(lengths: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
+
+
+def candidate_pairs(nodes: DataFrame, radius: int = WIDE_RADIUS, tile: int = TILE) -> DataFrame:
+    """Distinct pairs (a, b) of nodes (node; bits: WIDE bits as binary) that share a sampled key and differ in few of the COMPARED bits.
+
+    A bucket of more than `tile` nodes (told by every 64th node; this changes
+    only where pairs are found) is dealt into groups, every two of which meet in
+    one task.
+    """
+    total = nodes.count()
+    tables = samples_for(total)
+    powers = (1 << np.arange(tables.shape[1], dtype=np.int64)).astype(np.int64)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                part = b.slice(at, 4096)
+                raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, WIDE // 8)
+                bits = np.unpackbits(raw, axis=1, bitorder="little")
+                keys = np.concatenate([bits[:, t].astype(np.int64) @ powers + (i << 40) for i, t in enumerate(tables)])
+                words = raw[:, : COMPARED // 8].copy().view("<i8")
+                cols = [np.tile(np.asarray(part.column(0)), len(tables)), *(np.tile(words[:, k], len(tables)) for k in range(words.shape[1]))]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, cols)], ["key", "node", "f0", "f1"])
+
+    rows = nodes.select("node", "bits").mapInArrow(keyed, "key long, node long, f0 long, f1 long")
+    every = 64 if total > 64 * tile else 1
+    some = nodes.filter(F.pmod("node", F.lit(every)) == 0).select("node", "bits").mapInArrow(keyed, "key long, node long, f0 long, f1 long")
+    sizes = some.groupBy("key").agg((F.count("*") * every).alias("n")).filter(F.col("n") > tile)
+    if total > tile:  # few rows: each stands for more than `tile` nodes
+        rows = rows.join(stored(sizes, "big"), "key", "left")
+    else:
+        rows = rows.withColumn("n", F.lit(1))
+    dealt = rows.withColumn("groups", F.ceil(F.coalesce("n", F.lit(1)) / F.lit(tile)).cast("int"))
+    own = F.pmod(F.xxhash64("node"), F.col("groups")).cast("int")
+    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "f0", "f1")
+    dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            t = t.combine_chunks()
+            key = np.stack([np.asarray(t[c]) for c in ("key", "lo", "hi")], axis=1).astype(np.int64)
+            last = int(np.flatnonzero((key != key[-1]).any(axis=1))[-1]) + 1 if (key != key[-1]).any() else 0  # the last run may go on
+            if last:
+                yield _near(t.slice(0, last), key[:last], radius)
+            held = t.slice(last)
+        if held is not None and len(held):
+            yield _near(held, np.stack([np.asarray(held[c]) for c in ("key", "lo", "hi")], axis=1).astype(np.int64), radius)
+
+    return dealt.mapInArrow(near, "a long, b long").distinct()
+
+
+def _near(t: pa.Table, key: np.ndarray, radius: int) -> pa.RecordBatch:
+    """Near pairs of rows sorted by key and node."""
+    node, fps = np.asarray(t["node"]), np.stack([np.asarray(t["f0"]), np.asarray(t["f1"])], axis=1).view(np.uint64)
+    starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
+    sizes = np.diff(np.append(starts, len(key)))
+    small = (sizes > 1) & (sizes <= SMALL)
+    a, b = _all_near(fps, starts[small], sizes[small], radius)
+    parts = [(node[a], node[b])]
+    for start, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+        links = np.array(bucket_links(fps[start : start + n], radius), np.int64).reshape(-1, 2)
+        parts.append((node[start + links[:, 0]], node[start + links[:, 1]]))
+    a, b = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
+def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """(first, root): of each class of texts of equal shingle sets its smallest id, and the component it is in.
+
+    Candidates come from wide fingerprints; a link is a pair whose sets of
+    5-word shingles have a Jaccard similarity of at least `similar`, counted
+    over all of them (as 32-bit hashes).
+    """
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 512):
+                part = b.slice(i, 512)
+                sets = [shingle_hashes(t or "") for t in part.column(1).to_pylist()]
+                node = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
+                bits = [np.packbits(wide_bits(h), bitorder="little").tobytes() for h in sets]
+                small = [np.unique(h.astype(np.uint32)).view(np.int32) for h in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node), pa.array(bits, pa.binary()), int_lists(small)], ["id", "node", "bits", "shingles"])
+
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    marks = rows.mapInArrow(marked, f"id {rows.schema['id'].dataType.simpleString()}, node long, bits binary, shingles array<int>")
+    # one row a class; a crowd of copies is brought down to one row in each task first
+    nodes = stored(marks.groupBy("node").agg(F.min("id").alias("first"), F.min("bits").alias("bits"), F.min("shingles").alias("shingles")), "classes")
+    pairs = stored(candidate_pairs(nodes), "pairs")
+    sets = nodes.select("node", "shingles")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    links = both.filter(shared >= F.lit(similar) * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    roots = components(links)
+    return nodes.select("node", "first").join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
+
+
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """One row of df, all columns, of each component of similar_texts(): that of the smallest id.
 
     Rows without an id come after all others, equal ids in the order of a hash
     of all columns, so a null id keeps its row where it is the only one, and of
@@ -226,6 +387,6 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     """
     rows = stored(df.withColumn("__row", F.monotonically_increasing_id()), "rows")
     order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(*df.columns).alias("hash"), F.col("__row").alias("row"))
-    found = near_duplicates(rows.select(order.alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", radius)
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id.row").alias("__kept"))
+    found = similar_texts(rows.select(order.alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", similar)
+    kept = found.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__kept"))
     return rows.join(kept, rows["__row"] == kept["__kept"], "left_semi").drop("__row")
