@@ -21,6 +21,12 @@
 5. *Checks.*  Around a candidate the longest common subsequence of words with
    the item is taken.  A pair is reported if it covers `lcs` of the item, or a
    paraphrase's `loose` share and the item's answer (its last words) is there.
+   Other words for most of an item leave no such share: there the answer decides, if
+   the words before it reach `cosine` with those of the item, in a window that
+   does.
+
+`route` says how a pair was found: `cosine` or, where the cosine missed it,
+`rare words`; `latent` is a pair that only the cosine and the answer show.
 
 Words are lower-cased runs of anything but space and tab to carriage return,
 without punctuation at either end.
@@ -260,6 +266,10 @@ def rare_words(sequences: list[list[int]], df: np.ndarray, share: float) -> tupl
     return np.searchsorted(pairs[:, 0], np.arange(len(df) + 1)), pairs[:, 1], needs
 
 
+#: A pair that isn't reported yet.
+NOTHING = (0.0, False, 0.0, "")
+
+
 class Items:
     """The asked items as tasks see them."""
 
@@ -348,8 +358,8 @@ class Items:
         return merged
 
     def found(self, docs: list[np.ndarray]) -> dict[tuple[int, int], tuple[float, bool, float]]:
-        """The best (share, answer found, cosine) of each reported (document, item)."""
-        best: dict[tuple[int, int], tuple[float, bool, float]] = {}
+        """The best (share, answer found, cosine, route) of each reported (document, item)."""
+        best: dict[tuple[int, int], tuple[float, bool, float, str]] = {}
         if not len(docs) or not sum(map(len, docs)):
             return best
         hits = list(self.windows(docs))
@@ -371,22 +381,38 @@ class Items:
             if (d, n) in best and best[d, n][0] >= 1.0:
                 continue
             got = docs[d][max(0, at - len(seq)) : at + self.window + len(seq)].tolist()
-            if len(self.words[n].difference(got)) > len(seq) - self.fewest[n]:  # no subsequence can be long enough
+            if len(self.words[n].difference(got)) > len(seq) - self.fewest[n] and not self.answered(n, got):  # no subsequence can be long enough
                 continue
             share, has = self.judged(n, got)
             if share >= self.lcs or share >= self.loose and has:
-                best[d, n] = max(best.get((d, n), (0.0, False, 0.0)), (share, has, value))
+                best[d, n] = max(best.get((d, n), NOTHING), (share, has, value, "cosine"))
+            elif has and self.alike(n, got):
+                best[d, n] = max(best.get((d, n), NOTHING), (share, has, value, "latent"))
 
-    def judged(self, n: int, got: list[int]) -> tuple[float, bool]:
+    def answered(self, n: int, got: list[int]) -> bool:
+        answer = self.answers[n]
+        return any(got[i : i + len(answer)] == answer for i in range(len(got) - len(answer) + 1) if got[i] == answer[0])
+
+    def alike(self, n: int, got: list[int]) -> bool:
+        """Whether as many words before an answer as the item has there are as close to them as a candidate; the answer itself doesn't count."""
         seq, answer = self.sequences[n], self.answers[n]
-        has = any(got[i : i + len(answer)] == answer for i in range(len(got) - len(answer) + 1) if got[i] == answer[0])
-        return common_subsequence(seq, got) / len(seq), has
+        body = [x for x in seq if x >= 0][: -len(answer)]
+        asked = self.table[body].sum(0)
+        for i in range(1, len(got) - len(answer) + 1):
+            if got[i : i + len(answer)] == answer:
+                there = self.table[got[max(0, i - len(body)) : i]].sum(0)
+                if there @ asked >= self.cosine * np.linalg.norm(there) * np.linalg.norm(asked) > 0:
+                    return True
+        return False
+
+    def judged(self, n: int, got: list[int]) -> tuple[float, bool]:
+        return common_subsequence(self.sequences[n], got) / len(self.sequences[n]), self.answered(n, got)
 
     def check_span(self, ids: np.ndarray, d: int, n: int, a: int, b: int, best) -> None:
         """Every span that can pass is checked, in pieces of as many starts as a span has words."""
         seq, size, words = self.sequences[n], int(self.sizes[n]), self.words[n]
         for i in range(a, b + 1, size):
-            old = best.get((d, n), (0.0, False, 0.0))
+            old = best.get((d, n), NOTHING)
             if old[:2] == (1.0, True):
                 return
             got = ids[i : min(b + 1, i + size) + size - 1].tolist()
@@ -406,7 +432,7 @@ class Items:
                     if top == (1.0, True):
                         break
             if where >= 0:
-                best[d, n] = (*top, self.closest(np.array(got[where : where + size]), n))
+                best[d, n] = (*top, self.closest(np.array(got[where : where + size]), n), "cosine" if old[3] == "cosine" else "rare words")
 
     def closest(self, ids: np.ndarray, n: int) -> float:
         """The best cosine of any window of the span."""
@@ -444,11 +470,11 @@ def contaminated(
     loose: float = LOOSE,
     most_words: int = MOST_WORDS,
 ) -> DataFrame:
-    """doc_id, item_id, lcs_share, answer_found and cosine (the best of the pair) of each contaminated pair."""
+    """doc_id, item_id, lcs_share, answer_found, cosine (the best of the pair) and route of each contaminated pair."""
     spark = docs.sparkSession
     rows = texts_of(docs, id_col, text_col)
     kinds = rows.schema["doc_id"].dataType, benchmark.schema[item_col].dataType
-    schema = f"doc_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, lcs_share double, answer_found boolean, cosine double"
+    schema = f"doc_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, lcs_share double, answer_found boolean, cosine double, route string"
     items = [(r[0], words_of(r[1])) for r in texts_of(benchmark, item_col, "text").orderBy("doc_id", "text").toLocalIterator()]  # the query set
     pairs = None
     for block in item_blocks([(i, w) for i, w in items if any(w)], most_words):
@@ -456,7 +482,7 @@ def contaminated(
         pairs = got if pairs is None else pairs.unionByName(got)
     if pairs is None:
         return spark.createDataFrame([], schema)
-    best = F.max(F.struct("lcs_share", "answer_found", "cosine")).alias("best")
+    best = F.max(F.struct("lcs_share", "answer_found", "cosine", "route")).alias("best")
     return pairs.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
 
@@ -486,8 +512,8 @@ def _pairs(rows: DataFrame, items: list, schema: str, item_type: pa.DataType, wi
                 best = asked.found(docs[at:until])
                 if best:
                     cols = [b.column(0).take(pa.array([at + d for d, _ in best])), names.take(pa.array([n for _, n in best]))]
-                    cols += [pa.array([float(v[0]) for v in best.values()]), pa.array([bool(v[1]) for v in best.values()]), pa.array([round(float(v[2]), 6) for v in best.values()])]
-                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "lcs_share", "answer_found", "cosine"])
+                    cols += [pa.array([float(v[0]) for v in best.values()]), pa.array([bool(v[1]) for v in best.values()]), pa.array([round(float(v[2]), 6) for v in best.values()]), pa.array([v[3] for v in best.values()])]
+                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "lcs_share", "answer_found", "cosine", "route"])
                 at = until
 
     return kept.filter("block IS NULL").select("doc_id", "ids").mapInArrow(compared, schema)
