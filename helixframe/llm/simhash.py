@@ -29,7 +29,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.bpe_stream import int_lists
 from helixframe.llm.util import stored, texts_of
 
 RADIUS = 3
@@ -227,6 +226,8 @@ WIDE, COMPARED, DIFFER = 256, 128, 0.152
 WIDE_RADIUS = 40
 #: Buckets up to here give all their near pairs, by popcounts; larger ones, bit-sliced, a spanning forest of them.
 SMALL = 32
+#: The columns of a wide fingerprint.
+BITS = [f"b{k}" for k in range(WIDE // 64)]
 #: Odd constants that make WIDE bits out of a 64-bit hash.
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -254,7 +255,7 @@ def wide_bits(hashes: np.ndarray) -> np.ndarray:
 
 def samples_for(n: int, misses: float = 4.5) -> np.ndarray:
     """Which bits make up each table's key: so many that buckets hold a few of n fingerprints by chance, and so many tables that of pairs just SIMILAR about e^-misses meet in none."""
-    bits = max(8, math.ceil(math.log2(max(2, n))) - 2)
+    bits = max(8, math.ceil(math.log2(max(2, n))) - 4)
     tables = math.ceil(misses / (1 - DIFFER) ** bits)
     rng = np.random.default_rng(7)
     return np.stack([rng.choice(WIDE, bits, replace=False) for _ in range(tables)])
@@ -279,7 +280,7 @@ def _runs(lengths: np.ndarray) -> np.ndarray:
 
 
 def candidate_pairs(nodes: DataFrame, radius: int = WIDE_RADIUS, tile: int = TILE) -> DataFrame:
-    """Distinct pairs (a, b) of nodes (node; bits: WIDE bits as binary) that share a sampled key and differ in few of the COMPARED bits.
+    """Distinct pairs (a, b) of nodes (node; b0 to b3: WIDE bits as numbers) that share a sampled key and differ in few of the COMPARED bits.
 
     A bucket of more than `tile` nodes (told by every 64th node; this changes
     only where pairs are found) is dealt into groups, every two of which meet in
@@ -293,16 +294,16 @@ def candidate_pairs(nodes: DataFrame, radius: int = WIDE_RADIUS, tile: int = TIL
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 part = b.slice(at, 4096)
-                raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, WIDE // 8)
+                raw = np.stack([np.asarray(c) for c in part.columns[1:]], axis=1).astype("<i8").view(np.uint8)
                 bits = np.unpackbits(raw, axis=1, bitorder="little")
                 keys = np.concatenate([bits[:, t].astype(np.int64) @ powers + (i << 40) for i, t in enumerate(tables)])
                 words = raw[:, : COMPARED // 8].copy().view("<i8")
                 cols = [np.tile(np.asarray(part.column(0)), len(tables)), *(np.tile(words[:, k], len(tables)) for k in range(words.shape[1]))]
                 yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, cols)], ["key", "node", "f0", "f1"])
 
-    rows = nodes.select("node", "bits").mapInArrow(keyed, "key long, node long, f0 long, f1 long")
+    rows = nodes.select("node", *BITS).mapInArrow(keyed, "key long, node long, f0 long, f1 long")
     every = 64 if total > 64 * tile else 1
-    some = nodes.filter(F.pmod("node", F.lit(every)) == 0).select("node", "bits").mapInArrow(keyed, "key long, node long, f0 long, f1 long")
+    some = nodes.filter(F.pmod("node", F.lit(every)) == 0).select("node", *BITS).mapInArrow(keyed, "key long, node long, f0 long, f1 long")
     sizes = some.groupBy("key").agg((F.count("*") * every).alias("n")).filter(F.col("n") > tile)
     if total > tile:  # few rows: each stands for more than `tile` nodes
         rows = rows.join(stored(sizes, "big"), "key", "left")
@@ -360,20 +361,28 @@ def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 part = b.slice(i, 512)
                 sets = [shingle_hashes(t or "") for t in part.column(1).to_pylist()]
                 node = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
-                bits = [np.packbits(wide_bits(h), bitorder="little").tobytes() for h in sets]
-                small = [np.unique(h.astype(np.uint32)).view(np.int32) for h in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node), pa.array(bits, pa.binary()), int_lists(small)], ["id", "node", "bits", "shingles"])
+                bits = np.packbits(np.array([wide_bits(h) for h in sets], np.uint8), axis=1, bitorder="little").view("<i8")
+                small = [np.unique(h.astype(np.uint32)).tobytes() for h in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node), *map(pa.array, bits.T.copy()), pa.array(small, pa.binary())], ["id", "node", *BITS, "shingles"])
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(shared >= similar * (len(x) + len(y) - shared))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    marks = rows.mapInArrow(marked, f"id {rows.schema['id'].dataType.simpleString()}, node long, bits binary, shingles array<int>")
-    # one row a class; a crowd of copies is brought down to one row in each task first
-    nodes = stored(marks.groupBy("node").agg(F.min("id").alias("first"), F.min("bits").alias("bits"), F.min("shingles").alias("shingles")), "classes")
+    marks = stored(rows.mapInArrow(marked, f"id {rows.schema['id'].dataType.simpleString()}, node long, " + "".join(f"{b} long, " for b in BITS) + "shingles binary"), "marks")
+    nodes = stored(marks.groupBy("node").agg(F.min("id").alias("first"), *[F.min(b).alias(b) for b in BITS]), "classes")
     pairs = stored(candidate_pairs(nodes), "pairs")
-    sets = nodes.select("node", "shingles")
+    # only texts in a pair send their sets, one for each class; a crowd of copies is brought down to one row in each task first
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = marks.select("node", "shingles").join(ends, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    links = both.filter(shared >= F.lit(similar) * (F.size("x") + F.size("y") - shared)).select("a", "b")
-    roots = components(links)
+    roots = components(both.select("a", "b", "x", "y").mapInArrow(verified, "a long, b long"))
     return nodes.select("node", "first").join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
 
 
