@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -216,10 +217,12 @@ def resolve_formulas(cells: DataFrame) -> DataFrame:
     """(workbook, sheet, row, col, number): cached numbers, else what readable formulas come to, at any depth.
 
     Chains of bare references are followed by pointer jumping (log2 n joins).
-    Averages leave out what is no number and are settled level by level.  A
-    reference back to a cell that is being resolved is no number: averages on a
-    cycle of several cells are worked out for each of them over the tree of
-    their references.
+    Averages leave out what is no number.  One that waits for a single other is
+    a map x -> a + b x, with a value of its own where x is no number; such maps
+    are composed by pointer jumping too, so a column of running averages takes
+    log2 n joins, and only averages that wait for several cells go level by
+    level.  A reference back to a cell that is being resolved is no number:
+    averages on cycles are worked out component by component (see open_values).
     """
     known = cells.select(*CELL, parse_number("value").alias("number")).filter("number IS NOT NULL")
     edges = cut(formula_edges(cells))
@@ -243,10 +246,10 @@ def resolve_formulas(cells: DataFrame) -> DataFrame:
     waiting = cut(averages.join(is_average, TO, "left").select(*CELL, "ref", "to_sheet", "to_row", "to_col", "v", F.coalesce("open", F.lit(False)).alias("open")))
     settled = None
     while not waiting.isEmpty():
-        level = waiting.groupBy(*CELL).agg(F.bool_or("open").alias("open"), F.avg("v").alias("number")).filter("NOT open").select(*CELL, "number")
-        level = cut(level)
+        level = cut(_settled_now(waiting))
         if level.isEmpty():
-            settled = (_on_cycles(waiting) if settled is None else settled.unionByName(_on_cycles(waiting)))
+            rest = _on_cycles(waiting)
+            settled = rest if settled is None else settled.unionByName(rest)
             break
         settled = level if settled is None else settled.unionByName(level)
         rest = waiting.join(level.select(*CELL), CELL, "left_anti").join(_at(level.withColumn("now", F.lit(True)), new="number", now="now"), TO, "left")
@@ -257,7 +260,166 @@ def resolve_formulas(cells: DataFrame) -> DataFrame:
     return values.unionByName(chained).filter("number IS NOT NULL")
 
 
-def _on_cycles(waiting: DataFrame) -> DataFrame:
+def _settled_now(waiting: DataFrame) -> DataFrame:
+    """(cell, number) of averages that wait for nothing, and of those that wait for them through averages that wait for one cell each."""
+    target = F.when(F.col("open"), F.struct("to_sheet", "to_row", "to_col"))
+    known = F.when(~F.col("open"), F.col("v"))
+    of = waiting.groupBy(*CELL).agg(F.sum(known).alias("s"), F.count(known).alias("c"), F.count(target).alias("m"), F.min(target).alias("t"), F.max(target).alias("u"))
+    of = cut(of)
+    done = of.filter("m = 0").select(*CELL, (F.col("s") / F.nullif("c", F.lit(0))).alias("number"))
+    n = F.col("c") + F.col("m")
+    single = of.filter("m > 0 AND t = u").select(*CELL, F.col("t.to_sheet").alias("to_sheet"), F.col("t.to_row").alias("to_row"), F.col("t.to_col").alias("to_col"), (F.coalesce("s", F.lit(0.0)) / n).alias("a"), (F.col("m") / n).alias("b"), (F.col("s") / F.nullif("c", F.lit(0))).alias("none"))
+    chained = _at(single.select(*CELL).withColumn("more", F.lit(True)), more="more")
+    jumps = cut(single.join(chained, TO, "left").select(*CELL, "to_sheet", "to_row", "to_col", "a", "b", "none", F.coalesce("more", F.lit(False)).alias("more")))
+    for _ in range(max(1, jumps.count()).bit_length() + 1):
+        if jumps.filter("more").isEmpty():
+            break
+        on = jumps.select("workbook", F.col("sheet").alias("to_sheet"), F.col("row").alias("to_row"), F.col("col").alias("to_col"), F.struct("to_sheet", "to_row", "to_col", "a", "b", "none", "more").alias("next"))
+        composed = (F.col("a") + F.col("b") * F.col("next.a")).alias("a"), (F.col("b") * F.col("next.b")).alias("b"), F.coalesce(F.col("a") + F.col("b") * F.col("next.none"), "none").alias("none")
+        moved = jumps.filter("more").join(on, TO).select(*CELL, "next.to_sheet", "next.to_row", "next.to_col", *composed, F.col("next.more").alias("more"))
+        jumps = cut(jumps.filter("NOT more").unionByName(moved))
+    # what still has more runs in a circle
+    reached = jumps.filter("NOT more").join(_at(done.withColumn("there", F.lit(True)), x="number", there="there"), TO)
+    return done.unionByName(reached.select(*CELL, F.coalesce(F.col("a") + F.col("b") * F.col("x"), "none").alias("number")))
+
+
+#: Open references of a workbook that one task works out; more are followed path by path over all tasks.
+LOCAL = 1_000_000
+#: Pairs of a cell and the cells above it that one component may need.
+STATES = 2_000_000
+
+
+def open_values(links: list[tuple]) -> dict:
+    """The value of each average of (cell, to, v, open), where references run in cycles.
+
+    Strongly connected components come one after the other, those that others
+    wait for first; a reference out of a component is a value by then.  Inside
+    one a value depends on which of its cells stand above, not in which order,
+    so it is kept by (cell, cells above).  A component in which each cell names
+    one other is a circle of maps x -> a + b x, composed from both ends.
+    """
+    known: dict = {}
+    for cell, to, v, is_open in links:
+        total, n, refs = known.get(cell, (0.0, 0, []))
+        if is_open:
+            refs.append(to)
+        elif v is not None:
+            total, n = total + v, n + 1
+        known[cell] = (total, n, refs)
+    values: dict = {}
+    for component in _components({c: [t for t in refs if t in known] for c, (_, _, refs) in known.items()}):
+        own = set(component)
+        sums = {}
+        for c in component:
+            total, n, refs = known[c]
+            outside = [values.get(t) for t in refs if t not in own]
+            sums[c] = (total + sum(x for x in outside if x is not None), n + sum(x is not None for x in outside), [t for t in refs if t in own])
+        if len(component) == 1 and not sums[component[0]][2]:
+            total, n, _ = sums[component[0]]
+            values[component[0]] = total / n if n else None
+        elif all(len(set(refs)) == 1 for _, _, refs in sums.values()):
+            values |= _circle(sums)
+        else:
+            kept: dict = {}
+            values |= {c: _below(c, frozenset([c]), sums, kept) for c in component}
+    return values
+
+
+def _below(start, above: frozenset, sums: dict, kept: dict):
+    """The value of a cell below others of its component, without recursion; a cell that stands above has none."""
+    stack = [(start, above)]
+    while stack:
+        cell, seen = stack[-1]
+        if (cell, seen) in kept:
+            stack.pop()
+            continue
+        total, n, refs = sums[cell]
+        further = [(t, seen | {t}) for t in refs if t not in seen]
+        missing = [x for x in further if x not in kept]
+        if missing:
+            stack += missing
+            continue
+        got = [x for x in map(kept.__getitem__, further) if x is not None]
+        kept[cell, seen] = (total + sum(got)) / (n + len(got)) if n + len(got) else None
+        if len(kept) > STATES:
+            raise ValueError(f"averages that name each other in more than {STATES} ways")
+        stack.pop()
+    return kept[start, above]
+
+
+def _circle(sums: dict) -> dict:
+    """Values on a circle: each cell's map after those of all others, from no number on."""
+    order = [next(iter(sums))]
+    while (after := sums[order[-1]][2][0]) != order[0]:
+        order.append(after)
+    maps = [(total / (n + len(refs)), len(refs) / (n + len(refs)), total / n if n else None) for total, n, refs in map(sums.__getitem__, order)]
+    apply = lambda f, x: f[2] if x is None else f[0] + f[1] * x
+    after = lambda f, g: (f[0] + f[1] * g[0], f[1] * g[1], apply(f, g[2]))  # noqa: E731  f after g
+    behind = [(0.0, 1.0, None)]  # behind[i]: the maps before i, the first outermost
+    for f in maps:
+        behind.append(after(behind[-1], f))
+    out, ahead = {}, (0.0, 1.0, None)
+    for i in range(len(maps) - 1, -1, -1):
+        ahead = after(maps[i], ahead)
+        out[order[i]] = apply(ahead, apply(behind[i], None))
+    return out
+
+
+def _components(graph: dict) -> list[list]:
+    """Strongly connected components, those that others lead to first."""
+    number: dict = {}
+    low: dict = {}
+    held, on, out = [], set(), []
+    for root in graph:
+        if root in number:
+            continue
+        work = [(root, iter(graph[root]))]
+        number[root] = low[root] = len(number)
+        held.append(root)
+        on.add(root)
+        while work:
+            cell, following = work[-1]
+            for t in following:
+                if t not in number:
+                    number[t] = low[t] = len(number)
+                    held.append(t)
+                    on.add(t)
+                    work.append((t, iter(graph[t])))
+                    break
+                if t in on:
+                    low[cell] = min(low[cell], number[t])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[cell])
+                if low[cell] == number[cell]:
+                    component = []
+                    while not component or component[-1] != cell:
+                        component.append(held.pop())
+                        on.discard(component[-1])
+                    out.append(component)
+    return out
+
+
+def _on_cycles(waiting: DataFrame, local: int = LOCAL) -> DataFrame:
+    """The values of averages on cycles and behind them: a workbook's open ones in one task, or path by path where they are more than `local`."""
+    sizes = cut(waiting.groupBy("workbook").count())
+    small = waiting.join(sizes.filter(F.col("count") <= local), "workbook", "left_semi")
+    kinds = {f.name: f.dataType.simpleString() for f in waiting.schema}
+
+    def worked_out(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        got = open_values([((r["sheet"], r["row"], r["col"]), (r["to_sheet"], r["to_row"], r["to_col"]), r["v"], r["open"]) for r in rows])
+        own = group.schema
+        cols = [pa.array([rows[0]["workbook"]] * len(got), own.field("workbook").type), *(pa.array([c[i] for c in got], own.field(n).type) for i, n in enumerate(CELL[1:])), pa.array(list(got.values()), pa.float64())]
+        return pa.table(cols, [*CELL, "number"])
+
+    out = small.select(*CELL, "to_sheet", "to_row", "to_col", "v", "open").groupBy("workbook").applyInArrow(worked_out, ", ".join(f"{c} {kinds[c]}" for c in CELL) + ", number double")
+    large = sizes.filter(F.col("count") > local)
+    return out if large.isEmpty() else out.unionByName(_by_paths(waiting.join(large, "workbook", "left_semi")))
+
+
+def _by_paths(waiting: DataFrame) -> DataFrame:
     """The value of each average that is left: the tree of its references, where a cell that stands above has no value, from the leaves up."""
     key = F.struct("workbook", "sheet", "row", "col")
     links = waiting.select(key.alias("cell"), "ref", F.struct("workbook", F.col("to_sheet").alias("sheet"), F.col("to_row").alias("row"), F.col("to_col").alias("col")).alias("to"), "v", "open")

@@ -492,16 +492,17 @@ def embedded_refqc(spark, sf):
 
 
 def formula_values(spark, sf):
-    """A sheet for ten customers each: numbers, chains of references, averages with repeats, chains of averages, averages of themselves."""
-    k = F.col("c_custkey")
-    li = table(spark, sf, "customer").select(F.floor(k / 10).cast("string").alias("book"), (k % 10 + 1).cast("int").alias("row"), (k % 97).cast("string").alias("a"))
+    """A sheet for the line items of 50 orders each: numbers, chains of references, averages with repeats, chains of averages, averages of themselves."""
+    by = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    li = table(spark, sf, "lineitem").withColumn("book", F.floor(F.col("l_orderkey") / 50).cast("string"))
+    li = li.select("book", F.row_number().over(qpcr.Window.partitionBy("book").orderBy(*by)).alias("row"), F.col("l_quantity").cast("int").cast("string").alias("a"))
     r, before = F.col("row").cast("string"), (F.col("row") - 1).cast("string")
     first = F.col("row") == 1
     none = F.lit(None).cast("string")
     cell = lambda col, value, formula: F.struct(F.lit(col).alias("col"), value.alias("value"), formula.alias("formula"))
     made = F.array(
         cell(1, F.col("a"), none), cell(2, none, F.when(first, F.lit("=$A$1")).otherwise(F.concat(F.lit("='My, sheet'!B"), before))),
-        cell(3, none, F.concat(F.lit("=AVERAGE(A1:A"), r, F.lit(",A"), r, F.lit(")"))), cell(4, none, F.when(first, F.lit("=AVERAGE(C1)")).otherwise(F.concat(F.lit("=average(C"), r, F.lit(", 'My, sheet'!D"), before, F.lit(")")))),
+        cell(3, none, F.concat(F.lit("=AVERAGE(A"), F.greatest(F.col("row") - 9, F.lit(1)).cast("string"), F.lit(":A"), r, F.lit(",A"), r, F.lit(")"))), cell(4, none, F.when(first, F.lit("=AVERAGE(C1)")).otherwise(F.concat(F.lit("=average(C"), r, F.lit(", 'My, sheet'!D"), before, F.lit(")")))),
         cell(5, none, F.concat(F.lit("=AVERAGE(E"), r, F.lit(",A"), r, F.lit(")"))), cell(6, none, F.concat(F.lit("=SUM(A"), r, F.lit(")"))), cell(7, none, F.concat(F.lit("=G"), r)),
     )
     cells = li.select(F.col("book").alias("workbook"), F.lit("My, sheet").alias("sheet"), F.lit(0).alias("sheet_index"), "row", F.explode(made).alias("x")).select("workbook", "sheet", "sheet_index", "row", "x.*")
@@ -720,8 +721,8 @@ SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN 'n ' || t WHEN
     "sheet_rows": rf"""WITH {GRID}, c AS (SELECT sheet, "row", col, trim(regexp_replace("value", '\s+', ' ', 'g')) AS t FROM g) SELECT sheet, "row", md5(coalesce(string_agg(t, ' ' ORDER BY col) FILTER (WHERE t <> ''), '')) AS text_md5, bool_or(lower(t) = 'the') AS has_cell FROM c GROUP BY 1, 2""",
     "embedded_summary": f"""WITH {EMBEDDED} SELECT sheet, min("row") AS "row", grp, compound, 'GAPDH' AS source, CAST(q AS VARCHAR) AS mean_rq, CAST(s AS VARCHAR) AS sem FROM r GROUP BY sheet, grp, compound, q, s""",
     "embedded_refqc": f"""WITH {EMBEDDED} SELECT sheet, grp, compound, 'GAPDH' AS gene, count(*) AS n, round(avg((q + s) / 2.0), 6) AS mean_ct FROM r GROUP BY sheet, grp, compound""",
-    "formula_values": """WITH RECURSIVE r AS (SELECT CAST(c_custkey // 10 AS VARCHAR) AS workbook, c_custkey % 10 + 1 AS i, c_custkey % 97 AS a FROM customer),
-v AS (SELECT workbook, i, a, first_value(a) OVER w AS b, (sum(a) OVER w + a) / (i + 1.0) AS c FROM r WINDOW w AS (PARTITION BY workbook ORDER BY i)),
+    "formula_values": """WITH RECURSIVE r AS (SELECT CAST(l_orderkey // 50 AS VARCHAR) AS workbook, row_number() OVER (PARTITION BY l_orderkey // 50 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS i, CAST(l_quantity AS INTEGER) AS a FROM lineitem),
+v AS (SELECT workbook, i, a, first_value(a) OVER (PARTITION BY workbook ORDER BY i) AS b, (sum(a) OVER w + a) / (least(i, 10) + 1.0) AS c FROM r WINDOW w AS (PARTITION BY workbook ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
 d AS (SELECT workbook, i, CAST(c AS DOUBLE) AS d FROM v WHERE i = 1 UNION ALL SELECT v.workbook, v.i, (v.c + d.d) / 2 FROM d JOIN v ON v.workbook = d.workbook AND v.i = d.i + 1),
 x AS (SELECT workbook, i, 1 AS col, a AS n FROM v UNION ALL SELECT workbook, i, 2, b FROM v UNION ALL SELECT workbook, i, 3, c FROM v UNION ALL SELECT workbook, i, 4, d FROM d UNION ALL SELECT workbook, i, 5, a FROM v)
 SELECT workbook, CAST(i AS INTEGER) AS "row", col, round(CAST(n AS DOUBLE), 6) AS number FROM x""",

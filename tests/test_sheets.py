@@ -162,3 +162,56 @@ def test_timepoints_and_doses(spark):
     dose = spark.createDataFrame([("2",), ("2 MPK",), (None,)], "d string").select(textcells.format_dose("d", textcells.dose_unit(F.lit("Dose (mpk)"))))
     assert [r[0] for r in dose.collect()] == ["2 mpk", "2 MPK", " mpk"]
     assert series.is_wide_time_table(["Dose (mpk)", "Compound", "Time-D8"]) and not series.is_wide_time_table(["Group", "Time-D8"])
+
+
+def by_paths(links):
+    """Averages followed path by path, as a person would."""
+    refs: dict = {}
+    for cell, to, v, is_open in links:
+        refs.setdefault(cell, []).append((to, v, is_open))
+
+    def value(cell, above):
+        got = [(None if to in above else value(to, above | {to})) if is_open and to in refs else v for to, v, is_open in refs[cell]]
+        got = [x for x in got if x is not None]
+        return sum(got) / len(got) if got else None
+
+    return {c: value(c, frozenset([c])) for c in refs}
+
+
+def test_open_values_against_paths():
+    import random
+
+    rng = random.Random(5)
+    for n in range(1, 9):
+        for _ in range(60):
+            links = []
+            for c in range(n):
+                links += [((c,), ("k", i), rng.choice([None, float(rng.randint(1, 9))]), False) for i in range(rng.randint(0, 2))]
+                links += [((c,), (t,), None, True) for t in (rng.choices(range(n), k=rng.choice([1, 1, 1, 2, 3])) if rng.random() < 0.8 else ()) if t != c]
+            got, expected = sheets.open_values(links), by_paths(links)
+            assert got.keys() == expected.keys()
+            for c in got:
+                assert (got[c] is None) == (expected[c] is None) and (got[c] is None or abs(got[c] - expected[c]) < 1e-9), (links, c)
+    every = [((a,), (b,), None, True) for a in range(8) for b in range(8) if a != b] + [((a,), ("k",), float(a), False) for a in range(8)]
+    assert all(abs(v - by_paths(every)[c]) < 1e-9 for c, v in sheets.open_values(every).items())
+    long = [((i,), ((i + 1) % 5000,), None, True) for i in range(5000)] + [((7,), ("k",), 3.0, False)]
+    assert set(sheets.open_values(long).values()) == {3.0}
+
+
+def test_chain_of_averages_takes_few_rounds(spark, monkeypatch):
+    rounds, real = [], sheets.cut
+    monkeypatch.setattr(sheets, "cut", lambda df: (rounds.append(1), real(df))[1])
+    n = 500
+    cells = [("w", "s", 0, 1, 1, "4", None)] + [("w", "s", 0, r, 1, str(r % 7), None) for r in range(2, n + 1)] + [("w", "s", 0, 1, 2, None, "=AVERAGE(A1)")] + [("w", "s", 0, r, 2, None, f"=AVERAGE(A{r},B{r - 1})") for r in range(2, n + 1)]
+    got = {r["row"]: r["number"] for r in sheets.resolve_formulas(spark.createDataFrame(cells, readers.CELLS)).filter("col = 2").collect()}
+    expected = {1: 4.0}
+    for r in range(2, n + 1):
+        expected[r] = (r % 7 + expected[r - 1]) / 2
+    assert got.keys() == expected.keys() and all(abs(got[r] - v) < 1e-9 for r, v in expected.items()) and len(rounds) < 20
+    f = {(r, 1): f"=AVERAGE(A{r % 4 + 1},B1)" for r in range(1, 5)} | {(5, 1): "=AVERAGE(A1,A2)"}
+    small = grid(spark, [[None, "6"]] + [[None, None]] * 4, formulas=f)
+    both = []
+    for local in (sheets.LOCAL, 0):  # one task, and path by path
+        monkeypatch.setattr(sheets._on_cycles, "__defaults__", (local,))
+        both.append({(r["row"], r["col"]): round(r["number"], 9) for r in sheets.resolve_formulas(small).collect()})
+    assert both[0] == both[1] and len(both[0]) == 6
