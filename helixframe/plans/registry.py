@@ -492,7 +492,7 @@ def embedded_refqc(spark, sf):
 
 
 def formula_values(spark, sf):
-    """A sheet for the line items of 50 orders each: numbers, chains of references, averages with repeats, chains of averages, averages of themselves."""
+    """A sheet for the line items of 50 orders each: numbers, chains of references, averages with repeats, chains of averages, averages of themselves; halves of the last digit are rounded up on both sides."""
     by = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
     li = table(spark, sf, "lineitem").withColumn("book", F.floor(F.col("l_orderkey") / 50).cast("string"))
     li = li.select("book", F.row_number().over(qpcr.Window.partitionBy("book").orderBy(*by)).alias("row"), F.col("l_quantity").cast("int").cast("string").alias("a"))
@@ -506,7 +506,7 @@ def formula_values(spark, sf):
         cell(5, none, F.concat(F.lit("=AVERAGE(E"), r, F.lit(",A"), r, F.lit(")"))), cell(6, none, F.concat(F.lit("=SUM(A"), r, F.lit(")"))), cell(7, none, F.concat(F.lit("=G"), r)),
     )
     cells = li.select(F.col("book").alias("workbook"), F.lit("My, sheet").alias("sheet"), F.lit(0).alias("sheet_index"), "row", F.explode(made).alias("x")).select("workbook", "sheet", "sheet_index", "row", "x.*")
-    return sheets.resolve_formulas(cells).select("workbook", "row", "col", F.round("number", 6).alias("number"))
+    return sheets.resolve_formulas(cells).select("workbook", "row", "col", F.round(F.col("number") + 1e-9, 6).alias("number"))
 
 
 def accession_scan(spark, sf):
@@ -725,7 +725,7 @@ SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN 'n ' || t WHEN
 v AS (SELECT workbook, i, a, first_value(a) OVER (PARTITION BY workbook ORDER BY i) AS b, (sum(a) OVER w + a) / (least(i, 10) + 1.0) AS c FROM r WINDOW w AS (PARTITION BY workbook ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
 d AS (SELECT workbook, i, CAST(c AS DOUBLE) AS d FROM v WHERE i = 1 UNION ALL SELECT v.workbook, v.i, (v.c + d.d) / 2 FROM d JOIN v ON v.workbook = d.workbook AND v.i = d.i + 1),
 x AS (SELECT workbook, i, 1 AS col, a AS n FROM v UNION ALL SELECT workbook, i, 2, b FROM v UNION ALL SELECT workbook, i, 3, c FROM v UNION ALL SELECT workbook, i, 4, d FROM d UNION ALL SELECT workbook, i, 5, a FROM v)
-SELECT workbook, CAST(i AS INTEGER) AS "row", col, round(CAST(n AS DOUBLE), 6) AS number FROM x""",
+SELECT workbook, CAST(i AS INTEGER) AS "row", col, round(CAST(n AS DOUBLE) + 1e-9, 6) AS number FROM x""",
     "accession_scan": f"WITH {SEVENS} SELECT 'd' || doc_id AS antisense_name, CAST(doc_id AS VARCHAR) AS transcript_name, i AS transcript_start, hamming(target, win) AS mismatches FROM w WHERE hamming(target, win) <= 3",
     "numbered_matches": f"WITH {MATCHES} SELECT row_number() OVER (ORDER BY input_order, mm, accession, start) AS position, input_order, accession AS transcript_name, start AS transcript_start FROM m WHERE mm <= 2",
     "duplicate_flags": f"""WITH d AS (SELECT doc_id, {NT.format('text')} AS s FROM documents)
