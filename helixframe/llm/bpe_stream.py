@@ -44,7 +44,8 @@ CUT = re.compile(rf"[^{WS}][{WS}]")
 KINDS = [regex.compile(p) for p in (r"\p{L}+", r"\p{N}+", rf"[^{WS}\p{{L}}\p{{N}}]+", f"[{WS}]+")]
 #: Code points, and ids, handed over at once; ordinary documents have several.
 SLICE = 1024
-MEMO = 600_000
+#: Items in each table of words, and states of the transducer, that a worker keeps; its memory is about 300 MB at most.
+MEMO, STATES = 200_000, 180_000
 #: Rows in a batch of results.
 ROWS = 1000
 #: Code points kept back so that no decision of the pattern needs more.
@@ -75,7 +76,7 @@ class BpeStream:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.lookahead = sufficient_lookahead(pairs)
-        self.fst = Transducer(ids, lambda a, b: ranks.get((a, b), NEVER), lambda tokens: tuple(ids[t] for t in tokens), lookahead=self.lookahead)
+        self.fst = Transducer(ids, lambda a, b: ranks.get((a, b), NEVER), lambda tokens: tuple(ids[t] for t in tokens), STATES, self.lookahead)
         self.bytes_of = {i: t.encode("latin-1") for t, i in ids.items()} | {i: t.encode() for t, i in self.special.items()}
         self.items, self.spaced = _Items(self, ""), _Items(self, " ")
 
