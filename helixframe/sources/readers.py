@@ -5,9 +5,13 @@ from __future__ import annotations
 import re
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
+from collections.abc import Iterator
+from datetime import datetime, timedelta
 from io import BytesIO
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -232,38 +236,162 @@ def read_summary(df: DataFrame, required: list[str], numeric: list[str]) -> Data
     return df.withColumns({c: F.col(c).try_cast("double") for c in numeric}).na.drop(subset=numeric)
 
 
-def _workbook(path: str, data: bytes):
-    """Cells and merges of one xlsx or xlsm file, with the standard library."""
-    ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+#: The format numbers that show days or times, and those of a span of time.
+DATE_FORMATS, SPAN_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}, {46}
+#: In a formula: a text, a quoted sheet name, a cell, whole columns, whole rows.
+FORMULA_PART = re.compile(r"""("(?:[^"]|"")*")|('(?:[^']|'')*')|(?<![\w.$!?\\])(?<!\$)((?:\$?[A-Za-z]{1,3}\$?[1-9][0-9]{0,6})(?![\w.(!])|(?:\$?[A-Za-z]{1,3}:\$?[A-Za-z]{1,3})(?![\w.(!])|(?:\$?[1-9][0-9]{0,6}:\$?[1-9][0-9]{0,6})(?![\w.(!]))|(?<=!)((?:\$?[A-Za-z]{1,3}\$?[1-9][0-9]{0,6})(?![\w.(!])|(?:\$?[A-Za-z]{1,3}:\$?[A-Za-z]{1,3})(?![\w.(!])|(?:\$?[1-9][0-9]{0,6}:\$?[1-9][0-9]{0,6})(?![\w.(!]))""")
+PLACE = re.compile(r"(\$?)([A-Za-z]{1,3})?(\$?)([0-9]+)?")
+#: Cells in a batch, and bytes of a sheet that are parsed at once.
+BATCH, CHUNK = 20_000, 1 << 16
+SPREADSHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+CELL_TYPE = pa.struct([("workbook", pa.string()), ("sheet", pa.string()), ("sheet_index", pa.int32()), ("row", pa.int32()), ("col", pa.int32()), ("value", pa.string()), ("formula", pa.string())])
+MERGE_TYPE = pa.struct([("workbook", pa.string()), ("sheet", pa.string()), *((n, pa.int32()) for n in ("min_row", "min_col", "max_row", "max_col"))])
+
+
+def column_number(letters: str) -> int:
+    n = 0
+    for c in letters.upper():
+        n = n * 26 + ord(c) - 64
+    return n
+
+
+def column_letters(n: int) -> str:
+    out = ""
+    while n:
+        n, r = divmod(n - 1, 26)
+        out = chr(65 + r) + out
+    return out
+
+
+def shifted(formula: str, rows: int, cols: int) -> str:
+    """A formula as it reads so many rows and columns further: relative references move, those with $ stay, texts and names stay."""
+
+    def one(ref: str) -> str:
+        fixed_col, letters, fixed_row, digits = PLACE.fullmatch(ref).groups()
+        if letters and not digits:
+            fixed_row = ""
+        if digits and not letters:  # a row alone: its $ was read as the column's
+            fixed_col, fixed_row = "", fixed_col or fixed_row
+        col = column_number(letters) + (0 if fixed_col else cols) if letters else None
+        row = int(digits) + (0 if fixed_row else rows) if digits else None
+        if col is not None and not 1 <= col <= 16384 or row is not None and not 1 <= row <= 1048576:
+            return "#REF!"
+        return (fixed_col + column_letters(col) if col else "") + (fixed_row + str(row) if row else "")
+
+    def moved(m: re.Match) -> str:
+        ref = m[3] or m[4]
+        return ":".join(map(one, ref.split(":"))) if ref else m[0]
+
+    return FORMULA_PART.sub(moved, formula)
+
+
+def shows_date(code: str) -> str | None:
+    """What a format code shows: "date", "span" (hours over a day), or None."""
+    if re.search(r"\[(h+|m+|s+)\]", code, re.I):
+        return "span"
+    bare = re.sub(r'"[^"]*"|\\.|_.|\*.|\[[^\]]*\]', "", code.split(";")[0])
+    return "date" if re.search("[dmyhs]", bare, re.I) and not re.search("[#0?]", bare.replace(".0", "").replace(".00", "")) else None
+
+
+def serial_text(number: float, kind: str, epoch1904: bool = False) -> str:
+    """A serial number as the text of its day and time, of its time of day (under one day), or of a span."""
+    if kind == "span":
+        return str(timedelta(milliseconds=round(number * 86_400_000)))
+    day, part = divmod(number, 1)
+    rest = timedelta(milliseconds=round(part * 86_400_000))
+    if 0 <= number < 1 and not rest.days:
+        return str((datetime.min + rest).time())
+    if not epoch1904 and 0 < number < 60:  # the day that 1900 didn't have comes later
+        day += 1
+    return str((datetime(1904, 1, 1) if epoch1904 else datetime(1899, 12, 30)) + timedelta(days=day) + rest)
+
+
+def plain_string(item: ET.Element) -> str:
+    """The text of a string item; runs that show how it is read aloud are no part of it."""
+    return "".join(t.text or "" for part in item if part.tag in (f"{SPREADSHEET}t", f"{SPREADSHEET}r") for t in part.iter(f"{SPREADSHEET}t"))
+
+
+def _date_styles(styles: bytes | None) -> list[str | None]:
+    """For each cell style what its number format shows."""
+    if not styles:
+        return []
+    root = ET.fromstring(styles)
+    own = {int(f.get("numFmtId")): shows_date(f.get("formatCode") or "") for f in root.iter(f"{SPREADSHEET}numFmt")}
+    kinds = lambda n: own[n] if n in own else "date" if n in DATE_FORMATS else "span" if n in SPAN_FORMATS else None
+    xfs = root.find(f"{SPREADSHEET}cellXfs")
+    return [] if xfs is None else [kinds(int(x.get("numFmtId") or 0)) for x in xfs]
+
+
+def _sheet_parts(path: str, data: bytes):
+    """(index, name, deflated sheet, shared strings, styles, 1904) of each sheet of an xlsx or xlsm file."""
     rel = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+    with zipfile.ZipFile(BytesIO(data)) as z:
+        names = set(z.namelist())
+        part = lambda name: z.read(name) if name in names else None
+        targets = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        book = ET.fromstring(z.read("xl/workbook.xml"))
+        properties = book.find(f"{SPREADSHEET}workbookPr")
+        epoch1904 = properties is not None and properties.get("date1904") in ("1", "true")
+        strings, styles = part("xl/sharedStrings.xml"), part("xl/styles.xml")
+        packed = zlib.compress(strings, 1) if strings else None
+        for index, s in enumerate(book.find(f"{SPREADSHEET}sheets")):
+            target = targets[s.get(rel)].lstrip("/")
+            info = z.getinfo(target if target.startswith("xl/") else f"xl/{target}")
+            size = int.from_bytes(data[info.header_offset + 26 : info.header_offset + 28], "little") + int.from_bytes(data[info.header_offset + 28 : info.header_offset + 30], "little")
+            start = info.header_offset + 30 + size
+            raw = data[start : start + info.compress_size] if info.compress_type == zipfile.ZIP_DEFLATED else zlib.compress(z.read(info), 1)[2:-4]
+            yield index, s.get("name"), raw, packed, styles, epoch1904
+
+
+def sheet_cells(path: str, name: str, index: int, raw: bytes, strings: bytes | None, styles: bytes | None, epoch1904: bool):
+    """("cell" or "merge", record) of one sheet, read forward: no more of it than a row is held."""
+    shared = [plain_string(si) for si in ET.fromstring(zlib.decompress(strings)).findall(f"{SPREADSHEET}si")] if strings else []
+    dates, masters = _date_styles(styles), {}
     at = re.compile(r"([A-Z]+)(\d+)")
 
     def place(ref: str) -> tuple[int, int]:
         letters, row = at.match(ref).groups()
-        n = 0
-        for c in letters:
-            n = n * 26 + ord(c) - 64
-        return int(row), n
-
-    with zipfile.ZipFile(BytesIO(data)) as z:
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in si.iter(f"{{{ns['m']}}}t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", ns)]
-        targets = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        for index, s in enumerate(ET.fromstring(z.read("xl/workbook.xml")).find("m:sheets", ns)):
-            target = targets[s.get(rel)].lstrip("/")
-            root = ET.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}"))
-            for c in root.iter(f"{{{ns['m']}}}c"):
-                v, f, inline = c.find("m:v", ns), c.find("m:f", ns), c.find("m:is", ns)
-                value = None if v is None else v.text
-                if c.get("t") == "s" and value is not None:
-                    value = shared[int(value)]
-                elif inline is not None:
-                    value = "".join(t.text or "" for t in inline.iter(f"{{{ns['m']}}}t"))
-                yield "cell", (path, s.get("name"), index, *place(c.get("r")), value, None if f is None or not f.text else "=" + f.text)
-            for m in root.iter(f"{{{ns['m']}}}mergeCell"):
-                a, _, b = m.get("ref").partition(":")
-                yield "merge", (path, s.get("name"), *place(a), *place(b or a))
+        return int(row), column_number(letters)
+
+    def cell(c: ET.Element):
+        row, col = place(c.get("r"))
+        v, f, inline = c.find(f"{SPREADSHEET}v"), c.find(f"{SPREADSHEET}f"), c.find(f"{SPREADSHEET}is")
+        value, kind = None if v is None else v.text, c.get("t")
+        if kind == "s" and value is not None:
+            value = shared[int(value)]
+        elif inline is not None:
+            value = plain_string(inline)
+        elif kind == "d" and value is not None:
+            value = str(datetime.fromisoformat(value))
+        elif kind in (None, "n") and value is not None:
+            style = int(c.get("s") or 0)
+            shown = dates[style] if style < len(dates) else None
+            value = serial_text(float(value), shown, epoch1904) if shown else value
+        formula = None if f is None or not f.text else f.text
+        if f is not None and f.get("t") == "shared":
+            if formula:
+                masters[f.get("si")] = (row, col, formula)
+            elif f.get("si") in masters:
+                first_row, first_col, text = masters[f.get("si")]
+                formula = shifted(text, row - first_row, col - first_col)
+        return "cell", (path, name, index, row, col, value, None if formula is None else "=" + formula)
+
+    undo, parser, data = zlib.decompressobj(-15), ET.XMLPullParser(("start", "end")), None
+    for i in range(0, len(raw), CHUNK):
+        rest = raw[i : i + CHUNK]
+        while rest:
+            parser.feed(undo.decompress(rest, CHUNK))
+            rest = undo.unconsumed_tail
+            for event, e in parser.read_events():
+                if event == "start":
+                    data = e if e.tag == f"{SPREADSHEET}sheetData" else data
+                elif e.tag == f"{SPREADSHEET}c":
+                    yield cell(e)
+                elif e.tag == f"{SPREADSHEET}row":
+                    data.clear()
+                elif e.tag == f"{SPREADSHEET}mergeCell":
+                    a, _, b = e.get("ref").partition(":")
+                    yield "merge", (path, name, *place(a), *place(b or a))
 
 
 def read_workbooks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -272,16 +400,31 @@ def read_workbooks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
 
 def decode_workbooks(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cells, merges) of workbook files (path, content), a task a few files; each file is decoded once."""
-    files = files.select("path", "content")
-    names = lambda ddl: [x.split()[0] for x in ddl.split(", ")]
-    both = {"cell": names(CELLS), "merge": names(MERGES)}
-
-    def decoded(frames):
-        for pdf in frames:
-            for at, data in zip(pdf["path"], pdf["content"]):
-                rows = [(k, dict(zip(both[k], r)) if k == "cell" else None, dict(zip(both[k], r)) if k == "merge" else None) for k, r in _workbook(at, data)]
-                yield pd.DataFrame(rows, columns=["kind", "cell", "merge"])
-
-    kept = cut(files.mapInPandas(decoded, f"kind string, cell struct<{CELLS.replace(' ', ': ').replace(',: ', ', ')}>, merge struct<{MERGES.replace(' ', ': ').replace(',: ', ', ')}>"))
+    """(cells, merges) of workbook files (path, content).
+
+    Each sheet is a unit of its own: its part of the file, still deflated, is
+    dealt out with the strings and styles it refers to, and parsed forward into
+    batches.  Filled-down formulas are written out, days and times are texts as
+    a sheet shows them (yyyy-mm-dd hh:mm:ss).
+    """
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1)):
+                parts = list(_sheet_parts(path, content.as_buffer().to_pybytes()))
+                cols = [pa.array([p[i] for p in parts], t) for i, t in enumerate((pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(parts), pa.string()), *cols], ["path", "index", "name", "raw", "strings", "styles", "epoch1904"])
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                path, index, name, raw, strings, styles, epoch1904 = (c[r].as_py() for c in b.columns)
+                found = sheet_cells(path, name, index, raw, strings, styles, epoch1904)
+                while held := list(islice(found, BATCH)):
+                    record = lambda kind, type_: pa.array([dict(zip((f.name for f in type_), x)) if k == kind else None for k, x in held], type_)  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in held]), record("cell", CELL_TYPE), record("merge", MERGE_TYPE)], ["kind", "cell", "merge"])
+
+    sheets = files.select("path", "content").mapInArrow(split, "path string, index int, name string, raw binary, strings binary, styles binary, epoch1904 boolean")
+    dealt = sheets.repartition("path", "index")
+    kept = cut(dealt.mapInArrow(decoded, f"kind string, cell struct<{CELLS.replace(' ', ': ').replace(',: ', ', ')}>, merge struct<{MERGES.replace(' ', ': ').replace(',: ', ', ')}>"))
     return kept.filter("kind = 'cell'").select("cell.*"), kept.filter("kind = 'merge'").select("merge.*")

@@ -215,3 +215,59 @@ def test_chain_of_averages_takes_few_rounds(spark, monkeypatch):
         monkeypatch.setattr(sheets._on_cycles, "__defaults__", (local,))
         both.append({(r["row"], r["col"]): round(r["number"], 9) for r in sheets.resolve_formulas(small).collect()})
     assert both[0] == both[1] and len(both[0]) == 6
+
+
+def test_shifted_formulas():
+    f = readers.shifted
+    assert f("A1+$A1+A$1+$A$1", 2, 3) == "D3+$A3+D$1+$A$1" and f('IF(B2="A1",LOG10(C3),Sheet1!D4)', 1, 1) == 'IF(C3="A1",LOG10(D4),Sheet1!E5)'
+    assert f("SUM('A1 it''s'!A1:B2,AB1!C3,name.A1,A1x)", 1, 0) == "SUM('A1 it''s'!A2:B3,AB1!C4,name.A1,A1x)"
+    assert f("SUM(A:B)+SUM($A:C)+SUM(2:3)+SUM($2:3)", 1, 1) == "SUM(B:C)+SUM($A:D)+SUM(3:4)+SUM($2:4)"
+    assert f("A1", -1, 0) == "#REF!" and f("Z9", 0, 1) == "AA9" and f("average(b1:b3)", 0, 1) == "average(C1:C3)"
+
+
+def book(path, sheets_xml, strings="", styles="", props=""):
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        names = "".join(f'<sheet name="S{i}" r:id="rId{i}"/>' for i in range(len(sheets_xml)))
+        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships">{props}<sheets>{names}</sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="x">' + "".join(f'<Relationship Id="rId{i}" Target="/xl/worksheets/s{i}.xml"/>' for i in range(len(sheets_xml))) + "</Relationships>")
+        if strings:
+            z.writestr("xl/sharedStrings.xml", f"<sst {ns}>{strings}</sst>")
+        if styles:
+            z.writestr("xl/styles.xml", f"<styleSheet {ns}>{styles}</styleSheet>")
+        for i, x in enumerate(sheets_xml):
+            z.writestr(f"xl/worksheets/s{i}.xml", f"<worksheet {ns}>{x}</worksheet>")
+
+
+def test_shared_formulas_and_dates(spark, tmp_path):
+    styles = '<numFmts><numFmt numFmtId="164" formatCode="yyyy\\-mm\\-dd"/><numFmt numFmtId="165" formatCode="0.00&quot; days&quot;"/><numFmt numFmtId="166" formatCode="[h]:mm:ss"/><numFmt numFmtId="167" formatCode="[Red]#,##0"/></numFmts>'
+    styles += "<cellXfs>" + "".join(f'<xf numFmtId="{n}"/>' for n in (0, 14, 164, 165, 166, 21, 167, 46)) + "</cellXfs>"
+    strings = "<si><t>漢字</t><rPh sb='0' eb='2'><t>かんじ</t></rPh></si><si><r><t>two </t></r><r><t>runs</t></r></si>"
+    one = '<sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c><c r="C1" s="1"><v>45296</v></c><c r="D1" s="2"><v>45296.75</v></c><c r="E1" s="3"><v>45296</v></c><c r="F1" s="4"><v>1.5</v></c><c r="G1" s="5"><v>0.5</v></c><c r="H1" s="6"><v>7</v></c><c r="I1" t="d"><v>2024-01-05T10:00:00</v></c><c r="J1" s="1"><v>59</v></c></row>'
+    one += '<row r="2"><c r="A2"><v>1</v></c><c r="B2"><f t="shared" ref="B2:B4" si="0">AVERAGE(A2,$A$2)</f></c></row><row r="3"><c r="A3"><v>3</v></c><c r="B3"><f t="shared" si="0"/></c></row><row r="4"><c r="A4"><v>5</v></c><c r="B4"><f t="shared" si="0"/><v>9</v></c></row></sheetData><mergeCells><mergeCell ref="A1:B2"/></mergeCells>'
+    book(tmp_path / "b.xlsx", [one, '<sheetData><row r="1"><c r="A1"><v>2</v></c></row></sheetData>'], strings, styles)
+    book(tmp_path / "m.xlsm", ['<sheetData><row r="1"><c r="A1" s="1"><v>1</v></c></row></sheetData>'], "", styles, '<workbookPr date1904="1"/>')
+    cells, merges = readers.read_workbooks(spark, str(tmp_path))
+    got = {(r["workbook"].rsplit("/", 1)[-1], r["sheet"], r["row"], r["col"]): (r["value"], r["formula"]) for r in cells.collect()}
+    first = {c: got["b.xlsx", "S0", 1, c][0] for c in range(1, 11)}
+    assert first == {1: "漢字", 2: "two runs", 3: "2024-01-05 00:00:00", 4: "2024-01-05 18:00:00", 5: "45296", 6: "1 day, 12:00:00", 7: "12:00:00", 8: "7", 9: "2024-01-05 10:00:00", 10: "1900-02-28 00:00:00"}
+    assert [got["b.xlsx", "S0", r, 2] for r in (2, 3, 4)] == [(None, "=AVERAGE(A2,$A$2)"), (None, "=AVERAGE(A3,$A$2)"), ("9", "=AVERAGE(A4,$A$2)")]
+    assert got["m.xlsm", "S0", 1, 1] == ("1904-01-02 00:00:00", None) and got["b.xlsx", "S1", 1, 1] == ("2", None) and merges.count() == 1
+    numbers = {(r["row"], r["col"]): r["number"] for r in sheets.resolve_formulas(cells.filter("sheet = 'S0' AND workbook LIKE '%b.xlsx'")).collect()}
+    assert (numbers[2, 2], numbers[3, 2], numbers[4, 2]) == (1.0, 2.0, 9.0)
+
+
+def test_a_million_cells_in_bounded_memory():
+    import tracemalloc
+    import zlib
+
+    press = zlib.compressobj(1, zlib.DEFLATED, -15)
+    raw = [press.compress(b'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>')]
+    for r in range(1, 10_001):
+        raw.append(press.compress(("<row>" + "".join(f'<c r="{readers.column_letters(c)}{r}"><v>{r}.{c}</v></c>' for c in range(1, 101)) + "</row>").encode()))
+    raw = b"".join([*raw, press.compress(b"</sheetData></worksheet>"), press.flush()])
+    tracemalloc.start()
+    n = sum(1 for _ in readers.sheet_cells("w", "s", 0, raw, None, None, False))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 1_000_000 and peak < 5_000_000
