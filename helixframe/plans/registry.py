@@ -403,7 +403,7 @@ def summary_saved(spark, sf):
     """A summary saved as a sheet and beside it, read again with its numbers checked."""
     book, out = _path(spark, "book"), _path(spark, "summary") + ".csv"
     sinks.save_summary(_summary(spark, sf), book, "w", "a/b", output=out)
-    sheet = readers.read_summary(spark.read.parquet(book), ["Group", "compound", "gene", "mean", "sem"], ["mean", "sem"])
+    sheet = readers.read_summary(sinks.read_store(spark, book), ["Group", "compound", "gene", "mean", "sem"], ["mean", "sem"])
     file = readers.read_summary(readers.read_table(spark, out), ["Group", "compound", "gene"], ["mean", "sem"])
     both = sheet.select("sheet", "Group", "compound", "gene", "mean", "sem").unionByName(file.select(F.lit("file").alias("sheet"), "Group", "compound", "gene", "mean", "sem"))
     return both.select("sheet", F.col("Group").alias("grp"), "compound", "gene", "mean", "sem")
@@ -415,9 +415,9 @@ def sheet_store(spark, sf):
     for sheet, data in (("a:1", rows), ("b", rows), ("a:1", table(spark, sf, "supplier").select(F.col("s_suppkey").alias("n_nationkey"), F.col("s_name").alias("n_name")))):
         sinks.replace_sheet(data, book, "w", sheet)
     flat = _path(spark, "flat")
-    spark.read.parquet(book).select("sheet", "n_nationkey", "n_name").write.parquet(flat)
+    sinks.read_store(spark, book).select("sheet", "n_nationkey", "n_name").write.parquet(flat)
     sinks.update_in_place(spark.read.parquet(flat).withColumn("n_name", F.upper("n_name")), flat)
-    return spark.read.parquet(flat)
+    return sinks.read_store(spark, flat)
 
 
 def batch_log(spark, sf):
@@ -426,9 +426,9 @@ def batch_log(spark, sf):
     hit = answers.select(seq.service_field("text", "RID").alias("hit"), seq.service_field("text", "RTOE").alias("wait"), "o_orderkey")
     batches = {"one": hit.filter("o_orderkey % 2 = 0"), "two": hit.filter("o_orderkey % 2 = 1")}
     path = _path(spark, "log")
-    for rid in batches:
-        sinks.append_log(sinks.combine_hits({rid: batches[rid]}), path)
-    return spark.read.parquet(path).select("rid", "hit", "wait")
+    for rid in (*batches, "one"):  # the last one is there already
+        sinks.append_log(sinks.combine_hits({rid: batches[rid]}), path, "run", rid)
+    return sinks.read_store(spark, path).select("rid", "hit", "wait")
 
 
 def result_set(spark, sf):

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from helixframe.functions.seq import normalize_dna, safe_identifier
 from helixframe.functions.textcells import clean_text, safe_sheet_name
@@ -25,10 +29,94 @@ def write_table(df: DataFrame, path: str) -> None:
         df.write.mode("overwrite").parquet(path)
 
 
+class Store:
+    """A table of named parts that is replaced as a whole: data folders that never change, and numbered manifests.
+
+    A manifest says which folder each part's rows are in, and their schema.  A new one appears
+    under the next number by a rename that fails where the number is taken, so
+    it is there as a whole or not at all, and of two writers the later one
+    starts again from the other's.  Readers take the highest number; whatever a
+    writer leaves behind that stops before its rename is never read.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.jvm = spark._jvm.org.apache.hadoop.fs
+        self.files = self.jvm.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self.jvm.Path(f"{self.path}/{name}")
+
+    def manifest(self) -> tuple[int, dict[str, list[str]]]:
+        """The current number and manifest; 0 and nothing where there is none."""
+        folder = self._at("_manifests")
+        names = [f.getPath().getName() for f in self.files.listStatus(folder)] if self.files.exists(folder) else []
+        numbers = [int(n) for n in names if n.isdigit()]
+        if not numbers:
+            return 0, {}
+        text = "".join(r[0] for r in self.spark.read.text(f"{self.path}/_manifests/{max(numbers):012d}").collect())  # a line
+        return max(numbers), json.loads(text)
+
+    def _publish(self, number: int, manifest: dict[str, list[str]]) -> bool:
+        """Whether the manifest got the number."""
+        draft, place = self._at(f"_manifests/draft-{uuid.uuid4().hex}"), self._at(f"_manifests/{number:012d}")
+        out = self.files.create(draft, False)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        context = self.jvm.FileContext.getFileContext(self.files.getUri(), self.spark._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(getattr(self.jvm, "Options$Rename"), 0)
+        try:
+            context.rename(self.files.makeQualified(draft), self.files.makeQualified(place), options)
+        except Py4JJavaError as e:
+            self.files.delete(draft, False)
+            if "AlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        return True
+
+    def put(self, part: str, df: DataFrame, once: bool = False) -> bool:
+        """Replace or add a part; once: leave one that is there alone.  Whether the rows count."""
+        if once and part in self.manifest()[1]:
+            return False
+        folder = f"_data/{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{folder}")
+        while True:
+            number, now = self.manifest()
+            if once and part in now:
+                return False
+            if self._publish(number + 1, {**now, part: [folder, df.schema.json()]}):
+                return True
+
+    def read(self) -> DataFrame:
+        """All parts' rows; a folder that was never put into is read as a plain table."""
+        number, now = self.manifest()
+        if not number:
+            return self.spark.read.parquet(self.path)
+        alike: dict[str, list[str]] = {}
+        for folder, schema in now.values():
+            alike.setdefault(schema, []).append(f"{self.path}/{folder}")
+        tables = [self.spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(*folders) for schema, folders in alike.items()]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+    def clean(self) -> None:
+        """Drop manifests and folders that the current one doesn't name; no reader or writer may be at work."""
+        number, now = self.manifest()
+        for folder, kept in (("_data", {f.split("/")[1] for f, _ in now.values()}), ("_manifests", {f"{number:012d}"})):
+            for f in self.files.listStatus(self._at(folder)) if self.files.exists(self._at(folder)) else ():
+                if f.getPath().getName() not in kept:
+                    self.files.delete(f.getPath(), True)
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    return Store(spark, path).read()
+
+
 def replace_sheet(df: DataFrame, path: str, workbook: str, sheet: str | Column) -> None:
-    """Append or replace one sheet of one workbook; other partitions stay."""
-    rows = df.withColumn("workbook", F.lit(workbook)).withColumn("sheet", sheet if isinstance(sheet, Column) else safe_sheet_name(F.lit(sheet)))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("workbook", "sheet").parquet(path)
+    """Append or replace one sheet of one workbook in a store; other sheets stay, and readers see the old or the new one."""
+    name = (sheet if isinstance(sheet, Column) else safe_sheet_name(F.lit(sheet))).alias("sheet")
+    sheet = df.sparkSession.range(1).select(name).first()[0]
+    rows = df.withColumn("workbook", F.lit(workbook)).withColumn("sheet", F.lit(sheet))
+    Store(df.sparkSession, path).put(json.dumps([workbook, sheet]), rows)
 
 
 def save_beside(df: DataFrame, path: str) -> str:
@@ -39,14 +127,8 @@ def save_beside(df: DataFrame, path: str) -> str:
 
 
 def update_in_place(df: DataFrame, path: str) -> None:
-    """Write df, which may come from path, beside it, then put it in its place; the old files go last."""
-    spark = df.sparkSession
-    new, old = save_beside(df, path), f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    at = spark._jvm.org.apache.hadoop.fs.Path
-    files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if files.exists(at(path)) and not files.rename(at(path), at(old)) or not files.rename(at(new), at(path)):
-        raise OSError(f"could not swap {new} and {path}")
-    files.delete(at(old), True)
+    """df, which may come from path, as what read_store(path) gives from now on."""
+    Store(df.sparkSession, path).put("table", df)
 
 
 def default_sheet_name(kind: str, source: str) -> Column:
@@ -89,8 +171,10 @@ def write_result_set(tables: dict[str, DataFrame], path: str) -> None:
             tables[name].write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def append_log(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+def append_log(df: DataFrame, path: str, run: str | None = None, batch: str | None = None) -> bool:
+    """Add a batch's rows to a store; a batch of a run that is there already isn't added again.  Whether it was added."""
+    part = json.dumps([run, batch]) if batch is not None else uuid.uuid4().hex
+    return Store(df.sparkSession, path).put(part, df, once=True)
 
 
 def fasta_text(name, seq, width: int = 80) -> Column:

@@ -103,12 +103,15 @@ def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "x")], "a int, b string")
     for sheet, n in (("s:1", 1), ("s2", 2), ("s:1", 3)):
         sinks.replace_sheet(df.withColumn("a", F.lit(n)), str(tmp_path / "book"), "w", sheet)
-    assert {(r["sheet"], r["a"]) for r in spark.read.parquet(str(tmp_path / "book")).collect()} == {("s_1", 3), ("s2", 2)}
+    assert {(r["sheet"], r["a"]) for r in sinks.read_store(spark, str(tmp_path / "book")).collect()} == {("s_1", 3), ("s2", 2)}
     text = spark.range(1).select(sinks.fasta_text(F.lit("my oligo"), F.lit("U" * 81))).first()[0]
     assert text == ">my_oligo\n" + "T" * 80 + "\nT"
     sinks.append_log(df, str(tmp_path / "log"))
     sinks.append_log(df, str(tmp_path / "log"))
-    assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+    assert sinks.read_store(spark, str(tmp_path / "log")).count() == 2
+    for run, batch, added in (("r", "1", True), ("r", "1", False), ("r", "2", True), ("q", "1", True), ("r", "2", False)):
+        assert sinks.append_log(df, str(tmp_path / "runs"), run, batch) == added
+    assert sinks.read_store(spark, str(tmp_path / "runs")).count() == 3
 
 
 def test_oligo_table_headers(spark, tmp_path):
@@ -179,11 +182,51 @@ def test_region_columns(spark):
     assert [(r["name"], r["start"], r["end"], r["error"] is None) for r in rows] == [("full", None, None, True), ("2-8", 2, 8, True), ("a b", 3, 4, True), ("2-8", 2, 8, True), (None, None, None, False), (None, None, None, False), (None, None, None, False)]
 
 
-def test_store_is_swapped(spark, tmp_path):
-    path = str(tmp_path / "t")
+def test_store_is_swapped(spark, tmp_path, monkeypatch):
+    path, ids = str(tmp_path / "t"), lambda: sorted(r[0] for r in sinks.read_store(spark, str(tmp_path / "t")).collect())
     spark.range(3).write.parquet(path)
-    sinks.update_in_place(spark.read.parquet(path).withColumn("id", F.col("id") + 10), path)
-    assert sorted(r[0] for r in spark.read.parquet(path).collect()) == [10, 11, 12] and [p.name for p in tmp_path.iterdir()] == ["t"]
+    assert ids() == [0, 1, 2]
+    sinks.update_in_place(sinks.read_store(spark, path).withColumn("id", F.col("id") + 10), path)
+    assert ids() == [10, 11, 12]
+
+    class Stop(Exception):
+        pass
+
+    def stops(*_):
+        raise Stop
+
+    more = lambda: sinks.update_in_place(sinks.read_store(spark, path).withColumn("id", F.col("id") + 10), path)
+    real = sinks.Store._publish
+    for step in ("before the rename", "at the draft", "after the rename"):
+        before = ids()
+        if step == "before the rename":
+            monkeypatch.setattr(sinks.Store, "_publish", stops)
+        elif step == "at the draft":
+            monkeypatch.setattr(sinks.Store, "_publish", lambda self, n, m: ((tmp_path / "t" / "_manifests" / "draft-x").write_text("{"), stops()))
+        else:
+            monkeypatch.setattr(sinks.Store, "_publish", lambda self, n, m: (real(self, n, m), stops()))
+        with pytest.raises(Stop):
+            more()
+        monkeypatch.setattr(sinks.Store, "_publish", real)
+        assert ids() == ([x + 10 for x in before] if step == "after the rename" else before), step
+    more()
+    assert ids() == [30 + x for x in (0, 1, 2)]
+    store = sinks.Store(spark, path)
+    number = store.manifest()[0]
+    assert not real(store, number, {}) and store.manifest()[0] == number  # a number that is taken stays as it is
+    first = []
+
+    def late(self, n, manifest):
+        if not first:  # another writer comes first
+            first.append(real(self, n, {**self.manifest()[1], "other": manifest["third"]}))
+        return real(self, n, manifest)
+
+    monkeypatch.setattr(sinks.Store, "_publish", late)
+    store.put("third", spark.range(100, 101))
+    monkeypatch.setattr(sinks.Store, "_publish", real)
+    assert first == [True] and set(store.manifest()[1]) == {"table", "other", "third"}
+    store.clean()
+    assert 100 in ids() and len(list((tmp_path / "t" / "_manifests").glob("0*"))) == 1
 
 
 def test_packing_keeps_ties_and_blank_orders(spark):
