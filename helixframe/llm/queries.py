@@ -165,9 +165,9 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT (base_failed OR 10 * n_symbols > 3 * word_chars OR 10 * n_dup_lines > 7 * n_lines OR word_chars > 40 * n_words OR 2 * word_chars < 3 * n_words) AS kept
 FROM b""",
     "op9_url_lists": r"""
-WITH pages_u AS (SELECT page_id, lower(url) AS u,
+WITH pages_u AS (SELECT page_id, lower(regexp_replace(url, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')) AS u,
                         DATE '2020-01-01' + CAST(((page_id % 1461) + 1461) % 1461 AS INTEGER) AS fetched_on FROM pages),
-pages_a AS (SELECT page_id, fetched_on, CASE WHEN regexp_matches(u, '^[a-z][a-z0-9+.-]*://') THEN string_split_regex(substr(u, strpos(u, '://') + 3), '[/?#\\]')[1] END AS auth FROM pages_u),
+pages_a AS (SELECT page_id, fetched_on, CASE WHEN regexp_matches(u, '^([a-z][a-z0-9+.-]*:)?//') THEN regexp_extract(u, '^(?:[a-z][a-z0-9+.-]*:)?//([^/?#\\]*)', 1) ELSE regexp_extract(u, '^([^/?#\\:@\s]+\.[^/?#\\:@\s]+(?::[0-9]*)?)(?:[/?#\\]|$)', 1) END AS auth FROM pages_u),
 pages_h AS (SELECT page_id, fetched_on, nullif(rtrim(regexp_replace(string_split(auth, '@')[-1], ':[0-9]*$', ''), '.'), '') AS host FROM pages_a),
 hosts AS (SELECT DISTINCT host, CASE WHEN host LIKE '[%' OR regexp_matches(host, '^[0-9]+(\.[0-9]+){3}$') THEN [host] ELSE string_split(host, '.') END AS labels FROM pages_h WHERE host IS NOT NULL),
 keys AS (SELECT host, unnest(list_transform(range(1, greatest(len(labels) - 1, 1) + 1), lambda i: array_to_string(list_slice(labels, i, len(labels)), '.'))) AS pattern FROM hosts),

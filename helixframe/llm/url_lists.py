@@ -13,7 +13,9 @@ question a day on its time line, however many captures it has; the joins after
 that have one row a key on one side, and Spark can split the other.
 
 A host is what stands between the scheme and the path without user, password,
-port and closing dots, in lower case; an address has no parent domains.
+port and closing dots, in lower case; an address has no parent domains.  Blanks
+around a url don't count, and the scheme, or the scheme and its slashes, may be
+left out before a name with a dot.
 
 Defined results: a null or unreadable url, or a null day, gets verdict
 ``none``; of entries of one pattern and day the last in (action) order holds;
@@ -29,7 +31,10 @@ from pyspark.sql import functions as F
 
 def host_of(url: F.Column) -> F.Column:
     """Lower-case host, null if there is none."""
-    authority = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://([^/?#\\\\]*)", 1)
+    plain = F.lower(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""))
+    marked = F.regexp_extract(plain, r"^(?:[a-z][a-z0-9+.-]*:)?//([^/?#\\\\]*)", 1)
+    bare = F.regexp_extract(plain, r"^([^/?#\\\\:@\s]+\.[^/?#\\\\:@\s]+(?::[0-9]*)?)(?:[/?#\\\\]|$)", 1)
+    authority = F.when(plain.rlike("^(?:[a-z][a-z0-9+.-]*:)?//"), marked).otherwise(bare)
     host = F.regexp_replace(F.regexp_replace(authority, "^.*@", ""), r":[0-9]*$", "")
     return F.nullif(F.regexp_replace(host, r"\.+$", ""), F.lit(""))
 

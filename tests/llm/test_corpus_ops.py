@@ -767,3 +767,9 @@ def test_decontamination_of_synonyms(spark):
     assert not {d for d, _ in found} & {d for d, _ in clean}
     without = {(r["doc_id"], r["item_id"]) for r in decontam_lsa.contaminated(df, bench, cosine=2.0).collect()}
     assert len(wanted & without) <= 5 < len(caught)
+
+
+def test_urls_without_scheme_or_with_blanks(spark):
+    made = [(" http://A.b.com/x", "a.b.com"), ("a.b.com/x?y", "a.b.com"), ("\ta.b.com:8080\n", "a.b.com"), ("//c.org/p", "c.org"), ("mailto:x@c.org", None), ("c.org", "c.org"), ("localhost/x", None), ("http://localhost/x", "localhost"), ("not a url.", None), ("user@c.org/x", None), ("", None), (None, None), ("https://u:p@c.org.:443#x", "c.org")]
+    df = spark.createDataFrame(made, "url string, host string")
+    assert [r[0] for r in df.select(url_lists.host_of(F.col("url"))).collect()] == [h for _, h in made]
