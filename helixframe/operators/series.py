@@ -139,6 +139,27 @@ def reference_series(qc: DataFrame, order: str = "first", most_width: float = 0.
     return points.crossJoin(F.broadcast(axis_bounds(points)))
 
 
+def reference_charts(qc: DataFrame, keys: tuple[str, ...] = ("workbook", "sheet"), order: str = "first", most_width: float = 0.18, share: float = 0.8) -> DataFrame:
+    """reference_series() of every sheet at once: its keys, chart_id, label, Reference gene, x_index, series_index, position, Mean CT, SEM, low, high, palette.
+
+    Labels and genes are numbered sheet by sheet, axis bounds are the sheet's.
+    """
+    rows = qc.withColumn("label", plot_label("Group", "Compound ID"))
+    data = last_wins(rows.select(*keys, "label", "Reference gene", order, "Mean CT", "SEM"), [*keys, "label", "Reference gene"], order)
+
+    def placed(value: str, index: str) -> DataFrame:
+        firsts = rows.groupBy(*keys, value).agg(F.min(order).alias("__o"))
+        return firsts.withColumn(index, F.row_number().over(Window.partitionBy(*keys).orderBy("__o")) - 1).drop("__o")
+
+    genes = placed("Reference gene", "series_index").withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
+    points = data.join(placed("label", "x_index"), [*keys, "label"]).join(genes, [*keys, "Reference gene"])
+    width, whole = F.least(F.lit(most_width), F.lit(share) / F.col("n")), Window.partitionBy(*keys)
+    return points.select(
+        *keys, F.lit("reference_gene_mean_ct_qc").alias("chart_id"), "label", "Reference gene", "x_index", "series_index", (F.col("x_index") + (F.col("series_index") - (F.col("n") - 1) / 2.0) * width).alias("position"), "Mean CT", "SEM",
+        (F.min(F.col("Mean CT") - F.col("SEM")).over(whole) - 0.5).alias("low"), (F.max(F.col("Mean CT") + F.col("SEM")).over(whole) + 0.5).alias("high"), F.pmod("series_index", F.lit(PALETTE)).alias("palette"),
+    )
+
+
 def summary_plots(summary: DataFrame, order: str, mode: str = "both") -> DataFrame:
     """Tables of the summary charts, a chart_id each: `split` one series a source, `combined` the dense grid, or both.
 

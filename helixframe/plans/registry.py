@@ -249,6 +249,12 @@ def reference_qc(spark, sf):
     return r.select("sheet", F.col("Group").alias("grp"), F.col("Compound ID").alias("compound"), F.col("Reference gene").alias("gene"), F.col("Sample size (n)").alias("n"), F.round("Mean CT", 6).alias("mean_ct"), F.round("SEM", 6).alias("sem"))
 
 
+def reference_charts(spark, sf):
+    """A chart of reference genes for every sheet."""
+    p = series.reference_charts(qpcr.reference_qc(_reports(spark, sf)))
+    return p.select("sheet", "label", F.col("Reference gene").alias("gene"), "x_index", "series_index", F.round("position", 6).alias("position"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
 def fasta_records(spark, sf):
     """FASTA texts of 20 records each, written and parsed again."""
     rows = table(spark, sf, "documents").select("source", "doc_id", sinks.fasta_text(F.concat(F.lit("doc "), F.col("doc_id")), nt("text")).alias("record"))
@@ -578,7 +584,7 @@ QUERIES = {
     for f in (
         rna_normalize, reverse_complement, invalid_bases, antisense_region_table, transcript_ranges, mismatch_scan, mismatch_scan_seeded, mismatch_scan_regions, mismatch_positions,
         offtarget_topk, missing_accessions, duplicate_sequences, batch_packing, batch_packing_ties, batch_stats, batch_stats_by_job, hits_enriched, hits_filtered, mean_sem_parse, timepoint_unpivot, series_grouped, chart_sizes,
-        forward_fill, table_islands, merged_fill, control_filter, summary_dedupe, refgene_stats, series_combined, axis_bounds, qpcr_summary, geomean_join, reference_qc,
+        forward_fill, table_islands, merged_fill, control_filter, summary_dedupe, refgene_stats, series_combined, axis_bounds, qpcr_summary, geomean_join, reference_qc, reference_charts,
         fasta_records, plain_list, hit_report_scan, sheet_choice, table_round_trip, headerless_table, oligo_table, antisense_files, text_oligos, range_texts, range_blanks,
         workbook_cells, workbook_merges, plot_titles, sheet_table, summary_saved, sheet_store, batch_log, result_set, run_metadata, number_texts, file_names, sheet_rows,
         embedded_summary, embedded_refqc, formula_values, accession_scan, numbered_matches, duplicate_flags, duplicate_members, required_columns, source_series,
@@ -687,6 +693,8 @@ SELECT label, gene, x, series_index, round(coalesce(m, 0), 6) AS mean_ct, round(
     "qpcr_summary": f"WITH {REPORT}, {SUMMARY} SELECT * FROM a UNION ALL SELECT * FROM b",
     "geomean_join": f'WITH {REPORT}, {SUMMARY} SELECT sheet, "row", grp, compound, source, mean_rq, sem FROM b',
     "reference_qc": f"""WITH {REPORT} SELECT sheet, grp, compound, 'GAPDH' AS gene, count(*) AS n, round(avg(mean), 6) AS mean_ct, round(coalesce(stddev_samp(mean) / sqrt(count(*)), 0), 6) AS sem FROM r WHERE compound <> 'NTC' AND l_linenumber % 4 <> 0 GROUP BY sheet, grp, compound""",
+    "reference_charts": f"""WITH {REPORT}, k AS (SELECT sheet, grp || ' | ' || compound AS label, min("row") AS first_row, avg(mean) AS m, coalesce(stddev_samp(mean) / sqrt(count(*)), 0) AS e FROM r WHERE compound <> 'NTC' AND l_linenumber % 4 <> 0 GROUP BY sheet, grp, compound)
+SELECT sheet, label, 'GAPDH' AS gene, row_number() OVER (PARTITION BY sheet ORDER BY first_row) - 1 AS x_index, 0 AS series_index, CAST(row_number() OVER (PARTITION BY sheet ORDER BY first_row) - 1 AS DOUBLE) AS position, round(min(m - e) OVER (PARTITION BY sheet) - 0.5, 6) AS low, round(max(m + e) OVER (PARTITION BY sheet) + 0.5, 6) AS high FROM k""",
     "fasta_records": f"""SELECT CAST(doc_id // 20 AS VARCHAR) AS file, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id) AS input_order, 'doc_' || doc_id AS name, md5({NT.format('text')}) AS seq_md5 FROM documents""",
     "plain_list": f"""WITH c AS (SELECT CAST(c_custkey AS VARCHAR) AS file, {NT.format('c_name')} AS seq FROM customer) SELECT file, i AS input_order, CASE i WHEN 2 THEN 'AS_2' ELSE 'n' || i END AS name, seq FROM c, (SELECT unnest([1, 2, 3, 4]) AS i)""",
     "hit_report_scan": "SELECT 'AS_' || l_orderkey AS query_id, 'a,b' AS subject_id, CAST(l_linenumber AS VARCHAR) AS bit_score FROM lineitem WHERE l_linenumber NOT IN (2, 3, 4)",

@@ -271,3 +271,28 @@ def test_a_million_cells_in_bounded_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert n == 1_000_000 and peak < 5_000_000
+
+
+def test_header_search_ends_at_row_20(spark):
+    head = ["Group", "(Mean SEM)"]
+    for blank, expected in ((19, 20), (20, 1)):
+        cells = grid(spark, [["note", ""]] * blank + [head, ["G1-a", "1 ± 2"]])
+        assert sheets.header_rows(cells).first()["header_row"] == expected
+
+
+def test_reference_charts_of_each_sheet(spark):
+    qc = spark.createDataFrame([("w", s, g, c, gene, m, 1.0, i) for s, rows in {"a": [("G2", "x", "ACTB", 10.0), ("G1", "x", "ACTB", 12.0), ("G2", "x", "GAPDH", 20.0)], "b": [("G1", "x", "GAPDH", 5.0)]}.items() for i, (g, c, gene, m) in enumerate(rows)], "workbook string, sheet string, Group string, `Compound ID` string, `Reference gene` string, `Mean CT` double, SEM double, first int")
+    got = {(r["sheet"], r["label"], r["Reference gene"]): (r["x_index"], r["series_index"], round(r["position"], 6), r["low"], r["high"]) for r in series.reference_charts(qc).collect()}
+    assert got == {("a", "G2 | x", "ACTB"): (0, 0, -0.09, 8.5, 21.5), ("a", "G1 | x", "ACTB"): (1, 0, 0.91, 8.5, 21.5), ("a", "G2 | x", "GAPDH"): (0, 1, 0.09, 8.5, 21.5), ("b", "G1 | x", "GAPDH"): (0, 0, 0.0, 3.5, 6.5)}
+    one = series.reference_series(qc.filter("sheet = 'a'")).collect()
+    assert {(r["label"], r["Reference gene"], round(r["position"], 6)) for r in one} == {(k[1], k[2], v[2]) for k, v in got.items() if k[0] == "a"}
+
+
+def test_number_of_series_is_bounded(spark):
+    import pytest
+
+    many = spark.range(series.MOST_SERIES + 1).selectExpr("'a' AS label", "cast(id AS string) AS s", "id AS o", "1.0 AS m", "0.0 AS e")
+    with pytest.raises(ValueError):
+        series.combined_series(many, "label", "s", "o", "m", "e")
+    grid_ = series.combined_series(many.filter("o < 3").union(many.filter("o = 1").selectExpr("'b'", "s", "o + 10", "m", "e")), "label", "s", "o", "m", "e").collect()
+    assert len(grid_) == 6 and sum(r["m"] for r in grid_) == 4.0
