@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.util import stored, texts_of
+from helixframe.llm.util import discard, is_file_scan, stored, texts_of
 
 RADIUS = 3
 #: Fingerprints compared in one piece; larger buckets are cut into tiles.
@@ -226,6 +226,8 @@ WIDE, COMPARED, DIFFER = 256, 128, 0.152
 WIDE_RADIUS = 40
 #: Buckets up to here give all their near pairs, by popcounts; larger ones, bit-sliced, a spanning forest of them.
 SMALL = 32
+#: Bits of the filter for texts in a pair; 1 MB is sent to tasks.
+ASKED = 1 << 23
 #: The columns of a wide fingerprint.
 BITS = [f"b{k}" for k in range(WIDE // 64)]
 #: Odd constants that make WIDE bits out of a 64-bit hash.
@@ -307,26 +309,24 @@ def candidate_pairs(nodes: DataFrame, radius: int = WIDE_RADIUS, tile: int = TIL
     sizes = some.groupBy("key").agg((F.count("*") * every).alias("n")).filter(F.col("n") > tile)
     if total > tile:  # few rows: each stands for more than `tile` nodes
         rows = rows.join(stored(sizes, "big"), "key", "left")
-    else:
-        rows = rows.withColumn("n", F.lit(1))
-    dealt = rows.withColumn("groups", F.ceil(F.coalesce("n", F.lit(1)) / F.lit(tile)).cast("int"))
-    own = F.pmod(F.xxhash64("node"), F.col("groups")).cast("int")
-    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "f0", "f1")
-    dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
+        groups = F.ceil(F.coalesce("n", F.lit(1)) / F.lit(tile)).cast("int")
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), groups).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), groups - 1)))
+        met = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))  # the two groups that meet
+        rows = rows.select(F.when(groups == 1, F.col("key")).otherwise(met).alias("key"), "node", "f0", "f1")
+    dealt = rows.repartition("key").sortWithinPartitions("key", "node")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for b in batches:
             t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
             t = t.combine_chunks()
-            key = np.stack([np.asarray(t[c]) for c in ("key", "lo", "hi")], axis=1).astype(np.int64)
-            last = int(np.flatnonzero((key != key[-1]).any(axis=1))[-1]) + 1 if (key != key[-1]).any() else 0  # the last run may go on
+            key = np.asarray(t["key"])
+            last = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last run may go on
             if last:
                 yield _near(t.slice(0, last), key[:last], radius)
             held = t.slice(last)
         if held is not None and len(held):
-            yield _near(held, np.stack([np.asarray(held[c]) for c in ("key", "lo", "hi")], axis=1).astype(np.int64), radius)
+            yield _near(held, np.asarray(held["key"]), radius)
 
     return dealt.mapInArrow(near, "a long, b long").distinct()
 
@@ -334,7 +334,7 @@ def candidate_pairs(nodes: DataFrame, radius: int = WIDE_RADIUS, tile: int = TIL
 def _near(t: pa.Table, key: np.ndarray, radius: int) -> pa.RecordBatch:
     """Near pairs of rows sorted by key and node."""
     node, fps = np.asarray(t["node"]), np.stack([np.asarray(t["f0"]), np.asarray(t["f1"])], axis=1).view(np.uint64)
-    starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     sizes = np.diff(np.append(starts, len(key)))
     small = (sizes > 1) & (sizes <= SMALL)
     a, b = _all_near(fps, starts[small], sizes[small], radius)
@@ -378,11 +378,23 @@ def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marks = stored(rows.mapInArrow(marked, f"id {rows.schema['id'].dataType.simpleString()}, node long, " + "".join(f"{b} long, " for b in BITS) + "shingles binary"), "marks")
     nodes = stored(marks.groupBy("node").agg(F.min("id").alias("first"), *[F.min(b).alias(b) for b in BITS]), "classes")
     pairs = stored(candidate_pairs(nodes), "pairs")
-    # only texts in a pair send their sets, one for each class; a crowd of copies is brought down to one row in each task first
+    # only texts in a pair send their sets (told by a bitmap of ASKED bits: a text that only shares its bit leaves in the join), one for each
+    # class; a crowd of copies is brought down to one row in each task first
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = marks.select("node", "shingles").join(ends, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    place = (F.pmod("node", F.lit(ASKED)) + 1).alias("p")
+    bitmap = np.zeros(ASKED // 8, np.uint8)
+    for r in ends.select(place).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect():  # a row for each 32,768 bits
+        bitmap[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.asarray(b.column(0)) % ASKED
+            yield b.filter(pa.array((bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+
+    sets = marks.select("node", "shingles").mapInArrow(asked, "node long, shingles binary").join(ends, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     roots = components(both.select("a", "b", "x", "y").mapInArrow(verified, "a long, b long"))
+    discard(marks)
     return nodes.select("node", "first").join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
 
 
@@ -394,7 +406,8 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     repeated rows one stays.  An empty table gives an empty table.  Null and
     empty texts are one component.
     """
-    rows = stored(df.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    rows = df.withColumn("__row", F.monotonically_increasing_id())
+    rows = rows if is_file_scan(df) else stored(rows, "rows")
     order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(*df.columns).alias("hash"), F.col("__row").alias("row"))
     found = similar_texts(rows.select(order.alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", similar)
     kept = found.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__kept"))

@@ -26,3 +26,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a stored() table that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def is_file_scan(df: DataFrame) -> bool:
+    """Whether df reads files as they are, so that every reading gives its rows the same monotonically_increasing_id()."""
+    return df._jdf.queryExecution().optimizedPlan().getClass().getSimpleName() == "LogicalRelation" and bool(df.inputFiles())
