@@ -773,3 +773,61 @@ def test_urls_without_scheme_or_with_blanks(spark):
     made = [(" http://A.b.com/x", "a.b.com"), ("a.b.com/x?y", "a.b.com"), ("\ta.b.com:8080\n", "a.b.com"), ("//c.org/p", "c.org"), ("mailto:x@c.org", None), ("c.org", "c.org"), ("localhost/x", None), ("http://localhost/x", "localhost"), ("not a url.", None), ("user@c.org/x", None), ("", None), (None, None), ("https://u:p@c.org.:443#x", "c.org")]
     df = spark.createDataFrame(made, "url string, host string")
     assert [r[0] for r in df.select(url_lists.host_of(F.col("url"))).collect()] == [h for _, h in made]
+
+
+def test_near_dedup_keeps_one_of_each_similar_group(spark, docs, tmp_path):
+    """Whole texts by the exact similarity of all pairs: the components' smallest ids stay."""
+    rng = random.Random(14)
+    base = [t for _, t in texts(docs) if 120 < len(t.split()) < 400]
+    made = []
+
+    def changed(text, n):
+        words = text.split()
+        for _ in range(n):
+            words[rng.randrange(len(words))] = f"w{rng.randrange(10**9)}"
+        return " ".join(words)
+
+    for g in range(30):
+        made += [changed(base[g], k) for k in (0, 0, 1, 2, 3, 4, 6, 9, 14)]
+    hot = base[40]
+    made += [changed(hot, rng.randint(0, 2)) for _ in range(150)] + [hot.upper()] * 5 + base[41:90] + ["", None, "one two", "One  two", "one two three"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(made)], "doc_id long, text string").repartition(6)
+    sets = {i: set(simhash.shingle_hashes(t or "").tolist()) for i, t in enumerate(made)}
+    root = list(range(len(made)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    near = 0
+    for i in sets:
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if shared >= 0.8 * (len(sets[i]) + len(sets[j]) - shared):
+                near += sets[i] != sets[j]
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    exact = {find(i) for i in sets}
+    df.write.parquet(str(tmp_path / "docs"))
+    for rows_ in (df, spark.read.parquet(str(tmp_path / "docs"))):  # rows that are stored first, and files
+        kept = {r["doc_id"] for r in simhash.keep_first(rows_).collect()}
+        assert exact <= kept and len(kept - exact) <= 0.03 * (len(made) - len(exact)) and near > 1000
+    nodes = spark.createDataFrame([(i, *(rng.getrandbits(64) - (1 << 63) if k else 7 for k in range(4))) for i in range(40)] + [(100 + i, 1, 2, 3, 4 + i % 2) for i in range(60)], "node long, b0 long, b1 long, b2 long, b3 long")
+    whole = {tuple(r) for r in simhash.candidate_pairs(nodes).collect()}
+    tiled = {tuple(r) for r in simhash.candidate_pairs(nodes, tile=8).collect()}
+
+    def groups(pairs):
+        at = {i: i for p in pairs for i in p}
+
+        def top(i):
+            while at[i] != i:
+                i = at[i]
+            return i
+
+        for a, b in pairs:
+            a, b = sorted((top(a), top(b)))
+            at[b] = a
+        return {i: top(i) for i in at}
+
+    assert groups(whole) == groups(tiled) and len(groups(whole)) >= 60
