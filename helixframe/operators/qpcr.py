@@ -42,40 +42,31 @@ def sample_stats(wells: DataFrame, keys: list[str] = ["Group", "Compound ID", "R
     return wells.groupBy(*keys).agg(*aggs, *([F.min(order).alias(order)] if order else []))
 
 
-def _role_values(cells: DataFrame, roles: DataFrame, names: list[str]) -> DataFrame:
-    """(block, row, one column a role): the block's data rows with the cells of its role columns."""
-    data = cells.filter("row >= 3").join(roles, BLOCK)
-    return data.groupBy(*BLOCK, "row").agg(*[F.max(F.when(F.col("col") == F.col(f"{n}_col"), F.col("value"))).alias(n) for n in names])
+def _summaries(cells: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(summary rows, issues, sheets without a summary row) of the blocks found in cells.
 
-
-def _summaries(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(summary rows, issues) of the blocks found in cells."""
-    split = cut(sheets.blocks(cells))  # read by every step below
-    heads = cut(sheets.headers(split))
-    roles, gene = sheets.role_columns(heads), sheets.genes(heads)
+    Blocks are told from summed columns; cells are dealt by sheet once and stay there.
+    """
+    found = cut(sheets.block_reports(sheets.layout(cells)))  # a row a block
     names = ["group", "compound", "size", "mean_sem", "mean", "sem"]
-    joined = lambda g: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*g))), lambda x: x["gene"]), "; ")
-    refs = gene.filter("gene_order >= 2").groupBy(*BLOCK).agg(joined(["gene_order", "gene"]).alias("source"))
-    full, aggregate = roles.filter("group_col IS NOT NULL"), roles.filter("group_col IS NULL AND geomean_col IS NOT NULL")
-    usable = "mean_sem_col IS NOT NULL OR (mean_col IS NOT NULL AND sem_col IS NOT NULL)"
-    issues = roles.filter(f"(group_col IS NOT NULL OR geomean_col IS NOT NULL) AND NOT ({usable})").select(*BLOCK, F.lit("No MEAN RQ and SEM columns.").alias("issue"))
+    full, usable = F.col("group_col").isNotNull(), F.expr("mean_sem_col IS NOT NULL OR (mean_col IS NOT NULL AND sem_col IS NOT NULL)")
+    counts = full | F.col("geomean_col").isNotNull()
+    issues = found.filter(counts & ~usable).select(*BLOCK, F.lit("No MEAN RQ and SEM columns.").alias("issue"))
     mean, sem = mean_rq_and_sem("mean_sem", "mean", "sem")
 
-    rows = forward_fill(_role_values(split, full.filter(usable), names), names, BLOCK, ["row"])
-    rows = drop_controls(rows, "group", "compound").join(refs, BLOCK, "left")
-    rows = rows.select(*BLOCK, "row", "group", "compound", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("size", F.lit("")).alias("size"), mean.alias("mean"), sem.alias("sem"), F.lit(0).alias("kind"))
-
-    first = full.groupBy(*SHEET).agg(F.min("block").alias("block")).join(full, BLOCK)
-    meta = _role_values(split, first, ["group", "compound"]).select(*SHEET, "row", F.col("group").alias("g"), F.col("compound").alias("c"))
-    firsts = gene.filter("gene_order >= 2").join(full.select(*BLOCK), BLOCK).groupBy(*SHEET, "gene").agg(F.min(F.struct("block", "gene_order")).alias("at"))
-    source = firsts.groupBy(*SHEET).agg(F.concat(F.lit("Geomean ("), joined(["at", "gene"]), F.lit(")")).alias("source"))
-    agg = _role_values(split, aggregate.filter(usable), names).drop("group", "compound").join(meta, [*SHEET, "row"], "left").join(source, SHEET, "left")
-    agg = agg.filter(~is_control("g", "c"))
-    agg = agg.select(*BLOCK, "row", F.col("g").alias("group"), F.col("c").alias("compound"), F.coalesce("source", F.lit("Geomean ()")).alias("source"), F.coalesce("size", F.lit("")).alias("size"), mean.alias("mean"), sem.alias("sem"), F.lit(1).alias("kind"))
-
-    keys = ["group", "compound", "source", "size", "mean", "sem"]
-    found = rows.unionByName(agg).filter(~is_blank("mean") & ~is_blank("sem"))
-    return dedupe(found, keys, "row", [*BLOCK, "kind"]), issues
+    # A geomean table takes group and compound of the sheet's first full one, row by row, and the genes of all full ones.
+    listed = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.when(full, F.struct("block", "genes")))), lambda x: x["genes"])))
+    whole = found.groupBy(*SHEET).agg(F.min(F.when(full, F.struct("block", "group_col", "compound_col"))).alias("first"), F.concat(F.lit("Geomean ("), F.array_join(listed, "; "), F.lit(")")).alias("all_genes"))
+    each = found.filter(counts & usable).join(whole, SHEET)
+    each = each.withColumns({n: F.when(full, F.col(n)).otherwise(F.col(f"first.{n}")) for n in ("group_col", "compound_col")} | {"kind": (~full).cast("int"), "source": F.when(full, F.array_join("genes", "; ")).otherwise(F.col("all_genes"))})
+    wanted = each.select(*BLOCK, "kind", "source", F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"{n}_col").alias("col")) for n in names]))).filter("col IS NOT NULL")
+    rows = sheets.columns_of(cells, wanted).groupBy(*BLOCK, "kind", "source", "row").agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names])
+    filled = forward_fill(rows.withColumns({f"__{n}": F.col(n) for n in names}), [f"__{n}" for n in names], BLOCK, ["row"])
+    rows = drop_controls(filled.select(*BLOCK, "kind", "source", "row", *[F.when(F.col("kind") == 0, F.col(f"__{n}")).otherwise(F.col(n)).alias(n) for n in names]), "group", "compound")
+    rows = rows.select(*BLOCK, "row", "group", "compound", "source", F.coalesce("size", F.lit("")).alias("size"), mean.alias("mean"), sem.alias("sem"), "kind")
+    rows = dedupe(rows.filter(~is_blank("mean") & ~is_blank("sem")), ["group", "compound", "source", "size", "mean", "sem"], "row", [*BLOCK, "kind"])
+    both = cut(found.select(*SHEET).distinct().join(rows, SHEET, "left"))
+    return both.filter("block IS NOT NULL"), issues, both.filter("block IS NULL").select(*SHEET)
 
 
 def summarize(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -84,12 +75,9 @@ def summarize(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     The region under an embedded header counts only for sheets whose whole
     grid gives nothing.
     """
-    direct, issues = _summaries(cells)
-    direct = cut(direct)
-    rest = cells.join(direct.select(*SHEET).distinct(), SHEET, "left_anti")
-    both = direct
-    if not sheets.embedded_header(rest).isEmpty():
-        both = direct.unionByName(_summaries(sheets.below_embedded(rest).drop("row_offset"))[0])
+    both, issues, rest = _summaries(cells)
+    if not rest.isEmpty():
+        both = both.unionByName(_summaries(sheets.below_embedded(cells.join(rest, SHEET, "left_semi")))[0])
     names = dict(zip(["group", "compound", "source", "size", "mean", "sem"], SUMMARY))
     return both.select(*SHEET, "kind", "block", "row", *[F.col(k).alias(v) for k, v in names.items()]), issues
 
@@ -101,27 +89,36 @@ def sample_cts(cells: DataFrame, numbers: DataFrame | None = None) -> DataFrame:
     (resolve_formulas), used where a cell's text is no number.  The region under
     an embedded header counts only for sheets whose whole grid gives nothing.
     """
-    direct = cut(_sample_cts(cells.withColumn("row_offset", F.lit(0)), numbers))
-    rest = cells.join(direct.select(*SHEET).distinct(), SHEET, "left_anti")
-    if sheets.embedded_header(rest).isEmpty():
+    direct, rest = _sample_cts(cells, numbers)
+    if rest.isEmpty():
         return direct
-    return direct.unionByName(_sample_cts(sheets.below_embedded(rest), numbers))
-
-
-def _sample_cts(cells: DataFrame, numbers: DataFrame | None) -> DataFrame:
-    split = cut(sheets.blocks(cells))
-    heads = cut(sheets.headers(split))
-    roles = sheets.role_columns(heads).filter("group_col IS NOT NULL AND compound_col IS NOT NULL")
-    labels = forward_fill(_role_values(split, roles, ["group", "compound"]), ["group", "compound"], BLOCK, ["row"])
-    gene = sheets.genes(heads).filter("gene_order >= 2 AND mean_ct_col IS NOT NULL")
-    at = split.filter("row >= 3").select(*BLOCK, "row", "col", "value", "row_offset").join(gene.withColumnRenamed("mean_ct_col", "col"), [*BLOCK, "col"])
+    return direct.unionByName(_sample_cts(sheets.below_embedded(cells.join(rest, SHEET, "left_semi")), numbers)[0])
+
+
+def _sample_cts(cells: DataFrame, numbers: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(the rows of sample_cts() found in cells, sheets without any); cells are dealt by sheet once."""
+    offset = ["row_offset"] if "row_offset" in cells.columns else []
+    found = cut(sheets.block_reports(sheets.layout(cells)))  # a row a block
+    with_genes = found.filter("group_col IS NOT NULL AND compound_col IS NOT NULL")
+    own = lambda g: F.get(F.filter("cts", lambda x: x["key"] == F.lower(g)), 0)["col"]
+    place = lambda name, at, order=F.lit(0), gene=F.lit(None).cast("string"): F.struct(F.lit(name).alias("name"), order.cast("int").alias("gene_order"), gene.alias("gene"), at.alias("col"))
+    genes = F.transform("genes", lambda g, i: place("ct", own(g), i + 2, g))
+    wanted = with_genes.select(*BLOCK, F.inline(F.concat(F.array(place("group", F.col("group_col")), place("compound", F.col("compound_col"))), genes))).filter("col IS NOT NULL")
+    at = sheets.columns_of(cells, wanted)
     value = parse_number("value")
+    of = lambda name: F.max(F.when(F.col("name") == name, F.col("value"))).alias(name)
+    cts = F.collect_list(F.when(F.col("name") == "ct", F.struct("gene_order", "gene", "col", value.alias("number")))).alias("cts")
+    rows = at.groupBy(*BLOCK, "row", *offset).agg(of("group"), of("compound"), cts)
+    rows = forward_fill(rows, ["group", "compound"], BLOCK, ["row"]).filter(~is_control("group", "compound"))
+    rows = rows.select(*BLOCK, "row", *offset, "group", "compound", F.inline("cts"))
     if numbers is not None:
-        places = numbers.select(*SHEET, F.col("row").alias("sheet_row"), "col", "number")
-        at = at.withColumn("sheet_row", F.col("row") + F.col("row_offset")).join(places, [*SHEET, "sheet_row", "col"], "left")
-        value = F.coalesce(value, F.col("number"))
-    rows = at.join(labels, [*BLOCK, "row"]).withColumn("Mean CT", value).filter(~is_control("group", "compound") & F.col("Mean CT").isNotNull())
-    return rows.select(*BLOCK, "gene_order", "row", clean_text("group").alias("Group"), clean_text("compound").alias("Compound ID"), F.col("gene").alias("Reference gene"), "Mean CT")
+        places = numbers.select(*SHEET, F.col("row").alias("sheet_row"), "col", F.col("number").alias("worked_out"))
+        rows = rows.withColumn("sheet_row", F.col("row") + F.col("row_offset") if offset else F.col("row")).join(places, [*SHEET, "sheet_row", "col"], "left")
+        rows = rows.withColumn("number", F.coalesce("number", "worked_out"))
+    rows = rows.filter("number IS NOT NULL")
+    rows = rows.select(*BLOCK, "gene_order", "row", clean_text("group").alias("Group"), clean_text("compound").alias("Compound ID"), F.col("gene").alias("Reference gene"), F.col("number").alias("Mean CT"))
+    both = cut(found.select(*SHEET).distinct().join(rows, SHEET, "left"))
+    return both.filter("block IS NOT NULL"), both.filter("block IS NULL").select(*SHEET)
 
 
 def reference_qc(cells: DataFrame, numbers: DataFrame | None = None) -> DataFrame:

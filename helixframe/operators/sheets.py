@@ -60,13 +60,38 @@ def default_sheets(catalogue: DataFrame) -> DataFrame:
     return catalogue.groupBy("workbook").agg(F.min_by("sheet", "sheet_index").alias("sheet"))
 
 
+def _numbered(filled: DataFrame) -> DataFrame:
+    """Used columns with their block's number."""
+    by_col = Window.partitionBy(*SHEET).orderBy("col")
+    starts = filled.withColumn("new", (F.col("col") - F.coalesce(F.lag("col").over(by_col), F.lit(-1)) > 1).cast("int"))
+    return starts.withColumn("block", F.sum("new").over(by_col)).drop("new")
+
+
 def blocks(cells: DataFrame) -> DataFrame:
     """Adds `block` (from 1): columns without a value split a sheet; empty columns drop out."""
     filled = cells.groupBy(*SHEET, "col").agg(F.bool_or(~is_blank("value")).alias("used")).filter("used")
-    by_col = Window.partitionBy(*SHEET).orderBy("col")
-    starts = filled.withColumn("new", (F.col("col") - F.coalesce(F.lag("col").over(by_col), F.lit(-1)) > 1).cast("int"))
-    numbered = starts.select(*SHEET, "col", F.sum("new").over(by_col).alias("block"))
-    return cells.join(numbered, [*SHEET, "col"])
+    return cells.join(_numbered(filled).drop("used"), [*SHEET, "col"])
+
+
+def layout(cells: DataFrame) -> DataFrame:
+    """headers() of blocks(), from one look at the cells: only what is summed a column is shuffled."""
+    looked = cells.groupBy(*SHEET, "col").agg(F.bool_or(~is_blank("value")).alias("used"), *_tops())
+    return _headed(_numbered(looked.filter("used")).drop("used"))
+
+
+def columns_of(cells: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cells (all but their sheet_index and formula) in the wanted columns of data rows, once for each row of `wanted` (workbook, sheet, col, more) that names the column.
+
+    Each sheet brings a list by column, so cells meet it by sheet alone and stay
+    where they are if they are dealt so; a sheet has 16,384 columns at most.
+    """
+    more = [c for c in wanted.columns if c not in (*SHEET, "col")]
+    here = wanted.groupBy(*SHEET, "col").agg(F.collect_list(F.struct(*more)).alias("here"))
+    lists = here.groupBy(*SHEET).agg(F.min("col").alias("__first"), F.max("col").alias("__last"), F.map_from_entries(F.collect_list(F.struct("col", "here"))).alias("__by"))
+    lists = lists.select(*SHEET, "__first", F.transform(F.sequence("__first", "__last"), lambda c: F.try_element_at("__by", c)).alias("__lists"))
+    own = F.get("__lists", (F.col("col") - F.col("__first")).cast("int"))
+    kept = [c for c in cells.columns if c not in ("sheet_index", "formula")]
+    return cells.filter("row >= 3").select(*kept).join(lists, SHEET).select(*kept, F.explode(own).alias("__p")).select(*kept, "__p.*")
 
 
 def row_texts(cells: DataFrame, wanted: str = "group") -> DataFrame:
@@ -95,12 +120,18 @@ def below_embedded(cells: DataFrame) -> DataFrame:
     return rows.withColumn("row_offset", F.col("header_row") - 1).withColumn("row", F.col("row") - F.col("header_row") + 1).drop("header_row")
 
 
+def _tops() -> list[Column]:
+    """The cleaned rows 1 and 2 of a column."""
+    return [F.coalesce(F.max(F.when(F.col("row") == i, clean_text("value"))), F.lit("")).alias(name) for i, name in ((1, "top"), (2, "under"))]
+
+
+def _headed(columns: DataFrame) -> DataFrame:
+    return columns.withColumn("header", F.lower(F.trim(F.concat_ws(" ", "top", "under"))))
+
+
 def headers(block_cells: DataFrame) -> DataFrame:
     """(block, col, top, under, header): cleaned rows 1 and 2 of each column, and both lower-cased."""
-    top = F.max(F.when(F.col("row") == 1, clean_text("value")))
-    under = F.max(F.when(F.col("row") == 2, clean_text("value")))
-    h = block_cells.groupBy(*BLOCK, "col").agg(F.coalesce(top, F.lit("")).alias("top"), F.coalesce(under, F.lit("")).alias("under"))
-    return h.withColumn("header", F.lower(F.trim(F.concat_ws(" ", "top", "under"))))
+    return _headed(block_cells.groupBy(*BLOCK, "col").agg(*_tops()))
 
 
 def header_test(all_of: list[str] = [], any_of: list[str] = [], none_of: list[str] = []) -> Column:  # noqa: B006
@@ -121,8 +152,8 @@ def sample_size_test() -> Column:
     return (has("sample size") | has("组内样本量") | F.array_contains(tokens("header"), "n")) & ~has("sample id")
 
 
-def role_columns(block_headers: DataFrame) -> DataFrame:
-    """The first column of each role in each block (null: none)."""
+def _roles() -> list[Column]:
+    """The first column of each role."""
     roles = {
         "group_col": header_test(any_of=["group"]),
         "compound_col": header_test(any_of=["compound id", "compound"]),
@@ -132,7 +163,21 @@ def role_columns(block_headers: DataFrame) -> DataFrame:
         "sem_col": header_test(any_of=["sem"], none_of=["mean rq"]),
         "geomean_col": header_test(any_of=["geomean"]),
     }
-    return block_headers.groupBy(*BLOCK).agg(*[F.min(F.when(test, F.col("col"))).alias(name) for name, test in roles.items()])
+    return [F.min(F.when(test, F.col("col"))).alias(name) for name, test in roles.items()]
+
+
+def role_columns(block_headers: DataFrame) -> DataFrame:
+    """The first column of each role in each block (null: none)."""
+    return block_headers.groupBy(*BLOCK).agg(*_roles())
+
+
+def block_reports(block_headers: DataFrame) -> DataFrame:
+    """role_columns() with two arrays of each block: its genes but the target, in order (see genes()), and (gene key, mean CT column)."""
+    of_gene = looks_like_gene("top") & F.contains(F.lower("under"), F.lit("ct"))
+    names = F.transform(F.array_sort(F.collect_list(F.when(of_gene, F.struct("col", "top")))), lambda x: x["top"])
+    cts = F.collect_list(F.when(F.contains(F.lower("under"), F.lit("mean ct")), F.struct(F.lower("top").alias("key"), "col")))
+    made = block_headers.groupBy(*BLOCK).agg(*_roles(), F.array_distinct(names).alias("genes"), F.array_sort(cts).alias("cts"))
+    return made.withColumn("genes", F.slice("genes", F.lit(2), F.greatest(F.size("genes"), F.lit(1))))
 
 
 def genes(block_headers: DataFrame) -> DataFrame:

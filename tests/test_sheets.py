@@ -37,6 +37,13 @@ def test_embedded_header(spark):
     assert [(r["Group"], r["MEAN RQ"], r["SEM"]) for r in got.collect()] == [("G1", "1", "2")]
 
 
+def test_cells_are_never_stored(spark, monkeypatch):
+    kept, real = [], qpcr.cut
+    monkeypatch.setattr(qpcr, "cut", lambda df: kept.append(df.columns) or real(df))
+    assert qpcr.summarize(grid(spark, FULL))[0].count() == 3 and qpcr.sample_cts(grid(spark, FULL)).count() == 3
+    assert kept and not any("value" in columns for columns in kept)
+
+
 def test_merges_trim_and_choice(spark):
     cells = grid(spark, [["a", "b", None], [None, "c", None], [None, None, None]])
     merges = spark.createDataFrame([("w", "s", 1, 1, 3, 1)], readers.MERGES)
