@@ -317,13 +317,13 @@ def linked_results(calls: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """call_id, conv_id, name, position, status, n_results, problems, json, n_calls and results_sum of each call.
+    """call_id, conv_id, name, position, status, n_results, problems, json, n_calls, results_sum and results of each call.
 
     calls: conv_id, call_id, name, arguments (JSON), after (an id or an array of ids).  results: call_id,
     content and, as a rule, conv_id.  status: cycle, unknown_tool, invalid,
     no_result or ok.  n_calls: calls of this id in the conversation, over 1
-    for repeats.  results_sum: content_number() of all contents, summed, so that
-    no call's results are gathered; linked_results() has them row by row.
+    for repeats.  results_sum: content_number() of all contents, summed;
+    results: all contents, in order.  linked_results() has them row by row.
     """
     keys = [c for c in ("conv_id", "call_id") if c in results.columns]
     calls = calls.filter("call_id IS NOT NULL").select("conv_id", "call_id", "name", "arguments", _before(calls).alias("after"))
@@ -338,10 +338,10 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     placed = F.when(F.col("open").isNull(), F.lit(0).cast("long")).when(~F.col("open"), F.col("before") + 1)
     joined = joined.select("conv_id", "call_id", "name", "arguments", placed.alias("position"))
     joined = joined.join(times, _same(joined, times, ["conv_id", "call_id"])).drop("__conv_id", "__call_id")
-    answers = results.filter("call_id IS NOT NULL").groupBy(*keys).agg(F.min("content").alias("content"), F.count("*").alias("n_results"), F.sum(content_number("content")).alias("results_sum"))
-    answers = _named(answers, {c: c for c in keys}, "content", "n_results", "results_sum")
+    answers = results.filter("call_id IS NOT NULL").groupBy(*keys).agg(F.min("content").alias("content"), F.count("*").alias("n_results"), F.sum(content_number("content")).alias("results_sum"), F.array_sort(F.collect_list(F.struct("content"))).alias("all"))
+    answers = _named(answers, {c: c for c in keys}, "content", "n_results", "results_sum", F.transform("all", lambda x: x["content"]).alias("results"))
     joined = joined.join(answers, _same(joined, answers, keys), "left").drop(*[f"__{c}" for c in keys])
-    joined = joined.withColumns({"n_results": F.coalesce("n_results", F.lit(0).cast("long")), "results_sum": F.coalesce("results_sum", F.lit(0).cast("long"))})
+    joined = joined.withColumns({"n_results": F.coalesce("n_results", F.lit(0).cast("long")), "results_sum": F.coalesce("results_sum", F.lit(0).cast("long")), "results": F.coalesce("results", F.array().cast("array<string>"))})
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -358,8 +358,8 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
                 wrong.append([escaped(x) for x in bad])
                 status.append("cycle" if r["position"] is None else "unknown_tool" if r["name"] not in schemas else "invalid" if bad else "no_result" if not r["n_results"] else "ok")
             keep = [b.column(b.schema.get_field_index(c)) for c in ("call_id", "conv_id", "name", "position", "n_results")]
-            more = [b.column(b.schema.get_field_index(c)) for c in ("n_calls", "results_sum")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(status, pa.string()), pa.array(wrong, pa.list_(pa.string())), pa.array(texts, pa.string()), *more], ["call_id", "conv_id", "name", "position", "n_results", "status", "problems", "json", "n_calls", "results_sum"])
+            more = [b.column(b.schema.get_field_index(c)) for c in ("n_calls", "results_sum", "results")]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(status, pa.string()), pa.array(wrong, pa.list_(pa.string())), pa.array(texts, pa.string()), *more], ["call_id", "conv_id", "name", "position", "n_results", "status", "problems", "json", "n_calls", "results_sum", "results"])
 
     kinds = {f.name: f.dataType.simpleString() for f in joined.schema}
-    return joined.mapInArrow(checked, f"call_id {kinds['call_id']}, conv_id {kinds['conv_id']}, name string, position long, n_results long, status string, problems array<string>, json string, n_calls long, results_sum long")
+    return joined.mapInArrow(checked, f"call_id {kinds['call_id']}, conv_id {kinds['conv_id']}, name string, position long, n_results long, status string, problems array<string>, json string, n_calls long, results_sum long, results array<string>")

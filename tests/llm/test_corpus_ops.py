@@ -313,6 +313,8 @@ def test_tool_calls_by_conversation(spark):
         (2, "call_1", 2, 0, "no_result", 0), (2, "call_2", 1, 1, "no_result", 0), (2, "call_1", 2, 2, "no_result", 0),
     } and tool_calls.link_tool_calls(calls, results, queries.TOOLS).count() == 7
     assert sorted(tuple(r) for r in tool_calls.linked_results(calls, results).filter("conv_id is not null").collect() if r["content"]) == [(1, "call_1", "a"), (1, "call_1", "b")]
+    listed = {(r["conv_id"], r["call_id"]): r["results"] for r in tool_calls.link_tool_calls(calls, results, queries.TOOLS).collect()}
+    assert listed[1, "call_1"] == [None, "a", "b"] and listed[None, "call_1"] == ["n"] and listed[1, "call_2"] == []
     turns = spark.createDataFrame([(None, 3, "user", "a"), (5, 3, "user", "b"), (3, None, "user", "c"), (3, None, "user", "d"), (3, None, "assistant", "e"), (None, 4, "assistant", "f")], "conv_id long, turn int, role string, text string")
     linked = tool_calls.link_tool_calls(*queries.chat_calls(turns), queries.TOOLS).collect()
     assert sorted((r["conv_id"] or 0, r["call_id"], r["n_calls"], r["position"], r["n_results"]) for r in linked) == [(0, "3", 1, 0, 1), (3, "3", 2, 0, 0), (3, "3", 2, 0, 0), (5, "5:3", 1, 0, 0)]
