@@ -224,7 +224,7 @@ WIDTH, SIMILAR = 5, 0.8
 WIDE, COMPARED, DIFFER = 256, 128, 0.152
 #: Most of the compared bits in which such texts differ: five deviations over their mean.
 WIDE_RADIUS = 40
-#: Buckets up to here give all their near pairs, by popcounts; larger ones, bit-sliced, a spanning forest of them.
+#: Buckets up to here give all their near pairs, by popcounts; larger ones, bit-sliced, first a spanning forest of them, then all between components.
 SMALL = 32
 #: Bits of the filter for texts in a pair; 1 MB is sent to tasks.
 ASKED = 1 << 23
@@ -281,39 +281,46 @@ def _runs(lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
 
 
-def candidate_pairs(nodes: DataFrame, radius: int = WIDE_RADIUS, tile: int = TILE) -> DataFrame:
+def candidate_pairs(nodes: DataFrame, radius: int = WIDE_RADIUS, tile: int = TILE, total: int | None = None, crowds: bool = False) -> DataFrame:
     """Distinct pairs (a, b) of nodes (node; b0 to b3: WIDE bits as numbers) that share a sampled key and differ in few of the COMPARED bits.
 
+    Buckets of up to SMALL give all such pairs, larger ones a spanning forest of
+    them; crowds: and a pair (a, a) for each node of theirs.  Nodes with a
+    column `root` (and the `total` of the run before) give all such pairs
+    between roots in the larger buckets instead.
     A bucket of more than `tile` nodes (told by every 64th node; this changes
     only where pairs are found) is dealt into groups, every two of which meet in
     one task.
     """
-    total = nodes.count()
+    total = nodes.count() if total is None else total
     tables = samples_for(total)
+    own = ["root"] if "root" in nodes.columns else []
     powers = (1 << np.arange(tables.shape[1], dtype=np.int64)).astype(np.int64)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 part = b.slice(at, 4096)
-                raw = np.stack([np.asarray(c) for c in part.columns[1:]], axis=1).astype("<i8").view(np.uint8)
+                raw = np.stack([np.asarray(c) for c in part.columns[1 : 1 + len(BITS)]], axis=1).astype("<i8").view(np.uint8)
                 bits = np.unpackbits(raw, axis=1, bitorder="little")
                 keys = np.concatenate([bits[:, t].astype(np.int64) @ powers + (i << 40) for i, t in enumerate(tables)])
                 words = raw[:, : COMPARED // 8].copy().view("<i8")
-                cols = [np.tile(np.asarray(part.column(0)), len(tables)), *(np.tile(words[:, k], len(tables)) for k in range(words.shape[1]))]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, cols)], ["key", "node", "f0", "f1"])
+                cols = [np.tile(np.asarray(part.column(0)), len(tables)), *(np.tile(words[:, k], len(tables)) for k in range(words.shape[1])), *(np.tile(np.asarray(c), len(tables)) for c in part.columns[1 + len(BITS) :])]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, cols)], ["key", "node", "f0", "f1", *own])
 
-    rows = nodes.select("node", *BITS).mapInArrow(keyed, "key long, node long, f0 long, f1 long")
+    kinds = ", ".join(f"{c} long" for c in ("key", "node", "f0", "f1", *own))
+    rows = nodes.select("node", *BITS, *own).mapInArrow(keyed, kinds)
     every = 64 if total > 64 * tile else 1
-    some = nodes.filter(F.pmod("node", F.lit(every)) == 0).select("node", *BITS).mapInArrow(keyed, "key long, node long, f0 long, f1 long")
+    some = nodes.filter(F.pmod("node", F.lit(every)) == 0).select("node", *BITS, *own).mapInArrow(keyed, kinds)
     sizes = some.groupBy("key").agg((F.count("*") * every).alias("n")).filter(F.col("n") > tile)
     if total > tile:  # few rows: each stands for more than `tile` nodes
         rows = rows.join(stored(sizes, "big"), "key", "left")
         groups = F.ceil(F.coalesce("n", F.lit(1)) / F.lit(tile)).cast("int")
         rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), groups).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), groups - 1)))
         met = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))  # the two groups that meet
-        rows = rows.select(F.when(groups == 1, F.col("key")).otherwise(met).alias("key"), "node", "f0", "f1")
+        rows = rows.select(F.when(groups == 1, F.col("key")).otherwise(met).alias("key"), "node", "f0", "f1", *own)
     dealt = rows.repartition("key").sortWithinPartitions("key", "node")
+    found = _between if own else _with_crowds if crowds else _only_near
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -323,14 +330,49 @@ def candidate_pairs(nodes: DataFrame, radius: int = WIDE_RADIUS, tile: int = TIL
             key = np.asarray(t["key"])
             last = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last run may go on
             if last:
-                yield _near(t.slice(0, last), key[:last], radius)
+                yield from found(t.slice(0, last), key[:last], radius)
             held = t.slice(last)
         if held is not None and len(held):
-            yield _near(held, np.asarray(held["key"]), radius)
+            yield from found(held, np.asarray(held["key"]), radius)
 
     return dealt.mapInArrow(near, "a long, b long").distinct()
 
 
+def _only_near(t: pa.Table, key: np.ndarray, radius: int) -> Iterator[pa.RecordBatch]:
+    yield _near(t, key, radius)
+
+
+def _with_crowds(t: pa.Table, key: np.ndarray, radius: int) -> Iterator[pa.RecordBatch]:
+    """_near(), and a pair (a, a) for each node of a bucket that gave only a spanning forest."""
+    yield _near(t, key, radius)
+    sizes = np.diff(np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)))
+    node = np.unique(np.asarray(t["node"])[np.repeat(sizes > SMALL, sizes)])
+    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node)], ["a", "b"])
+
+
+def _between(t: pa.Table, key: np.ndarray, radius: int) -> Iterator[pa.RecordBatch]:
+    """All near pairs of different roots in buckets of more than SMALL, row by row, so that memory stays bounded."""
+    node, root, fps = np.asarray(t["node"]), np.asarray(t["root"]), np.stack([np.asarray(t["f0"]), np.asarray(t["f1"])], axis=1).view(np.uint64)
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    sizes = np.diff(np.append(starts, len(key)))
+    left, right, held = [], [], 0
+    for start, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+        end = start + n
+        for i in range(start, end - 1):
+            others = i + 1 + np.flatnonzero(root[i + 1 : end] != root[i])
+            others = others[np.bitwise_count(fps[others] ^ fps[i]).sum(1) <= radius]
+            left.append(np.full(len(others), node[i]))
+            right.append(node[others])
+            held += len(others)
+            if held > 1 << 18:
+                a, b = np.concatenate(left), np.concatenate(right)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                left, right, held = [], [], 0
+    if held:
+        a, b = np.concatenate(left), np.concatenate(right)
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
 def _near(t: pa.Table, key: np.ndarray, radius: int) -> pa.RecordBatch:
     """Near pairs of rows sorted by key and node."""
     node, fps = np.asarray(t["node"]), np.stack([np.asarray(t["f0"]), np.asarray(t["f1"])], axis=1).view(np.uint64)
@@ -377,23 +419,34 @@ def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     marks = stored(rows.mapInArrow(marked, f"id {rows.schema['id'].dataType.simpleString()}, node long, " + "".join(f"{b} long, " for b in BITS) + "shingles binary"), "marks")
     nodes = stored(marks.groupBy("node").agg(F.min("id").alias("first"), *[F.min(b).alias(b) for b in BITS]), "classes")
-    pairs = stored(candidate_pairs(nodes), "pairs")
-    # only texts in a pair send their sets (told by a bitmap of ASKED bits: a text that only shares its bit leaves in the join), one for each
-    # class; a crowd of copies is brought down to one row in each task first
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    place = (F.pmod("node", F.lit(ASKED)) + 1).alias("p")
-    bitmap = np.zeros(ASKED // 8, np.uint8)
-    for r in ends.select(place).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect():  # a row for each 32,768 bits
-        bitmap[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = np.asarray(b.column(0)) % ASKED
-            yield b.filter(pa.array((bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+    def links_of(pairs: DataFrame) -> DataFrame:
+        # only texts in a pair send their sets (told by a bitmap of ASKED bits: a text that only shares its bit leaves in the join), one for each
+        # class; a crowd of copies is brought down to one row in each task first
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        place = (F.pmod("node", F.lit(ASKED)) + 1).alias("p")
+        bitmap = np.zeros(ASKED // 8, np.uint8)
+        for r in ends.select(place).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect():  # a row for each 32,768 bits
+            bitmap[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+
+        def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at = np.asarray(b.column(0)) % ASKED
+                yield b.filter(pa.array((bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+
+        sets = marks.select("node", "shingles").mapInArrow(asked, "node long, shingles binary").join(ends, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+        return stored(both.select("a", "b", "x", "y").mapInArrow(verified, "a long, b long"), "near")
 
-    sets = marks.select("node", "shingles").mapInArrow(asked, "node long, shingles binary").join(ends, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    roots = components(both.select("a", "b", "x", "y").mapInArrow(verified, "a long, b long"))
+    total = nodes.count()
+    found = stored(candidate_pairs(nodes, total=total, crowds=True), "pairs")
+    pairs, crowd = found.filter("a <> b"), found.filter("a = b").select(F.col("a").alias("node"))
+    links = links_of(pairs)
+    roots = components(links)
+    if not crowd.isEmpty():
+        # a forest's links may fail the exact test where others of its bucket pass: all pairs between the components so far are looked at
+        rooted = nodes.join(crowd, "node", "left_semi").join(roots, "node", "left").select("node", *BITS, F.coalesce("root", "node").alias("root"))
+        more = stored(candidate_pairs(rooted, total=total).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        roots = components(links.unionByName(links_of(more)))
     discard(marks)
     return nodes.select("node", "first").join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
 

@@ -833,3 +833,20 @@ def test_near_dedup_keeps_one_of_each_similar_group(spark, docs, tmp_path):
         return {i: top(i) for i in at}
 
     assert groups(whole) == groups(tiled) and len(groups(whole)) >= 60
+
+
+def test_near_pairs_of_crowded_buckets(spark):
+    """Pairs of near copies among 600 texts that look alike without being near: a bucket's forest alone loses some."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(300)]
+
+    def changed(words, n):
+        words = list(words)
+        for i in rng.sample(range(len(words)), n):
+            words[i] = f"w{rng.randrange(10**9)}"
+        return words
+
+    firsts = [changed(base, 7) for _ in range(300)]
+    made = [" ".join(w) for f in firsts for w in (f, changed(f, 1))]
+    roots = {r["first"]: r["root"] for r in simhash.similar_texts(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")).collect()}
+    assert [i for i in range(0, 600, 2) if roots[i] != roots[i + 1]] == []
