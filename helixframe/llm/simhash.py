@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -88,27 +89,51 @@ def within(planes: list[int], fp: int, lanes: int, radius: int = RADIUS) -> int:
     return lanes
 
 
-def bucket_links(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """A spanning forest of the links in one bucket: pairs of places."""
+def bucket_links(fps: np.ndarray, radius: int = RADIUS, roots: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links in one bucket: pairs of places; members of one root count as linked already."""
     n = len(fps)
     if n < 2:
         return []
     planes, links = planes_of(fps), []
     values = [int.from_bytes(x.tobytes(), "little") for x in fps.astype("<u8")]
+    kin: dict[int, list[int]] = {}
+    if roots is not None:
+        names, place, count = np.unique(roots, return_inverse=True, return_counts=True)
+        if len(names) < n:
+            order = np.argsort(place, kind="stable")
+            for own in np.split(order, np.cumsum(count)[:-1]):
+                if len(own) > 1:
+                    kin |= dict.fromkeys(own.tolist(), own.tolist())
     unseen = (1 << n) - 1
+
+    def reached(i: int) -> None:
+        """i, and all of its root, are no longer unseen."""
+        nonlocal unseen
+        lanes = np.zeros(n, np.uint8)
+        own = kin.get(i, [i])
+        lanes[own] = 1
+        unseen &= ~(1 << i if len(own) == 1 else int.from_bytes(np.packbits(lanes, bitorder="little").tobytes(), "little"))
+        front.extend(own)
+
     while unseen:
-        first = (unseen & -unseen).bit_length() - 1
-        unseen ^= 1 << first
-        front = [first]
+        front: list[int] = []
+        reached((unseen & -unseen).bit_length() - 1)
         while front and unseen:
             i = front.pop()
-            found = within(planes, values[i], unseen, radius)
-            unseen ^= found
-            while found:
-                j = (found & -found).bit_length() - 1
-                found &= found - 1
-                links.append((i, j))
-                front.append(j)
+            while found := within(planes, values[i], unseen, radius):
+                if not kin:
+                    unseen ^= found
+                    while found:
+                        j = (found & -found).bit_length() - 1
+                        found &= found - 1
+                        links.append((i, j))
+                        front.append(j)
+                    break
+                while found:
+                    j = (found & -found).bit_length() - 1
+                    links.append((i, j))
+                    reached(j)
+                    found &= unseen
     return links
 
 
@@ -182,6 +207,8 @@ def components(links: DataFrame) -> DataFrame:
     Only minima are grouped, never neighbour lists.
     """
     edges = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    told = lambda e: e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+    before = told(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -190,11 +217,40 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         new = stored(small.filter("u <> v").distinct(), "links")
-        same = new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        before = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        same = told(new)
         edges = new
         if same == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        before = same
+
+
+def contracted(links: DataFrame, rows: int = 1 << 18) -> DataFrame:
+    """Fewer links (a, b), a < b, that connect the same nodes: of every so many rows one star a component."""
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(h.num_rows for h in held) >= rows:
+                yield star(held)
+                held = []
+        if held:
+            yield star(held)
+
+    def star(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ends = np.concatenate([np.asarray(h.column(i)) for i in (0, 1) for h in held])
+        node, place = np.unique(ends, return_inverse=True)
+        a, b = place[: len(place) // 2], place[len(place) // 2 :]
+        root = np.arange(len(node))
+        while (differ := root[a] != root[b]).any():
+            x, y = root[a[differ]], root[b[differ]]
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while (root[root] != root).any():
+                root = root[root]
+        far = root != np.arange(len(node))
+        return pa.RecordBatch.from_arrays([pa.array(node[root[far]]), pa.array(node[far])], ["a", "b"])
+
+    return links.select("a", "b").mapInArrow(stars, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -224,8 +280,14 @@ WIDTH, SIMILAR = 5, 0.8
 WIDE, COMPARED, DIFFER = 256, 128, 0.152
 #: Most of the compared bits in which such texts differ: five deviations over their mean.
 WIDE_RADIUS = 40
-#: Buckets up to here give all their near pairs, by popcounts; larger ones, bit-sliced, first a spanning forest of them, then all between components.
+#: Buckets up to here are compared by popcounts at once, larger ones row by row.
 SMALL = 32
+#: Near pairs a member that a bucket gives one by one; one with more is a crowd, of which only what it connects is given.
+PAIRS = 2
+#: Tables that tell crowds; the others look only between them.
+FIRST = 8
+#: Texts, and bytes of their sets, of a crowd that are compared in one piece with as many others.
+CROWD, CROWD_BYTES = 8192, 8 << 20
 #: Bits of the filter for texts in a pair; 1 MB is sent to tasks.
 ASKED = 1 << 23
 #: The columns of a wide fingerprint.
@@ -281,19 +343,22 @@ def _runs(lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
 
 
-def candidate_pairs(nodes: DataFrame, radius: int = WIDE_RADIUS, tile: int = TILE, total: int | None = None, crowds: bool = False) -> DataFrame:
-    """Distinct pairs (a, b) of nodes (node; b0 to b3: WIDE bits as numbers) that share a sampled key and differ in few of the COMPARED bits.
+def candidate_pairs(nodes: DataFrame, radius: int = WIDE_RADIUS, tile: int = TILE) -> DataFrame:
+    """Distinct pairs (a, b) that connect nodes (node; b0 to b3: WIDE bits as numbers) as all do that share a sampled key and differ in few of the COMPARED bits."""
+    total = nodes.count()
+    return candidates(nodes, samples_for(total), total, radius, tile).select("a", "b").distinct()
+
+
+def candidates(nodes: DataFrame, tables: np.ndarray, total: int, radius: int = WIDE_RADIUS, tile: int = TILE) -> DataFrame:
+    """(a, b, crowd): near pairs of nodes (see candidate_pairs()) with a key in common, of different roots where nodes have a column `root`.
 
-    Buckets of up to SMALL give all such pairs, larger ones a spanning forest of
-    them; crowds: and a pair (a, a) for each node of theirs.  Nodes with a
-    column `root` (and the `total` of the run before) give all such pairs
-    between roots in the larger buckets instead.
+    Buckets with few near pairs give all of them; one with more than PAIRS a
+    member gives a star for each component of its roots, marked as a crowd: pairs
+    that it leaves out are inside what the stars connect.
     A bucket of more than `tile` nodes (told by every 64th node; this changes
     only where pairs are found) is dealt into groups, every two of which meet in
     one task.
     """
-    total = nodes.count() if total is None else total
-    tables = samples_for(total)
     own = ["root"] if "root" in nodes.columns else []
     powers = (1 << np.arange(tables.shape[1], dtype=np.int64)).astype(np.int64)
 
@@ -320,7 +385,6 @@ def candidate_pairs(nodes: DataFrame, radius: int = WIDE_RADIUS, tile: int = TIL
         met = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))  # the two groups that meet
         rows = rows.select(F.when(groups == 1, F.col("key")).otherwise(met).alias("key"), "node", "f0", "f1", *own)
     dealt = rows.repartition("key").sortWithinPartitions("key", "node")
-    found = _between if own else _with_crowds if crowds else _only_near
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -330,63 +394,168 @@ def candidate_pairs(nodes: DataFrame, radius: int = WIDE_RADIUS, tile: int = TIL
             key = np.asarray(t["key"])
             last = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last run may go on
             if last:
-                yield from found(t.slice(0, last), key[:last], radius)
+                yield _near(t.slice(0, last), key[:last], radius)
             held = t.slice(last)
         if held is not None and len(held):
-            yield from found(held, np.asarray(held["key"]), radius)
-
-    return dealt.mapInArrow(near, "a long, b long").distinct()
-
+            yield _near(held, np.asarray(held["key"]), radius)
 
-def _only_near(t: pa.Table, key: np.ndarray, radius: int) -> Iterator[pa.RecordBatch]:
-    yield _near(t, key, radius)
-
-
-def _with_crowds(t: pa.Table, key: np.ndarray, radius: int) -> Iterator[pa.RecordBatch]:
-    """_near(), and a pair (a, a) for each node of a bucket that gave only a spanning forest."""
-    yield _near(t, key, radius)
-    sizes = np.diff(np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)))
-    node = np.unique(np.asarray(t["node"])[np.repeat(sizes > SMALL, sizes)])
-    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node)], ["a", "b"])
-
-
-def _between(t: pa.Table, key: np.ndarray, radius: int) -> Iterator[pa.RecordBatch]:
-    """All near pairs of different roots in buckets of more than SMALL, row by row, so that memory stays bounded."""
-    node, root, fps = np.asarray(t["node"]), np.asarray(t["root"]), np.stack([np.asarray(t["f0"]), np.asarray(t["f1"])], axis=1).view(np.uint64)
-    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    sizes = np.diff(np.append(starts, len(key)))
-    left, right, held = [], [], 0
-    for start, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
-        end = start + n
-        for i in range(start, end - 1):
-            others = i + 1 + np.flatnonzero(root[i + 1 : end] != root[i])
-            others = others[np.bitwise_count(fps[others] ^ fps[i]).sum(1) <= radius]
-            left.append(np.full(len(others), node[i]))
-            right.append(node[others])
-            held += len(others)
-            if held > 1 << 18:
-                a, b = np.concatenate(left), np.concatenate(right)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-                left, right, held = [], [], 0
-    if held:
-        a, b = np.concatenate(left), np.concatenate(right)
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+    return dealt.mapInArrow(near, "a long, b long, crowd boolean")
 
 
 def _near(t: pa.Table, key: np.ndarray, radius: int) -> pa.RecordBatch:
-    """Near pairs of rows sorted by key and node."""
+    """candidates() of rows sorted by key and node."""
     node, fps = np.asarray(t["node"]), np.stack([np.asarray(t["f0"]), np.asarray(t["f1"])], axis=1).view(np.uint64)
+    root = np.asarray(t["root"]) if "root" in t.column_names else node
     starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     sizes = np.diff(np.append(starts, len(key)))
     small = (sizes > 1) & (sizes <= SMALL)
     a, b = _all_near(fps, starts[small], sizes[small], radius)
-    parts = [(node[a], node[b])]
-    for start, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
-        links = np.array(bucket_links(fps[start : start + n], radius), np.int64).reshape(-1, 2)
-        parts.append((node[start + links[:, 0]], node[start + links[:, 1]]))
-    a, b = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+    a, b = a[root[a] != root[b]], b[root[a] != root[b]]
+    bucket = np.searchsorted(starts, a, side="right") - 1
+    crowded = np.bincount(bucket, minlength=len(starts)) > PAIRS * sizes
+    parts = [(a[~crowded[bucket]], b[~crowded[bucket]])]
+    for i in np.flatnonzero(sizes > SMALL).tolist():
+        at = slice(starts[i], starts[i] + sizes[i])
+        pairs = _few_near(fps[at], root[at], radius, PAIRS * int(sizes[i]))
+        if pairs is None:
+            crowded[i] = True
+        else:
+            parts.append((starts[i] + pairs[0], starts[i] + pairs[1]))
+    n = sum(len(p[0]) for p in parts)
+    for i in np.flatnonzero(crowded).tolist():
+        at = slice(starts[i], starts[i] + sizes[i])
+        top: dict[int, int] = {}  # the first of each tree; nodes come in ascending order
+        for x, y in bucket_links(fps[at], radius, root[at]):
+            top[y] = top.setdefault(x, x)
+        ends = np.array([(x, y) for y, x in top.items() if x != y], np.int64).reshape(-1, 2)
+        parts.append((starts[i] + ends[:, 0], starts[i] + ends[:, 1]))
+    a, b = (node[np.concatenate([p[i] for p in parts])] for i in (0, 1))
+    found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), np.arange(len(a)) >= n], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(found[:, 2] > 0)], ["a", "b", "crowd"])
+
+
+def _few_near(fps: np.ndarray, root: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Places of all near pairs of different roots in one bucket; None: more than `most`."""
+    left, right, n = [], [], 0
+    for i in range(len(fps) - 1):
+        others = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+        others = others[np.bitwise_count(fps[others] ^ fps[i]).sum(1) <= radius]
+        n += len(others)
+        if n > most:
+            return None
+        if len(others):
+            left.append(np.full(len(others), i))
+            right.append(others)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def set_links(sets: list[np.ndarray], similar: float = SIMILAR) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets (distinct numbers) with a Jaccard similarity of at least `similar`: pairs of places, none missed.
+
+    Members are put in order of frequency.  Near sets share one of their first
+    members, and what comes after the first that they share bounds all that
+    they share; who is left is counted.  Each set is compared only with those
+    that are not yet reached.
+    """
+    sizes = np.array([len(x) for x in sets], np.int64)
+    if len(sets) < 2:
+        return []
+    if len(sets) == 2:
+        x, y = sets
+        shared = len(np.intersect1d(x, y, assume_unique=True))
+        return [(0, 1)] if shared >= similar * (len(x) + len(y) - shared) else []
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    _, flat, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    row = np.repeat(np.arange(len(sets)), sizes)
+    flat = (np.sort(row * len(count) + rank[flat]) - row * len(count)).astype(np.int32)
+    firsts = np.maximum(sizes - np.ceil(similar * sizes - 1e-9).astype(np.int64) + 1, 0)
+    place = _runs(sizes)
+    own = np.flatnonzero(place < firsts[row])
+    own = own[np.argsort(flat[own], kind="stable")]
+    rows, places = row[own].astype(np.int32), place[own].astype(np.int32)  # who has each member among its first, and where
+    held = np.bincount(flat[own], minlength=len(count))
+    begin = np.cumsum(held) - held
+    unseen, left, seen_by = np.ones(len(sets), bool), len(sets), np.full(len(sets), -1, np.int32)
+    marked, links = np.zeros(len(count), bool), []
+    for first in range(len(sets)):
+        if not unseen[first]:
+            continue
+        unseen[first], left, front = False, left - 1, [first]
+        while front and left:
+            i = front.pop()
+            mine, near = flat[offsets[i] : offsets[i + 1]], []
+            for p, m in enumerate(mine[: firsts[i]].tolist()):
+                n = held[m]
+                if not n:
+                    continue
+                at = begin[m]
+                live = unseen[rows[at : at + n]]
+                if not live.all():
+                    keep = at + np.flatnonzero(live)
+                    n = held[m] = len(keep)
+                    rows[at : at + n], places[at : at + n] = rows[keep], places[keep]
+                    if not n:
+                        continue
+                who, where = rows[at : at + n], places[at : at + n]
+                new = seen_by[who] != i
+                who, where = who[new], where[new]
+                seen_by[who] = i
+                most = 1 + np.minimum(sizes[i] - p, sizes[who] - where) - 1
+                near.append(who[most >= similar * (sizes[i] + sizes[who] - most)])
+            if not near:
+                continue
+            near = np.concatenate(near)
+            marked[mine] = True
+            for k in range(0, len(near), step := max(1, (1 << 21) // max(1, int(sizes[near].max(initial=1))))):
+                who = near[k : k + step]
+                n = sizes[who]
+                at = np.repeat(offsets[who], n) + _runs(n)
+                shared = np.add.reduceat(marked[flat[at]].astype(np.int64), np.cumsum(n) - n)
+                found = who[shared >= similar * (sizes[i] + n - shared)]
+                unseen[found] = False
+                left -= len(found)
+                front += found.tolist()
+                links += [(i, j) for j in found.tolist()]
+            marked[mine] = False
+    return links
+
+
+def crowd_cells(members: DataFrame, most: int = CROWD, most_bytes: int = CROWD_BYTES) -> DataFrame:
+    """(met, node): which texts (node, root, bytes) of each root meet; one with more than `most` texts or bytes is dealt into groups, every two of which meet."""
+    groups = F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("bytes") / most_bytes), F.lit(1)).cast("int")
+    rows = members.join(members.groupBy("root").agg(groups.alias("groups")), "root").withColumn("own", F.pmod(F.xxhash64("node"), "groups").cast("int"))
+    others = F.when(F.col("groups") == 1, F.array(F.lit(0))).otherwise(F.array_except(F.sequence(F.lit(0), F.col("groups") - 1), F.array("own")))
+    return rows.select("node", "root", "own", F.explode(others).alias("other")).select(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("met"), "node")
+
+
+def near_sets(cells: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Links (a, b) that connect the texts (node, shingles) that meet (met, node) exactly as all pairs do whose sets are near."""
+    dealt = cells.join(sets, "node").select("met", "node", "shingles").repartition("met").sortWithinPartitions("met", "node")
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(links):
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        def of(nodes, texts):
+            return [(nodes[i], nodes[j]) for i, j in set_links(texts, similar)]
+
+        at, nodes, texts, links = None, [], [], []
+        for b in batches:
+            for met, node, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                if met != at:
+                    links += of(nodes, texts)
+                    at, nodes, texts = met, [], []
+                nodes.append(node)
+                texts.append(np.frombuffer(x.as_buffer(), np.uint32).copy())
+            if len(links) > 50_000:
+                yield out(links)
+                links = []
+        yield out(links + of(nodes, texts))
+
+    return dealt.mapInArrow(linked, "a long, b long")
 
 
 def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
@@ -407,22 +576,13 @@ def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 small = [np.unique(h.astype(np.uint32)).tobytes() for h in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node), *map(pa.array, bits.T.copy()), pa.array(small, pa.binary())], ["id", "node", *BITS, "shingles"])
 
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            near = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                near.append(shared >= similar * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
-
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     marks = stored(rows.mapInArrow(marked, f"id {rows.schema['id'].dataType.simpleString()}, node long, " + "".join(f"{b} long, " for b in BITS) + "shingles binary"), "marks")
-    nodes = stored(marks.groupBy("node").agg(F.min("id").alias("first"), *[F.min(b).alias(b) for b in BITS]), "classes")
-    def links_of(pairs: DataFrame) -> DataFrame:
-        # only texts in a pair send their sets (told by a bitmap of ASKED bits: a text that only shares its bit leaves in the join), one for each
-        # class; a crowd of copies is brought down to one row in each task first
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = stored(marks.groupBy("node").agg(F.min("id").alias("first"), *[F.min(b).alias(b) for b in BITS], F.min(F.length("shingles")).alias("bytes")), "classes")
+
+    def sets_of(ends: DataFrame) -> DataFrame:
+        # only texts that are asked for send their sets (told by a bitmap of ASKED bits: a text that only shares its bit leaves in the join), one for
+        # each class; a crowd of copies is brought down to one row in each task first
         place = (F.pmod("node", F.lit(ASKED)) + 1).alias("p")
         bitmap = np.zeros(ASKED // 8, np.uint8)
         for r in ends.select(place).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect():  # a row for each 32,768 bits
@@ -433,20 +593,22 @@ def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 at = np.asarray(b.column(0)) % ASKED
                 yield b.filter(pa.array((bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
 
-        sets = marks.select("node", "shingles").mapInArrow(asked, "node long, shingles binary").join(ends, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-        return stored(both.select("a", "b", "x", "y").mapInArrow(verified, "a long, b long"), "near")
+        return marks.select("node", "shingles").mapInArrow(asked, "node long, shingles binary").join(ends, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
     total = nodes.count()
-    found = stored(candidate_pairs(nodes, total=total, crowds=True), "pairs")
-    pairs, crowd = found.filter("a <> b"), found.filter("a = b").select(F.col("a").alias("node"))
-    links = links_of(pairs)
-    roots = components(links)
-    if not crowd.isEmpty():
-        # a forest's links may fail the exact test where others of its bucket pass: all pairs between the components so far are looked at
-        rooted = nodes.join(crowd, "node", "left_semi").join(roots, "node", "left").select("node", *BITS, F.coalesce("root", "node").alias("root"))
-        more = stored(candidate_pairs(rooted, total=total).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        roots = components(links.unionByName(links_of(more)))
+    tables = samples_for(total)
+    found = stored(candidates(nodes, tables[:FIRST], total).distinct(), "pairs")
+    if len(tables) > FIRST:
+        known = found.filter("crowd").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
+        rooted = stored(nodes.join(known, "node", "left").select("node", *BITS, F.coalesce("root", "node").alias("root")), "rooted")
+        found = found.unionByName(stored(candidates(rooted, tables[FIRST:], total).distinct(), "pairs"))
+    # a crowd's texts are compared where they meet; pairs that lie in one need no look of their own
+    crowds = components(contracted(found.filter("crowd")))
+    root_of = lambda end: crowds.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    pairs = found.filter("NOT crowd").select("a", "b").distinct().join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+    pairs = pairs.filter("root_a IS NULL OR root_b IS NULL OR root_a <> root_b").select(F.xxhash64("a", "b").alias("met"), F.explode(F.array("a", "b")).alias("node"))
+    cells = stored(crowd_cells(crowds.join(nodes.select("node", "bytes"), "node").select("node", "root", "bytes")).unionByName(pairs), "cells")
+    roots = components(contracted(stored(near_sets(cells, sets_of(cells.select("node").distinct()), similar), "near")))
     discard(marks)
     return nodes.select("node", "first").join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
 

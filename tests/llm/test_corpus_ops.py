@@ -850,3 +850,43 @@ def test_near_pairs_of_crowded_buckets(spark):
     made = [" ".join(w) for f in firsts for w in (f, changed(f, 1))]
     roots = {r["first"]: r["root"] for r in simhash.similar_texts(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")).collect()}
     assert [i for i in range(0, 600, 2) if roots[i] != roots[i + 1]] == []
+
+
+def test_crowds_without_pair_rows(spark):
+    """Texts that look alike: links of their sets as by brute force, in pieces too, and rows that don't grow with the square of their number."""
+    rng = random.Random(11)
+
+    def groups(n, links):
+        at = list(range(n))
+
+        def top(i):
+            while at[i] != i:
+                i = at[i]
+            return i
+
+        for a, b in links:
+            a, b = sorted((top(a), top(b)))
+            at[b] = a
+        return [top(i) for i in range(n)]
+
+    sets = [sorted({*rng.sample(range(40), rng.randrange(25, 41)), *rng.sample(range(40, 400), rng.randrange(6))}) for _ in range(150)]
+    near = lambda x, y: len(set(x) & set(y)) >= 0.8 * len(set(x) | set(y))
+    brute = {(i, j) for j in range(150) for i in range(j) if near(sets[i], sets[j])}
+    links = simhash.set_links([np.array(x, np.uint32) for x in sets])
+    assert groups(150, links) == groups(150, brute) and {tuple(sorted(x)) for x in links} <= brute and len(links) < 150
+    members = spark.createDataFrame([(i, 7, 4 * len(x)) for i, x in enumerate(sets)], "node long, root long, bytes long")
+    bags = spark.createDataFrame([(i, np.array(x, np.uint32).tobytes()) for i, x in enumerate(sets)], "node long, shingles binary")
+    for most in (1000, 40):  # at once, and in pieces that meet two by two
+        assert groups(150, [tuple(r) for r in simhash.near_sets(simhash.crowd_cells(members, most), bags).collect()]) == groups(150, brute)
+
+    alike = lambda i: (i, *(0x5A5A5A5A5A5A5A5A ^ (1 << rng.randrange(62)) for _ in range(4)))
+    nodes = spark.createDataFrame([alike(i) for i in range(600)], "node long, b0 long, b1 long, b2 long, b3 long").cache()
+    tables = simhash.samples_for(600)
+    found = [tuple(r) for r in simhash.candidates(nodes, tables[:8], 600).collect()]
+    assert len(found) <= 600 * 8 * (simhash.PAIRS + 1) and any(c for _, _, c in found)
+    one = nodes.selectExpr("*", "0L AS root")
+    assert simhash.candidates(one, tables[8:], 600).count() == 0  # a crowd that is known needs no further links
+    links = spark.createDataFrame([(rng.randrange(300), rng.randrange(300)) for _ in range(250)], "a long, b long")
+    for rows in (50, 1000):
+        fewer = [tuple(r) for r in simhash.contracted(links, rows).collect()]
+        assert groups(300, fewer) == groups(300, [tuple(r) for r in links.collect()]) and all(a < b for a, b in fewer)
