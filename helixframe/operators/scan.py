@@ -1,12 +1,13 @@
 """Mismatch scans of oligos against transcripts.
 
 Transcripts are cut into tiles (a tile owns the windows that start in it) and
-windows become numbers, two bits a base.  Windows and targets meet in an
-equi-join on one of k + 1 pieces, of which a window with at most k mismatches
-must match one exactly: bit slices of the numbers.  Few targets are broadcast
-(their number is counted first), so windows aren't shuffled; more are joined
-by a shuffle.  A pair counts only at its first matching piece, so nothing has
-to be made distinct.  Where pieces are so short that they tell little, targets are
+windows become numbers, two bits a base, batch by batch (functions/packed.py).
+Windows and targets meet on one of k + 1 pieces, of which a window with at most
+k mismatches must match one exactly: bit slices of the numbers.  Few targets
+(their number is counted first) go to the tasks, where windows meet them as
+they are cut, so that only matches become rows; more are joined by a shuffle,
+where a pair counts only at its first matching piece, so nothing has to be
+made distinct.  Where pieces are so short that they tell little, targets are
 opened into all strings near their halves.  Oligos of all lengths share one pass.
 """
 
@@ -14,15 +15,18 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.functions import packed
+from helixframe.functions.packed import ODD_BITS, WORD, changes, piece_edges
 from helixframe.functions.seq import mismatch_positions, normalize_rna, reverse_complement
 from helixframe.operators import lineage
 
-#: Windows owned by a tile, targets that are broadcast at most, bases in one number, targets that one copy of a transcript carries (about).
-TILE, FEW, WORD, CARRIED = 256, 2000, 30, 16
-ODD_BITS = 6148914691236517205
+#: Windows owned by a tile, targets that are sent to tasks at most, targets that one copy of a transcript carries (about), entries of a task's table of opened targets.
+TILE, FEW, CARRIED, OPENED = 256, 2000, 16, 1 << 22
 
 
 def query_regions(queries: DataFrame, regions: list[tuple[str, int | None, int | None]]) -> DataFrame:
@@ -41,15 +45,16 @@ def query_regions(queries: DataFrame, regions: list[tuple[str, int | None, int |
 
 def tiles(transcripts: DataFrame, longest: int, size: int = TILE, carried: tuple[str, ...] = ()) -> DataFrame:
     """(accession, carried columns, offset, tile, owned): pieces of size + longest - 1 bases; the windows that start in the first `owned` are its own."""
-    rows = transcripts.select("accession", *carried, F.regexp_extract_all(normalize_rna("seq"), F.lit(f"(?s).{{1,{size}}}"), F.lit(0)).alias("parts"))
-    ahead = -(-(longest - 1) // size)  # parts that a tile's windows reach into
-    nexts = [F.slice("parts", i + 2, F.greatest(F.size("parts"), F.lit(1))).alias(f"p{i}") for i in range(ahead)]
-    pieces = F.arrays_zip(F.col("parts").alias("own"), *nexts)
-    cut = rows.withColumn("pieces", pieces).select("accession", *carried, F.posexplode("pieces").alias("n", "p"))
-    names = [f.name for f in cut.schema["p"].dataType.fields]
-    more = F.substring(F.concat(F.lit(""), *[F.coalesce(F.col(f"p.`{n}`"), F.lit("")) for n in names[1:]]), 1, longest - 1)
-    own = F.col(f"p.`{names[0]}`")
-    return cut.select("accession", *carried, (F.col("n") * size).alias("offset"), F.concat(own, more).alias("tile"), F.length(own).alias("owned"))
+    rows = transcripts.select("accession", *carried, normalize_rna("seq").alias("seq")).filter("seq <> ''")
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "seq"]
+    names = ("accession", *carried)
+
+    def cut(batches):
+        for batch in batches:
+            for row, offset, tile, owned in packed.tiles(batch.column("seq"), size, longest - 1):
+                yield pa.RecordBatch.from_arrays([*[batch.column(n).take(row) for n in names], offset, tile, owned], [*names, "offset", "tile", "owned"])
+
+    return rows.mapInArrow(cut, ", ".join(kinds) + ", offset int, tile string, owned int")
 
 
 def spread(cut: DataFrame, source: DataFrame) -> DataFrame:
@@ -67,12 +72,12 @@ def windows(transcripts: DataFrame, lengths: list[int], size: int = TILE) -> Dat
     return _cutouts(cut.withColumn("size", F.explode(sizes)) if len(lengths) > 1 else cut.withColumn("size", F.lit(lengths[0])))
 
 
-def _cutouts(cut: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
-    """(accession, carried columns, start, size, window) of tiles with a window size each."""
+def _cutouts(cut: DataFrame) -> DataFrame:
+    """(accession, start, size, window) of tiles with a window size each."""
     last = F.least("owned", F.length("tile") - F.col("size") + 1)
     pure = F.col("tile").rlike("^[ACGU]*$").alias("pure")
-    at = cut.filter(last >= 1).select("accession", *carried, "offset", "tile", pure, "size", F.explode(F.sequence(F.lit(1), last)).alias("i"))
-    cutout = at.select("accession", *carried, (F.col("offset") + F.col("i")).cast("int").alias("start"), "size", "pure", F.substr("tile", "i", "size").alias("window"))
+    at = cut.filter(last >= 1).select("accession", "offset", "tile", pure, "size", F.explode(F.sequence(F.lit(1), last)).alias("i"))
+    cutout = at.select("accession", (F.col("offset") + F.col("i")).cast("int").alias("start"), "size", "pure", F.substr("tile", "i", "size").alias("window"))
     return cutout.filter(F.col("pure") | F.col("window").rlike("^[ACGU]+$")).drop("pure")
 
 
@@ -84,18 +89,22 @@ def own_matches(transcripts: DataFrame, asked: DataFrame, lengths: list[int], ma
     arrays are small enough to be broadcast), windows never.  An accession with
     many targets is dealt over several copies of its transcript.
     """
-    k, parts = max_mismatches, range(-(-max(lengths) // WORD))
     copies = asked.groupBy("accession").agg(F.ceil(F.count("*") / CARRIED).alias("copies"))
     dealt = asked.join(copies, "accession").withColumn("copy", F.pmod(F.xxhash64("target"), F.col("copies")))
-    fields = F.struct("size", F.col("target"), *[code("target", p).alias(f"t{p}") for p in parts])
-    arrays = dealt.groupBy("accession", "size", "copy").agg(F.collect_list(fields).alias("targets")).drop("copy")
+    arrays = dealt.groupBy("accession", "size", "copy").agg(F.collect_list("target").alias("targets")).drop("copy")
     held = transcripts.join(arrays, "accession").filter(F.length("seq") >= F.col("size"))
-    carried = ("size", "targets")
-    seen = _cutouts(tiles(held, max(lengths), carried=carried), ("targets",)).select("accession", "targets", "start", "window", *[code("window", p).alias(f"w{p}") for p in parts])
-    differ = lambda t: reduce(lambda a, b: a + b, [code_mismatches(F.col(f"w{p}"), t[f"t{p}"]) for p in parts])
-    near = seen.withColumn("near", F.filter("targets", lambda t: differ(t) <= k)).filter(F.size("near") > 0)
-    hits = near.select("accession", "start", "window", *[f"w{p}" for p in parts], F.explode("near").alias("t"))
-    return hits.select("t.target", "accession", "start", "window", differ(F.col("t")).alias("mismatches"))
+    cut = tiles(held, max(lengths), carried=("size", "targets"))
+
+    def compared(batches):
+        for batch in packed.slices(batches):
+            for n in batch.column("size").unique().to_pylist():
+                yield packed.own_rows(batch.filter(pc.equal(batch.column("size"), n)), n, max_mismatches)
+
+    return cut.mapInArrow(compared, f"target string, accession {_kind(cut)}, start int, window string, mismatches int")
+
+
+def _kind(df: DataFrame) -> str:
+    return df.schema["accession"].dataType.simpleString()
 
 
 def code(x, part: int = 0) -> Column:
@@ -114,12 +123,6 @@ def code_mismatches(a, b) -> Column:
     return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(ODD_BITS)))
 
 
-def piece_edges(length: int, k: int) -> list[tuple[int, int]]:
-    """k + 1 pieces of a window: (first base from 0, base after)."""
-    edges = [length * i // (k + 1) for i in range(k + 2)]
-    return list(zip(edges, edges[1:]))
-
-
 def seeds_tell(length: int, k: int) -> bool:
     """Whether pieces match chance windows seldom enough: on random bases under half of all pairs are compared."""
     return length > k and sum(4.0 ** (a - b) for a, b in piece_edges(length, k)) < 0.5
@@ -159,19 +162,6 @@ def _checked(pairs: DataFrame, masks: list[Column], k: int) -> DataFrame:
     return pairs.withColumn("mismatches", code_mismatches(F.col("w"), F.col("t"))).filter((F.col("mismatches") <= k) & first)
 
 
-def changes(first: int, after: int, length: int, most: int) -> list[int]:
-    """What to XOR a window's number with so that at most `most` of the bases first..after-1 change."""
-    out = [0]
-    for at in range(first, after):
-        shift = 2 * (length - 1 - at)
-        out += [x ^ (c << shift) for x in out if _changed(x) < most for c in (1, 2, 3)]
-    return out
-
-
-def _changed(x: int) -> int:
-    return bin((x | x >> 1) & ODD_BITS).count("1")
-
-
 def _neighbours(seen: DataFrame, asked: DataFrame, length: int, k: int, few: bool) -> DataFrame:
     """Pairs within k mismatches where seeds tell nothing: one half of the window has at most k // 2 of them.
 
@@ -189,10 +179,32 @@ def _neighbours(seen: DataFrame, asked: DataFrame, length: int, k: int, few: boo
 
 
 def _numbered_pairs(seen: DataFrame, asked: DataFrame, lengths: list[int], k: int, plan: str, few: bool) -> list[DataFrame]:
-    """Pairs of windows (size, w) and targets (size, t) within k mismatches, by the plan that suits each length."""
+    """Pairs of the windows of tiles (size, w) and targets (size, t) within k mismatches, by the plan that suits each length."""
+    if few:
+        return [_few_pairs(seen, asked, k, plan)]
     by_seed = [n for n in lengths if n > k and plan != "scan" and (plan == "seed" or seeds_tell(n, k))]
-    found = [_seeded(seen.filter(F.col("size").isin(by_seed)), asked.filter(F.col("size").isin(by_seed)), by_seed, k, few)] if by_seed else []
-    return found + [_neighbours(seen.filter(F.col("size") == n), asked.filter(F.col("size") == n), n, k, few) for n in lengths if n not in by_seed]
+    of = lambda n: (packed_windows(seen, n), asked.filter(F.col("size").isin(n)))
+    found = [_seeded(*of(by_seed), by_seed, k, few)] if by_seed else []
+    return found + [_neighbours(*of([n]), n, k, few) for n in lengths if n not in by_seed]
+
+
+def _few_pairs(seen: DataFrame, asked: DataFrame, k: int, plan: str) -> DataFrame:
+    """The pairs where tiles lie: FEW targets at most go to the tasks."""
+    wanted: dict[int, list[str]] = {}
+    for r in asked.select("target", "size").collect():
+        wanted.setdefault(r["size"], []).append(r["target"])
+
+    def seeds(n: int, targets: int) -> bool:
+        opened = max(packed.chance(b - a, 0, k // 2) * 4.0 ** (b - a) for a, b in piece_edges(n, 1) if a < b)
+        return n > k and plan != "scan" and (plan == "seed" or packed.chance(n, k, 0) <= packed.chance(n, 1, k // 2) or opened * targets > OPENED)
+
+    def near(batches):
+        tables = [packed.Targets(texts, n, k, seeds(n, len(texts))) for n, texts in sorted(wanted.items())]
+        for batch in packed.slices(batches):
+            for table in tables:
+                yield packed.near_rows(batch, table)
+
+    return seen.mapInArrow(near, f"target string, accession {_kind(seen)}, start int, size int, w bigint, mismatches int")
 
 
 def window_matches(transcripts: DataFrame, targets: DataFrame, length: int | list[int], max_mismatches: int, plan: str = "auto", per_accession: bool = False) -> DataFrame:
@@ -211,7 +223,7 @@ def window_matches(transcripts: DataFrame, targets: DataFrame, length: int | lis
     few = asked.limit(FEW + 1).count() <= FEW
     short, found = [n for n in lengths if n <= WORD], []
     if short:
-        seen = windows(transcripts, short).select("accession", "start", "size", code("window").alias("w"))
+        seen = spread(tiles(transcripts, max(short)), transcripts)
         pairs = _numbered_pairs(seen, asked.withColumn("t", code("target")), short, k, plan, few)
         found += [p.select("target", "accession", "start", bases(F.col("w"), F.col("size")).alias("window"), "mismatches") for p in pairs]
     for n in (n for n in lengths if n > WORD):
@@ -271,11 +283,17 @@ def missing_accessions(wanted: DataFrame, transcripts: DataFrame) -> DataFrame:
 STRANDS = {"minus": reverse_complement, "plus": lambda x: F.col(x)}
 
 
-def packed_windows(transcripts: DataFrame, lengths: list[int]) -> DataFrame:
-    """(accession, start, size, w): all windows of these lengths, two bits a base."""
+def packed_windows(cut: DataFrame, lengths: list[int]) -> DataFrame:
+    """(accession, start, size, w): all windows of these lengths that tiles own, two bits a base."""
     if max(lengths) > WORD:
         raise ValueError(f"windows of more than {WORD} bases don't fit in one number")
-    return windows(transcripts, lengths).select("accession", "start", "size", code("window").alias("w"))
+
+    def numbers(batches):
+        for batch in packed.slices(batches):
+            for n in lengths:
+                yield packed.window_rows(batch, n)
+
+    return cut.mapInArrow(numbers, f"accession {_kind(cut)}, start int, size int, w bigint")
 
 
 def oligo_targets(queries: DataFrame, strands: tuple[str, ...]) -> DataFrame:
@@ -291,12 +309,14 @@ def offtarget_topk(queries: DataFrame, transcripts: DataFrame, max_mismatches: i
     The radius grows: exact hits first, then those with 1, 2, ... mismatches,
     each round only for oligos that have fewer than k hits, so an oligo of many
     repeats never lists its near ones.  Fewer mismatches mean longer seeds.
-    Windows are packed once, or come from an index that was written before.
+    Tiles are cut once, or windows come from an index that was written before.
     """
     asked = lineage.cut(oligo_targets(queries, strands))
     lengths = sorted(r[0] for r in asked.select("size").distinct().collect())  # a row a distinct oligo length
     if index is None and lengths:
-        seen = lineage.stored(packed_windows(transcripts, lengths), "windows")
+        if lengths[-1] > WORD:
+            raise ValueError(f"windows of more than {WORD} bases don't fit in one number")
+        seen = lineage.stored(spread(tiles(transcripts, lengths[-1]), transcripts), "tiles")
     open_, rounds = asked.withColumn("have", F.lit(0).cast("long")), []
     for r in range(max_mismatches + 1) if lengths else ():
         wanted = open_.select("target", "size", "t").distinct()
@@ -341,7 +361,7 @@ class SeedIndex:
     @classmethod
     def write(cls, transcripts: DataFrame, path: str, length: int, max_mismatches: int = 3, buckets: int = 64, table: str = "seed_index") -> SeedIndex:
         masks = _masks([length], lambda n: piece_edges(n, max_mismatches))
-        rows = packed_windows(transcripts, [length]).withColumn("p", _pieces("w", masks)).select("accession", "start", "size", "w", "p.no", "p.piece")
+        rows = packed_windows(spread(tiles(transcripts, length), transcripts), [length]).withColumn("p", _pieces("w", masks)).select("accession", "start", "size", "w", "p.no", "p.piece")
         # dealt by the buckets' hash, so that a task writes one file of each of its buckets
         rows.repartition(buckets, "no", "piece").write.bucketBy(buckets, "no", "piece").sortBy("no", "piece").option("path", path).format("parquet").saveAsTable(table)
         return cls(transcripts.sparkSession, path, length, max_mismatches, buckets, table)

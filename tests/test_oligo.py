@@ -365,3 +365,19 @@ def test_fasta_and_lists_over_many_splits(spark, tmp_path):
     (tmp_path / "empty.dat").write_text("# none\n\n")
     with pytest.raises(ValueError):
         readers.read_antisense(spark, str(tmp_path / "empty.dat"))
+
+
+def test_windows_meet_few_targets_where_they_are_cut(spark):
+    """Only matches become rows: no row a window, nor a piece of one."""
+    t = spark.createDataFrame([("a", "ACGU" * 300 + "NN" + "GGCA" * 5), ("b", ""), ("c", "ACG")], "accession string, seq string")
+    targets = spark.createDataFrame([("GUACGUACGUAC",)], "target_5to3 string")
+    found = scan.window_matches(t, targets, 12, 2)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["start"], r["mismatches"]) for r in found.collect()) == [(i, 0) for i in range(3, 1200 - 11, 4)]
+    cut = scan.tiles(t, 12).collect()
+    assert [r["offset"] for r in cut] == [0, 256, 512, 768, 1024, 0] and [r["owned"] for r in cut] == [256] * 4 + [198, 3]
+    assert cut[0]["tile"] == ("ACGU" * 67)[:267]
+    long = "ACGUU" * 7
+    own = spark.createDataFrame([("a", long)], "target_accession string, target_5to3 string")
+    here = spark.createDataFrame([("a", "GG" + long[:-1] + "A")], "accession string, seq string")
+    assert [tuple(r) for r in scan.window_matches(here, own, 35, 1, per_accession=True).collect()] == [(long, "a", 3, long[:-1] + "A", 1)]
