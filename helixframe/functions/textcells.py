@@ -22,7 +22,7 @@ def clean_text(x) -> Column:
 
 
 def is_blank(x) -> Column:
-    return clean_text(x) == ""
+    return ~F.coalesce(F.rlike(col(x), F.lit(r"(?U)\S")), F.lit(False))
 
 
 def parse_number(x) -> Column:

@@ -59,14 +59,29 @@ def _summaries(cells: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     whole = found.groupBy(*SHEET).agg(F.min(F.when(full, F.struct("block", "group_col", "compound_col"))).alias("first"), F.concat(F.lit("Geomean ("), F.array_join(listed, "; "), F.lit(")")).alias("all_genes"))
     each = found.filter(counts & usable).join(whole, SHEET)
     each = each.withColumns({n: F.when(full, F.col(n)).otherwise(F.col(f"first.{n}")) for n in ("group_col", "compound_col")} | {"kind": (~full).cast("int"), "source": F.when(full, F.array_join("genes", "; ")).otherwise(F.col("all_genes"))})
-    wanted = each.select(*BLOCK, "kind", "source", F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"{n}_col").alias("col")) for n in names]))).filter("col IS NOT NULL")
-    rows = sheets.columns_of(cells, wanted).groupBy(*BLOCK, "kind", "source", "row").agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names])
+    rows = sheets.block_rows(cells, each.select(*BLOCK, "kind", "source", *[f"{n}_col" for n in names]), {n: sheets.at(f"{n}_col") for n in names})
+    rows = rows.select(*BLOCK, "kind", "source", "row", *names)
     filled = forward_fill(rows.withColumns({f"__{n}": F.col(n) for n in names}), [f"__{n}" for n in names], BLOCK, ["row"])
     rows = drop_controls(filled.select(*BLOCK, "kind", "source", "row", *[F.when(F.col("kind") == 0, F.col(f"__{n}")).otherwise(F.col(n)).alias(n) for n in names]), "group", "compound")
+    a, b = first_two_numbers("mean_sem")
+    # Told before the texts are made, or their Python function would run twice.
+    rows = rows.filter((~is_blank("mean") | a.isNotNull()) & (~is_blank("sem") | b.isNotNull()))
     rows = rows.select(*BLOCK, "row", "group", "compound", "source", F.coalesce("size", F.lit("")).alias("size"), mean.alias("mean"), sem.alias("sem"), "kind")
-    rows = dedupe(rows.filter(~is_blank("mean") & ~is_blank("sem")), ["group", "compound", "source", "size", "mean", "sem"], "row", [*BLOCK, "kind"])
-    both = cut(found.select(*SHEET).distinct().join(rows, SHEET, "left"))
-    return both.filter("block IS NOT NULL"), issues, both.filter("block IS NULL").select(*SHEET)
+    rows = cut(dedupe(rows, ["group", "compound", "source", "size", "mean", "sem"], "row", [*BLOCK, "kind"]))
+    return rows, issues, _without(found, rows)
+
+
+def _without(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """The sheets of blocks that have no row."""
+    return cut(found.select(*SHEET).distinct().join(rows.select(*SHEET).distinct(), SHEET, "left_anti"))
+
+
+def _below_embedded(cells: DataFrame, rest: DataFrame) -> DataFrame | None:
+    """The regions under embedded headers of the sheets in `rest`; none: no such header."""
+    if rest.isEmpty():
+        return None
+    headers = cut(sheets.embedded_header(cells.join(rest, SHEET, "left_semi")))  # a row a sheet
+    return None if headers.isEmpty() else sheets.below_embedded(cells, headers)
 
 
 def summarize(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -76,8 +91,9 @@ def summarize(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     grid gives nothing.
     """
     both, issues, rest = _summaries(cells)
-    if not rest.isEmpty():
-        both = both.unionByName(_summaries(sheets.below_embedded(cells.join(rest, SHEET, "left_semi")))[0])
+    below = _below_embedded(cells, rest)
+    if below is not None:
+        both = both.unionByName(_summaries(below)[0])
     names = dict(zip(["group", "compound", "source", "size", "mean", "sem"], SUMMARY))
     return both.select(*SHEET, "kind", "block", "row", *[F.col(k).alias(v) for k, v in names.items()]), issues
 
@@ -90,9 +106,8 @@ def sample_cts(cells: DataFrame, numbers: DataFrame | None = None) -> DataFrame:
     an embedded header counts only for sheets whose whole grid gives nothing.
     """
     direct, rest = _sample_cts(cells, numbers)
-    if rest.isEmpty():
-        return direct
-    return direct.unionByName(_sample_cts(sheets.below_embedded(cells.join(rest, SHEET, "left_semi")), numbers)[0])
+    below = _below_embedded(cells, rest)
+    return direct if below is None else direct.unionByName(_sample_cts(below, numbers)[0])
 
 
 def _sample_cts(cells: DataFrame, numbers: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -101,14 +116,10 @@ def _sample_cts(cells: DataFrame, numbers: DataFrame | None) -> tuple[DataFrame,
     found = cut(sheets.block_reports(sheets.layout(cells)))  # a row a block
     with_genes = found.filter("group_col IS NOT NULL AND compound_col IS NOT NULL")
     own = lambda g: F.get(F.filter("cts", lambda x: x["key"] == F.lower(g)), 0)["col"]
-    place = lambda name, at, order=F.lit(0), gene=F.lit(None).cast("string"): F.struct(F.lit(name).alias("name"), order.cast("int").alias("gene_order"), gene.alias("gene"), at.alias("col"))
-    genes = F.transform("genes", lambda g, i: place("ct", own(g), i + 2, g))
-    wanted = with_genes.select(*BLOCK, F.inline(F.concat(F.array(place("group", F.col("group_col")), place("compound", F.col("compound_col"))), genes))).filter("col IS NOT NULL")
-    at = sheets.columns_of(cells, wanted)
-    value = parse_number("value")
-    of = lambda name: F.max(F.when(F.col("name") == name, F.col("value"))).alias(name)
-    cts = F.collect_list(F.when(F.col("name") == "ct", F.struct("gene_order", "gene", "col", value.alias("number")))).alias("cts")
-    rows = at.groupBy(*BLOCK, "row", *offset).agg(of("group"), of("compound"), cts)
+    genes = F.transform("genes", lambda g, i: F.struct((i + 2).cast("int").alias("gene_order"), g.alias("gene"), own(g).alias("col")))
+    wanted = with_genes.select(*BLOCK, "group_col", "compound_col", F.filter(genes, lambda x: x["col"].isNotNull()).alias("genes"))
+    cts = F.transform("genes", lambda x: F.struct(x["gene_order"].alias("gene_order"), x["gene"].alias("gene"), x["col"].alias("col"), parse_number(sheets.at(x["col"])).alias("number")))
+    rows = sheets.block_rows(cells, wanted, {"group": sheets.at("group_col"), "compound": sheets.at("compound_col"), "cts": cts})
     rows = forward_fill(rows, ["group", "compound"], BLOCK, ["row"]).filter(~is_control("group", "compound"))
     rows = rows.select(*BLOCK, "row", *offset, "group", "compound", F.inline("cts"))
     if numbers is not None:
@@ -117,8 +128,8 @@ def _sample_cts(cells: DataFrame, numbers: DataFrame | None) -> tuple[DataFrame,
         rows = rows.withColumn("number", F.coalesce("number", "worked_out"))
     rows = rows.filter("number IS NOT NULL")
     rows = rows.select(*BLOCK, "gene_order", "row", clean_text("group").alias("Group"), clean_text("compound").alias("Compound ID"), F.col("gene").alias("Reference gene"), F.col("number").alias("Mean CT"))
-    both = cut(found.select(*SHEET).distinct().join(rows, SHEET, "left"))
-    return both.filter("block IS NOT NULL"), both.filter("block IS NULL").select(*SHEET)
+    rows = cut(rows)
+    return rows, _without(found, rows)
 
 
 def reference_qc(cells: DataFrame, numbers: DataFrame | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 """Worksheets as a long table of cells, for many workbooks in one plan.
 
 cells: workbook, sheet, sheet_index, row, col (1-based), value, formula.
+What looks at whole rows also takes cells row by row (see by_row).
 Blocks (side-by-side tables) are found per (workbook, sheet); header rows are
 the first two rows, data starts in the third.
 """
@@ -73,32 +74,60 @@ def blocks(cells: DataFrame) -> DataFrame:
     return cells.join(_numbered(filled).drop("used"), [*SHEET, "col"])
 
 
-def layout(cells: DataFrame) -> DataFrame:
-    """headers() of blocks(), from one look at the cells: only what is summed a column is shuffled."""
-    looked = cells.groupBy(*SHEET, "col").agg(F.bool_or(~is_blank("value")).alias("used"), *_tops())
-    return _headed(_numbered(looked.filter("used")).drop("used"))
+def by_row(cells: DataFrame) -> DataFrame:
+    """Cells as rows: workbook, sheet, row (and row_offset, if any) and an array `cells` of (col, value) structs; what comes that way stays so."""
+    if "cells" in cells.columns:
+        return cells
+    offset = [c for c in cells.columns if c == "row_offset"]
+    return cells.groupBy(*SHEET, "row", *offset).agg(F.sort_array(F.collect_list(F.struct("col", "value")), asc=False).alias("cells"))  # a row of one sheet
+
 
+def opened(cells: DataFrame) -> DataFrame:
+    """The opposite of by_row()."""
+    return cells.select(*[c for c in cells.columns if c != "cells"], F.inline("cells")) if "cells" in cells.columns else cells
 
-def columns_of(cells: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cells (all but their sheet_index and formula) in the wanted columns of data rows, once for each row of `wanted` (workbook, sheet, col, more) that names the column.
 
-    Each sheet brings a list by column, so cells meet it by sheet alone and stay
-    where they are if they are dealt so; a sheet has 16,384 columns at most.
+def layout(cells: DataFrame) -> DataFrame:
+    """headers() of blocks(): a column is used if a cell has text; only used columns and rows 1 and 2 are looked at again, sheet by sheet.
+
+    Columns next to each other differ from their places among the used ones by the same number.
     """
-    more = [c for c in wanted.columns if c not in (*SHEET, "col")]
-    here = wanted.groupBy(*SHEET, "col").agg(F.collect_list(F.struct(*more)).alias("here"))
-    lists = here.groupBy(*SHEET).agg(F.min("col").alias("__first"), F.max("col").alias("__last"), F.map_from_entries(F.collect_list(F.struct("col", "here"))).alias("__by"))
-    lists = lists.select(*SHEET, "__first", F.transform(F.sequence("__first", "__last"), lambda c: F.try_element_at("__by", c)).alias("__lists"))
-    own = F.get("__lists", (F.col("col") - F.col("__first")).cast("int"))
-    kept = [c for c in cells.columns if c not in ("sheet_index", "formula")]
-    return cells.filter("row >= 3").select(*kept).join(lists, SHEET).select(*kept, F.explode(own).alias("__p")).select(*kept, "__p.*")
+    cells = cells.filter("workbook IS NOT NULL AND sheet IS NOT NULL")  # as the join would have it on one side only, which would deal them twice
+    used = opened(cells).filter(~is_blank("value")).select(*SHEET, "col").distinct().groupBy(*SHEET).agg(F.array_sort(F.collect_list("col")).alias("cols"))
+    top = lambda i: F.max(F.when(F.col("row") == i, F.col("cells"))).alias(f"row{i}")
+    own = F.transform("cells", lambda x: F.struct(x["col"].alias("col"), clean_text(x["value"]).alias("text")))
+    heads = by_row(cells.filter("row <= 2")).select(*SHEET, "row", own.alias("cells")).groupBy(*SHEET).agg(top(1), top(2))
+    looked = used.join(heads, SHEET, "left").withColumn("starts", F.array_distinct(F.transform("cols", lambda c, i: c - i)))
+    for i in (1, 2):
+        looked = looked.withColumns({f"cols{i}": F.transform(f"row{i}", lambda x: x["col"]), f"texts{i}": F.transform(f"row{i}", lambda x: x["text"])})
+    each = looked.select(*SHEET, "starts", *[f"{n}{i}" for n in ("cols", "texts") for i in (1, 2)], F.posexplode("cols").alias("place", "col"))
+    text = lambda i: F.coalesce(F.try_element_at(f"texts{i}", F.nullif(F.array_position(f"cols{i}", F.col("col")).cast("int"), F.lit(0))), F.lit(""))
+    return _headed(each.select(*SHEET, F.array_position("starts", F.col("col") - F.col("place")).alias("block"), "col", text(1).alias("top"), text(2).alias("under")))
+
+
+def block_rows(cells: DataFrame, wanted: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """Data rows met with each block of their sheet in `wanted` (workbook, sheet, block, more): its columns, row (and row_offset) and `values`.
+
+    Cells meet the blocks by sheet alone and stay where they are if they are dealt so; values are built with at().
+    """
+    more = [c for c in wanted.columns if c not in SHEET]
+    lists = wanted.groupBy(*SHEET).agg(F.collect_list(F.struct(*more)).alias("__blocks"))
+    rows = by_row(cells.filter("row >= 3"))
+    kept = [c for c in ("row", "row_offset") if c in rows.columns]
+    rows = rows.select(*SHEET, *kept, F.transform("cells", lambda x: x["col"]).alias("__cols"), F.transform("cells", lambda x: x["value"]).alias("__values"))
+    met = rows.join(lists, SHEET).select(*SHEET, *kept, "__cols", "__values", F.inline("__blocks"))
+    return met.select(*SHEET, *kept, *more, *[v.alias(n) for n, v in values.items()])
+
+
+def at(col: str | Column) -> Column:
+    """The row's text in a column, in block_rows()."""
+    return F.try_element_at("__values", F.nullif(F.coalesce(F.array_position("__cols", col if isinstance(col, Column) else F.col(col)), F.lit(0)).cast("int"), F.lit(0)))
 
 
 def row_texts(cells: DataFrame, wanted: str = "group") -> DataFrame:
     """(workbook, sheet, row, text, has_cell): a row's cleaned texts in column order, joined, and whether one of them is just `wanted` (any case)."""
-    rows = cells.withColumn("t", clean_text("value")).groupBy(*SHEET, "row")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("t") != "", F.struct("col", "t")))), lambda x: x["t"]), " ")  # a row of one sheet
-    return rows.agg(joined.alias("text"), F.bool_or(F.lower("t") == wanted.lower()).alias("has_cell"))
+    text = clean_text(F.array_join(F.transform(F.array_sort("cells"), lambda x: x["value"]), " "))
+    return by_row(cells).select(*SHEET, "row", text.alias("text"), F.exists("cells", lambda x: F.lower(clean_text(x["value"])) == wanted.lower()).alias("has_cell"))
 
 
 def required_roles(block_roles: DataFrame, wanted: dict[str, str]) -> DataFrame:
@@ -114,9 +143,9 @@ def embedded_header(cells: DataFrame) -> DataFrame:
     return rows.groupBy(*SHEET).agg(F.min("row").alias("header_row"))
 
 
-def below_embedded(cells: DataFrame) -> DataFrame:
-    """Cells from the embedded header on, rows numbered from 1; row_offset leads back to the sheet's rows."""
-    rows = cells.join(embedded_header(cells), SHEET).filter("row >= header_row")
+def below_embedded(cells: DataFrame, headers: DataFrame | None = None) -> DataFrame:
+    """Cells from the embedded header on, rows numbered from 1; row_offset leads back to the sheet's rows.  headers: embedded_header(), if known."""
+    rows = cells.join(embedded_header(cells) if headers is None else headers, SHEET).filter("row >= header_row")
     return rows.withColumn("row_offset", F.col("header_row") - 1).withColumn("row", F.col("row") - F.col("header_row") + 1).drop("header_row")
 
 
@@ -191,19 +220,31 @@ def genes(block_headers: DataFrame) -> DataFrame:
 
 def header_rows(cells: DataFrame) -> DataFrame:
     """(workbook, sheet, header_row) of plot tables: among the first 20 rows the first with `group` and mean/sem, time* or dose*; else the first row."""
-    text = F.lower(clean_text("value"))
-    both = F.contains(text, F.lit("mean")) & F.contains(text, F.lit("sem"))
-    rows = cells.groupBy(*SHEET, "row").agg(F.bool_or(text == "group").alias("g"), F.bool_or(both | F.startswith(text, F.lit("time")) | F.startswith(text, F.lit("dose"))).alias("t"))
-    best = F.min(F.when((F.col("row") <= HEADER_SEARCH_ROWS) & F.col("g") & F.col("t"), F.col("row")))
-    return rows.groupBy(*SHEET).agg(F.coalesce(best, F.lit(1)).alias("header_row"))
+    return titled(cells).drop("title")
 
 
 def titles(cells: DataFrame) -> DataFrame:
     """(workbook, sheet, title): distinct texts, in order, of the nearest row with text above the header."""
-    above = cells.join(header_rows(cells), SHEET).filter("row < header_row").withColumn("t", clean_text("value")).filter("t <> ''")
-    nearest = above.groupBy(*SHEET).agg(F.max("row").alias("row"))
-    firsts = above.join(nearest, [*SHEET, "row"]).groupBy(*SHEET, "t").agg(F.min("col").alias("col"))
-    return firsts.groupBy(*SHEET).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "t"))), lambda x: x["t"]), " ").alias("title"))
+    return titled(cells).select(*SHEET, "title").filter("title IS NOT NULL")
+
+
+def titled(cells: DataFrame) -> DataFrame:
+    """(workbook, sheet, header_row, title) of header_rows() and titles() (null: none), from at most 20 rows a sheet."""
+    texts = F.transform(F.array_sort(F.transform("cells", lambda x: F.struct(x["col"].alias("col"), clean_text(x["value"]).alias("t")))), lambda x: x["t"])
+    near = F.col("row") <= HEADER_SEARCH_ROWS
+    low = F.transform("texts", lambda t: F.lower(t))
+    mark = lambda t: (F.contains(t, F.lit("mean")) & F.contains(t, F.lit("sem"))) | F.startswith(t, F.lit("time")) | F.startswith(t, F.lit("dose"))
+    title = F.array_join(F.array_distinct(F.filter("texts", lambda t: t != "")), " ")
+    tops = by_row(cells if "cells" in cells.columns else cells.filter(near)).select(*SHEET, "row", F.when(near, texts).alias("texts"))
+    tops = tops.select(*SHEET, "row", (near & F.array_contains(low, "group") & F.exists(low, mark)).alias("is_header"), F.coalesce(title, F.lit("")).alias("title"))
+    if "cells" not in cells.columns:  # sheets that begin further down
+        tops = tops.unionByName(cells.filter(~near).select(*SHEET, F.lit(1).alias("row"), F.lit(False).alias("is_header"), F.lit("").alias("title")).distinct())
+    found = tops.groupBy(*SHEET).agg(
+        F.coalesce(F.min(F.when(F.col("is_header"), F.col("row"))), F.lit(1)).alias("header_row"),
+        F.collect_list(F.when(F.col("title") != "", F.struct("row", "title"))).alias("above"),
+    )
+    nearest = F.array_max(F.filter("above", lambda x: x["row"] < F.col("header_row")))
+    return found.select(*SHEET, "header_row", nearest["title"].alias("title"))
 
 
 def as_table(cells: DataFrame, header_row: int = 1) -> DataFrame:
