@@ -27,11 +27,15 @@ def process_table(df: DataFrame, column: str, start: int = 2, end: int = 18) ->
 
 
 def transcript_region(df: DataFrame, seq: str = "seq", start: str = "start", end: str = "end") -> DataFrame:
-    """Sense (the transcript's region) and antisense of each range, or a message."""
-    rna = normalize_rna(F.col(seq))
-    error = region_error(rna, F.col(start), F.col(end))
-    ss = subsequence(rna, F.col(start), F.col(end))
-    return df.withColumns({"transcript_length": F.length(rna), "ss_5to3": ss, "as_5to3": reverse_complement(ss), "error": error})
+    """Sense (the transcript's region) and antisense of each range, or a message.
+
+    The cleaned transcript is a generated row of its own, as filters on the
+    error would else clean it up again, once for each use.
+    """
+    rows = df.select("*", F.explode(F.array(normalize_rna(F.col(seq)))).alias("__rna"))
+    error = region_error("__rna", F.col(start), F.col(end))
+    ss = subsequence("__rna", F.col(start), F.col(end))
+    return rows.withColumns({"transcript_length": F.length("__rna"), "ss_5to3": ss, "as_5to3": reverse_complement(ss), "error": error}).drop("__rna")
 
 
 def ensure_result_columns(df: DataFrame) -> DataFrame:

@@ -381,3 +381,11 @@ def test_windows_meet_few_targets_where_they_are_cut(spark):
     own = spark.createDataFrame([("a", long)], "target_accession string, target_5to3 string")
     here = spark.createDataFrame([("a", "GG" + long[:-1] + "A")], "accession string, seq string")
     assert [tuple(r) for r in scan.window_matches(here, own, 35, 1, per_accession=True).collect()] == [(long, "a", 3, long[:-1] + "A", 1)]
+
+
+def test_range_cleans_a_transcript_once(spark):
+    rows = spark.createDataFrame([("a u-g c", 1, 3), ("augx", 1, 2), (None, 1, 2), ("au", 1, 3)], "seq string, start int, end int")
+    out = oligo.transcript_region(rows)
+    assert out.filter("error IS NULL")._jdf.queryExecution().executedPlan().toString().count("[^A-Za-z]") == 1
+    assert out.columns == ["seq", "start", "end", "transcript_length", "ss_5to3", "as_5to3", "error"] and out.count() == 4
+    assert [r["ss_5to3"] for r in out.filter("error IS NULL").collect()] == ["AUG"]
