@@ -44,13 +44,14 @@ def reverse_complement(rna) -> Column:
     return F.reverse(complement(rna))
 
 
-def region_error(rna, start, end) -> Column:
-    """Checks in order: start, order of bounds, bases, length."""
+def region_error(rna, start, end, bases=None) -> Column:
+    """Checks in order: start, order of bounds, bases, length.  bases: sequence_error() of rna, if known."""
     rna, start, end = col(rna), col(start), col(end)
+    bases = sequence_error(rna) if bases is None else col(bases)
     return (
         F.when(start < 1, F.lit("Start position must be 1 or greater."))
         .when(end < start, F.lit("End position must be greater than or equal to start."))
-        .when(sequence_error(rna).isNotNull(), sequence_error(rna))
+        .when(bases.isNotNull(), bases)
         .when(F.length(rna) < end, F.concat(F.lit("Sequence must be at least "), end.cast("string"), F.lit(" nt long.")))
     )
 

@@ -49,7 +49,8 @@ def fill_ranges(ranges: DataFrame, transcripts: DataFrame, start: str = "start",
     With an accession column ranges meet their transcripts in an equi-join (an
     unknown one is an error); without, there must be just one transcript.
     """
-    table = transcripts.select(F.col("accession").alias("__accession"), normalize_rna("seq").alias("__rna"))
+    table = transcripts.select(F.col("accession").alias("__accession"), F.explode(F.array(normalize_rna("seq"))).alias("__rna"))
+    table = table.withColumn("__bases", sequence_error("__rna"))  # once a transcript, not a range
     if accession:
         rows = ranges.join(table, F.col(accession) == F.col("__accession"), "left")
     else:
@@ -58,10 +59,10 @@ def fill_ranges(ranges: DataFrame, transcripts: DataFrame, start: str = "start",
         rows = ranges.crossJoin(F.broadcast(table))
     a, b = position_value(start), position_value(end)
     blank = is_blank(F.col(start)) | is_blank(F.col(end))
-    error = F.coalesce(position_error(start, start), position_error(end, end), F.when(F.col("__rna").isNull(), F.lit("Transcript not found.")), region_error("__rna", a, b))
+    error = F.coalesce(position_error(start, start), position_error(end, end), F.when(F.col("__rna").isNull(), F.lit("Transcript not found.")), region_error("__rna", a, b, "__bases"))
     ss = F.when(~blank & error.isNull(), F.substr("__rna", a.cast("int"), (b - a + 1).cast("int")))
     out = {"SS matched": F.coalesce(ss, F.lit("")), "AS matched": F.coalesce(reverse_complement(ss), F.lit("")), "matched length (nt)": F.coalesce(F.length(ss).cast("string"), F.lit("")), "match error": F.when(blank, F.lit("")).otherwise(F.coalesce(error, F.lit("")))}
-    return ensure_result_columns(rows).withColumns(out).drop("__accession", "__rna")
+    return ensure_result_columns(rows).withColumns(out).drop("__accession", "__rna", "__bases")
 
 
 def duplicate_groups(queries: DataFrame) -> DataFrame:
