@@ -28,7 +28,8 @@ def is_blank(x) -> Column:
 def parse_number(x) -> Column:
     """Commas dropped; null for what is not a decimal number (nan, inf and 1_000 included)."""
     text = F.regexp_replace(clean_text(x), ",", "")
-    return F.when(text.rlike(rf"^{NUMBER}$"), text.try_cast("double"))
+    cleaned = F.when(text.rlike(rf"^{NUMBER}$"), text.try_cast("double"))
+    return F.when(col(x).isNotNull(), F.when(F.rlike(col(x), F.lit(rf"^{NUMBER}\z")), col(x).try_cast("double")).otherwise(cleaned))
 
 
 @F.pandas_udf(StringType())

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.functions import formulas
 from helixframe.functions.textcells import clean_text, is_blank, looks_like_gene, parse_number, sheet_prefix, tokens
 from helixframe.operators.lineage import cut
 
@@ -299,8 +300,40 @@ def _at(df: DataFrame, **values: str) -> DataFrame:
     return df.select("workbook", F.col("sheet").alias("to_sheet"), F.col("row").alias("to_row"), F.col("col").alias("to_col"), *[F.col(v).alias(k) for k, v in values.items()])
 
 
-def resolve_formulas(cells: DataFrame) -> DataFrame:
-    """(workbook, sheet, row, col, number): cached numbers, else what readable formulas come to, at any depth.
+#: Cells or open references of a sheet or workbook that one task works out; more are followed path by path over all tasks.
+LOCAL = 1_000_000
+
+
+def resolve_formulas(cells: DataFrame, local: int | None = None, cached: bool = True) -> DataFrame:
+    """(workbook, sheet, row, col, number): cached numbers (unless not `cached`), else what readable formulas come to, at any depth.
+
+    A sheet whose formulas name no other sheet, of at most `local` cells and
+    named cells (LOCAL), is worked out where it lies, in Arrow batches; all
+    other sheets go by joins (see _across).
+    """
+    most = LOCAL if local is None else local
+    rows = cells if "cells" in cells.columns else cells.repartition(*SHEET).groupBy(*SHEET, "row").agg(F.collect_list(F.struct("col", "value", "formula")).alias("cells"))
+    sized = rows.select(*SHEET, "row", "cells", F.sum(F.size("cells")).over(Window.partitionBy(*SHEET)).alias("size"))  # a sheet's rows follow each other from here on
+    each = sized.select(*SHEET, "row", "size", F.inline("cells")).withColumn("number", parse_number("value"))
+    each = each.filter(F.col("number").isNotNull() | F.startswith("formula", F.lit("="))).select(*CELL, "size", "number", F.when(F.col("number").isNull(), F.col("formula")).alias("formula"))
+    kinds = {f.name: f.dataType.simpleString() for f in each.schema}
+    worked = cut(each.mapInArrow(lambda batches: formulas.sheet_by_sheet(batches, most, cached, _slowly), ", ".join(f"{c} {kinds[c]}" for c in CELL) + ", number double"))
+    values = worked.filter("number IS NOT NULL")
+    is_open = cut(worked.filter("number IS NULL").select(*SHEET).distinct())
+    if is_open.isEmpty():
+        return values
+    plain = rows.select(*SHEET, "row", F.inline("cells"))
+    known = plain.select(*CELL, parse_number("value").alias("number")).filter("number IS NOT NULL")
+    everything = _across(values if cached else values.unionByName(known), plain.join(is_open, SHEET, "left_semi"))
+    return everything if cached else everything.join(known, CELL, "left_anti")
+
+
+def _slowly(links: list[tuple]) -> dict:
+    return open_values(links) if links else {}
+
+
+def _across(known: DataFrame, cells: DataFrame) -> DataFrame:
+    """known, and what the formulas of cells come to, by joins over all tasks.
 
     Chains of bare references are followed by pointer jumping (log2 n joins).
     Averages leave out what is no number.  One that waits for a single other is
@@ -310,7 +343,6 @@ def resolve_formulas(cells: DataFrame) -> DataFrame:
     level.  A reference back to a cell that is being resolved is no number:
     averages on cycles are worked out component by component (see open_values).
     """
-    known = cells.select(*CELL, parse_number("value").alias("number")).filter("number IS NOT NULL")
     edges = cut(formula_edges(cells))
     bare = edges.filter("NOT average AND NOT (to_sheet = sheet AND to_row = row AND to_col = col)")
     own = _at(bare.select(*CELL).distinct().withColumn("more", F.lit(True)), more="more")
@@ -369,8 +401,6 @@ def _settled_now(waiting: DataFrame) -> DataFrame:
     return done.unionByName(reached.select(*CELL, F.coalesce(F.col("a") + F.col("b") * F.col("x"), "none").alias("number")))
 
 
-#: Open references of a workbook that one task works out; more are followed path by path over all tasks.
-LOCAL = 1_000_000
 #: Pairs of a cell and the cells above it that one component may need.
 STATES = 2_000_000
 

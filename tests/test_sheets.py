@@ -344,3 +344,32 @@ def test_texts_and_titles_of_rows(spark):
         got = {(r["sheet"], r["row"]): (r["text"], r["has_cell"]) for r in sheets.row_texts(c, "the").collect()}
         assert len(got) == 27 and (got["s", 1], got["s", 2], got["s", 4], got["late", 3]) == (("the x", True), ("The y", True), ("b", False), ("", False))
         assert sorted((r["sheet"], r["header_row"], r["title"]) for r in sheets.titled(c).collect()) == [("late", 1, None), ("s", 3, "The y")]
+
+
+def test_formulas_of_a_closed_sheet_are_worked_out_in_one_look(spark, monkeypatch):
+    """Sheets that name no other are written once, whatever their chains; the others give the same by joins."""
+    import random
+
+    stored, real = [], sheets.cut
+    monkeypatch.setattr(sheets, "cut", lambda df: (stored.append(1), real(df))[1])
+    rng, cells, expected = random.Random(7), [], {}
+    for book in range(12):
+        values = {(r, c): float(rng.randint(1, 9)) for r in range(1, 9) for c in (1, 2) if rng.random() < 0.6}
+        refs = lambda n: [f"{rng.choice('ABCD')}{rng.randint(1, 9)}" for _ in range(n)]
+        made = {(r, c): f"=AVERAGE({','.join(refs(rng.randint(1, 2)))})" if rng.random() < 0.6 else f"={refs(1)[0]}" for r in range(1, 9) for c in (3, 4)}
+        made |= {(r, 5): f"=AVERAGE(A1:B{r},$A$1:A1,B9:A1)" for r in range(1, 9)}
+        plain = made | {(r, 5): "=AVERAGE(" + ",".join([f"{c}{i}" for i in range(1, r + 1) for c in "AB"] + ["A1"]) + ")" for r in range(1, 9)}
+        cells += [(f"w{book}", "s", 0, r, c, str(v), None) for (r, c), v in values.items()] + [(f"w{book}", "s", 0, r, c, None, f) for (r, c), f in made.items()]
+        expected |= {(f"w{book}", "s", *at): round(v, 9) for at, v in brute_formulas(values, plain).items() if v is not None}
+    across = [("w0", "t", 0, 1, 1, None, "=s!E1"), ("w0", "t", 0, 2, 1, None, "=AVERAGE(s!A1:B8,A1,A3)"), ("w0", "t", 0, 3, 1, "5", None), ("w0", "t", 0, 4, 1, None, "=AVERAGE(A4)")]
+    one, both = spark.createDataFrame(cells, readers.CELLS), spark.createDataFrame(cells + across, readers.CELLS)
+    got = lambda df: {(r["workbook"], r["sheet"], r["row"], r["col"]): round(r["number"], 9) for r in df.collect()}
+    assert got(sheets.resolve_formulas(one)) == expected and len(stored) == 2
+    values = [v for k, v in expected.items() if k[0] == "w0" and k[3] <= 2]
+    e1 = expected.get(("w0", "s", 1, 5))
+    mean = [*values, 5.0] + ([] if e1 is None else [e1])
+    more = {("w0", "t", 2, 1): round(sum(mean) / len(mean), 9), ("w0", "t", 3, 1): 5.0} | ({} if e1 is None else {("w0", "t", 1, 1): e1})
+    for local in (None, 30, 0):  # all sheets, none of these, and none at all where they lie
+        assert got(sheets.resolve_formulas(both, local)) == expected | more
+    cached = {(b, s, r, c) for b, s, _, r, c, v, _ in cells + across if v is not None}
+    assert got(sheets.resolve_formulas(both, cached=False)) == {k: v for k, v in (expected | more).items() if k not in cached}
