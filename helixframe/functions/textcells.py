@@ -22,7 +22,7 @@ def clean_text(x) -> Column:
 
 
 def is_blank(x) -> Column:
-    return ~F.coalesce(F.rlike(col(x), F.lit(r"(?U)\S")), F.lit(False))
+    return F.when(F.ascii(col(x)).between(33, 126), F.lit(False)).otherwise(~F.coalesce(F.rlike(col(x), F.lit(r"(?U)\S")), F.lit(False)))
 
 
 def parse_number(x) -> Column:
@@ -35,7 +35,22 @@ def parse_number(x) -> Column:
 @F.pandas_udf(StringType())
 def general_format(values: pd.Series) -> pd.Series:
     """Six significant digits without trailing zeros; for sinks, as no built-in expression rounds the exact value."""
-    return values.map(lambda v: None if pd.isna(v) else f"{v:g}")
+    out = pd.Series([None] * len(values), index=values.index, dtype=object)
+    there = values.notna()
+    out[there] = [f"{v:g}" for v in values[there]]
+    return out
+
+
+def short_text(x) -> Column:
+    """A text that is a number with six significant digits (see general_format); any other: null.
+
+    Decimals of at most six digits, from 0.0001 on, need no rounding and lose only commas and zeros at the end.
+    """
+    text = F.when(F.rlike(col(x), F.lit(r"^(?:0|[1-9][0-9]{0,2}(?:,?[0-9]{3}|[0-9]{0,3}))(?:\.[0-9]+)?\z")), F.replace(col(x), F.lit(","), F.lit("")))
+    text = F.when(F.contains(text, F.lit(".")), F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))).otherwise(text)
+    digits = F.length(F.replace(text, F.lit("."), F.lit("")))
+    plain = F.when(F.when(F.startswith(text, F.lit("0")), (digits <= 7) & ~F.startswith(text, F.lit("0.0000"))).otherwise(digits <= 6), text)
+    return F.coalesce(plain, general_format(F.when(plain.isNull(), parse_number(x))))
 
 
 def number_text(x) -> Column:
@@ -52,11 +67,16 @@ def whole_number(x) -> Column:
 
 def first_two_numbers(x) -> tuple[Column, Column]:
     """The first two numbers of a text, a sign right before the digits included; fewer: both null."""
-    found = F.regexp_extract_all(col(x), F.lit(f"({NUMBER})"), F.lit(1))
+    found = number_texts(x)
     enough = F.size(found) >= 2
     return F.when(enough, F.get(found, 0).try_cast("double")), F.when(enough, F.get(found, 1).try_cast("double"))
 
 
+def number_texts(x) -> Column:
+    """The numbers of a text as they stand."""
+    return F.regexp_extract_all(col(x), F.lit(f"({NUMBER})"), F.lit(1))
+
+
 def mean_sem(x) -> tuple[Column, Column]:
     """`mean ± sem` as a whole, or nulls."""
     text = clean_text(col(x).cast("string"))

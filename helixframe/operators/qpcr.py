@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions.textcells import clean_text, first_two_numbers, general_format, is_blank, is_control, number_text, parse_number
+from helixframe.functions.textcells import clean_text, is_blank, is_control, number_texts, parse_number, short_text
 from helixframe.operators import sheets
 from helixframe.operators.lineage import cut
 from helixframe.operators.sheets import BLOCK, SHEET
 
+#: Sheets that give nothing but from under an embedded header are few if they are less than one in so many.
+FEW = 10
 SUMMARY = ["Group", "Compound ID", "Reference source", "Sample size (n)", "MEAN RQ", "SEM"]
 
 
@@ -29,11 +31,15 @@ def dedupe(df: DataFrame, keys: list[str], order: str, carry: list[str] = []) ->
     return df.groupBy(*carry, *keys).agg(F.min(order).alias(order))
 
 
-def mean_rq_and_sem(mean_sem: str, mean: str, sem: str):
-    """Separate columns where they have text, else the first two numbers of the combined one; as texts, numbers with six digits."""
-    a, b = first_two_numbers(mean_sem)
-    pick = lambda own, split: F.when(~is_blank(own), number_text(own)).when(~is_blank(mean_sem), general_format(split))
-    return pick(mean, a), pick(sem, b)
+def mean_rq_and_sem(two: str, mean: str, sem: str):
+    """Separate columns where they have text, else the first two numbers of the combined one (see number_texts()); as texts, numbers with six digits."""
+    pick = lambda own, split: F.coalesce(short_text(F.when(~is_blank(own), F.col(own)).otherwise(split)), F.when(~is_blank(own), clean_text(own)))
+    return pick(mean, first_two(two)[0]), pick(sem, first_two(two)[1])
+
+
+def first_two(two: str):
+    """The first two of an array of at least two; fewer: both null."""
+    return tuple(F.when(F.size(two) >= 2, F.get(two, i)) for i in (0, 1))
 
 
 def sample_stats(wells: DataFrame, keys: list[str] = ["Group", "Compound ID", "Reference gene"], value: str = "Mean CT", order: str | None = None) -> DataFrame:  # noqa: B006
@@ -42,46 +48,59 @@ def sample_stats(wells: DataFrame, keys: list[str] = ["Group", "Compound ID", "R
     return wells.groupBy(*keys).agg(*aggs, *([F.min(order).alias(order)] if order else []))
 
 
-def _summaries(cells: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(summary rows, issues, sheets without a summary row) of the blocks found in cells.
+def _summaries(cells: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(summary rows, issues, sheets without a summary row and their header_row, all sheets) of the blocks found in cells.
 
-    Blocks are told from summed columns; cells are dealt by sheet once and stay there.
+    Blocks are told once a kind of sheet; cells are dealt by sheet once and stay there.
     """
-    found = cut(sheets.block_reports(sheets.layout(cells)))  # a row a block
+    of_sheet, heads = sheets.kinds(cells)
+    found = cut(sheets.block_reports(heads))  # a row a block of a kind
     names = ["group", "compound", "size", "mean_sem", "mean", "sem"]
     full, usable = F.col("group_col").isNotNull(), F.expr("mean_sem_col IS NOT NULL OR (mean_col IS NOT NULL AND sem_col IS NOT NULL)")
     counts = full | F.col("geomean_col").isNotNull()
-    issues = found.filter(counts & ~usable).select(*BLOCK, F.lit("No MEAN RQ and SEM columns.").alias("issue"))
-    mean, sem = mean_rq_and_sem("mean_sem", "mean", "sem")
+    issues = sheets.of_kind(of_sheet, found.filter(counts & ~usable).select(*BLOCK, F.lit("No MEAN RQ and SEM columns.").alias("issue")))
+    mean, sem = mean_rq_and_sem("two", "mean", "sem")
 
     # A geomean table takes group and compound of the sheet's first full one, row by row, and the genes of all full ones.
     listed = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.when(full, F.struct("block", "genes")))), lambda x: x["genes"])))
     whole = found.groupBy(*SHEET).agg(F.min(F.when(full, F.struct("block", "group_col", "compound_col"))).alias("first"), F.concat(F.lit("Geomean ("), F.array_join(listed, "; "), F.lit(")")).alias("all_genes"))
     each = found.filter(counts & usable).join(whole, SHEET)
     each = each.withColumns({n: F.when(full, F.col(n)).otherwise(F.col(f"first.{n}")) for n in ("group_col", "compound_col")} | {"kind": (~full).cast("int"), "source": F.when(full, F.array_join("genes", "; ")).otherwise(F.col("all_genes"))})
-    rows = sheets.block_rows(cells, each.select(*BLOCK, "kind", "source", *[f"{n}_col" for n in names]), {n: sheets.at(f"{n}_col") for n in names})
-    rows = rows.select(*BLOCK, "kind", "source", "row", *names)
+    each = cut(each.select(*BLOCK, F.col("kind").alias("table_kind"), "source", *[f"{n}_col" for n in names]))
+    if each.isEmpty():
+        kinds = {"block": "long", "kind": "int", "group": "string", "compound": "string", "source": "string", "size": "string", "mean": "string", "sem": "string", "row": dict(cells.dtypes)["row"]}
+        rows = _no_rows(of_sheet, kinds)
+        return rows, issues, of_sheet.select(*SHEET, "header_row"), of_sheet
+    rows = sheets.block_rows(cells, of_sheet, each, {n: sheets.at(f"{n}_col") for n in names})
+    names = [*names[:3], "two", *names[4:]]
+    # The numbers of a combined column are looked for once, before blanks are filled from above: null where there is no cell.
+    rows = rows.select(*BLOCK, F.col("table_kind").alias("kind"), "source", "row", *[number_texts("mean_sem").alias(n) if n == "two" else n for n in names])
     filled = forward_fill(rows.withColumns({f"__{n}": F.col(n) for n in names}), [f"__{n}" for n in names], BLOCK, ["row"])
     rows = drop_controls(filled.select(*BLOCK, "kind", "source", "row", *[F.when(F.col("kind") == 0, F.col(f"__{n}")).otherwise(F.col(n)).alias(n) for n in names]), "group", "compound")
-    a, b = first_two_numbers("mean_sem")
+    a, b = first_two("two")
     # Told before the texts are made, or their Python function would run twice.
     rows = rows.filter((~is_blank("mean") | a.isNotNull()) & (~is_blank("sem") | b.isNotNull()))
     rows = rows.select(*BLOCK, "row", "group", "compound", "source", F.coalesce("size", F.lit("")).alias("size"), mean.alias("mean"), sem.alias("sem"), "kind")
     rows = cut(dedupe(rows, ["group", "compound", "source", "size", "mean", "sem"], "row", [*BLOCK, "kind"]))
-    return rows, issues, _without(found, rows)
+    return rows, issues, _without(of_sheet, rows), of_sheet
+
+
+def _no_rows(of_sheet: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    return of_sheet.limit(0).select(*SHEET, *[F.lit(None).cast(kind).alias(name) for name, kind in kinds.items()])
 
 
-def _without(found: DataFrame, rows: DataFrame) -> DataFrame:
-    """The sheets of blocks that have no row."""
-    return cut(found.select(*SHEET).distinct().join(rows.select(*SHEET).distinct(), SHEET, "left_anti"))
+def _without(of_sheet: DataFrame, rows: DataFrame) -> DataFrame:
+    """The sheets (and their header_row) that have no row."""
+    return cut(of_sheet.select(*SHEET, "header_row").join(rows.select(*SHEET).distinct(), SHEET, "left_anti"))
 
 
-def _below_embedded(cells: DataFrame, rest: DataFrame) -> DataFrame | None:
-    """The regions under embedded headers of the sheets in `rest`; none: no such header."""
-    if rest.isEmpty():
+def _below_embedded(cells: DataFrame, rest: DataFrame, of_sheet: DataFrame) -> DataFrame | None:
+    """The regions under embedded headers of the sheets in `rest`, stored if they are few of all; none: no such header."""
+    headers = rest.filter("header_row IS NOT NULL")  # a row a sheet
+    if headers.isEmpty():
         return None
-    headers = cut(sheets.embedded_header(cells.join(rest, SHEET, "left_semi")))  # a row a sheet
-    return None if headers.isEmpty() else sheets.below_embedded(cells, headers)
+    below = sheets.below_embedded(cells, headers)
+    return cut(sheets.by_row(below)) if headers.count() * FEW < of_sheet.count() else below
 
 
 def summarize(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -90,8 +109,8 @@ def summarize(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     The region under an embedded header counts only for sheets whose whole
     grid gives nothing.
     """
-    both, issues, rest = _summaries(cells)
-    below = _below_embedded(cells, rest)
+    both, issues, rest, of_sheet = _summaries(cells)
+    below = _below_embedded(cells, rest, of_sheet)
     if below is not None:
         both = both.unionByName(_summaries(below)[0])
     names = dict(zip(["group", "compound", "source", "size", "mean", "sem"], SUMMARY))
@@ -105,21 +124,26 @@ def sample_cts(cells: DataFrame, numbers: DataFrame | None = None) -> DataFrame:
     (resolve_formulas), used where a cell's text is no number.  The region under
     an embedded header counts only for sheets whose whole grid gives nothing.
     """
-    direct, rest = _sample_cts(cells, numbers)
-    below = _below_embedded(cells, rest)
+    direct, rest, of_sheet = _sample_cts(cells, numbers)
+    below = _below_embedded(cells, rest, of_sheet)
     return direct if below is None else direct.unionByName(_sample_cts(below, numbers)[0])
 
 
-def _sample_cts(cells: DataFrame, numbers: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(the rows of sample_cts() found in cells, sheets without any); cells are dealt by sheet once."""
+def _sample_cts(cells: DataFrame, numbers: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(the rows of sample_cts() found in cells, sheets without any, all sheets); cells are dealt by sheet once."""
     offset = ["row_offset"] if "row_offset" in cells.columns else []
-    found = cut(sheets.block_reports(sheets.layout(cells)))  # a row a block
+    of_sheet, heads = sheets.kinds(cells)
+    found = sheets.block_reports(heads)  # a row a block of a kind
     with_genes = found.filter("group_col IS NOT NULL AND compound_col IS NOT NULL")
     own = lambda g: F.get(F.filter("cts", lambda x: x["key"] == F.lower(g)), 0)["col"]
     genes = F.transform("genes", lambda g, i: F.struct((i + 2).cast("int").alias("gene_order"), g.alias("gene"), own(g).alias("col")))
     wanted = with_genes.select(*BLOCK, "group_col", "compound_col", F.filter(genes, lambda x: x["col"].isNotNull()).alias("genes"))
     cts = F.transform("genes", lambda x: F.struct(x["gene_order"].alias("gene_order"), x["gene"].alias("gene"), x["col"].alias("col"), parse_number(sheets.at(x["col"])).alias("number")))
-    rows = sheets.block_rows(cells, wanted, {"group": sheets.at("group_col"), "compound": sheets.at("compound_col"), "cts": cts})
+    wanted = cut(wanted.filter(F.size("genes") > 0))
+    if wanted.isEmpty():
+        kinds = {"block": "long", "gene_order": "int", "row": dict(cells.dtypes)["row"], "Group": "string", "Compound ID": "string", "Reference gene": "string", "Mean CT": "double"}
+        return _no_rows(of_sheet, kinds), of_sheet.select(*SHEET, "header_row"), of_sheet
+    rows = sheets.block_rows(cells, of_sheet, wanted, {"group": sheets.at("group_col"), "compound": sheets.at("compound_col"), "cts": cts})
     rows = forward_fill(rows, ["group", "compound"], BLOCK, ["row"]).filter(~is_control("group", "compound"))
     rows = rows.select(*BLOCK, "row", *offset, "group", "compound", F.inline("cts"))
     if numbers is not None:
@@ -129,10 +153,10 @@ def _sample_cts(cells: DataFrame, numbers: DataFrame | None) -> tuple[DataFrame,
     rows = rows.filter("number IS NOT NULL")
     rows = rows.select(*BLOCK, "gene_order", "row", clean_text("group").alias("Group"), clean_text("compound").alias("Compound ID"), F.col("gene").alias("Reference gene"), F.col("number").alias("Mean CT"))
     rows = cut(rows)
-    return rows, _without(found, rows)
+    return rows, _without(of_sheet, rows), of_sheet
 
 
 def reference_qc(cells: DataFrame, numbers: DataFrame | None = None) -> DataFrame:
     """n, mean and SEM of each (sheet, group, compound, gene), in order of first appearance (column `first`)."""
-    wells = sample_cts(cells, numbers).withColumn("first", F.struct("block", "gene_order", "row"))
+    wells = sample_cts(cells, numbers).repartition(*SHEET).withColumn("first", F.struct("block", "gene_order", "row"))
     return sample_stats(wells, [*SHEET, "Group", "Compound ID", "Reference gene"], order="first")

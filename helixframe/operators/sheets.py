@@ -88,17 +88,67 @@ def opened(cells: DataFrame) -> DataFrame:
     return cells.select(*[c for c in cells.columns if c != "cells"], F.inline("cells")) if "cells" in cells.columns else cells
 
 
-def layout(cells: DataFrame) -> DataFrame:
-    """headers() of blocks(): a column is used if a cell has text; only used columns and rows 1 and 2 are looked at again, sheet by sheet.
+#: Columns of which a look at the rows keeps a bit each; a sheet with a used column beyond is looked at again.
+BITS = 256
+#: Kinds of sheets up to which what is known of each goes to the tasks; more are met by sheet.
+FEW_KINDS = 10_000
+
+
+def kinds(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(workbook, sheet, kind, header_row) of each sheet with text, and headers() of each kind as its sheets have them; kind stands for the sheet there.
+
+    Sheets of a kind have the same used columns (those with text in a cell) and
+    the same cleaned rows 1 and 2, so headers are read once a kind.  One look at
+    the rows, with sums of bounded size; header_row as in embedded_header().
+    """
+    cells = cells.filter("workbook IS NOT NULL AND sheet IS NOT NULL")
+    rows = by_row(cells)
+    used = F.filter("cells", lambda x: ~is_blank(x["value"]))["col"]
+    head = F.transform("cells", lambda x: F.struct(x["col"].alias("col"), clean_text(x["value"]).alias("text")))
+    seen = rows.select(*SHEET, "row", used.alias("used"), F.when(F.col("row") <= 2, head).alias("head"), F.when(_embedded("cells"), F.col("row")).alias("header_row"))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(63))
+    word = lambda w: F.aggregate("used", F.lit(0).cast("long"), lambda a, c: F.when(F.shiftright(c, 6) == w, a.bitwiseOR(bit(c))).otherwise(a))
+    near = F.coalesce(F.array_max("used") < 64, F.lit(True)) & F.coalesce(F.array_min("used") >= 0, F.lit(True))
+    words = [word(0).alias("w0"), *[F.when(near, F.lit(0).cast("long")).otherwise(word(w)).alias(f"w{w}") for w in range(1, BITS // 64)]]
+    far = ~near & ((F.array_max("used") >= BITS) | (F.array_min("used") < 0))
+    top = lambda i: F.max(F.when(F.col("row") == i, F.col("head"))).alias(f"row{i}")
+    names = [f"w{w}" for w in range(BITS // 64)]
+    looked = seen.select(*SHEET, "row", "head", "header_row", *words, far.alias("far")).groupBy(*SHEET).agg(*[F.bit_or(n).alias(n) for n in names], top(1), top(2), F.min("header_row").alias("header_row"), F.max("far").alias("far"))
+    looked = cut(looked.filter(F.col("far") | (F.greatest(*[(F.col(n) != 0).cast("int") for n in names]) > 0)).withColumn("cols", F.lit(None).cast("array<int>")))
+    beyond = looked.filter("far").select(*SHEET)
+    if not beyond.isEmpty():
+        listed = opened(rows.join(beyond, SHEET, "left_semi")).filter(~is_blank("value")).select(*SHEET, "col").distinct().groupBy(*SHEET).agg(F.array_sort(F.collect_list(F.col("col").cast("int"))).alias("listed"))
+        looked = cut(looked.join(listed, SHEET, "left").withColumn("cols", F.col("listed")).drop("listed"))
+    # Of one kind are sheets that agree in all of these; nulls are equal.
+    alike = [*names, "row1", "row2", "cols"]
+    each = cut(looked.select(*alike).distinct().withColumn("kind", F.monotonically_increasing_id()))
+    of_sheet = looked.join(each, _alike(looked, each, alike))
+    of_sheet = cut(of_sheet.select(looked["workbook"], looked["sheet"], each["kind"], looked["header_row"]))
+    at_64 = lambda n: F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftright", F.col(n), i).bitwiseAND(F.lit(1).cast("long")) == 1)
+    plus = lambda cols, more: F.transform(cols, lambda i: i + more)
+    bits = F.flatten(F.array(*[plus(at_64(n), 64 * w) for w, n in enumerate(names)]))
+    heads = each.select(F.lit("").alias("workbook"), F.col("kind").cast("string").alias("sheet"), F.coalesce("cols", bits).alias("cols"), "row1", "row2")
+    return of_sheet, _layout(heads)
+
+
+def _alike(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
+    return reduce(lambda x, y: x & y, [a[n].eqNullSafe(b[n]) for n in names])
+
+
+def _embedded(cells: str) -> Column:
+    """Whether a row is an embedded header (see embedded_header)."""
+    named = F.exists(cells, lambda x: F.contains(F.lower(x["value"]), F.lit("group")) & (F.lower(clean_text(x["value"])) == "group"))
+    text = F.lower(clean_text(F.array_join(F.transform(F.array_sort(cells), lambda x: x["value"]), " ")))
+    has = lambda w: F.contains(text, F.lit(w))
+    return F.when(named, has("compound") & has("mean rq") & has("sem")).otherwise(F.lit(False))
+
+
+def _layout(looked: DataFrame) -> DataFrame:
+    """headers() from the used columns (cols) and the cleaned rows 1 and 2 of sheets.
 
     Columns next to each other differ from their places among the used ones by the same number.
     """
-    cells = cells.filter("workbook IS NOT NULL AND sheet IS NOT NULL")  # as the join would have it on one side only, which would deal them twice
-    used = opened(cells).filter(~is_blank("value")).select(*SHEET, "col").distinct().groupBy(*SHEET).agg(F.array_sort(F.collect_list("col")).alias("cols"))
-    top = lambda i: F.max(F.when(F.col("row") == i, F.col("cells"))).alias(f"row{i}")
-    own = F.transform("cells", lambda x: F.struct(x["col"].alias("col"), clean_text(x["value"]).alias("text")))
-    heads = by_row(cells.filter("row <= 2")).select(*SHEET, "row", own.alias("cells")).groupBy(*SHEET).agg(top(1), top(2))
-    looked = used.join(heads, SHEET, "left").withColumn("starts", F.array_distinct(F.transform("cols", lambda c, i: c - i)))
+    looked = looked.withColumn("starts", F.array_distinct(F.transform("cols", lambda c, i: c - i)))
     for i in (1, 2):
         looked = looked.withColumns({f"cols{i}": F.transform(f"row{i}", lambda x: x["col"]), f"texts{i}": F.transform(f"row{i}", lambda x: x["text"])})
     each = looked.select(*SHEET, "starts", *[f"{n}{i}" for n in ("cols", "texts") for i in (1, 2)], F.posexplode("cols").alias("place", "col"))
@@ -106,17 +156,32 @@ def layout(cells: DataFrame) -> DataFrame:
     return _headed(each.select(*SHEET, F.array_position("starts", F.col("col") - F.col("place")).alias("block"), "col", text(1).alias("top"), text(2).alias("under")))
 
 
-def block_rows(cells: DataFrame, wanted: DataFrame, values: dict[str, Column]) -> DataFrame:
-    """Data rows met with each block of their sheet in `wanted` (workbook, sheet, block, more): its columns, row (and row_offset) and `values`.
+def layout(cells: DataFrame) -> DataFrame:
+    """headers() of blocks(), read once a kind of sheet (see kinds)."""
+    of_sheet, heads = kinds(cells)
+    return of_kind(of_sheet, heads)
+
+
+def of_kind(of_sheet: DataFrame, df: DataFrame) -> DataFrame:
+    """What is known of kinds (as sheets) for each sheet of that kind."""
+    known = df.select(F.col("sheet").cast("long").alias("kind"), *[c for c in df.columns if c not in SHEET])
+    return of_sheet.select(*SHEET, "kind").join(known, "kind").drop("kind")
+
+
+def block_rows(cells: DataFrame, of_sheet: DataFrame, wanted: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """Data rows met with each block in `wanted` (kind as sheet, block, more) of their sheet's kind: its columns, row (and row_offset) and `values`.
 
-    Cells meet the blocks by sheet alone and stay where they are if they are dealt so; values are built with at().
+    Cells meet their kind by sheet alone and stay where they are if they are dealt so; values are built with at().
     """
     more = [c for c in wanted.columns if c not in SHEET]
-    lists = wanted.groupBy(*SHEET).agg(F.collect_list(F.struct(*more)).alias("__blocks"))
+    lists = cut(wanted.groupBy(F.col("sheet").cast("long").alias("kind")).agg(F.collect_list(F.struct(*more)).alias("__blocks")))
     rows = by_row(cells.filter("row >= 3"))
     kept = [c for c in ("row", "row_offset") if c in rows.columns]
-    rows = rows.select(*SHEET, *kept, F.transform("cells", lambda x: x["col"]).alias("__cols"), F.transform("cells", lambda x: x["value"]).alias("__values"))
-    met = rows.join(lists, SHEET).select(*SHEET, *kept, "__cols", "__values", F.inline("__blocks"))
+    rows = rows.select(*SHEET, *kept, F.col("cells.col").alias("__cols"), F.col("cells.value").alias("__values"))
+    own = of_sheet.select(*SHEET, "kind").join(lists.select("kind"), "kind", "left_semi")
+    few = lists.limit(FEW_KINDS + 1).count() <= FEW_KINDS
+    met = rows.join(own, SHEET).join(F.broadcast(lists), "kind") if few else rows.join(own.join(lists, "kind"), SHEET)
+    met = met.select(*SHEET, *kept, "__cols", "__values", F.inline("__blocks"))
     return met.select(*SHEET, *kept, *more, *[v.alias(n) for n, v in values.items()])
 
 

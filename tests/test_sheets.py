@@ -373,3 +373,27 @@ def test_formulas_of_a_closed_sheet_are_worked_out_in_one_look(spark, monkeypatc
         assert got(sheets.resolve_formulas(both, local)) == expected | more
     cached = {(b, s, r, c) for b, s, _, r, c, v, _ in cells + across if v is not None}
     assert got(sheets.resolve_formulas(both, cached=False)) == {k: v for k, v in (expected | more).items() if k not in cached}
+
+
+def test_headers_are_read_once_a_kind(spark):
+    """Sheets that look alike are one kind; columns far to the right count as others do."""
+    rows = [["Group", "Compound ID", "MEAN RQ", "SEM"], ["", "", "", ""], ["g", "a", "1", "2"]]
+    same = [("w", f"s{i}", 0, r, c, str(i) if r == 3 else v, None) for i in range(30) for r, row in enumerate(rows, 1) for c, v in enumerate(row, 1)]
+    far = [("w", "far", 0, r, c, f"{c} {r}", None) for c in (1, 2, 62, 63, 64, 65, 127, 128, 255, 256, 257, 300, 301, 9000) for r in (1, 4)] + [("w", "far", 0, 2, 300, "  ", None), ("w", "far", 0, 2, 400, " ", None), ("w", "none", 0, 1, 1, "", None)]
+    cells = spark.createDataFrame(same + far, readers.CELLS)
+    of_sheet, heads = sheets.kinds(cells)
+    assert of_sheet.count() == 31 and of_sheet.select("kind").distinct().count() == 2 and heads.count() == 4 + 14
+    assert {r["sheet"]: r["header_row"] for r in of_sheet.collect()} == {f"s{i}": 1 for i in range(30)} | {"far": None}
+    old = sheets.headers(sheets.blocks(cells)).select("workbook", "sheet", F.col("block").cast("long").alias("block"), "col", "top", "under", "header")
+    assert sorted(map(str, sheets.layout(cells).collect())) == sorted(map(str, old.collect()))
+    got, _ = qpcr.summarize(cells)
+    assert sorted((r["sheet"], r["Group"], r["MEAN RQ"]) for r in got.collect()) == sorted((f"s{i}", str(i), str(i)) for i in range(30))
+
+
+def test_short_texts_are_those_of_the_slow_way(spark):
+    texts = ["0", "7", "12.50", "1,036.250", "1,2,3", "1234567", "999,999", "999,999.5", "0.1", "0.0001", "0.00012", "0.00009", "0.000100", "0.1234567", "0.12345675", "100", "1000000", "007", "-3.0", "+2", "1e3", ".5", "5.", "12.000", "x", "", None, " 4 ", "4\n", "1,234", "12,34", "0.0", "123.4560", "123.45678"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", textcells.short_text("t").alias("a"), textcells.general_format(textcells.parse_number("t")).alias("b")).collect()
+    assert [(r["t"], r["a"]) for r in got] == [(r["t"], r["b"]) for r in got] and got[3]["a"] == "1036.25"
+    plan = df.select(textcells.is_blank("t").alias("x")).collect()
+    assert [r["x"] for r in plan] == [t is None or not t.strip() for t in texts]
