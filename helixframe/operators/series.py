@@ -145,14 +145,13 @@ def reference_charts(qc: DataFrame, keys: tuple[str, ...] = ("workbook", "sheet"
     Labels and genes are numbered sheet by sheet, axis bounds are the sheet's.
     """
     rows = qc.withColumn("label", plot_label("Group", "Compound ID"))
-    data = last_wins(rows.select(*keys, "label", "Reference gene", order, "Mean CT", "SEM"), [*keys, "label", "Reference gene"], order)
-
-    def placed(value: str, index: str) -> DataFrame:
-        firsts = rows.groupBy(*keys, value).agg(F.min(order).alias("__o"))
-        return firsts.withColumn(index, F.row_number().over(Window.partitionBy(*keys).orderBy("__o")) - 1).drop("__o")
-
-    genes = placed("Reference gene", "series_index").withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
-    points = data.join(placed("label", "x_index"), [*keys, "label"]).join(genes, [*keys, "Reference gene"])
+    pairs = rows.groupBy(*keys, "label", "Reference gene").agg(F.max_by(F.struct("Mean CT", "SEM"), order).alias("__last"), F.min(order).alias("__o"))
+    # Windows of a sheet, so that all of it is dealt by sheet and once.
+    first = lambda value: F.min("__o").over(Window.partitionBy(*keys, value))
+    place = lambda at, value: F.dense_rank().over(Window.partitionBy(*keys).orderBy(at, value)) - 1
+    points = pairs.select(*keys, "label", "Reference gene", "__last.*", first("label").alias("__x"), first("Reference gene").alias("__s"))
+    points = points.withColumns({"x_index": place("__x", "label"), "series_index": place("__s", "Reference gene")})
+    points = points.withColumn("n", F.max("series_index").over(Window.partitionBy(*keys)) + 1)
     width, whole = F.least(F.lit(most_width), F.lit(share) / F.col("n")), Window.partitionBy(*keys)
     return points.select(
         *keys, F.lit("reference_gene_mean_ct_qc").alias("chart_id"), "label", "Reference gene", "x_index", "series_index", (F.col("x_index") + (F.col("series_index") - (F.col("n") - 1) / 2.0) * width).alias("position"), "Mean CT", "SEM",

@@ -397,3 +397,11 @@ def test_short_texts_are_those_of_the_slow_way(spark):
     assert [(r["t"], r["a"]) for r in got] == [(r["t"], r["b"]) for r in got] and got[3]["a"] == "1036.25"
     plan = df.select(textcells.is_blank("t").alias("x")).collect()
     assert [r["x"] for r in plan] == [t is None or not t.strip() for t in texts]
+
+
+def test_charts_are_dealt_by_sheet_once(spark):
+    qc = spark.createDataFrame([("w", "a", "G", c, g, 1.0 * i, 0.5, i) for i, (c, g) in enumerate([("x", "A"), ("y", "B"), ("x", "B"), ("y", "A"), ("x", "A")])], "workbook string, sheet string, Group string, `Compound ID` string, `Reference gene` string, `Mean CT` double, SEM double, first int")
+    charts = series.reference_charts(qc.repartition("workbook", "sheet"))
+    assert shuffles(charts) == 1
+    got = {(r["label"], r["Reference gene"]): (r["x_index"], r["series_index"], r["Mean CT"]) for r in charts.collect()}
+    assert got == {("G | x", "A"): (0, 0, 4.0), ("G | x", "B"): (0, 1, 2.0), ("G | y", "A"): (1, 0, 3.0), ("G | y", "B"): (1, 1, 1.0)}
