@@ -41,15 +41,17 @@ def general_format(values: pd.Series) -> pd.Series:
     return out
 
 
-def short_text(x) -> Column:
-    """A text that is a number with six significant digits (see general_format); any other: null.
-
-    Decimals of at most six digits, from 0.0001 on, need no rounding and lose only commas and zeros at the end.
-    """
+def plain_text(x) -> Column:
+    """Decimals of at most six digits, from 0.0001 on, as general_format() has them: they need no rounding and lose only commas and zeros at the end; any other text: null."""
     text = F.when(F.rlike(col(x), F.lit(r"^(?:0|[1-9][0-9]{0,2}(?:,?[0-9]{3}|[0-9]{0,3}))(?:\.[0-9]+)?\z")), F.replace(col(x), F.lit(","), F.lit("")))
     text = F.when(F.contains(text, F.lit(".")), F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))).otherwise(text)
     digits = F.length(F.replace(text, F.lit("."), F.lit("")))
-    plain = F.when(F.when(F.startswith(text, F.lit("0")), (digits <= 7) & ~F.startswith(text, F.lit("0.0000"))).otherwise(digits <= 6), text)
+    return F.when(F.when(F.startswith(text, F.lit("0")), (digits <= 7) & ~F.startswith(text, F.lit("0.0000"))).otherwise(digits <= 6), text)
+
+
+def short_text(x) -> Column:
+    """A text that is a number with six significant digits (see general_format); any other: null."""
+    plain = plain_text(x)
     return F.coalesce(plain, general_format(F.when(plain.isNull(), parse_number(x))))
 
 

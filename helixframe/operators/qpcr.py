@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions.textcells import clean_text, is_blank, is_control, number_texts, parse_number, short_text
+from helixframe.functions.textcells import clean_text, general_format, is_blank, is_control, number_texts, parse_number, plain_text
 from helixframe.operators import sheets
 from helixframe.operators.lineage import cut
 from helixframe.operators.sheets import BLOCK, SHEET
@@ -31,10 +31,27 @@ def dedupe(df: DataFrame, keys: list[str], order: str, carry: list[str] = []) ->
     return df.groupBy(*carry, *keys).agg(F.min(order).alias(order))
 
 
-def mean_rq_and_sem(two: str, mean: str, sem: str):
-    """Separate columns where they have text, else the first two numbers of the combined one (see number_texts()); as texts, numbers with six digits."""
-    pick = lambda own, split: F.coalesce(short_text(F.when(~is_blank(own), F.col(own)).otherwise(split)), F.when(~is_blank(own), clean_text(own)))
-    return pick(mean, first_two(two)[0]), pick(sem, first_two(two)[1])
+def mean_rq_and_sem(two: str, mean: str, sem: str) -> dict:
+    """Separate columns where they have text, else the first two numbers of the combined one (see number_texts()).
+
+    mean and sem, as far as no number must be rounded to six digits; mean_text and
+    sem_text: what must (see rounded()).
+    """
+    out = {}
+    for name, own, split in (("mean", mean, first_two(two)[0]), ("sem", sem, first_two(two)[1])):
+        text = F.when(~is_blank(own), F.col(own)).otherwise(split)
+        out[name] = F.coalesce(plain_text(text), F.when(parse_number(text).isNull() & ~is_blank(own), clean_text(own)))
+        out[f"{name}_text"] = F.when(plain_text(text).isNull() & parse_number(text).isNotNull(), text)
+    return out
+
+
+def rounded(rows: DataFrame, keys: list[str], carry: list[str]) -> DataFrame:
+    """dedupe()d rows of mean_rq_and_sem() with all texts made; Python sees them only if there is one that must be rounded."""
+    rows = cut(dedupe(rows, [*keys, "mean_text", "sem_text"], "row", carry))
+    if rows.filter("mean_text IS NOT NULL OR sem_text IS NOT NULL").isEmpty():
+        return rows.drop("mean_text", "sem_text")
+    made = rows.withColumns({n: F.coalesce(n, general_format(parse_number(f"{n}_text"))) for n in ("mean", "sem")}).drop("mean_text", "sem_text")
+    return cut(dedupe(made, keys, "row", carry))
 
 
 def first_two(two: str):
@@ -59,7 +76,6 @@ def _summaries(cells: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataF
     full, usable = F.col("group_col").isNotNull(), F.expr("mean_sem_col IS NOT NULL OR (mean_col IS NOT NULL AND sem_col IS NOT NULL)")
     counts = full | F.col("geomean_col").isNotNull()
     issues = sheets.of_kind(of_sheet, found.filter(counts & ~usable).select(*BLOCK, F.lit("No MEAN RQ and SEM columns.").alias("issue")))
-    mean, sem = mean_rq_and_sem("two", "mean", "sem")
 
     # A geomean table takes group and compound of the sheet's first full one, row by row, and the genes of all full ones.
     listed = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.when(full, F.struct("block", "genes")))), lambda x: x["genes"])))
@@ -78,10 +94,10 @@ def _summaries(cells: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataF
     filled = forward_fill(rows.withColumns({f"__{n}": F.col(n) for n in names}), [f"__{n}" for n in names], BLOCK, ["row"])
     rows = drop_controls(filled.select(*BLOCK, "kind", "source", "row", *[F.when(F.col("kind") == 0, F.col(f"__{n}")).otherwise(F.col(n)).alias(n) for n in names]), "group", "compound")
     a, b = first_two("two")
-    # Told before the texts are made, or their Python function would run twice.
     rows = rows.filter((~is_blank("mean") | a.isNotNull()) & (~is_blank("sem") | b.isNotNull()))
-    rows = rows.select(*BLOCK, "row", "group", "compound", "source", F.coalesce("size", F.lit("")).alias("size"), mean.alias("mean"), sem.alias("sem"), "kind")
-    rows = cut(dedupe(rows, ["group", "compound", "source", "size", "mean", "sem"], "row", [*BLOCK, "kind"]))
+    texts = [c.alias(n) for n, c in mean_rq_and_sem("two", "mean", "sem").items()]
+    rows = rows.select(*BLOCK, "row", "group", "compound", "source", F.coalesce("size", F.lit("")).alias("size"), *texts, "kind")
+    rows = rounded(rows, ["group", "compound", "source", "size", "mean", "sem"], [*BLOCK, "kind"])
     return rows, issues, _without(of_sheet, rows), of_sheet
 
 

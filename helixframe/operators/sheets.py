@@ -137,7 +137,7 @@ def _alike(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
 
 def _embedded(cells: str) -> Column:
     """Whether a row is an embedded header (see embedded_header)."""
-    named = F.exists(cells, lambda x: F.contains(F.lower(x["value"]), F.lit("group")) & (F.lower(clean_text(x["value"])) == "group"))
+    named = F.exists(cells, lambda x: F.rlike(x["value"], F.lit(r"(?iU)^\s*group\s*$")) & (F.lower(clean_text(x["value"])) == "group"))
     text = F.lower(clean_text(F.array_join(F.transform(F.array_sort(cells), lambda x: x["value"]), " ")))
     has = lambda w: F.contains(text, F.lit(w))
     return F.when(named, has("compound") & has("mean rq") & has("sem")).otherwise(F.lit(False))

@@ -419,3 +419,14 @@ def test_only_worked_out_numbers_meet_the_rows(spark, tmp_path, monkeypatch):
     (columns, numbers), = given
     assert "cells" in columns and numbers.count() == 40 and {r["col"] for r in numbers.collect()} == {4}
     assert len(rows) == 40 and {(r["n"], r["mean_ct"]) for r in rows} == {(1, (i + i % 9 + 1) / 2) for i in range(40)}
+
+
+def test_numbers_are_sent_to_python_only_to_be_rounded(spark, monkeypatch):
+    """Texts that need no rounding, and those that do, are one row where they come to the same."""
+    formatted, real = [], qpcr.general_format
+    monkeypatch.setattr(qpcr, "general_format", lambda x: formatted.append(1) or real(x))
+    head = [["Group", "Compound", "MEAN RQ", "SEM"], ["", "ID", "", ""]]
+    plain, _ = qpcr.summarize(grid(spark, head + [["G", "A", "0.720", "0.10"], ["G", "A", "0.72", "0.1"], ["G", "B", "note ", "1,000"]]))
+    assert sorted((r["Compound ID"], r["MEAN RQ"], r["SEM"], r["row"]) for r in plain.collect()) == [("A", "0.72", "0.1", 3), ("B", "note", "1000", 5)] and not formatted
+    both, _ = qpcr.summarize(grid(spark, head + [["G", "A", "7.2e-1", "+0.1"], ["G", "A", "0.72", "0.1"], ["G", "A", "0.7200001", "0.10"], ["G", "B", "1234567", "x"]]))
+    assert sorted((r["Compound ID"], r["MEAN RQ"], r["SEM"], r["row"]) for r in both.collect()) == [("A", "0.72", "0.1", 3), ("B", "1.23457e+06", "x", 6)] and formatted
